@@ -18,7 +18,8 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import widened
 
 #: Words (twice) and pairs of tokens kept by a worker, at most.
 MEMO = 300_000
@@ -164,7 +165,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out
             out = [b"".join(map(token.__getitem__, x or ())) for x in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, out_col])
 
-    schema = tokens.schema.add(out_col, "binary")
+    schema = widened(tokens, f"`{out_col}` binary")
     return tokens.mapInArrow(run, schema)
 
 
@@ -197,5 +198,5 @@ def _map_texts(docs, ranks, pattern, text_col, out_col, spark_type, arrow_type,
             out = [result(e, e.encode(t.as_py() or "")) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow_type)], names=[*b.schema.names, out_col])
 
-    schema = docs.schema.add(out_col, spark_type)
+    schema = widened(docs, f"`{out_col}` {spark_type}")
     return docs.mapInArrow(run, schema)

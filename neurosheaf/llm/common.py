@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Upper-case and lower-case ASCII letters, for ``translate``.
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,3 +44,14 @@ def let(value: Column, body) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly. A join on what was grouped before then has an exchange of its own on both
+    sides, so that adaptive execution can split the partition of a hot key."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def widened(df: DataFrame, columns: str) -> T.StructType:
+    """The schema of ``df`` with more columns, given as DDL."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(columns).fields])

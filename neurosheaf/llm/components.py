@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, dealt
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -14,8 +14,8 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     The grouped side is dealt out once more before the join, so that both sides of the join come
     from plain exchanges and adaptive execution can split the partition of a hub.
     """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).repartition()
-    return pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    return pairs.join(dealt(least), "u")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

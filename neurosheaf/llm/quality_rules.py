@@ -183,6 +183,12 @@ def verdicts(measured: DataFrame, accepted: DataFrame, stratum: str = "lang") ->
     return judged.withColumns({"base_failed": failed, "kept": ~failed & ~over}).drop("_key", "_stratum", *(f"_{f}" for f in LADDERS))
 
 
+def judge_ids(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """judge() without the texts and other columns: each text is measured once."""
+    slim = cut(measure(docs.select(id_col, stratum, text_col), text_col).drop(text_col))
+    return verdicts(slim, thresholds(slim, labels, stratum, id_col, alpha, delta), stratum)
+
+
 def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """``docs`` with features(), n_lines, base_failed and kept.
 

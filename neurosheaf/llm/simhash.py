@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, dealt
 from .components import connected_components
 
 BITS = 64
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(near_links(classes.select("fp"), radius)).withColumnsRenamed({"node": "fp", "component": "c"})
     placed = cut(classes.join(found, "fp", "left").select("fp", "least", F.coalesce("c", "fp").alias("c")))
     firsts = placed.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(firsts.repartition(), "c").select("fp", "component_id")
+    by_fp = placed.join(dealt(firsts), "c").select("fp", "component_id")
     return marked.join(cut(by_fp), "fp").select("id", "fp", "component_id")
 
 

@@ -7,9 +7,12 @@ matching goes on (the failure link). Counting then takes one step a byte, and no
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import widened
 
 #: Words kept with their counts by a worker, twice.
 MEMO = 300_000
@@ -71,10 +74,10 @@ class Automaton:
         return n
 
 
-_BUILT: dict[int, Automaton] = {}
+_BUILT: dict[str, Automaton] = {}
 
 
-def _automaton(key: int, vocabulary: tuple[list[bytes], list[bytes]]) -> Automaton:
+def _automaton(key: str, vocabulary: tuple[list[bytes], list[bytes]]) -> Automaton:
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = Automaton(*vocabulary)
@@ -98,11 +101,11 @@ def count_tokens(docs: DataFrame, vocabulary: tuple[list[bytes], list[bytes]], t
     Null and empty texts have none. All other columns pass through; columns of the two names are
     replaced. There is no shuffle; what is broadcast is the vocabulary, whose size its file bounds.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared, key = docs.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
     docs = docs.select(*(c for c in docs.columns if c.lower() not in {"n_words", out_col.lower()}))
 
     def run(batches):
-        count = _automaton(shared.id, shared.value).count
+        count = _automaton(key, shared.value).count
         new: dict[bytes, int] = {}
         old: dict[bytes, int] = {}
         for b in batches:
@@ -123,7 +126,7 @@ def count_tokens(docs: DataFrame, vocabulary: tuple[list[bytes], list[bytes]], t
                 tokens.append(total)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[*b.schema.names, "n_words", out_col])
 
-    schema = docs.schema.add("n_words", "long").add(out_col, "long")
+    schema = widened(docs, f"n_words long, `{out_col}` long")
     return docs.mapInArrow(run, schema)
 
 
