@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -40,3 +40,15 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     spark.sparkContext.addPyFile(to)
     _SHIPPED.add(app)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder that all executors share (spark.checkpoint.dir; in local mode a temporary one), so that
+    several results can be made from them, and made again if an executor is lost."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if known is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
