@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .montage import ALIASES, standard_positions
+from .units import MICROVOLTS
 
 #: What recorders put before and after an electrode's name.
 PREFIX = r"(?i)^EEG[ _:\-]+"
@@ -21,8 +22,6 @@ TYPE_PATTERNS = [
     ("resp", r"(?i)(resp|thor|abdo|airflow|nasal)"),
     ("misc", r"(?i)(gsr|eda|spo2|sao2|temp|accel|gyro|aux|^exg[0-9]+$|pleth|pulse|light|photo)"),
 ]
-#: Microvolts in a unit.
-UNITS = {"V": 1e6, "mV": 1e3, "µV": 1.0, "μV": 1.0, "uV": 1.0, "nV": 1e-3}
 
 
 @cache
@@ -62,4 +61,4 @@ def channel_type(name: Column, unit: Column | None = None) -> Column:
 
 def microvolts(unit: Column) -> Column:
     """How many microvolts a unit is; null if it is no voltage."""
-    return _lookup(UNITS, F.trim(unit))
+    return _lookup(MICROVOLTS, F.trim(unit))

@@ -69,6 +69,15 @@ def find_bad_channels(samples: DataFrame, sfreq: float, positions: dict[str, tup
     return table.withColumns({"bad": F.col("flagged") | F.col("ransac"), "reasons": reasons}).drop("missing", "hf_ratio", "flagged", "usable")
 
 
+@lru_cache(8)
+def _models(members: tuple[str, ...], positions: tuple, seed: int, draws: int, subset: float) -> list[tuple[list[str], np.ndarray]]:
+    """Random subsets of the members, and the weights by which they predict all channels."""
+    rng, at = np.random.default_rng(seed), dict(positions)
+    n = max(4, math.ceil(subset * len(members)))
+    chosen = [[members[i] for i in rng.choice(len(members), n, replace=False)] for _ in range(draws)]
+    return [(c, montage.spline_weights(np.array([at[x] for x in c]), np.array(list(at.values())))) for c in chosen]
+
+
 def ransac(samples: DataFrame, pool: DataFrame, positions: dict[str, tuple], sfreq: float, seed: int = 0, draws: int = 50, subset: float = 0.25, least: float = 0.75, seconds: float = 5.0, windows: int = 120) -> DataFrame:
     """Share of windows in which a channel correlates less than ``least`` with what random subsets of the pool predict.
 
@@ -78,21 +87,13 @@ def ransac(samples: DataFrame, pool: DataFrame, positions: dict[str, tuple], sfr
     length = round(seconds * sfreq)
     names = tuple(positions)
 
-    @lru_cache(8)
-    def models(members: tuple[str, ...]):
-        rng = np.random.default_rng(seed)
-        n = max(4, math.ceil(subset * len(members)))
-        where = np.array([positions[c] for c in names])
-        chosen = [rng.choice(len(members), n, replace=False) for _ in range(draws)]
-        return [([members[i] for i in c], montage.spline_weights(np.array([positions[members[i]] for i in c]), where)) for c in chosen]
-
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot(index="sample", columns="channel", values="value").reindex(columns=list(names)).fillna(0.0)
         own = tuple(c for c in names if c in set(rows.members.iloc[0]))
         r = np.zeros(len(names))
         if len(own) >= 8:
             x = wide.to_numpy().T
-            guess = np.median(np.stack([w @ wide[c].to_numpy().T for c, w in models(own)]), axis=0)
+            guess = np.median(np.stack([w @ wide[c].to_numpy().T for c, w in _models(own, tuple(positions.items()), seed, draws, subset)]), axis=0)
             a, b = x - x.mean(axis=1, keepdims=True), guess - guess.mean(axis=1, keepdims=True)
             size = np.sqrt((a**2).sum(axis=1) * (b**2).sum(axis=1))
             r = np.divide((a * b).sum(axis=1), size, out=r, where=size > 0)
