@@ -211,5 +211,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The few ids found (or all of them, in the worst case) come back by an anti-join. Null ids are
     taken out only if a row with a null id matches: such rows can't be told apart.
     """
-    found = contained(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_found")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_found")), "left_anti")
+    found = contained(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__found__")).distinct()
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__found__")), "left_anti")

@@ -100,18 +100,18 @@ def hilbert_shards(df: DataFrame, coordinates: list[Column], bits: int, shards:
         F.sum("n").over(W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"),
     )
     offsets = counts.join(F.broadcast(cells), F.col("curve") == F.col("cell")).select(
-        F.col("curve").alias("_curve"), F.col("slice").alias("_slice"), (F.col("start") + F.col("before")).alias("_start"), F.col("total").alias("_total")
+        F.col("curve").alias("__curve__"), F.col("slice").alias("__slice__"), (F.col("start") + F.col("before")).alias("__start__"), F.col("total").alias("__total__")
     )
     ranked = placed.withColumn("slot", F.row_number().over(W.partitionBy("curve", "slice").orderBy(tie)) - 1)
-    ranked = ranked.join(offsets, (F.col("curve") == F.col("_curve")) & (F.col("slice") == F.col("_slice")))
-    rank = F.col("_start") + F.col("slot")
-    shard = F.floor(rank * shards / F.col("_total"))
-    shard = F.expr(f"({shards} * (_start + slot)) div _total")
-    first = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
+    ranked = ranked.join(offsets, (F.col("curve") == F.col("__curve__")) & (F.col("slice") == F.col("__slice__")))
+    rank = F.col("__start__") + F.col("slot")
+    shard = F.floor(rank * shards / F.col("__total__"))
+    shard = F.expr(f"({shards} * (__start__ + slot)) div __total__")
+    first = F.expr(f"(shard * __total__ + {shards - 1}) div {shards}")
     return (
         ranked.withColumn("shard", shard.cast("int"))
         .withColumn("slot", (rank - first).cast("long"))
-        .drop("_curve", "_slice", "_start", "_total", "slice")
+        .drop("__curve__", "__slice__", "__start__", "__total__", "slice")
     )
 
 

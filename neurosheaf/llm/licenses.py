@@ -81,11 +81,11 @@ def scan(docs: DataFrame, text_col: str = "text", all_rules: list[Rule] | None =
     detections left after suppression, in order of place) and score (the largest weight, 0 without).
 
     Null and empty texts have no words and nothing found. Rows with equal texts get equal results, and
-    all other columns pass through; n_words, found, score and _norm of ``docs`` are replaced or lost.
+    all other columns pass through; n_words, found, score and __norm__ of ``docs`` are replaced or lost.
     """
     table, base = _rule_table(all_rules or rules()), len(BASE)
-    words = docs.withColumn("_norm", normalised(F.col(text_col)))
-    gate = let(F.lower("_norm"), lambda s: reduce(or_, (F.contains(s, F.lit(t)) for t in TRIGGERS)))
+    words = docs.withColumn("__norm__", normalised(F.col(text_col)))
+    gate = let(F.lower("__norm__"), lambda s: reduce(or_, (F.contains(s, F.lit(t)) for t in TRIGGERS)))
 
     def detections(text: Column) -> Column:
         tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k)))
@@ -93,10 +93,10 @@ def scan(docs: DataFrame, text_col: str = "text", all_rules: list[Rule] | None =
         return F.transform(kept, lambda p: F.struct(*(p[c].alias(c) for c in ("first", "last", "rank", "label", "weight"))))
 
     # A text of words has a space on each side of each; one without is a space or two.
-    count = F.when(F.trim("_norm") == "", F.lit(0)).otherwise(_spaces(F.col("_norm")) - 1).cast("long")
-    found = F.when(gate, let(F.translate("_norm", ASCII_UPPER, ASCII_LOWER), detections))
+    count = F.when(F.trim("__norm__") == "", F.lit(0)).otherwise(_spaces(F.col("__norm__")) - 1).cast("long")
+    found = F.when(gate, let(F.translate("__norm__", ASCII_UPPER, ASCII_LOWER), detections))
     none = F.expr("cast(array() as array<struct<first:int,last:int,rank:int,label:string,weight:double>>)")
-    out = words.withColumns({"n_words": count, "found": F.coalesce(found, none)}).drop("_norm")
+    out = words.withColumns({"n_words": count, "found": F.coalesce(found, none)}).drop("__norm__")
     return out.withColumn("score", F.coalesce(F.array_max(F.transform("found", lambda x: x["weight"])), F.lit(0.0)))
 
 

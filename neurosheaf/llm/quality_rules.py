@@ -83,17 +83,17 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
     words = F.array_remove(F.split(text, f"{WHITE}+"), "")
-    plain = docs.withColumn("_words", let(words, of_words))
+    plain = docs.withColumn("__words__", let(words, of_words))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return plain.withColumns(
         {
-            "n_words": F.col("_words.n"),
+            "n_words": F.col("__words__.n"),
             "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
             "n_dup_lines": let(lines, dup_lines),
-            "n_repeat_words": F.col("_words.repeated"),
+            "n_repeat_words": F.col("__words__.repeated"),
         }
-    ).drop("_words")
+    ).drop("__words__")
 
 
 def base_failed() -> Column:
@@ -171,16 +171,16 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def verdicts(measured: DataFrame, accepted: DataFrame, stratum: str = "lang") -> DataFrame:
     """Adds base_failed and kept to measure()'s rows: kept ones aren't base_failed and over no cutoff of their stratum."""
-    cutoffs = accepted.groupBy(F.col("stratum").alias("_stratum")).pivot("feature", list(LADDERS)).agg(F.min("cutoff"))
-    cutoffs = cut(cutoffs.select("_stratum", *(F.col(f).alias(f"_{f}") for f in LADDERS)))
+    cutoffs = accepted.groupBy(F.col("stratum").alias("__stratum__")).pivot("feature", list(LADDERS)).agg(F.min("cutoff"))
+    cutoffs = cut(cutoffs.select("__stratum__", *(F.col(f).alias(f"_{f}") for f in LADDERS)))
     if cutoffs.count() <= BROADCAST_STRATA:
         cutoffs = F.broadcast(cutoffs)
-    judged = measured.withColumn("_key", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(cutoffs, F.col("_key") == F.col("_stratum"), "left")
+    judged = measured.withColumn("__key__", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(cutoffs, F.col("__key__") == F.col("__stratum__"), "left")
     over = F.lit(False)
     for f, value in ratios().items():
         over = over | F.coalesce(value > F.col(f"_{f}"), F.lit(False))
     failed = base_failed()
-    return judged.withColumns({"base_failed": failed, "kept": ~failed & ~over}).drop("_key", "_stratum", *(f"_{f}" for f in LADDERS))
+    return judged.withColumns({"base_failed": failed, "kept": ~failed & ~over}).drop("__key__", "__stratum__", *(f"_{f}" for f in LADDERS))
 
 
 def judge_ids(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

@@ -82,8 +82,8 @@ def match_rules(urls: DataFrame, rules: list[UrlRule] | DataFrame, url_col: str
     names = parts.select("host", "path").distinct().withColumn("rule_host", F.explode(above))
     fitting = names.join(table, "rule_host").where(F.startswith("path", "rule_path"))
     best = fitting.groupBy("host", "path").agg(F.max("rule").alias("best"))
-    best = best.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "best")
-    return parts.join(dealt(best), (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left").drop("_host", "_path")
+    best = best.select(F.col("host").alias("__host__"), F.col("path").alias("__path__"), "best")
+    return parts.join(dealt(best), (F.col("host") == F.col("__host__")) & (F.col("path") == F.col("__path__")), "left").drop("__host__", "__path__")
 
 
 def node_of(url: Column) -> Column:
@@ -133,8 +133,8 @@ def judge(pages: DataFrame, rules: list[UrlRule] | DataFrame, edges: DataFrame,
     groups = cut(connected_components(edges.select("u", "v").where("u is not null and v is not null")))
     judged = match_rules(groups, rules, "node")
     blocked = judged.where("best is not null and not best.allow").select("component").distinct()
-    aliases = groups.join(blocked, "component", "left_semi").select(F.col("node").alias("_alias"))
+    aliases = groups.join(blocked, "component", "left_semi").select(F.col("node").alias("__alias__"))
     own = pages.drop("host", "path", "best", "rule", "alias_blocked", "verdict")
-    matched = match_rules(own, rules, url_col).join(aliases, node_of(F.col(url_col)) == F.col("_alias"), "left")
-    verdict = F.when(F.col("best").isNotNull(), F.col("best.allow")).otherwise(F.col("_alias").isNull())
-    return matched.withColumns({"rule": F.col("best.name"), "alias_blocked": F.col("_alias").isNotNull(), "verdict": F.when(verdict, "allow").otherwise("block")}).drop("best", "_alias")
+    matched = match_rules(own, rules, url_col).join(aliases, node_of(F.col(url_col)) == F.col("__alias__"), "left")
+    verdict = F.when(F.col("best").isNotNull(), F.col("best.allow")).otherwise(F.col("__alias__").isNull())
+    return matched.withColumns({"rule": F.col("best.name"), "alias_blocked": F.col("__alias__").isNotNull(), "verdict": F.when(verdict, "allow").otherwise("block")}).drop("best", "__alias__")
