@@ -64,8 +64,7 @@ def by_hash(value: Column, bits: int) -> Column:
 
 def by_log2(value: Column, bits: int) -> Column:
     """A count or size: its binary order of magnitude. Null, zero and below: 0."""
-    positive = F.when(value > 0, value)
-    return F.coalesce(F.least(F.length(F.bin(positive.cast("long"))), F.lit((1 << bits) - 1)), F.lit(0)).cast("int")
+    return F.when(value > 0, F.least(F.length(F.bin(value.cast("long"))), F.lit((1 << bits) - 1))).otherwise(0).cast("int")
 
 
 def hilbert_index(coordinates: list[Column], bits: int) -> Column:
