@@ -1,4 +1,8 @@
-"""Pipelines of steps over samples, from a list, a dict, JSON or YAML."""
+"""Pipelines of steps over recordings, from a list, a dict, JSON or YAML.
+
+Steps only plan; Spark runs them when a result is used. What depends on a recording (its mains frequency,
+its bad channels, its components) is a table joined by recording, so all recordings go through at once.
+"""
 
 from __future__ import annotations
 
@@ -7,48 +11,162 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import filtering, signals, spatial
+from ..operators import artifacts, bad_channels, channels, filtering, ica, quality, signals, spatial
+from ..session import kept
 
 
 @dataclass
 class State:
-    """What steps hand on: samples and their rate, and the steps done."""
+    """What steps hand on: samples and their rate, the table of channels, annotations, and the steps done."""
 
     samples: DataFrame
     sfreq: float
+    channels: DataFrame | None = None
+    annotations: DataFrame | None = None
     history: list[str] = field(default_factory=list)
 
+    def table(self) -> DataFrame:
+        if self.channels is None:
+            self.channels = kept(channels.described(self.samples))
+        return self.channels
+
+
+STEPS: dict[str, Callable] = {}
+
+
+def register_step(name: str, step: Callable) -> None:
+    """A step of one's own: ``step(state, **options)``."""
+    STEPS[name] = step
+
+
+def _step(*names: str) -> Callable:
+    def add(f: Callable) -> Callable:
+        for n in names:
+            register_step(n, f)
+        return f
+
+    return add
+
 
+@_step("filter", "bandpass")
+def _filter(s: State, low: float | None = None, high: float | None = None, **options) -> None:
+    s.samples = filtering.band_filter(s.samples, low, high, s.sfreq, **options)
+
+
+@_step("notch")
+def _notch(s: State, frequency: float | str = "auto", **options) -> None:
+    s.samples = artifacts.auto_notch(s.samples, s.sfreq) if frequency == "auto" else filtering.notch_filter(s.samples, float(frequency), s.sfreq, **options)
+
+
+@_step("resample")
 def _resample(s: State, sfreq: float) -> None:
     s.samples, s.sfreq = filtering.resample(s.samples, s.sfreq, sfreq), float(sfreq)
 
 
-def _set(change: Callable[..., DataFrame]) -> Callable:
-    def step(s: State, **options) -> None:
-        s.samples = change(s.samples, **options)
+@_step("crop")
+def _crop(s: State, tmin: float, tmax: float) -> None:
+    from ..operators import annotations
 
-    return step
+    s.samples = signals.crop(s.samples, tmin, tmax, s.sfreq)
+    if s.annotations is not None:
+        s.annotations = annotations.crop(s.annotations, tmin, tmax)
 
 
-#: Steps by name. Those that need the rate get it from the state.
-STEPS: dict[str, Callable] = {
-    "filter": lambda s, **o: _set(filtering.band_filter)(s, sfreq=s.sfreq, **{"low": None, "high": None} | o),
-    "notch": lambda s, **o: _set(filtering.notch_filter)(s, sfreq=s.sfreq, **o),
-    "resample": _resample,
-    "crop": lambda s, **o: _set(signals.crop)(s, sfreq=s.sfreq, **o),
-    "pick": _set(signals.pick),
-    "drop_channels": _set(signals.drop_channels),
-    "rename_channels": _set(signals.rename_channels),
-    "reference": _set(spatial.set_reference),
-    "bipolar": lambda s, pairs: _set(spatial.bipolar)(s, pairs=[tuple(p) for p in pairs]),
-    "envelope": lambda s, **o: _set(filtering.envelope)(s, sfreq=s.sfreq, **o),
-}
+@_step("pick")
+def _pick(s: State, channels_: str | list | None = None, **options) -> None:
+    s.channels = kept(channels.pick(s.table(), options.pop("channels", channels_), **options))
+    s.samples = s.samples.join(s.channels.select(*signals.KEY), signals.KEY, "left_semi")
 
 
-def register_step(name: str, step: Callable) -> None:
-    """A step of one's own: ``step(state, **options)``."""
-    STEPS[name] = step
+@_step("drop_channels")
+def _drop(s: State, channels: list[str]) -> None:
+    s.channels = signals.drop_channels(s.table(), channels)
+    s.samples = signals.drop_channels(s.samples, channels)
+
+
+@_step("rename_channels")
+def _rename(s: State, names: dict[str, str]) -> None:
+    s.channels, s.samples = signals.rename_channels(s.table(), names), signals.rename_channels(s.samples, names)
+
+
+@_step("standardize_names")
+def _standardise(s: State) -> None:
+    from ..functions.names import clean_channel_name
+
+    clean = clean_channel_name(F.col("channel"))
+    s.channels, s.samples = s.table().withColumn("channel", clean), s.samples.withColumn("channel", clean)
+
+
+@_step("set_channel_types")
+def _types(s: State, types: dict[str, str]) -> None:
+    s.channels = channels.set_types(s.table(), types)
+
+
+@_step("set_montage")
+def _montage(s: State, overwrite: bool = True) -> None:
+    s.channels = channels.set_montage(s.table(), overwrite=overwrite)
+
+
+@_step("set_bads")
+def _bads(s: State, channels_: list[str] | None = None, add: bool = False, **options) -> None:
+    s.channels = channels.set_bads(s.table(), options.pop("channels", channels_) or [], add)
+
+
+@_step("detect_bad_channels")
+def _detect(s: State, method: str = "quality") -> None:
+    found = bad_channels.find_bad_channels(s.samples, s.sfreq).where("bad") if method == "prep" else quality.assess(s.samples, s.sfreq).where("grade = 'bad'")
+    s.channels = kept(channels.set_bads(s.table(), found, add=True))
+
+
+@_step("interpolate_bads", "interpolate_bad_channels")
+def _interpolate(s: State) -> None:
+    s.samples = channels.apply_weights(s.samples, channels.interpolation(s.table()))
+    s.channels = s.channels.withColumn("bad", F.col("bad") & (F.col("x").isNull() | (F.col("ch_type") != "eeg")))
+
+
+@_step("reference", "rereference")
+def _reference(s: State, reference: str | list[str] = "average", bad: list[str] | None = None) -> None:
+    if bad is None and s.channels is not None and reference in ("average", "median"):
+        marked = s.samples.join(s.channels.select(*signals.KEY, "bad"), signals.KEY, "left")
+        pooled = F.when(~F.coalesce("bad", F.lit(False)), F.col("value"))
+        level = (F.avg if reference == "average" else F.median)(pooled).over(spatial.W.partitionBy("recording", "sample"))
+        s.samples = marked.withColumn("value", F.col("value") - level).drop("bad")
+    else:
+        s.samples = spatial.set_reference(s.samples, reference, bad)
+
+
+@_step("bipolar")
+def _bipolar(s: State, pairs: list) -> None:
+    s.samples, s.channels = spatial.bipolar(s.samples, [tuple(p) for p in pairs]), None
+
+
+@_step("laplacian")
+def _laplacian(s: State, k: int = 4) -> None:
+    s.samples = channels.apply_weights(s.samples, channels.laplacian(channels.set_montage(s.table(), overwrite=False), k))
+
+
+@_step("ica")
+def _ica(s: State, components: int | float | None = None, eye: list[str] | None = None, muscle: bool = False) -> None:
+    """Takes out components that go with eye channels (frontal ones if none are named), and muscle ones if asked for."""
+    model = kept(ica.fit(filtering.band_filter(s.samples, 1.0, None, s.sfreq), components))
+    gone = ica.eye_components(s.samples, model, s.sfreq, eye or artifacts.FRONTAL[:2]).where("flagged").select("recording", "component")
+    if muscle:
+        gone = gone.unionByName(ica.muscle_components(s.samples, model, s.sfreq).where("flagged").select("recording", "component"))
+    numbered = gone.select("recording", F.substring("component", 3, 9).cast("int").alias("component"))
+    s.samples = ica.remove(s.samples, model, kept(numbered))
+
+
+@_step("annotate_artifacts")
+def _annotate(s: State, blinks: bool = False) -> None:
+    found = artifacts.annotate(s.samples, s.sfreq, blinks)
+    s.annotations = found if s.annotations is None else s.annotations.unionByName(found)
+
+
+@_step("envelope")
+def _envelope(s: State, low: float, high: float) -> None:
+    s.samples = filtering.envelope(s.samples, low, high, s.sfreq)
 
 
 class Pipeline:
@@ -62,7 +180,7 @@ class Pipeline:
 
     @classmethod
     def from_config(cls, config: str | list | dict) -> Pipeline:
-        """A list of names or of dicts with the name under ``step``; a dict with that list under ``steps``; or either as JSON or YAML text."""
+        """A list of names, of ``{name: options}``, of ``{step: name, ...}`` or of pairs; a dict with that list under ``steps``; or these as JSON or YAML text."""
         if isinstance(config, str):
             try:
                 config = json.loads(config)
@@ -70,14 +188,24 @@ class Pipeline:
                 import yaml
 
                 config = yaml.safe_load(config)
-        listed = config["steps"] if isinstance(config, dict) else config
-        plain = [{"step": x} if isinstance(x, str) else dict(x) for x in listed]
-        return cls([(x.pop("step"), x) for x in plain])
+        return cls([_normal(x) for x in (config["steps"] if isinstance(config, dict) else config)])
 
-    def run(self, samples: DataFrame, sfreq: float) -> State:
-        """All steps planned; Spark runs them when the samples are used."""
-        state = State(samples, float(sfreq))
+    def run(self, samples: DataFrame, sfreq: float, table: DataFrame | None = None, annotations: DataFrame | None = None) -> State:
+        """All steps, planned one on the other."""
+        state = State(samples, float(sfreq), table, annotations)
         for name, options in self.steps:
             STEPS[name](state, **options)
             state.history.append(f"{name}({', '.join(f'{k}={v!r}' for k, v in options.items())})")
         return state
+
+
+def _normal(step) -> tuple[str, dict]:
+    if isinstance(step, str):
+        return step, {}
+    if isinstance(step, dict):
+        if "step" in step:
+            return step["step"], {k: v for k, v in step.items() if k != "step"}
+        ((name, options),) = step.items()
+        return name, dict(options or {})
+    name, options = step
+    return name, dict(options)
