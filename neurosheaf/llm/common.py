@@ -46,6 +46,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
+#: Ids that are broadcast at most (about 40 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, on, how: str = "left_semi") -> DataFrame:
+    """A semi or anti join with a table of ids, whose size is looked at first: a short one goes to the rows, which then stay where they are."""
+    ids = cut(ids)
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """The rows dealt out evenly. A join on what was grouped before then has an exchange of its own on both
     sides, so that adaptive execution can split the partition of a hot key."""
