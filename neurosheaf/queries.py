@@ -2,7 +2,7 @@
 
 Views of the tables as signals:
 
-- ``sig``: lineitem; a supplier is a recording, four measures are its channels, rows in order of all columns its samples (100 Hz).
+- ``sig``: lineitem; a supplier is a recording, four measures (price in thousands) are its channels, rows in order of all columns its samples (100 Hz).
 - ``ep``: embeddings; a vector is a recording with one channel of 64 samples (64 Hz), its label the condition.
 - ``cap``: embeddings; a label is a recording, positions are its 64 channels, vectors its samples.
 - ``ann``: events; a user is a recording, events are its annotations.
@@ -15,8 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import montage, names
-from .operators import annotations, bad_channels, connectivity, epochs, features, filtering, ica, quality, ranking, signals, spatial, spectral, statistics, windowing
-from .session import kept, ship
+from .operators import annotations, artifacts, bad_channels, channels, connectivity, epochs, features, filtering, ica, quality, ranking, signals, spatial, spectral, statistics, windowing
+from .plans import report
+from .plans.pipeline import Pipeline
+from .session import kept, shared_folder, ship
+from .sources import files
+from .sources.simulate import simulate
+from .streaming import causal
 
 RATE, CHANNELS = 100.0, ["disc", "price", "qty", "tax"]
 _ORDER = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -28,7 +33,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(W.partitionBy("l_suppkey").orderBy(*_ORDER)) - 1
-    wide = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("recording"), place.cast("long").alias("sample"), F.col("l_discount").alias("disc"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"), F.col("l_tax").alias("tax"))
+    wide = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("recording"), place.cast("long").alias("sample"), F.col("l_discount").alias("disc"), (F.col("l_extendedprice") / 1000).alias("price"), F.col("l_quantity").alias("qty"), F.col("l_tax").alias("tax"))
     return signals.melt(wide, CHANNELS)
 
 
@@ -50,7 +55,7 @@ def ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").select(F.col("user_id").alias("recording"), ((at - first) / 1e6).alias("onset"), (F.col("value") / 10).alias("duration"), F.col("event_type").alias("description"))
 
 
-_WIDE = f"SELECT l_suppkey AS recording, row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(_ORDER)}) - 1 AS sample, l_discount AS disc, l_extendedprice AS price, l_quantity AS qty, l_tax AS tax FROM lineitem"
+_WIDE = f"SELECT l_suppkey AS recording, row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(_ORDER)}) - 1 AS sample, l_discount AS disc, l_extendedprice / 1000 AS price, l_quantity AS qty, l_tax AS tax FROM lineitem"
 SIG = f"wide AS ({_WIDE}), sig AS (" + " UNION ALL ".join(f"SELECT recording, '{c}' AS channel, sample, CAST({c} AS DOUBLE) AS value FROM wide" for c in CHANNELS) + ")"
 _PLACES = "(SELECT unnest(range(64)) AS i)"
 EP = f"ep AS (SELECT vec_id AS recording, 'e' AS channel, i AS sample, CAST(embedding[i + 1] AS DOUBLE) AS value, CAST(label AS VARCHAR) AS condition FROM embeddings, {_PLACES})"
@@ -673,3 +678,151 @@ def _(spark, d):
     raw = spark.createDataFrame([(n,) for n in _RAW_NAMES], "name string")
     clean = names.clean_channel_name(F.col("name"))
     return raw.select("name", clean.alias("clean"), names.channel_type(clean).alias("kind"))
+
+
+# Selection, unions and types
+
+@register("crop", f"WITH {SIG} SELECT recording, channel, CAST(sample - 50 AS BIGINT) AS sample, {r6('value')} AS value FROM sig WHERE sample >= 50 AND sample < 200")
+def _(spark, d):
+    return signals.crop(sig(spark, d), 0.5, 2.0, RATE)
+
+
+@register("append_recordings", f"WITH {SIG}, n AS (SELECT recording, max(sample) + 1 AS n FROM sig WHERE channel = 'qty' GROUP BY ALL) SELECT recording, channel, CAST(sample AS BIGINT) AS sample, {r6('value')} AS value FROM sig WHERE channel = 'qty' UNION ALL SELECT recording, channel, CAST(sample + n AS BIGINT) AS sample, {r6('value')} AS value FROM sig JOIN n USING (recording) WHERE channel = 'qty'")
+def _(spark, d):
+    one = signals.pick(sig(spark, d), ["qty"])
+    return signals.append(one, one)[0]
+
+
+@register("derived_channel", f"WITH {SIG} SELECT recording, 'net' AS channel, CAST(sample AS BIGINT) AS sample, {r6('price - 2 * tax')} AS value FROM wide")
+def _(spark, d):
+    return signals.pick(signals.add_channel(sig(spark, d), "net", {"price": 1.0, "tax": -2.0}), ["net"])
+
+
+@register("rename_and_drop", f"WITH {SIG} SELECT recording, CASE channel WHEN 'qty' THEN 'Cz' ELSE channel END AS channel, count(*) AS n FROM sig WHERE channel <> 'tax' GROUP BY ALL")
+def _(spark, d):
+    return signals.rename_channels(signals.drop_channels(sig(spark, d), ["tax"]), {"qty": "Cz"}).groupBy(*signals.KEY).agg(F.count("*").alias("n"))
+
+
+def _typed(spark, d):
+    renamed = signals.rename_channels(sig(spark, d), {"qty": "EEG Cz-REF", "price": "VEOG", "disc": "STI 014", "tax": "Pz"})
+    return channels.set_bads(channels.set_montage(channels.described(renamed)), ["Pz"])
+
+
+@register("channel_types", f"WITH {SIG}, k AS (SELECT DISTINCT recording, channel FROM sig) SELECT recording, CASE channel WHEN 'price' THEN 'eog' WHEN 'disc' THEN 'stim' ELSE 'eeg' END AS ch_type, count(*) AS n FROM k GROUP BY ALL")
+def _(spark, d):
+    return channels.type_counts(_typed(spark, d))
+
+
+@register("pick_channels", f"WITH {SIG}, k AS (SELECT DISTINCT recording FROM sig) SELECT recording, c AS channel FROM k, (VALUES ('EEG Cz-REF'), ('VEOG')) v(c)")
+def _(spark, d):
+    return channels.pick(_typed(spark, d), ["good", "eog", "pz"], exclude_bad=True).select("recording", "channel")
+
+
+@register("annotation_select", f"WITH {ANN} SELECT recording, description, count(*) AS n FROM ann WHERE regexp_matches(description, 'c.*k') OR description = 'error' GROUP BY ALL")
+def _(spark, d):
+    a = ann(spark, d)
+    both = annotations.select(a, regexp="c.*k").unionByName(annotations.select(a, ["error"]))
+    return annotations.counts(both).drop("seconds")
+
+
+# Event time
+
+@register("sessions", """WITH e AS (SELECT user_id AS recording, event_type AS description, ts FROM events), m AS (SELECT *, CASE WHEN ts < lag(ts) OVER o + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM e WINDOW o AS (PARTITION BY recording, description ORDER BY ts)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY recording, description ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT recording, description, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 21600000000 AS "end", count(*) AS n FROM i GROUP BY recording, description, island""")
+def _(spark, d):
+    rows = _read(spark, d, "events").select(F.col("user_id").alias("recording"), F.col("event_type").alias("description"), F.col("ts").cast("timestamp").alias("ts"))
+    return causal.sessions(rows, "ts", "6 hours", "1 hour").select("recording", "description", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
+@register("event_windows", f"""WITH e AS (SELECT event_type AS channel, value, epoch_us(ts) // 86400000000 AS day FROM events) SELECT channel, CAST(day * 86400000000 AS BIGINT) AS start, count(*) AS n, {r6('avg(value)')} AS mean, {r6('stddev_pop(value)')} AS std, {r6('max(value) - min(value)')} AS ptp FROM e GROUP BY ALL""")
+def _(spark, d):
+    rows = _read(spark, d, "events").select(F.lit("all").alias("recording"), F.col("event_type").alias("channel"), "value", F.col("ts").cast("timestamp").alias("ts"))
+    return causal.windowed_table(rows, "ts", "1 day", "1 hour").select("channel", F.unix_micros("start").alias("start"), "n", "mean", "std", "ptp")
+
+
+# Artifacts
+
+@register("mains")
+def _(spark, d):
+    return artifacts.mains(sig(spark, d), 120.0)
+
+
+@register("muscle_bursts")
+def _(spark, d):
+    return artifacts.muscle(signals.drop_channels(sig(spark, d), ["price"]), RATE, threshold=2.0)
+
+
+@register("blinks")
+def _(spark, d):
+    return artifacts.blinks(sig(spark, d), RATE, "qty")
+
+
+@register("artifact_annotations")
+def _(spark, d):
+    return artifacts.annotate(signals.pick(sig(spark, d), ["qty", "price"]), RATE)
+
+
+@register("resample_stim", f"""WITH {SIG}, c AS (SELECT recording, channel, sample, CAST(qty AS BIGINT) // 25 AS code FROM (SELECT *, 'qty' AS channel FROM wide)), g AS (SELECT *, sample - row_number() OVER (PARTITION BY recording, code ORDER BY sample) AS island FROM c),
+r AS (SELECT recording, code, min(sample) AS start, count(*) AS len FROM g WHERE code <> 0 GROUP BY recording, code, island), p AS (SELECT recording, code, CAST(round_even(start * 0.5, 0) AS BIGINT) AS a, greatest(CAST(round_even((start + len) * 0.5, 0) AS BIGINT), CAST(round_even(start * 0.5, 0) AS BIGINT) + 1) AS b FROM r),
+n AS (SELECT recording, CAST(ceil(count(*) * 0.5) AS BIGINT) AS n FROM wide GROUP BY ALL), t AS (SELECT recording, unnest(range(n)) AS sample FROM n)
+SELECT t.recording, 'qty' AS channel, t.sample, CAST(coalesce(max(p.code), 0) AS DOUBLE) AS value FROM t LEFT JOIN p ON p.recording = t.recording AND t.sample >= p.a AND t.sample < p.b GROUP BY ALL""")
+def _(spark, d):
+    coded = signals.pick(sig(spark, d), ["qty"]).withColumn("value", F.expr("cast(value as bigint) div 25").cast("double"))
+    return filtering.resample_stim(coded, RATE, RATE / 2)
+
+
+# Trials
+
+@register("trial_bins", f"WITH {EP} SELECT CAST(condition AS BIGINT) AS recording, 'e' AS channel, recording AS trial, condition, CAST(least(floor(sample * 5 / 64.0), 4) AS BIGINT) AS feature, {r6('avg(value)')} AS value FROM ep GROUP BY ALL")
+def _(spark, d):
+    return ranking.bin_features(_erp(spark, d))
+
+
+@register("erds_timecourse", f"""WITH {EP}, s AS (SELECT condition, sample, avg(value * value) AS p FROM ep GROUP BY ALL), w AS (SELECT *, avg(CASE WHEN sample BETWEEN 0 AND 15 THEN p END) OVER (PARTITION BY condition) AS rest, avg(p) OVER (PARTITION BY condition ORDER BY sample ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS near FROM s)
+SELECT CAST(condition AS BIGINT) AS recording, 'e' AS channel, CAST(sample AS BIGINT) AS time, {r6('100 * (near - rest) / rest')} AS percent FROM w""")
+def _(spark, d):
+    return report.erds_timecourse(_erp(spark, d), 64.0, (0, 15))
+
+
+@register("rank_by_band")
+def _(spark, d):
+    return ranking.rank_channels(sig(spark, d), RATE, "alpha")
+
+
+@register("rank_by_discriminability")
+def _(spark, d):
+    return ranking.rank_trials(_trials(spark, d).withColumn("time", F.lit(0).cast("long")), "discriminability")
+
+
+# Files, pipelines, reports
+
+@register("edf_round_trip", f"WITH {SIG} SELECT CAST(recording AS VARCHAR) AS recording, channel, count(*) AS n, true AS close FROM sig GROUP BY ALL")
+def _(spark, d):
+    s = sig(spark, d)
+    folder = shared_folder(spark, "edf")
+    files.write(s, folder, RATE).write.format("noop").mode("overwrite").save()
+    read = files.read(spark, folder).withColumnRenamed("value", "read")
+    both = s.withColumn("recording", F.col("recording").cast("string")).join(read, [*signals.KEY, "sample"])
+    span = F.greatest(F.max("value") - F.min("value"), F.lit(1.0))
+    return both.groupBy(*signals.KEY).agg(F.count("*").alias("n"), (F.max(F.abs(F.col("value") - F.col("read"))) < span * 1e-4).alias("close"))
+
+
+@register("cleaning_pipeline")
+def _(spark, d):
+    steps = [{"filter": {"low": 1.0, "high": 40.0}}, {"notch": {"frequency": "auto"}}, {"set_bads": {"channels": ["price"]}}, "reference", {"resample": {"sfreq": 50.0}}]
+    return Pipeline.from_config(steps).run(sig(spark, d), RATE).samples
+
+
+@register("recommendations")
+def _(spark, d):
+    return report.recommendations(quality.assess(sig(spark, d), RATE))
+
+
+@register("simulated_quality")
+def _(spark, d):
+    """Simulated recordings with planted faults, as many as there are nations."""
+    n = _read(spark, d, "nation").count()
+    eleven = ["Fp1", "Fp2", "F3", "F4", "C3", "Cz", "C4", "P3", "P4", "O1", "O2"]
+    made = kept(simulate(spark, n, eleven, 12.0, 128.0, {"C3": "noisy", "O2": "flat"}))
+    return quality.assess(made, 128.0, 50.0).select("recording", "channel", "score", "grade", "rank")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,13 +43,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that all executors share (spark.checkpoint.dir; in local mode a temporary one), so that
-    several results can be made from them, and made again if an executor is lost."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir; in local mode a temporary one), in use for checkpoints."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        known = spark.conf.get("spark.checkpoint.dir", None)
         if known is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's uri in the shared one."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written to the folder that all executors share, so that several results can be made from them, and made
+    again if an executor is lost."""
+    _shared(df.sparkSession)
     return df.checkpoint()
