@@ -15,14 +15,15 @@ import hashlib
 from collections.abc import Iterable
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import widened
+from .common import slices, widened
 
 #: Words (twice) and pairs of tokens kept by a worker, at most.
-MEMO = 300_000
+MEMO = 150_000
 PAIRS = 2 * MEMO
 #: Words of more characters aren't kept.
 LONGEST = 256
@@ -152,7 +153,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     All other columns pass through. ``out_col`` may not be one of them. The vocabulary (a few MB, bounded by its file) is
     broadcast; there is no shuffle.
     """
-    return _map_texts(docs, ranks, pattern, text_col, out_col, "array<int>", pa.list_(pa.int32()), lambda e, ids: ids)
+    return _map_texts(docs, ranks, pattern, text_col, out_col, "array<int>", pa.list_(pa.int32()), lambda e, ids: np.array(ids, np.int32))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
@@ -161,8 +162,9 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out
 
     def run(batches):
         token = shared.value
-        for b in batches:
-            out = [b"".join(map(token.__getitem__, x or ())) for x in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
+        for b in slices(batches):
+            lists = (x.values for x in b.column(b.schema.get_field_index(ids_col)))
+            out = [b"" if x is None else b"".join(map(token.__getitem__, x.to_pylist())) for x in lists]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, out_col])
 
     schema = widened(tokens, f"`{out_col}` binary")
@@ -193,7 +195,7 @@ def _map_texts(docs, ranks, pattern, text_col, out_col, spark_type, arrow_type,
 
     def run(batches):
         e = _encoder(key, shared.value, pattern)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.schema.get_field_index(text_col))
             out = [result(e, e.encode(t.as_py() or "")) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow_type)], names=[*b.schema.names, out_col])

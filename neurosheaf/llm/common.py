@@ -62,6 +62,13 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in parts of a few rows, so that what Python makes of a batch stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def widened(df: DataFrame, columns: str) -> T.StructType:
     """The schema of ``df`` with more columns, given as DDL."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(columns).fields])

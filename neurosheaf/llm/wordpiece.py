@@ -12,10 +12,10 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import widened
+from .common import slices, widened
 
 #: Words kept with their counts by a worker, twice.
-MEMO = 300_000
+MEMO = 150_000
 
 
 class Automaton:
@@ -108,7 +108,7 @@ def count_tokens(docs: DataFrame, vocabulary: tuple[list[bytes], list[bytes]], t
         count = _automaton(key, shared.value).count
         new: dict[bytes, int] = {}
         old: dict[bytes, int] = {}
-        for b in batches:
+        for b in slices(batches):
             words, tokens = [], []
             for text in b.column(b.schema.get_field_index(text_col)).cast(pa.large_binary()):
                 split = (text.as_py() or b"").split()
