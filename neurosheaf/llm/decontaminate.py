@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_ids
+
 WIDTH, CONTAINMENT = 5, 0.8
 #: Hash functions. Of an item wholly inside a document, one misses all candidates with probability below 1e-6.
 FUNCTIONS = 48
@@ -32,7 +34,7 @@ BLOCK_SHINGLES = 2_000_000
 #: Shingles whose minima are taken at a time, and documents' shingles gathered before matching.
 CHUNK, GATHERED = 1 << 16, 1 << 21
 #: Words kept with their hashes by a worker.
-MEMO = 1_000_000
+MEMO = 200_000
 
 _WORD = re.compile(r"\w+")
 _MULTIPLIERS = np.array([xxhash.xxh32_intdigest(b"%d" % i, 1) | 1 for i in range(FUNCTIONS)], np.uint32)
@@ -208,8 +210,8 @@ def _search(slim: DataFrame, rows: list[tuple[int, str]], width: int, least: flo
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that contain an item; rows without an id are judged by their text as well.
 
-    The few ids found (or all of them, in the worst case) come back by an anti-join. Null ids are
-    taken out only if a row with a null id matches: such rows can't be told apart.
+    The ids found come back by an anti-join, for which texts stay where they are unless very many are
+    found. Null ids are taken out only if a row with a null id matches: such rows can't be told apart.
     """
     found = contained(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__found__")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__found__")), "left_anti")
+    return by_ids(docs, found, F.col(id_col).eqNullSafe(F.col("__found__")), "left_anti")
