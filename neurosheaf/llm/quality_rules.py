@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, let
+from .common import by_ids, cut, let
 
 WHITE = r"[\x20\x09-\x0D]"
 #: Feature and cutoffs, most lenient first; a document is over a cutoff if its value is greater.
@@ -139,13 +139,18 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(top) * total)
 
 
+def good_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Ids that every label calls good; null labels say nothing."""
+    return labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, feature, cutoff) accepted for each family, from all labelled good documents that pass the base rules.
 
     ``measured`` has features() and ``stratum``; ``labels`` has the id and quality (1: good). An id with
     several labels counts once, and as good only if all say so; null labels say nothing. No labels: no rows.
     """
-    good = labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality = 1")
+    good = good_ids(labels, id_col)
     shares = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(ladder).cast("array<double>").alias("ladder"), ratios()[f].alias("value")) for f, ladder in LADDERS.items()))
     held = measured.where(~base_failed()).join(good, id_col, "left_semi").select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.explode(shares).alias("x"))
     # How many cutoffs of the ladder, strictest first, a document's value is over.
@@ -193,8 +198,9 @@ def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum: s
     """``docs`` with features(), n_lines, base_failed and kept.
 
     A null stratum is one of its own. Every row is judged by itself, so repeated rows get equal
-    verdicts. Documents of a stratum without labels are judged by the base rules alone. Texts are read
-    twice, once for the thresholds and once to be judged, and never shuffled.
+    verdicts. Documents of a stratum without labels are judged by the base rules alone. Labelled texts
+    are read twice, once for the thresholds and once to be judged; none is shuffled unless very many are labelled.
     """
-    slim = cut(measure(docs.select(id_col, stratum, text_col), text_col).drop(text_col))
+    labelled = by_ids(docs.select(id_col, stratum, text_col), good_ids(labels, id_col), id_col)
+    slim = cut(measure(labelled, text_col).drop(text_col))
     return verdicts(measure(docs, text_col), thresholds(slim, labels, stratum, id_col, alpha, delta), stratum)
