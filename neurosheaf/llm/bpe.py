@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices, widened
+from .common import resident, slices, widened
 
 #: Words (twice) and pairs of tokens kept by a worker, at most.
 MEMO = 150_000
@@ -129,17 +129,6 @@ class Encoder:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-_BUILT: dict[str, Encoder] = {}
-
-
-def _encoder(key: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """One encoder a worker process and vocabulary."""
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Encoder(ranks, pattern)
-    return _BUILT[key]
-
-
 def _key(ranks: dict[bytes, int], pattern: str) -> str:
     h = hashlib.sha256(pattern.encode())
     for t, r in ranks.items():
@@ -194,7 +183,7 @@ def _map_texts(docs, ranks, pattern, text_col, out_col, spark_type, arrow_type,
     shared, key = docs.sparkSession.sparkContext.broadcast(ranks), _key(ranks, pattern)
 
     def run(batches):
-        e = _encoder(key, shared.value, pattern)
+        e = resident(key, lambda: Encoder(shared.value, pattern))
         for b in slices(batches):
             texts = b.column(b.schema.get_field_index(text_col))
             out = [result(e, e.encode(t.as_py() or "")) for t in texts]

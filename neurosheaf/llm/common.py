@@ -62,6 +62,18 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(key: str, build):
+    """What ``build`` makes, kept in this worker process; asking for another key drops it, so that a worker that serves
+    several operators keeps one's large object only."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in parts of a few rows, so that what Python makes of a batch stays small."""
     for b in batches:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids
+from .common import by_ids, resident
 
 WIDTH, CONTAINMENT = 5, 0.8
 #: Hash functions. Of an item wholly inside a document, one misses all candidates with probability below 1e-6.
@@ -49,9 +49,6 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
-
-
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters, digits and underscores."""
     return _WORD.findall((text or "").lower())
@@ -62,7 +59,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(resident("word hashes", _Hashes).__getitem__, words), np.uint64, len(words))
     n = min(width, len(words))
     total = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):

@@ -12,7 +12,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, widened
+from .common import resident, slices, widened
 
 #: Words kept with their counts by a worker, twice.
 MEMO = 150_000
@@ -74,16 +74,6 @@ class Automaton:
         return n
 
 
-_BUILT: dict[str, Automaton] = {}
-
-
-def _automaton(key: str, vocabulary: tuple[list[bytes], list[bytes]]) -> Automaton:
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Automaton(*vocabulary)
-    return _BUILT[key]
-
-
 def from_byte_bpe(ranks: dict[bytes, int]) -> tuple[list[bytes], list[bytes]]:
     """First and further pieces of a byte-level vocabulary: tokens after a space, and those without one.
 
@@ -105,7 +95,7 @@ def count_tokens(docs: DataFrame, vocabulary: tuple[list[bytes], list[bytes]], t
     docs = docs.select(*(c for c in docs.columns if c.lower() not in {"n_words", out_col.lower()}))
 
     def run(batches):
-        count = _automaton(key, shared.value).count
+        count = resident(key, lambda: Automaton(*shared.value)).count
         new: dict[bytes, int] = {}
         old: dict[bytes, int] = {}
         for b in slices(batches):
