@@ -23,6 +23,22 @@ def fixed_length_events(lengths: DataFrame, sfreq: float, duration: float, step:
     return lengths.select("recording", F.explode(starts).alias("sample"), F.lit(code).cast("long").alias("code"))
 
 
+def find_events(annotations: DataFrame, stim: DataFrame, sfreq: float, codes: DataFrame | None = None) -> DataFrame:
+    """(recording, sample, previous, code): from annotations that don't mark bad data where a recording has any, else from its trigger line."""
+    from .annotations import drop_bad, event_codes, to_events
+    from .windowing import stim_events
+
+    told = drop_bad(annotations)
+    own = to_events(told, event_codes(told) if codes is None else codes, sfreq).drop("description")
+    rest = stim_events(stim).join(own.select("recording").distinct(), "recording", "left_anti").drop("channel")
+    return own.unionByName(rest.select(own.columns))
+
+
+def from_arrays(table: DataFrame, first: int = 0) -> DataFrame:
+    """Epochs from rows (recording, epoch, condition, channel, values); the first value has time ``first``."""
+    return table.select("recording", "epoch", "condition", "channel", F.posexplode("values").alias("time", "value")).withColumn("time", F.col("time") + first)
+
+
 def place(events: DataFrame, lengths: DataFrame, tmin: float, tmax: float, sfreq: float, spans: DataFrame | None = None, size: int = 4096) -> DataFrame:
     """Events with epoch (numbered by sample), start, end (exclusive) and dropped: OUT_OF_BOUNDS before BAD_ANNOTATION, else null."""
     a, b = F.rint(F.lit(float(tmin)) * float(sfreq)).cast("long"), F.rint(F.lit(float(tmax)) * float(sfreq)).cast("long") + 1

@@ -100,3 +100,21 @@ def sample_entropy(samples: DataFrame, m: int = 2, r: float = 0.2, first: int =
     kind = dict(samples.dtypes)
     found = samples.where(F.col("sample") < first).groupBy(*KEY).applyInPandas(run, f"recording {kind['recording']}, channel string, sample_entropy double")
     return found.withColumn("sample_entropy", F.when(~F.isnan("sample_entropy"), F.col("sample_entropy")))
+
+
+def channel_features(samples: DataFrame, sfreq: float, seconds: float = 2.0) -> DataFrame:
+    """One row a channel: features of the time course and of its spectrum, powers of bands in wide form and their ratios."""
+    from . import spectral
+    from .statistics import moments
+
+    psd = spectral.welch(samples, sfreq, seconds)
+    bands = {k: v for k, v in spectral.BANDS.items() if v[0] < sfreq / 2}
+    power = spectral.band_power(psd, bands).groupBy(*KEY).pivot("band", list(bands)).agg(F.first("power").alias("power"), F.first("relative").alias("relative"))
+    ratio = lambda a, b: F.when(F.col(f"{b}_power") > 0, F.col(f"{a}_power") / F.col(f"{b}_power"))
+    if {"theta", "alpha", "beta"} <= set(bands):
+        power = power.withColumns({"theta_beta": ratio("theta", "beta"), "alpha_theta": ratio("alpha", "theta")})
+    tables = [moments(samples), permutation_entropy(samples), katz_fd(samples), higuchi_fd(samples), power, spectral.spectral_edge(psd), spectral.spectral_entropy(psd), spectral.peak_frequency(psd), spectral.fit_aperiodic(psd)]
+    out = time_features(samples, sfreq)
+    for t in tables:
+        out = out.join(t, KEY, "left")
+    return out

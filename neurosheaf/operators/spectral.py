@@ -123,6 +123,35 @@ def aperiodic(psd: DataFrame, low: float = 2.0, high: float = 40.0, by: list[str
     return kept.groupBy(*by).agg((-F.regr_slope("y", "x")).alias("exponent"), F.regr_intercept("y", "x").alias("offset"))
 
 
+def fit_aperiodic(psd: DataFrame, low: float = 1.0, high: float = 45.0, rounds: int = 3, by: list[str] = KEY) -> DataFrame:
+    """Exponent and offset of the 1/f background by a line that is fitted again without the bins above it: those with a residual
+    over 0.02 plus the 60th percentile of the residuals (if that is above zero) go, while four bins are left."""
+    logs = psd.where(F.col("freq").between(low, high) & (F.col("power") > 0)).select(*by, F.log10("freq").alias("x"), F.log10("power").alias("y"))
+    group = W.partitionBy(*by)
+    table = logs.withColumn("u", F.lit(True))
+    for _ in range(rounds):
+        x, y = F.when(F.col("u"), F.col("x")), F.when(F.col("u"), F.col("y"))
+        slope = F.covar_pop(x, y).over(group) / F.nullif(F.var_pop(x).over(group), F.lit(0.0))
+        table = table.withColumn("s", slope).withColumn("i", F.avg(y).over(group) - F.col("s") * F.avg(x).over(group)).withColumn("r", F.col("y") - F.col("s") * F.col("x") - F.col("i"))
+        limit = F.greatest(F.percentile(F.when(F.col("u"), F.col("r")), 0.6).over(group), F.lit(0.0)) + 0.02
+        table = table.withColumn("k", F.col("u") & (F.col("r") <= limit)).withColumn("u", F.when(F.count(F.when(F.col("k"), 1)).over(group) >= 4, F.col("k")).otherwise(F.col("u")))
+    return table.where("u").groupBy(*by).agg((-F.regr_slope("y", "x")).alias("exponent"), F.regr_intercept("y", "x").alias("offset"))
+
+
+def welch_without_bad(samples: DataFrame, spans: DataFrame, sfreq: float, seconds: float, overlap: float = 0.5) -> DataFrame:
+    """Welch's estimate over the stretches between bad spans (recording, start, end), averaged by their lengths; stretches
+    shorter than a window are left out."""
+    from .annotations import without_bad
+    from .signals import in_order
+
+    good = without_bad(samples, spans).withColumn("_stretch", F.col("sample") - F.row_number().over(in_order()))
+    first = F.min("sample").over(W.partitionBy(*KEY, "_stretch"))
+    apart = good.select("recording", F.concat_ws("\x00", F.col("channel"), first.cast("string")).alias("channel"), (F.col("sample") - first).alias("sample"), "value")
+    lengths = apart.groupBy(*KEY).agg(F.count("*").alias("n"))
+    each = welch(apart, sfreq, seconds, overlap).join(lengths, KEY).withColumn("channel", F.split("channel", "\x00")[0])
+    return each.groupBy(*KEY, "freq").agg((F.sum(F.col("power") * F.col("n")) / F.sum("n")).alias("power"))
+
+
 def mean_between(low: float, high: float) -> Column:
     return F.avg(F.when(F.col("freq").between(low, high), F.col("power")))
 
