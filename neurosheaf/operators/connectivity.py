@@ -2,37 +2,92 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import filters
 from .filtering import per_channel
-from .signals import KEY, segments
+from .signals import segments
 
 PAIR = ["recording", "a", "b"]
 
 
-def paired(rows: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
-    """Rows of two channels at the same place, a < b. Channels of one recording are few; rows are matched on all of ``on``."""
-    left = rows.select(*on, F.col("channel").alias("a"), *(F.col(c).alias(f"{c}_a") for c in columns))
-    right = rows.select(*on, F.col("channel").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns))
-    return left.join(right, on).where("a < b")
+def _matrix(table: pa.Table, column: str = "value") -> tuple[list[str], np.ndarray]:
+    """Channels in order of name, and a row of values for each at the samples of a block; NaN where there is none."""
+    coded = table["channel"].combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    order = np.argsort(np.array(names, object))
+    place = np.empty(len(names), int)
+    place[order] = np.arange(len(names))
+    _, at = np.unique(table["sample"].to_numpy(), return_inverse=True)
+    x = np.full((len(names), at.max() + 1), np.nan)
+    x[place[coded.indices.to_numpy()], at] = table[column].to_numpy()
+    return [names[i] for i in order], x
+
+
+def in_blocks(samples: DataFrame, size: int, kernel: Callable, columns: str, block: str = "block") -> DataFrame:
+    """(recording, block, a, b, columns) for each pair of channels in blocks of ``size`` samples.
+
+    A block of a recording with all its channels is one group; the kernel takes its matrix (channels, samples) and the
+    rows a and b of the pairs, and gives arrays. So samples are shuffled once, and what is made is a row a pair and
+    block, where a join of channels with channels would make one a pair and sample.
+    """
+    kind = dict(samples.dtypes)["recording"]
+
+    def run(key, table):
+        names, x = _matrix(table)
+        a, b = np.triu_indices(len(names), 1)
+        out = {block: pa.array(np.full(len(a), key[1].as_py(), np.int64)), "a": pa.array([names[i] for i in a], pa.string()), "b": pa.array([names[i] for i in b], pa.string())}
+        made = kernel(x, a, b) if len(a) else {c.split()[0]: np.zeros(0) for c in columns.split(", ")}
+        return pa.table({"recording": pa.array([key[0].as_py()] * len(a), table.schema.field("recording").type), **out, **{k: pa.array(np.asarray(v, float)) for k, v in made.items()}})
+
+    placed = samples.select("recording", F.floor(F.col("sample") / size).cast("long").alias(block), "channel", "sample", F.col("value").cast("double").alias("value"))
+    return placed.groupBy("recording", block).applyInArrow(run, f"recording {kind}, `{block}` long, a string, b string, {columns}")
+
+
+def _moments(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts, means and central products of pairs over the samples that both have."""
+    there = np.isfinite(x)
+    centre = np.array([row[m].mean() if m.any() else 0.0 for row, m in zip(x, there, strict=True)])
+    x, m = np.where(there, x - centre[:, None], 0.0), there.astype(float)
+    n, sums, squares, products = m @ m.T, x @ m.T, (x * x) @ m.T, x @ x.T
+    count = np.maximum(n, 1)
+    ma, mb = sums[a, b] / count[a, b], sums[b, a] / count[a, b]
+    own = {"n": n[a, b], "ma": centre[a] + ma, "mb": centre[b] + mb}
+    return own | {"aa": squares[a, b] - n[a, b] * ma * ma, "bb": squares[b, a] - n[a, b] * mb * mb, "ab": products[a, b] - n[a, b] * ma * mb}
+
+
+_MOMENTS = "n double, ma double, mb double, aa double, bb double, ab double"
 
 
-def correlation(samples: DataFrame) -> DataFrame:
+def _r(aa: Column, bb: Column, ab: Column) -> Column:
+    """Pearson's r; without variance, up to rounding: 0."""
+    return F.when((aa > 0) & (bb > 0), ab / F.sqrt(aa * bb)).otherwise(0.0)
+
+
+def correlation(samples: DataFrame, size: int = 4096) -> DataFrame:
     """Pearson's correlation over all samples that both channels have; without variance: 0."""
-    return paired(samples, ["recording", "sample"], ["value"]).groupBy(*PAIR).agg(F.coalesce(F.nanvl(F.corr("value_a", "value_b"), F.lit(0.0)), F.lit(0.0)).alias("value"))
+    blocks = in_blocks(samples, size, _moments, _MOMENTS).where("n > 0").groupBy(*PAIR).agg(F.collect_list(F.struct("n", "ma", "mb", "aa", "bb", "ab")).alias("s"))
+
+    def merged(s, x):  # moments of two sets put together
+        n, da, db = s["n"] + x["n"], x["ma"] - s["ma"], x["mb"] - s["mb"]
+        w = s["n"] * x["n"] / n
+        return F.struct(n.alias("n"), (s["ma"] + da * x["n"] / n).alias("ma"), (s["mb"] + db * x["n"] / n).alias("mb"), (s["aa"] + x["aa"] + w * da * da).alias("aa"), (s["bb"] + x["bb"] + w * db * db).alias("bb"), (s["ab"] + x["ab"] + w * da * db).alias("ab"))
+
+    total = blocks.withColumn("t", F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.col("s")[0], merged))
+    return total.select(*PAIR, _r(F.col("t.aa"), F.col("t.bb"), F.col("t.ab")).alias("value"))
 
 
 def window_correlations(samples: DataFrame, length: int) -> DataFrame:
     """(recording, window, a, b, value): correlations in full tumbling windows; without variance: 0."""
-    window = F.floor(F.col("sample") / length).cast("long")
-    pairs = paired(samples, ["recording", "sample"], ["value"]).groupBy("recording", window.alias("window"), "a", "b")
-    found = pairs.agg(F.corr("value_a", "value_b").alias("r"), F.count("*").alias("n")).where(F.col("n") == length)
-    return found.select("recording", "window", "a", "b", F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)).alias("value"))
+    found = in_blocks(samples, length, _moments, _MOMENTS, "window").where(F.col("n") == length)
+    return found.select("recording", "window", "a", "b", _r(F.col("aa"), F.col("bb"), F.col("ab")).alias("value"))
 
 
 def both_ways(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -65,38 +120,68 @@ def node_strength(pairs: DataFrame) -> DataFrame:
     return both_ways(pairs).groupBy("recording", "channel").agg(F.avg(F.abs("value")).alias("node_strength"))
 
 
-def _spectra(samples: DataFrame, length: int, step: int) -> DataFrame:
-    """(recording, channel, segment, bin, re, im) of Hann-windowed segments."""
+#: Segments of a recording that are one group when cross-spectra are summed.
+SEGMENTS = 64
+
+
+def _spectra(samples: DataFrame, length: int, step: int, bins: np.ndarray) -> DataFrame:
+    """(recording, channel, segment, z): real and imaginary parts of the wanted bins of Hann-windowed segments, one after the other."""
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
 
     def run(frames):
         for f in frames:
             if len(f):
                 x = np.stack(f["values"].to_numpy())
-                z = np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window, axis=1)
-                yield pd.DataFrame({"recording": f.recording, "channel": f.channel, "segment": f.segment, "re": list(z.real), "im": list(z.imag)})
-
-    cut = segments(samples, length, step)
-    kind = dict(samples.dtypes)
-    arrays = cut.mapInPandas(run, f"recording {kind['recording']}, channel string, segment long, re array<double>, im array<double>")
-    return arrays.select(*KEY, "segment", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z")).select(*KEY, "segment", "bin", "z.re", "z.im")
+                z = np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window, axis=1)[:, bins]
+                yield pd.DataFrame({"recording": f.recording, "channel": f.channel, "segment": f.segment, "z": list(np.concatenate([z.real, z.imag], axis=1))})
+
+    kind = dict(samples.dtypes)["recording"]
+    return segments(samples, length, step).mapInPandas(run, f"recording {kind}, channel string, segment long, z array<double>")
+
+
+def _cross(rows: pd.DataFrame, n: int) -> pd.DataFrame:
+    """Sums over segments of what the measures need, for each pair and bin."""
+    names = sorted(rows.channel.unique())
+    at, seg = {c: i for i, c in enumerate(names)}, {k: i for i, k in enumerate(sorted(rows.segment.unique()))}
+    z = np.zeros((len(names), len(seg), n), complex)
+    there = np.zeros((len(names), len(seg), 1))
+    parts = np.stack(rows.z.to_numpy())
+    ci, si = rows.channel.map(at).to_numpy(), rows.segment.map(seg).to_numpy()
+    z[ci, si], there[ci, si] = parts[:, :n] + 1j * parts[:, n:], 1.0
+    out = []
+    for i in range(len(names)):  # one channel with all after it
+        both = there[i] * there[i + 1 :]
+        s = z[i] * z[i + 1 :].conj() * both
+        power = (np.abs(z[i]) ** 2 * both).sum(axis=1), (np.abs(z[i + 1 :]) ** 2 * both).sum(axis=1)
+        sums = [s.real.sum(axis=1), s.imag.sum(axis=1), *power, np.sign(s.imag).sum(axis=1), np.abs(s.imag).sum(axis=1), np.broadcast_to(both.sum(axis=1), s.shape[::2])]
+        for j, name in enumerate(names[i + 1 :]):
+            out.append(pd.DataFrame({"a": names[i], "b": name, "bin": np.arange(n), **{k: v[j] for k, v in zip(("re", "im", "aa", "bb", "sign", "size", "n"), sums, strict=True)}}))
+    return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("a", "b", "bin", "re", "im", "aa", "bb", "sign", "size", "n")})
 
 
 def spectral(samples: DataFrame, sfreq: float, low: float, high: float, method: str = "coherence", seconds: float = 2.0) -> DataFrame:
-    """coherence, imcoh, pli or wpli: from cross-spectra summed over half-overlapping segments, then averaged over the band's bins."""
+    """coherence, imcoh, pli or wpli: from cross-spectra summed over half-overlapping segments, then averaged over the band's bins.
+
+    Only the band's bins leave a segment; cross-spectra are summed over many segments before they are shuffled.
+    """
     length = max(8, round(seconds * sfreq))
-    bins = _spectra(samples, length, round(length / 2)).where((F.col("bin") * F.lit(sfreq / length)).between(low, high))
-    re = F.col("re_a") * F.col("re_b") + F.col("im_a") * F.col("im_b")
-    im = F.col("im_a") * F.col("re_b") - F.col("re_a") * F.col("im_b")
-    own = lambda s: F.col(f"re_{s}") * F.col(f"re_{s}") + F.col(f"im_{s}") * F.col(f"im_{s}")
-    sums = paired(bins, ["recording", "segment", "bin"], ["re", "im"]).groupBy(*PAIR, "bin").agg(
-        F.sum(re).alias("re"), F.sum(im).alias("im"), F.sum(own("a")).alias("aa"), F.sum(own("b")).alias("bb"), F.avg(F.signum(im)).alias("sign"), F.sum(F.abs(im)).alias("size")
-    )
+    freqs = np.arange(length // 2 + 1) * sfreq / length
+    bins = np.flatnonzero((freqs >= low) & (freqs <= high))
+    kind = dict(samples.dtypes)["recording"]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        made = _cross(rows, len(bins))
+        made.insert(0, "recording", rows.recording.iloc[0])
+        return made
+
+    grouped = _spectra(samples, length, round(length / 2), bins).withColumn("chunk", F.floor(F.col("segment") / SEGMENTS))
+    parts = grouped.groupBy("recording", "chunk").applyInPandas(run, f"recording {kind}, a string, b string, bin long, re double, im double, aa double, bb double, sign double, size double, n double")
+    sums = parts.groupBy(*PAIR, "bin").agg(*(F.sum(c).alias(c) for c in ("re", "im", "aa", "bb", "sign", "size", "n")))
     power = F.col("aa") * F.col("bb")
     value = {
         "coherence": F.when(power > 0, (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / power),
         "imcoh": F.when(power > 0, F.abs(F.col("im") / F.sqrt(power))),
-        "pli": F.abs("sign"),
+        "pli": F.when(F.col("n") > 0, F.abs(F.col("sign") / F.col("n"))),
         "wpli": F.when(F.col("size") > 0, F.abs("im") / F.col("size")),
     }[method]
     return sums.groupBy(*PAIR).agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("value"))
@@ -107,11 +192,16 @@ def _phases(samples: DataFrame, low: float, high: float, sfreq: float) -> DataFr
     return per_channel(samples, lambda x: np.angle(filters.analytic(filters.zero_phase(sos, x))))
 
 
-def phase_locking(samples: DataFrame, sfreq: float, low: float, high: float) -> DataFrame:
+def _locking(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    unit = np.where(np.isfinite(x), np.exp(1j * np.nan_to_num(x)), 0)
+    sums, there = unit @ unit.conj().T, np.isfinite(x).astype(float)
+    return {"re": sums.real[a, b], "im": sums.imag[a, b], "n": (there @ there.T)[a, b]}
+
+
+def phase_locking(samples: DataFrame, sfreq: float, low: float, high: float, size: int = 4096) -> DataFrame:
     """Length of the mean unit vector of phase differences in a band."""
-    pairs = paired(_phases(samples, low, high, sfreq), ["recording", "sample"], ["value"])
-    d = F.col("value_a") - F.col("value_b")
-    return pairs.groupBy(*PAIR).agg(F.hypot(F.avg(F.cos(d)), F.avg(F.sin(d))).alias("value"))
+    parts = in_blocks(_phases(samples, low, high, sfreq), size, _locking, "re double, im double, n double")
+    return parts.groupBy(*PAIR).agg((F.hypot(F.sum("re"), F.sum("im")) / F.sum("n")).alias("value"))
 
 
 def envelope_correlation(samples: DataFrame, sfreq: float, low: float, high: float) -> DataFrame:

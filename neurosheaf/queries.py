@@ -578,6 +578,22 @@ def _(spark, d):
     return ranking.welch_t(_trials(spark, d), "0", "1")
 
 
+@register("anova", f"""WITH {_TRIALS}, c AS (SELECT channel, condition, {_N} AS n, avg(value) AS m, var_pop(value) AS v FROM tr GROUP BY ALL), g AS (SELECT *, sum(n * m) OVER (PARTITION BY channel) / sum(n) OVER (PARTITION BY channel) AS mu FROM c),
+s AS (SELECT channel, sum(n * (m - mu) * (m - mu)) AS b, sum(n * v) AS w, CAST(count(*) - 1 AS DOUBLE) AS df1, sum(n) - count(*) AS df2 FROM g GROUP BY ALL) SELECT CAST(0 AS BIGINT) AS recording, channel, {r6('b / df1 / (w / df2)')} AS f, df1, df2 FROM s""")
+def _(spark, d):
+    return ranking.anova(_trials(spark, d))
+
+
+@register("trial_tests")
+def _(spark, d):
+    return ranking.with_p(ranking.welch_t(_trials(spark, d), "0", "1"))
+
+
+@register("channel_features")
+def _(spark, d):
+    return features.channel_features(sig(spark, d), RATE)
+
+
 @register("erd_ers", f"WITH {EP}, s AS (SELECT condition, sample, avg(value * value) AS p FROM ep GROUP BY ALL) SELECT CAST(condition AS BIGINT) AS recording, 'e' AS channel, {r6('100 * (avg(p) FILTER (sample BETWEEN 32 AND 63) / avg(p) FILTER (sample BETWEEN 0 AND 15) - 1)')} AS erd_percent FROM s GROUP BY ALL")
 def _(spark, d):
     return ranking.erd_ers(_erp(spark, d), (32, 63), (0, 15))
