@@ -142,7 +142,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     All other columns pass through. ``out_col`` may not be one of them. The vocabulary (a few MB, bounded by its file) is
     broadcast; there is no shuffle.
     """
-    return _map_texts(docs, ranks, pattern, text_col, out_col, "array<int>", pa.list_(pa.int32()), lambda e, ids: np.array(ids, np.int32))
+    return _map_texts(docs, ranks, pattern, text_col, out_col, "array<int>", pa.list_(pa.int32()), lambda e, text: np.array(e.encode(text), np.int32))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
@@ -160,10 +160,23 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out
     return tokens.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out_col: str = "ids", whole_col: str = "round_trip") -> DataFrame:
+    """encode(), and ``whole_col``: whether the bytes decoded from the ids are the text's. One pass over the texts, by one worker a task."""
+    kind = pa.struct([(out_col, pa.list_(pa.int32())), (whole_col, pa.bool_())])
+
+    def both(e: Encoder, text: str):
+        ids = e.encode(text)
+        return {out_col: np.array(ids, np.int32), whole_col: e.decode(ids) == text.encode()}
+
+    found = _map_texts(docs, ranks, pattern, text_col, "__both__", f"struct<`{out_col}`:array<int>,`{whole_col}`:boolean>", kind, both)
+    return found.select(*docs.columns, "__both__.*")
+
+
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
     """Adds n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 (of the bytes decoded from the ids)."""
 
-    def digest(e: Encoder, ids: list[int]):
+    def digest(e: Encoder, text: str):
+        ids = e.encode(text)
         return {
             "n_tokens": len(ids),
             "ids_sha256": hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
@@ -186,7 +199,7 @@ def _map_texts(docs, ranks, pattern, text_col, out_col, spark_type, arrow_type,
         e = resident(key, lambda: Encoder(shared.value, pattern))
         for b in slices(batches):
             texts = b.column(b.schema.get_field_index(text_col))
-            out = [result(e, e.encode(t.as_py() or "")) for t in texts]
+            out = [result(e, t.as_py() or "") for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow_type)], names=[*b.schema.names, out_col])
 
     schema = widened(docs, f"`{out_col}` {spark_type}")

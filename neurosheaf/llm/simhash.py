@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt
+from .common import cut, dealt, slices
 from .components import connected_components
 
 BITS = 64
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long) for every row. A null text or one without words has fingerprint 0."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).cast(pa.large_binary())
             fps = [majority_bits(shingle_hashes(t.as_py(), width, seed)) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])

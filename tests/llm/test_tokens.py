@@ -42,6 +42,8 @@ def test_encode_decode_and_digests(spark):
     docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(TEXTS)] + [(None, "a", "x", "y", 1)], SCHEMA)
     got = bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS).collect()
     assert all(bytes(r.bytes) == (r.text or "").encode() for r in got) and len(got) == len(TEXTS) + 1
+    once = bpe.round_trip(docs, RANKS, P.PATTERN).collect()
+    assert all(r.round_trip for r in once) and {r.doc_id: r.ids for r in once} == {r.doc_id: r.ids for r in got}
     table = {r.doc_id: r for r in bpe.digests(docs, RANKS, P.PATTERN).collect()}
     assert table[1].n_tokens == table[2].n_tokens == 0 and table[1].ids_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
     assert bpe.digests(docs.limit(0), RANKS, P.PATTERN).count() == 0
