@@ -18,8 +18,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold."""
     ship(spark)
-    judged = kneser_ney.classify(docs, read(spark, sf_dir, "labels"))
-    return judged.where("kept").select(docs.columns)
+    return kneser_ney.keep(docs, read(spark, sf_dir, "labels")).select(docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

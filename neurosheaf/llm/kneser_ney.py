@@ -1,10 +1,11 @@
-"""Quality by the perplexity of an interpolated modified Kneser-Ney model of character classes.
+"""Quality by the perplexity of an interpolated modified Kneser-Ney model of words.
 
-Characters are put into 48 classes, so that there are at most 48**4 n-grams whatever the corpus: tasks
-count theirs in one array each, and the counts of all trusted text are summed by n-gram. Discounts,
-context totals and continuation counts come from grouping those, and the probabilities of each order
-from joins with the order below, sharded by n-gram. The finished table has a proven bound (48**4
-values, 21 MB) and goes to every task, which scores whole texts; texts aren't shuffled for that. Documents above a quantile of their language's trusted perplexities are rejected.
+The model is ``word_model``: pairs of words with an unbounded vocabulary, whose table is sharded by hash and
+joined with the distinct words and pairs of each document. Documents above a quantile of their language's
+trusted perplexities are rejected.
+
+fit(), Model and perplexities() are a model of 4-grams of 48 character classes with a bounded table, which
+the query and the pipeline don't use.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import word_model
 from .common import by_ids, cut, slices, widened
 
 ORDER, CLASSES = 4, 48
@@ -188,15 +190,16 @@ def language_thresholds(scored: DataFrame, trusted: DataFrame, lang_col: str = "
     return reached.where("reached").groupBy("language").agg((F.min("bar") * STEP).alias("threshold"))
 
 
-def _scored(docs: DataFrame, labels: DataFrame, text_col: str, lang_col: str, id_col: str, share: float) -> tuple[DataFrame, DataFrame, Model]:
-    """Scores of all documents without their texts, the thresholds, and the model."""
+def _scored(docs: DataFrame, labels: DataFrame, text_col: str, lang_col: str, id_col: str, share: float) -> tuple[DataFrame, DataFrame]:
+    """Scores of all documents without their texts, with the text_key, and the thresholds."""
     trusted = cut(trusted_ids(labels, id_col))
     # One half of the trusted text trains the model, the other sets the thresholds: scores of texts that
     # the model has seen would be too low a bar for those that it hasn't.
     half = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(2))
-    model = Model(*fit(by_ids(docs.select(id_col, text_col), trusted.where(half == 0), id_col).select(text_col)))
-    slim = cut(perplexities(docs.select(id_col, lang_col, text_col), model, text_col).drop(text_col))
-    return slim, cut(language_thresholds(slim, trusted.where(half == 1), lang_col, id_col, share)), model
+    model = word_model.Model(by_ids(docs.select(id_col, text_col), trusted.where(half == 0), id_col).select(text_col), _discounts)
+    scores = cut(word_model.text_scores(docs.select(text_col), model, text_col))
+    slim = cut(docs.select(id_col, lang_col, word_model.text_key(text_col).alias("text_key")).join(scores, "text_key", "left"))
+    return slim, cut(language_thresholds(slim, trusted.where(half == 1), lang_col, id_col, share))
 
 
 def _judged(scored: DataFrame, limits: DataFrame, lang_col: str, languages: int) -> DataFrame:
@@ -210,8 +213,15 @@ def _judged(scored: DataFrame, limits: DataFrame, lang_col: str, languages: int)
 
 def classify_ids(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", share: float = KEPT_SHARE, languages: int = 10_000) -> DataFrame:
     """classify() without the texts and other columns: each text is scored once."""
-    slim, limits, _ = _scored(docs, labels, text_col, lang_col, id_col, share)
-    return _judged(slim, limits, lang_col, languages)
+    slim, limits = _scored(docs, labels, text_col, lang_col, id_col, share)
+    return _judged(slim, limits, lang_col, languages).drop("text_key")
+
+
+def keep(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", share: float = KEPT_SHARE, languages: int = 10_000) -> DataFrame:
+    """The rows of ``docs`` that classify() keeps. What is rejected comes back by text and language, so texts stay where they are unless very many are."""
+    slim, limits = _scored(docs, labels, text_col, lang_col, id_col, share)
+    gone = _judged(slim, limits, lang_col, languages).where("not kept").select(F.col("text_key").alias("__text__"), F.col(lang_col).alias("__lang__")).distinct()
+    return by_ids(docs, gone, (word_model.text_key(text_col) == F.col("__text__")) & F.col(lang_col).eqNullSafe(F.col("__lang__")), "left_anti")
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", share: float = KEPT_SHARE, languages: int = 10_000) -> DataFrame:
@@ -219,9 +229,11 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_co
 
     Kept as well: null and empty texts, which have no perplexity, and texts of a language without
     trusted documents; a null language is one of its own. Without trusted text everything is kept.
-    Thresholds go to all tasks if there are at most ``languages`` of them, else by a join. Texts are
-    scored twice, once for the thresholds and once to be judged, and never shuffled.
+    Thresholds go to all tasks if there are at most ``languages`` of them, else by a join. Scores come
+    back by a join on the text's hash.
     """
-    _, limits, model = _scored(docs, labels, text_col, lang_col, id_col, share)
+    slim, limits = _scored(docs, labels, text_col, lang_col, id_col, share)
+    scores = cut(slim.where("log_perplexity is not null").select("text_key", "log_perplexity").dropDuplicates(["text_key"]))
     plain = [c for c in docs.columns if c.lower() not in {"log_perplexity", "threshold", "kept"}]
-    return _judged(perplexities(docs.select(*plain), model, text_col), limits, lang_col, languages)
+    scored = docs.select(*plain, word_model.text_key(text_col).alias("text_key")).join(scores, "text_key", "left").select(*plain, "log_perplexity")
+    return _judged(scored, limits, lang_col, languages)
