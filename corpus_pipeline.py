@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurosheaf.llm import bpe, decontaminate, kneser_ney, quality_rules, simhash
+from neurosheaf.llm import bpe, decontaminate, jaccard, kneser_ney, quality_rules
 from neurosheaf.llm.common import read, shared_dir
 from neurosheaf.session import ship
 
@@ -28,9 +28,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each group of near copies."""
+    """One document, the one with the least id, of each group of near copies: five-word Jaccard similarity of 0.8 or more."""
     ship(spark)
-    return simhash.deduplicate(docs)
+    return jaccard.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,135 @@
+"""Near copies by exact Jaccard similarity of word shingles, with MinHash bands as the pair filter.
+
+Texts with equal sets of shingles are one class. Classes that share a band of minima are candidates; a
+candidate is linked if the Jaccard similarity of the two whole sets is at least the bar. 24 bands of 4 minima
+miss a pair of similarity 0.8 with probability 4e-6, and closer pairs less often.
+
+A bucket of many classes isn't paired up at once: all its classes are held against two of them a round, one
+from either end of the groups found so far, until what hasn't been held against all is one group. What
+is left apart after a few rounds is paired up, so no pair of a bucket that could join two groups is left out.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import by_ids, cut, dealt, slices
+from .components import connected_components
+from .simhash import shingle_hashes
+
+WIDTH, LEAST = 5, 0.8
+BANDS, ROWS = 24, 4
+#: Buckets of more classes than this are linked by rounds, so many of them.
+BUCKET_MAX, CROWDED_ROUNDS = 64, 6
+#: Shingles whose minima are taken at a time.
+CHUNK = 1 << 14
+
+_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"%d" % i, 3) | 1 for i in range(BANDS * ROWS)], np.uint64)
+
+
+def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, width, 42), np.uint64))
+
+
+def band_hashes(own: np.ndarray) -> np.ndarray:
+    """A hash of the minima of each band; of an empty set none."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    minima = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), CHUNK):
+        part = own[at : at + CHUNK]
+        for f, m in enumerate(_MULTIPLIERS):
+            mixed = (part ^ (m >> np.uint64(7))) * m
+            minima[f] = min(minima[f], (mixed ^ (mixed >> np.uint64(32))).min())
+    return np.array([xxhash.xxh64_intdigest(minima[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
+
+
+def _signatures(docs: DataFrame, width: int, whole: bool) -> DataFrame:
+    """(id, set_key, hashes) of ``docs`` (id, text): of the bands, or the whole sets."""
+
+    def run(batches):
+        for b in slices(batches):
+            sets = [shingle_set(t.as_py(), width) for t in b.column(1).cast(pa.large_binary())]
+            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), 5) for s in sets], np.uint64).view(np.int64)
+            found = [s.view(np.int64) if whole else band_hashes(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array(found, pa.list_(pa.int64()))], names=["id", "set_key", "hashes"])
+
+    return docs.mapInArrow(run, "id long, set_key long, hashes array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) whose sets have at least the similarity ``least``."""
+    one = sets.select(F.col("set_key").alias("u"), F.col("hashes").alias("x"))
+    two = sets.select(F.col("set_key").alias("v"), F.col("hashes").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    # Sets too unlike in size aren't joined any further.
+    sized = F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y"))
+    both = pairs.join(one, "u").join(two, "v").where(sized)
+    return both.where(shared / (F.size("x") + F.size("y") - shared) >= least).select("u", "v")
+
+
+def _crowded_links(members: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``links`` and those among ``members`` (bucket, set_key) of crowded buckets."""
+    served = None
+    for turn in range(CROWDED_ROUNDS + 1):
+        groups = connected_components(links).withColumnsRenamed({"node": "set_key", "component": "c"})
+        placed = members.join(groups, "set_key", "left").select("bucket", "set_key", F.coalesce("c", "set_key").alias("c"))
+        open_ = placed if served is None else placed.join(served, ["bucket", "set_key"], "left_anti")
+        open_ = cut(open_)
+        ends = open_.groupBy("bucket").agg(F.min(F.struct("c", "set_key")).alias("a"), F.max(F.struct("c", "set_key")).alias("b")).where("a.c <> b.c")
+        ends = cut(ends)
+        if ends.isEmpty():
+            break
+        if turn < CROWDED_ROUNDS:
+            leaders = cut(ends.select("bucket", F.explode(F.array("a", "b")).alias("x")).select("bucket", F.col("x.set_key").alias("set_key"), F.col("x.c").alias("lc")))
+            pairs = placed.join(dealt(leaders.withColumnRenamed("set_key", "u")), "bucket").where("c <> lc").select("u", F.col("set_key").alias("v"))
+            now = leaders.select("bucket", "set_key")
+            served = now if served is None else served.union(now)
+        else:
+            rest = open_.join(ends.select("bucket"), "bucket", "left_semi")
+            pairs = rest.alias("p").join(rest.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.c") > F.col("q.c"))).select(F.col("p.set_key").alias("u"), F.col("q.set_key").alias("v"))
+        links = cut(links.union(_verified(pairs.distinct(), sets, least)))
+    return links
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """(id, component_id) for every row with an id: the least id reachable over pairs of texts of at least ``least`` Jaccard similarity.
+
+    Words are separated by ASCII white space and A-Z lower-cased; fewer than ``width`` are one shingle. Null texts and
+    texts without words are copies of one another. Repeated rows are returned each.
+    """
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    marked = cut(_signatures(slim, width, False))
+    classes = cut(marked.groupBy("set_key").agg(F.min("id").alias("least"), F.first("hashes").alias("hashes")))
+    banded = classes.select("set_key", F.posexplode("hashes").alias("band", "hash")).select("set_key", F.xxhash64("band", "hash").alias("bucket"))
+    sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    members = cut(banded.join(sizes, "bucket").select("bucket", "set_key", "n"))
+    wanted = members.select("set_key").distinct().join(classes, "set_key").select(F.col("least").alias("id")).distinct()
+    sets = cut(_signatures(by_ids(slim, wanted, "id"), width, True).select("set_key", "hashes").dropDuplicates(["set_key"]))
+    few = members.where(F.col("n") <= BUCKET_MAX)
+    pairs = few.alias("p").join(few.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.set_key") > F.col("q.set_key")))
+    links = cut(_verified(pairs.select(F.col("p.set_key").alias("u"), F.col("q.set_key").alias("v")).distinct(), sets, least))
+    crowded = cut(members.where(F.col("n") > BUCKET_MAX).select("bucket", "set_key"))
+    if not crowded.isEmpty():
+        links = _crowded_links(crowded, links, sets, least)
+    found = connected_components(links).withColumnsRenamed({"node": "set_key", "component": "c"})
+    placed = cut(classes.select("set_key", "least").join(found, "set_key", "left").select("set_key", "least", F.coalesce("c", "set_key").alias("c")))
+    firsts = placed.groupBy("c").agg(F.min("least").alias("component_id"))
+    by_set = cut(placed.join(dealt(firsts), "c").select("set_key", "component_id"))
+    return marked.select("id", "set_key").join(by_set, "set_key").select("id", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the document of the least id of each group of near copies.
+
+    Rows that repeat an id count as one document, of which one row stays. Rows without an id can't be
+    told apart by it and stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **options)
+    keep = found.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
+    named = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)

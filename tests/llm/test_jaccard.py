@@ -1,0 +1,58 @@
+import random
+import re
+
+import pytest
+
+import corpus_pipeline
+from neurosheaf.llm import jaccard as j
+
+
+def shingles(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def least_ids(rows):
+    """{id: least id of its group} by comparing all pairs."""
+    sets = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in sets}
+
+
+def corpus(rng):
+    rows = []
+    for k in range(40):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([60, 100, 300, 1000]))]
+        rows.append(" ".join(w))
+        for share in (0.02, 0.05, 0.08, 0.12, 0.3):  # a run of words replaced
+            n = max(1, round(share * len(w)))
+            at = rng.randrange(len(w) - n)
+            rows.append(" ".join(w[:at] + [f"n{rng.randrange(3000)}" for _ in range(n)] + w[at + n :]))
+    return list(enumerate([*rows, None, "", "one two", "One  two", *rows[:5]]))
+
+
+@pytest.mark.parametrize("bucket_max,rounds", [(64, 6), (1, 6), (1, 0)])
+def test_groups_against_all_pairs(spark, monkeypatch, bucket_max, rounds):
+    monkeypatch.setattr(j, "BUCKET_MAX", bucket_max)
+    monkeypatch.setattr(j, "CROWDED_ROUNDS", rounds)
+    rows = corpus(random.Random(0))
+    got = {r.id: r.component_id for r in j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == least_ids(rows)
+
+
+def test_stage_drops_near_copies_from_jaccard_0_8(spark):
+    rows = corpus(random.Random(1))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows] + [(None, "w", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_deduplication(spark, docs, "").where("doc_id is not null").collect())
+    assert got == sorted(set(least_ids(rows).values()))
