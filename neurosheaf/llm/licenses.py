@@ -1,7 +1,7 @@
 """Licence scans by ordered signature rules, with DataFrame functions only.
 
-A text is normalised to lower-case words. Only where a trigger word occurs are rules looked at, and
-of those only the ones whose keyword occurs; each such regex then gives intervals. Of overlapping
+A text is normalised to lower-case words. Rules are looked at only where their keyword occurs, and
+none where no rule's does; each such regex then gives intervals. Of overlapping
 detections, one that lies inside another's interval goes if the other is longer or, at equal
 length, comes earlier in the order of rules. Rows stay where they are: there is no shuffle.
 """
@@ -19,8 +19,6 @@ from .license_rules import BASE, Rule, rules
 
 #: What separates words, before A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A notice has one of these; a text without them is not looked at further.
-TRIGGERS = ["licen", "gpl", "spdx", "creative commons", "cc by", "cc0", "copyright", "permission", "reserved", "redistribution", "unencumbered", "confidential", "warranty", "wtfpl", "under the ", "under mit", "subject to the", "waive all", "apache org"]
 
 
 def normalised(text: Column) -> Column:
@@ -28,6 +26,12 @@ def normalised(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATORS, " ")), F.lit(" "))
 
 
+def triggers(all_rules: list[Rule]) -> list[str]:
+    """The keywords of all rules, without those that hold another: a text with none of them fits no rule."""
+    known = {k for r in all_rules for k in r.keywords}
+    return sorted(k for k in known if not any(o != k and o in k for o in known))
+
+
 def _rule_table(all_rules: list[Rule]) -> Column:
     """A literal array of structs. A place begins after a space and ends before one, so neighbours may share it."""
     rows = (
@@ -83,9 +87,10 @@ def scan(docs: DataFrame, text_col: str = "text", all_rules: list[Rule] | None =
     Null and empty texts have no words and nothing found. Rows with equal texts get equal results, and
     all other columns pass through; n_words, found, score and __norm__ of ``docs`` are replaced or lost.
     """
-    table, base = _rule_table(all_rules or rules()), len(BASE)
+    used = all_rules or rules()
+    table, base = _rule_table(used), len(BASE)
     words = docs.withColumn("__norm__", normalised(F.col(text_col)))
-    gate = let(F.lower("__norm__"), lambda s: reduce(or_, (F.contains(s, F.lit(t)) for t in TRIGGERS)))
+    gate = let(F.lower("__norm__"), lambda s: reduce(or_, (F.contains(s, F.lit(t)) for t in triggers(used))))
 
     def detections(text: Column) -> Column:
         tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k)))

@@ -62,3 +62,44 @@ def test_detections_against_plain_regexes(spark):
 
 def test_no_rows(spark):
     assert licenses.summarise(licenses.scan(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def example(pattern):
+    """A text that the pattern fits: first branches, least repeats."""
+
+    def made(items):
+        out = ""
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "ANY":
+                out += "x"
+            elif op == "IN":
+                out += chr(arg[0][1]) if str(arg[0][0]) in ("LITERAL",) else chr(arg[0][1][0]) if str(arg[0][0]) == "RANGE" else "x"
+            elif op == "BRANCH":
+                out += made(arg[1][0])
+            elif op == "SUBPATTERN":
+                out += made(arg[3])
+            else:  # MAX_REPEAT, MIN_REPEAT
+                out += made(arg[2]) * arg[0]
+        return out
+
+    return made(re._parser.parse(pattern))
+
+
+def test_every_rule_by_its_own_pattern_and_keyword(spark):
+    texts = []
+    for r in rules():
+        t = example(r.pattern)
+        assert re.fullmatch(r.pattern, t)
+        texts.append(t if any(k in f" {t} " for k in r.keywords) else f"{t} and {r.keywords[0]}")
+    got = scanned(spark, texts)
+    for i, r in enumerate(rules()):
+        assert any(p["first"] == 0 for p in got[i].found), (r, texts[i])
+
+
+def test_short_notices(spark):
+    named = {"Released under Apache 2.0.": "apache-2", "distributed under BSD 3-Clause": "bsd-3-clause", "under MPL 2.0": "mpl-2", "under zlib": "zlib", "under an ISC": "isc", "under Expat": "mit", "under CC Zero": "cc0"}
+    got = scanned(spark, list(named))
+    assert [got[i].labels for i in range(len(named))] == list(named.values())
