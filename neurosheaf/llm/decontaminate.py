@@ -5,7 +5,8 @@ item in it. Items are therefore partitioned by size, and for each size class doc
 windows of as many shingles as the largest item of the class has. An item that a document contains
 lies in at most a few neighbouring windows, of which one shares a good part of its shingles; a window
 and an item of the same class whose minima agree under any of the hash functions are a candidate, and
-a candidate counts if the document's whole set of shingles holds enough of the item's.
+a candidate counts if the document's whole set of shingles holds enough of the item's. Items of a few shingles
+are looked up by each of them instead, which misses none.
 
 Windows of one class are unions of windows of the class below, so the minima of a class come from those
 of the one below. Documents are never shuffled: a bounded block of items goes to every task, and a
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 from .common import by_ids, resident
 
 WIDTH, CONTAINMENT = 5, 0.8
-#: Hash functions. Of an item wholly inside a document, one misses all candidates with probability below 1e-6.
+#: Hash functions. By calculation, an item wholly inside a document misses all candidates with probability below 1e-7, and one
+#: of which just 0.8 is there, each shingle in another window, with up to 3e-6.
 FUNCTIONS = 48
+#: Items of up to so many shingles are looked up by all their shingles.
+DIRECT = 8
 #: Shingles of the smallest class; each further class doubles it.
 LEAST = 16
 #: Shingles that a broadcast block of items may have (8 bytes each, and 48 minima an item); one larger item is a block by itself.
@@ -82,7 +86,7 @@ class Items:
         self.sets = [np.unique(shingles(t, width)) for _, t in rows]
         by_class: dict[int, list[tuple[int, int, int]]] = {}
         for at, own in enumerate(self.sets):
-            if len(own):
+            if len(own) > DIRECT:
                 minima = ((own >> np.uint64(32)).astype(np.uint32)[None, :] * _MULTIPLIERS[:, None]).min(axis=1)
                 by_class.setdefault(size_class(len(own)), []).extend((f, int(m), at) for f, m in enumerate(minima))
         self.classes = {}
@@ -92,6 +96,8 @@ class Items:
                 own = sorted((m, at) for g, m, at in found if g == f)
                 tables.append((np.array([m for m, _ in own], np.uint32), np.array([at for _, at in own], np.int64)))
             self.classes[k] = tables
+        few = sorted((h, at) for at, own in enumerate(self.sets) if 0 < len(own) <= DIRECT for h in own.tolist())
+        self.direct = np.array([h for h, _ in few], np.uint64), np.array([at for _, at in few], np.int64)
         self.filters: dict[tuple[int, int], np.ndarray] = {}
 
     def maybe(self, k: int, f: int) -> np.ndarray:
@@ -102,11 +108,23 @@ class Items:
             self.filters[k, f] = table
         return self.filters[k, f]
 
+    def looked_up(self, gathered: np.ndarray, owner: np.ndarray):
+        """Pairs (document, item) of small items that share a shingle with the document; arguments as in candidates()."""
+        hashes, items = self.direct
+        if not len(hashes):
+            return set()
+        table = np.zeros(1 << 16, bool)
+        table[hashes >> np.uint64(48)] = True
+        hits = np.flatnonzero(table[gathered >> np.uint64(48)])
+        lo, hi = np.searchsorted(hashes, gathered[hits], "left"), np.searchsorted(hashes, gathered[hits], "right")
+        some = lo < hi
+        return {(int(owner[h // LEAST]), int(i)) for h, a, b in zip(hits[some], lo[some], hi[some], strict=True) for i in items[a:b]}
+
     def candidates(self, gathered: np.ndarray, owner: np.ndarray):
-        """Pairs (document, item) of equal minima. gathered: shingles, those of each document filled up to whole windows of LEAST; owner: the document of each such window."""
+        """Pairs (document, item) of equal minima, or of a small item's shingle. gathered: shingles, those of each document filled up to whole windows of LEAST; owner: the document of each such window."""
+        found: set[tuple[int, int]] = self.looked_up(gathered, owner)
         if not self.classes:
-            return set()
-        found: set[tuple[int, int]] = set()
+            return found
         top = max(self.classes)
         high = (gathered >> np.uint64(32)).astype(np.uint32).reshape(-1, LEAST)
         step = max(1, CHUNK // LEAST)
@@ -208,7 +226,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``docs`` without those that contain an item; rows without an id are judged by their text as well.
 
     The ids found come back by an anti-join, for which texts stay where they are unless very many are
-    found. Null ids are taken out only if a row with a null id matches: such rows can't be told apart.
+    found; those of rows without an id come back by a hash of the text.
     """
-    found = contained(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__found__")).distinct()
-    return by_ids(docs, found, F.col(id_col).eqNullSafe(F.col("__found__")), "left_anti")
+    key, found_in = F.xxhash64(text_col), lambda rows: contained(rows, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__found__")).distinct()
+    named, nameless = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
+    left = by_ids(named, found_in(named), F.col(id_col) == F.col("__found__"), "left_anti")
+    return left.unionByName(by_ids(nameless, found_in(nameless.select(key.alias(id_col), text_col)), key == F.col("__found__"), "left_anti"))

@@ -68,3 +68,17 @@ def test_nulls_and_empty_tables(spark):
 
 def test_size_classes():
     assert [d.size_class(n) for n in (1, 16, 17, 32, 33, 64, 65)] == [0, 0, 1, 1, 2, 2, 3]
+
+
+def test_short_items_in_long_documents_are_all_found(spark):
+    rng = random.Random(2)
+    items = [(j, " ".join(f"q{rng.randrange(10**6)}" for _ in range(5 + j % 4))) for j in range(400)]
+    docs = [(j, f"{prose(rng, rng.randint(20, 60))} {t} {prose(rng, rng.randint(20, 60))}") for j, t in items]
+    got = {(r.doc_id, r.item_id) for r in d.contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(j, j) for j, _ in items}
+
+
+def test_rows_without_an_id_are_judged_by_their_own_text(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "one two three four five six"), (None, "clean"), (None, None), (2, "one two three four five six"), (3, "z")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in d.decontaminate(docs, bench).collect()) == [(0, ""), (0, "clean"), (3, "z")]
