@@ -22,8 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the risk-controlled cutoffs of their language."""
-    judged = quality_rules.judge(docs, read(spark, sf_dir, "labels"))
+    """Documents that pass the base rules and the risk-controlled cutoffs of their language, or of all languages where theirs has too few labels."""
+    judged = quality_rules.judge(docs, read(spark, sf_dir, "labels"), pooled=True)
     return judged.where("kept").select(docs.columns)
 
 

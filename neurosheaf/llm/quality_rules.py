@@ -169,6 +169,19 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id
     return accepted.groupBy("stratum", "feature").agg(F.min("cutoff").alias("cutoff"))
 
 
+def with_pool(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """thresholds(), and for families of a stratum without an accepted cutoff those of all strata together.
+
+    Each of the two gets half of ``delta``. A cutoff from the pool keeps alpha over the good documents of all
+    strata, not of its own.
+    """
+    own = thresholds(measured, labels, stratum, id_col, alpha, delta / 2)
+    pool = thresholds(measured.withColumn(stratum, F.lit("")), labels, stratum, id_col, alpha, delta / 2).drop("stratum")
+    strata = measured.select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")).distinct()
+    missing = cut(strata.crossJoin(pool)).join(own.select("stratum", "feature"), ["stratum", "feature"], "left_anti")
+    return own.unionByName(missing)
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """features() and n_lines."""
     return features(docs, text_col).withColumn("n_lines", _n_lines(text_col))
@@ -194,13 +207,15 @@ def judge_ids(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratu
     return verdicts(slim, thresholds(slim, labels, stratum, id_col, alpha, delta), stratum)
 
 
-def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> DataFrame:
     """``docs`` with features(), n_lines, base_failed and kept.
 
     A null stratum is one of its own. Every row is judged by itself, so repeated rows get equal
-    verdicts. Documents of a stratum without labels are judged by the base rules alone. Labelled texts
+    verdicts. Documents of a stratum without labels are judged by the base rules alone. With ``pooled``, strata too
+    small for cutoffs of their own take those of with_pool(). Labelled texts
     are read twice, once for the thresholds and once to be judged; none is shuffled unless very many are labelled.
     """
     labelled = by_ids(docs.select(id_col, stratum, text_col), good_ids(labels, id_col), id_col)
     slim = cut(measure(labelled, text_col).drop(text_col))
-    return verdicts(measure(docs, text_col), thresholds(slim, labels, stratum, id_col, alpha, delta), stratum)
+    accepted = with_pool if pooled else thresholds
+    return verdicts(measure(docs, text_col), accepted(slim, labels, stratum, id_col, alpha, delta), stratum)

@@ -81,3 +81,15 @@ def test_false_rejections_stay_below_alpha(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, lang string, text string")
     assert q.judge(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def test_small_strata_take_the_cutoffs_of_the_pool(spark):
+    rng = random.Random(3)
+    good = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    junk = lambda: " ".join(rng.choice(["#$%", "***", "ab|"]) + str(rng.randrange(5000)) for _ in range(60))
+    rows = [(i, ["en", "de", "fr", "es"][i % 4], good()) for i in range(2400)] + [(3000 + i, ["en", "de", "fr", "es"][i % 4], junk()) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(2400)], "doc_id long, quality int")
+    kept = {r.doc_id for r in q.judge(docs, labels, pooled=True).where("kept").collect()}
+    assert kept == set(range(2400))
+    assert q.judge(docs, labels).where("kept").count() == 2440
