@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .windowing import merge_intervals
+from ..session import kept
+from .windowing import merge_intervals, numbered
 
 
 def is_bad(description: Column) -> Column:
@@ -44,17 +44,18 @@ def counts(annotations: DataFrame) -> DataFrame:
 
 def event_codes(annotations: DataFrame) -> DataFrame:
     """(description, code): the number that a description ends with, if it is positive and no earlier one has it;
-    the others, in order, get the smallest numbers left. The table is one row a distinct description."""
+    the others, in order, get the smallest numbers left. Numbers and the others are counted by ranges of their order, and meet in an equal join."""
     names = annotations.select("description").where("description is not null").distinct()
     number = F.regexp_extract("description", r"(\d{1,9})\s*$", 1).try_cast("int")
-    ranked = names.withColumn("own", F.when(number > 0, number)).withColumn("turn", F.row_number().over(W.partitionBy("own").orderBy("description")))
-    fixed = ranked.where("own is not null and turn = 1").select("description", F.col("own").alias("code"))
-    rest = ranked.where("own is null or turn > 1").select("description", F.row_number().over(W.orderBy("description")).alias("place"))
-    # The k-th free number: with the taken ones sorted as c_1 < c_2 < ..., k plus how many i have c_i - i < k.
-    taken = fixed.select((F.col("code") - F.row_number().over(W.orderBy("code"))).alias("gap"))
-    lists = taken.agg(F.sort_array(F.collect_list("gap")).alias("gaps"))
-    free = rest.crossJoin(F.broadcast(lists)).select("description", (F.col("place") + F.size(F.filter("gaps", lambda g: g < F.col("place")))).alias("code"))
-    return fixed.unionByName(free)
+    # Descriptions that end with no number are no group of their own: each is its own.
+    ranked = kept(names.withColumn("own", F.when(number > 0, number)))
+    firsts = ranked.where("own is not null").groupBy("own").agg(F.min("description").alias("description"))
+    fixed = kept(firsts.select("description", F.col("own").cast("long").alias("code")))
+    rest = kept(ranked.select("description").join(fixed.select("description"), "description", "left_anti"))
+    wanted, taken = rest.count(), fixed.count()
+    free = annotations.sparkSession.range(1, wanted + taken + 1).select(F.col("id").alias("code")).join(fixed.select("code"), "code", "left_anti")
+    given = numbered(rest, "description").join(numbered(free, "code"), "place").select("description", "code")
+    return fixed.unionByName(given).select("description", F.col("code").cast("int").alias("code"))
 
 
 def to_events(annotations: DataFrame, codes: DataFrame, sfreq: float) -> DataFrame:

@@ -99,7 +99,8 @@ def blinks(samples: DataFrame, sfreq: float, channel: str | None = None, interva
     names = [channel] if channel else FRONTAL
     order = F.array_position(F.array(*map(F.lit, names)), F.col("channel"))
     own = samples.where(F.col("channel").isin(names)).select(*KEY).distinct().groupBy("recording").agg(F.min_by("channel", order).alias("channel"))
-    chosen = samples.select(*KEY, "sample", "value").join(F.broadcast(own), KEY)
+    # A row a recording: Spark broadcasts it if it is small.
+    chosen = samples.where(F.col("channel").isin(names)).select(*KEY, "sample", "value").join(own, KEY)
     return chosen.groupBy("recording").applyInPandas(run, f"recording {dict(samples.dtypes)['recording']}, onset double, duration double, description string")
 
 
@@ -120,16 +121,21 @@ def mains(samples: DataFrame, sfreq: float, choices: tuple[float, ...] = (50.0,
     return tested.withColumn("p", F.row_number().over(best)).where("p = 1").select("recording", "line")
 
 
-def auto_notch(samples: DataFrame, sfreq: float) -> DataFrame:
-    """Each recording without its own mains frequency and harmonics; those without any are left as they are."""
+def auto_notch(samples: DataFrame, sfreq: float, triggers: DataFrame | None = None) -> DataFrame:
+    """Each recording without its own mains frequency and harmonics; those without any are left as they are, and so are channels in ``triggers``."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows, line = rows.sort_values("sample"), rows.line.iloc[0]
         x = rows.value.to_numpy(float)
-        if np.isfinite(line):
+        if line is not None and np.isfinite(line):
             for f in np.arange(line, sfreq / 2 - 1, line):
                 x = filters.zero_phase(filters.notch(f, sfreq), x)
         return pd.DataFrame({"recording": rows.recording, "channel": rows.channel, "sample": rows["sample"], "value": x})
 
     kind = dict(samples.dtypes)["recording"]
-    known = samples.select(*KEY, "sample", "value").join(mains(samples, sfreq), "recording", "left")
+    plain = samples.select(*KEY, "sample", "value")
+    body = plain if triggers is None else plain.join(triggers.select(*KEY), KEY, "left_anti")
+    known = plain.join(mains(body, sfreq), "recording", "left")
+    if triggers is not None:
+        coded = triggers.select(*KEY).distinct().withColumn("coded", F.lit(True))
+        known = known.join(coded, KEY, "left").withColumn("line", F.when(F.col("coded").isNull(), F.col("line"))).drop("coded")
     return known.groupBy(*KEY).applyInPandas(run, f"recording {kind}, channel string, sample long, value double")

@@ -28,10 +28,11 @@ def _z(table: DataFrame, value: str, out: str) -> DataFrame:
     return table.join(found, KEY, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
-def find_bad_channels(samples: DataFrame, sfreq: float, positions: dict[str, tuple] | None = None, flat: float = 0.5, seed: int = 0, ransac_channels: int = 32) -> DataFrame:
+def find_bad_channels(samples: DataFrame, sfreq: float, positions: DataFrame | None = None, flat: float = 0.5, seed: int = 0, ransac_channels: int = 32, ransac_windows: int = 120) -> DataFrame:
     """A row a channel with a boolean for each of METHODS, bad (any of them) and what they were judged by.
 
-    Prediction by RANSAC needs positions of all channels, ``ransac_channels`` of them, and eight that nothing else flags.
+    Prediction by RANSAC runs in recordings for which ``positions`` (recording, channel, x, y, z) has ``ransac_channels``
+    channels, and eight of them that nothing else flags; ``ransac_windows`` as in ransac().
     """
     missing = samples.groupBy(*KEY).agg(F.max((F.col("value").isNull() | F.isnan("value")).cast("int")).alias("missing"))
     signals = kept(quality.filtered(samples, sfreq))
@@ -57,10 +58,11 @@ def find_bad_channels(samples: DataFrame, sfreq: float, positions: dict[str, tup
     )
     any_of = lambda names: F.array_max(F.array(*(F.coalesce(n, F.lit(False)) for n in names)))
     table = table.withColumn("flagged", any_of(METHODS[:-1]))
-    fraction = None
-    if positions is not None and len(positions) >= ransac_channels:
+    if positions is not None:
         table = kept(table)
-        fraction = ransac(band, table.where("not flagged").select(*KEY), positions, sfreq, seed)
+        placed = positions.where("x is not null").select(*KEY, "x", "y", "z")
+        enough = placed.groupBy("recording").agg(F.count("*").alias("n")).where(F.col("n") >= ransac_channels).select("recording")
+        fraction = ransac(band, table.where("not flagged").select(*KEY), placed.join(enough, "recording", "left_semi"), sfreq, seed, windows=ransac_windows)
         table = table.join(fraction, KEY, "left")
     else:
         table = table.withColumn("ransac_bad_fraction", F.lit(None).cast("double"))
@@ -78,22 +80,24 @@ def _models(members: tuple[str, ...], positions: tuple, seed: int, draws: int, s
     return [(c, montage.spline_weights(np.array([at[x] for x in c]), np.array(list(at.values())))) for c in chosen]
 
 
-def ransac(samples: DataFrame, pool: DataFrame, positions: dict[str, tuple], sfreq: float, seed: int = 0, draws: int = 50, subset: float = 0.25, least: float = 0.75, seconds: float = 5.0, windows: int = 120) -> DataFrame:
+def ransac(samples: DataFrame, pool: DataFrame, positions: DataFrame, sfreq: float, seed: int = 0, draws: int = 50, subset: float = 0.25, least: float = 0.75, seconds: float = 5.0, windows: int = 120) -> DataFrame:
     """Share of windows in which a channel correlates less than ``least`` with what random subsets of the pool predict.
 
-    Each window of a recording is one group: all its channels for ``seconds``. At most ``windows`` windows, evenly
-    spaced over the recording, are looked at; that bounds the work of this one criterion.
+    ``positions`` (recording, channel, x, y, z) says which channels are looked at. Each window of a recording is one group:
+    all its channels for ``seconds``. At most ``windows`` windows, evenly spaced over the recording, are looked at; that
+    bounds the work of this one criterion.
     """
     length = round(seconds * sfreq)
-    names = tuple(positions)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot(index="sample", columns="channel", values="value").reindex(columns=list(names)).fillna(0.0)
+        at = {p["channel"]: (p["x"], p["y"], p["z"]) for p in rows.places.iloc[0]}
+        names, order = list(at), {c: i for i, c in enumerate(at)}
+        x = np.zeros((len(names), length))
+        x[rows.channel.map(order).to_numpy(), (rows["sample"] % length).to_numpy()] = np.nan_to_num(rows.value.to_numpy(float))
         own = tuple(c for c in names if c in set(rows.members.iloc[0]))
         r = np.zeros(len(names))
         if len(own) >= 8:
-            x = wide.to_numpy().T
-            guess = np.median(np.stack([w @ wide[c].to_numpy().T for c, w in _models(own, tuple(positions.items()), seed, draws, subset)]), axis=0)
+            guess = np.median(np.stack([w @ x[[order[c] for c in chosen]] for chosen, w in _models(own, tuple(at.items()), seed, draws, subset)]), axis=0)
             a, b = x - x.mean(axis=1, keepdims=True), guess - guess.mean(axis=1, keepdims=True)
             size = np.sqrt((a**2).sum(axis=1) * (b**2).sum(axis=1))
             r = np.divide((a * b).sum(axis=1), size, out=r, where=size > 0)
@@ -101,11 +105,14 @@ def ransac(samples: DataFrame, pool: DataFrame, positions: dict[str, tuple], sfr
             r += 1.0
         return pd.DataFrame({"recording": rows.recording.iloc[0], "channel": names, "poor": (r < least).astype(float)})
 
+    places = positions.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("channel", "x", "y", "z"))).alias("places"))
     members = pool.groupBy("recording").agg(F.sort_array(F.collect_list("channel")).alias("members"))
-    cut = samples.where(F.col("channel").isin(list(names))).withColumn("window", F.floor(F.col("sample") / length))
+    cut = samples.join(positions.select(*KEY), KEY, "left_semi").withColumn("window", F.floor(F.col("sample") / length))
     count = cut.groupBy("recording").agg(F.floor((F.max("sample") + 1) / length).alias("n"))
-    chosen = count.where("n > 0").select("recording", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(windows)) - 1), lambda i: F.floor(i * (F.col("n") - 1) / F.greatest(F.least(F.col("n"), F.lit(windows)) - 1, F.lit(1))))).alias("window")).distinct()
-    ready = cut.join(chosen, ["recording", "window"]).join(members, "recording")
+    looked_at = F.least(F.col("n"), F.lit(windows))
+    spaced = F.transform(F.sequence(F.lit(0), looked_at - 1), lambda i: F.floor(i * (F.col("n") - 1) / F.greatest(looked_at - 1, F.lit(1))))
+    chosen = count.where("n > 0").select("recording", F.explode(spaced).alias("window")).distinct()
+    ready = cut.join(chosen, ["recording", "window"]).join(members.join(places, "recording"), "recording")
     kind = dict(samples.dtypes)["recording"]
     found = ready.groupBy("recording", "window").applyInPandas(run, f"recording {kind}, channel string, poor double")
     return found.groupBy(*KEY).agg(F.avg("poor").alias("ransac_bad_fraction"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,6 +49,37 @@ def pick(channels: DataFrame, what: str | int | list | None = None, exclude_bad:
     return found.where(~F.col("bad")) if exclude_bad else found
 
 
+def unique_names(channels: DataFrame, name: Column) -> DataFrame:
+    """Adds _new: ``name``, and for the second, third, ... channel of a recording with one name that name and -1, -2, ...
+    by place; a name with a number that another channel has already gets the next number."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ch_index", kind="stable")
+        taken, out = set(rows._new), []
+        for i, wanted in enumerate(rows._new):
+            if wanted in out:
+                number = next(k for k in range(1, len(rows) + i + 2) if f"{wanted}-{k}" not in taken and f"{wanted}-{k}" not in out)
+                wanted = f"{wanted}-{number}"
+            out.append(wanted)
+        return rows.assign(_new=out)
+
+    named = channels.withColumn("_new", name)
+    return named.groupBy("recording").applyInPandas(run, named.schema)
+
+
+def source_density(channels: DataFrame) -> DataFrame:
+    """(recording, output, channel, weight) of the current source density over good EEG channels with positions; the others stay as they are."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        good = rows[rows.x.notna() & (rows.ch_type == "eeg") & ~rows.bad]
+        own = rows if len(good) < 4 else rows[~rows.channel.isin(good.channel)]
+        out = [(c, c, 1.0) for c in own.channel]
+        if len(good) >= 4:
+            w = montage.density_weights(good[["x", "y", "z"]].to_numpy(float))
+            out += [(o, i, float(v)) for o, row in zip(good.channel, w, strict=True) for i, v in zip(good.channel, row, strict=True)]
+        return pd.DataFrame([(rows.recording.iloc[0], *o) for o in out], columns=["recording", "output", "channel", "weight"])
+
+    return channels.groupBy("recording").applyInPandas(run, f"recording {dict(channels.dtypes)['recording']}, output string, channel string, weight double")
+
+
 def type_counts(channels: DataFrame) -> DataFrame:
     return channels.groupBy("recording", "ch_type").agg(F.count("*").alias("n"))
 

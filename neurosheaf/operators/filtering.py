@@ -5,6 +5,7 @@ A channel has to fit a task (an hour at 256 Hz takes 7 MB); recordings and chann
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -17,16 +18,28 @@ from ..functions import filters
 from .signals import KEY
 
 
-def per_channel(samples: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """The kernel's signal in place of each channel's; samples are numbered from the channel's first one."""
+def _same(x: np.ndarray) -> np.ndarray:
+    return x
+
+
+def per_channel(samples: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], triggers: DataFrame | None = None, trigger_kernel: Callable[[np.ndarray], np.ndarray] = _same) -> DataFrame:
+    """The kernel's signal in place of each channel's; samples are numbered from the channel's first one.
+
+    Channels in ``triggers`` (recording, channel) hold codes: they are left as they are, or to a kernel of their own.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("sample")
-        y = kernel(rows.value.to_numpy(float))
+        own = trigger_kernel if "coded" in rows and rows.coded.iloc[0] is not None and bool(rows.coded.iloc[0]) else kernel
+        y = own(rows.value.to_numpy(float))
         return pd.DataFrame({"recording": rows.recording.iloc[0], "channel": rows.channel.iloc[0], "sample": rows["sample"].iloc[0] + np.arange(len(y)), "value": y})
 
     kind = dict(samples.dtypes)
-    return samples.select(*KEY, "sample", "value").groupBy(*KEY).applyInPandas(run, f"recording {kind['recording']}, channel string, sample long, value double")
+    used = samples.select(*KEY, "sample", "value")
+    if triggers is not None:
+        # Both sides are dealt out by the key of the groups, so the join needs no shuffle of its own.
+        used = used.join(triggers.select(*KEY).distinct().withColumn("coded", F.lit(True)), KEY, "left")
+    return used.groupBy(*KEY).applyInPandas(run, f"recording {kind['recording']}, channel string, sample long, value double")
 
 
 def _picked(samples: DataFrame, channels: list[str] | None, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -38,7 +51,7 @@ def _picked(samples: DataFrame, channels: list[str] | None, change: Callable[[Da
     return change(samples.where(named)).unionByName(samples.where(~named))
 
 
-def band_filter(samples: DataFrame, low: float | None, high: float | None, sfreq: float, method: str = "iir", zero_phase: bool = True, channels: list[str] | None = None) -> DataFrame:
+def band_filter(samples: DataFrame, low: float | None, high: float | None, sfreq: float, method: str = "iir", zero_phase: bool = True, channels: list[str] | None = None, triggers: DataFrame | None = None) -> DataFrame:
     """Butterworth (iir) or windowed-sinc (fir) filter of whole channels, forwards and backwards or causal."""
     if method == "iir":
         sos = filters.butterworth(low, high, sfreq)
@@ -48,10 +61,10 @@ def band_filter(samples: DataFrame, low: float | None, high: float | None, sfreq
         kernel = (lambda x: filters.fir_zero_phase(taps, x)) if zero_phase else (lambda x: np.convolve(x, taps)[: len(x)])
     else:
         raise ValueError("method is iir or fir")
-    return _picked(samples, channels, lambda s: per_channel(s, kernel))
+    return _picked(samples, channels, lambda s: per_channel(s, kernel, triggers))
 
 
-def notch_filter(samples: DataFrame, frequency: float, sfreq: float, quality: float = 30.0, channels: list[str] | None = None) -> DataFrame:
+def notch_filter(samples: DataFrame, frequency: float, sfreq: float, quality: float = 30.0, channels: list[str] | None = None, triggers: DataFrame | None = None) -> DataFrame:
     """Takes out a frequency and its harmonics below half the rate less 1 Hz."""
     stops = [filters.notch(f, sfreq, quality) for f in np.arange(frequency, sfreq / 2 - 1, frequency)]
 
@@ -60,7 +73,7 @@ def notch_filter(samples: DataFrame, frequency: float, sfreq: float, quality: fl
             x = filters.zero_phase(sos, x)
         return x
 
-    return _picked(samples, channels, lambda s: per_channel(s, kernel))
+    return _picked(samples, channels, lambda s: per_channel(s, kernel, triggers))
 
 
 def weighted_frame(samples: DataFrame, taps: list[float]) -> DataFrame:
@@ -72,10 +85,23 @@ def weighted_frame(samples: DataFrame, taps: list[float]) -> DataFrame:
     return samples.select(*KEY, "sample", shifted.alias("value"))
 
 
-def resample(samples: DataFrame, sfreq: float, to: float, channels: list[str] | None = None) -> DataFrame:
-    """Channels at another rate, by a ratio with a denominator of at most 1000."""
+def resample(samples: DataFrame, sfreq: float, to: float, channels: list[str] | None = None, triggers: DataFrame | None = None) -> DataFrame:
+    """Channels at another rate, by a ratio with a denominator of at most 1000; trigger channels as resample_stim() does."""
     ratio = Fraction(to / sfreq).limit_denominator(1000)
-    return _picked(samples, channels, lambda s: per_channel(s, lambda x: filters.resample(x, ratio.numerator, ratio.denominator)))
+    signal = lambda x: filters.resample(x, ratio.numerator, ratio.denominator)
+    return _picked(samples, channels, lambda s: per_channel(s, signal, triggers, lambda x: resampled_codes(x, to / sfreq)))
+
+
+def resampled_codes(codes: np.ndarray, ratio: float) -> np.ndarray:
+    """resample_stim() of one channel; of codes that fall on one sample the largest stays."""
+    out = np.zeros(math.ceil(len(codes) * ratio))
+    starts = np.flatnonzero(np.diff(codes, prepend=np.nan) != 0)
+    for start, end in zip(starts, np.r_[starts[1:], len(codes)], strict=True):
+        if codes[start] != 0:
+            first = int(np.rint(start * ratio))
+            place = slice(first, max(int(np.rint(end * ratio)), first + 1))
+            out[place] = np.where(out[place] == 0, codes[start], np.maximum(out[place], codes[start]))
+    return out
 
 
 def resample_stim(samples: DataFrame, sfreq: float, to: float) -> DataFrame:

@@ -13,21 +13,25 @@ from ..functions import montage
 BROADCAST_WEIGHTS = 100_000
 
 
-def set_reference(samples: DataFrame, reference: str | list[str] = "average", bad: list[str] | None = None) -> DataFrame:
+def set_reference(samples: DataFrame, reference: str | list[str] = "average", bad: list[str] | None = None, channels: DataFrame | None = None, drop: bool = False) -> DataFrame:
     """Values minus the mean (average) or median of the good channels at each sample, or the mean of named channels.
 
-    Bad channels are re-referenced too but aren't pooled.
+    Bad channels are re-referenced too but aren't pooled. With a table of ``channels`` (recording, channel, ch_type, bad), its
+    EEG channels only are re-referenced, those of them that aren't bad are pooled, and the others stay as they are. ``drop``
+    leaves out the named channels afterwards.
     """
     sample = W.partitionBy("recording", "sample")
-    pooled = ~F.col("channel").isin(bad) if bad else F.lit(True)
-    if reference == "median":
-        level = F.median(F.when(pooled, F.col("value"))).over(sample)
-    elif reference == "average":
-        level = F.avg(F.when(pooled, F.col("value"))).over(sample)
-    else:
-        names = [reference] if isinstance(reference, str) else reference
-        level = F.avg(F.when(F.col("channel").isin(names), F.col("value"))).over(sample)
-    return samples.withColumn("value", F.col("value") - level)
+    names = [] if reference in ("average", "median") else [reference] if isinstance(reference, str) else list(reference)
+    own = samples
+    eeg, good = F.lit(True), ~F.col("channel").isin(bad) if bad else F.lit(True)
+    if channels is not None:
+        own = samples.join(channels.select("recording", "channel", (F.col("ch_type") == "eeg").alias("_eeg"), F.col("bad").alias("_bad")), ["recording", "channel"], "left")
+        eeg = F.coalesce("_eeg", F.lit(False))
+        good = eeg & (good if bad is not None else ~F.coalesce("_bad", F.lit(False)))
+    pooled = F.when(F.col("channel").isin(names) if names else good, F.col("value"))
+    level = (F.median if reference == "median" else F.avg)(pooled).over(sample)
+    out = own.withColumn("value", F.when(eeg, F.col("value") - F.coalesce(level, F.lit(0.0))).otherwise(F.col("value"))).select(samples.columns)
+    return out.where(~F.col("channel").isin(names)) if drop and names else out
 
 
 def add_reference_channel(samples: DataFrame, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import kept
 from .signals import KEY, in_order
 from .statistics import MAD_SCALE
 
@@ -102,3 +103,14 @@ def stim_events(samples: DataFrame, least: int = 1, mask: int | None = None) ->
     previous = F.coalesce(F.lag("state").over(W.partitionBy(*KEY).orderBy("start")), F.lit(0))
     marked = found.withColumn("previous", previous)
     return marked.where((F.col("state") != 0) & (F.col("length") >= least)).select(*KEY, F.col("start").alias("sample"), "previous", F.col("state").alias("code"))
+
+
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """Adds place (long, from 1) in the order of a column. Rows are dealt out by ranges of it and numbered inside each; a
+    row a range tells how many come before."""
+    dealt = kept(df.repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    # As many rows as there are partitions.
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = dealt.withColumn("place", F.row_number().over(W.partitionBy("_range").orderBy(column)))
+    return inside.join(before, "_range").withColumn("place", F.col("place") + F.col("_before")).drop("_range", "_before")

@@ -32,6 +32,10 @@ class State:
             self.channels = kept(channels.described(self.samples))
         return self.channels
 
+    def triggers(self) -> DataFrame:
+        """Channels that hold codes, which no filter may touch."""
+        return self.table().where("ch_type = 'stim'").select(*signals.KEY)
+
 
 STEPS: dict[str, Callable] = {}
 
@@ -52,17 +56,20 @@ def _step(*names: str) -> Callable:
 
 @_step("filter", "bandpass")
 def _filter(s: State, low: float | None = None, high: float | None = None, **options) -> None:
-    s.samples = filtering.band_filter(s.samples, low, high, s.sfreq, **options)
+    """All channels but those of triggers."""
+    s.samples = filtering.band_filter(s.samples, low, high, s.sfreq, triggers=s.triggers(), **options)
 
 
 @_step("notch")
 def _notch(s: State, frequency: float | str = "auto", **options) -> None:
-    s.samples = artifacts.auto_notch(s.samples, s.sfreq) if frequency == "auto" else filtering.notch_filter(s.samples, float(frequency), s.sfreq, **options)
+    """All channels but those of triggers."""
+    s.samples = artifacts.auto_notch(s.samples, s.sfreq, s.triggers()) if frequency == "auto" else filtering.notch_filter(s.samples, float(frequency), s.sfreq, triggers=s.triggers(), **options)
 
 
 @_step("resample")
 def _resample(s: State, sfreq: float) -> None:
-    s.samples, s.sfreq = filtering.resample(s.samples, s.sfreq, sfreq), float(sfreq)
+    """Signals by a filter, trigger channels code by code."""
+    s.samples, s.sfreq = filtering.resample(s.samples, s.sfreq, sfreq, triggers=s.triggers()), float(sfreq)
 
 
 @_step("crop")
@@ -93,10 +100,12 @@ def _rename(s: State, names: dict[str, str]) -> None:
 
 @_step("standardize_names")
 def _standardise(s: State) -> None:
+    """Names that clean to one are told apart by a number, in the order of the table."""
     from ..functions.names import clean_channel_name
 
-    clean = clean_channel_name(F.col("channel"))
-    s.channels, s.samples = s.table().withColumn("channel", clean), s.samples.withColumn("channel", clean)
+    named = kept(channels.unique_names(s.table(), clean_channel_name(F.col("channel"))))
+    s.samples = s.samples.join(named.select(*signals.KEY, "_new"), signals.KEY, "left").withColumn("channel", F.coalesce("_new", "channel")).drop("_new")
+    s.channels = named.withColumn("channel", F.col("_new")).drop("_new")
 
 
 @_step("set_channel_types")
@@ -116,7 +125,9 @@ def _bads(s: State, channels_: list[str] | None = None, add: bool = False, **opt
 
 @_step("detect_bad_channels")
 def _detect(s: State, method: str = "quality") -> None:
-    found = bad_channels.find_bad_channels(s.samples, s.sfreq).where("bad") if method == "prep" else quality.assess(s.samples, s.sfreq).where("grade = 'bad'")
+    """Among EEG channels. PREP's prediction from others runs in recordings whose table has enough positions."""
+    eeg = s.samples.join(s.table().where("ch_type = 'eeg'").select(*signals.KEY), signals.KEY, "left_semi")
+    found = bad_channels.find_bad_channels(eeg, s.sfreq, s.table()).where("bad") if method == "prep" else quality.assess(eeg, s.sfreq).where("grade = 'bad'")
     s.channels = kept(channels.set_bads(s.table(), found, add=True))
 
 
@@ -127,14 +138,11 @@ def _interpolate(s: State) -> None:
 
 
 @_step("reference", "rereference")
-def _reference(s: State, reference: str | list[str] = "average", bad: list[str] | None = None) -> None:
-    if bad is None and s.channels is not None and reference in ("average", "median"):
-        marked = s.samples.join(s.channels.select(*signals.KEY, "bad"), signals.KEY, "left")
-        pooled = F.when(~F.coalesce("bad", F.lit(False)), F.col("value"))
-        level = (F.avg if reference == "average" else F.median)(pooled).over(spatial.W.partitionBy("recording", "sample"))
-        s.samples = marked.withColumn("value", F.col("value") - level).drop("bad")
-    else:
-        s.samples = spatial.set_reference(s.samples, reference, bad)
+def _reference(s: State, reference: str | list[str] = "average", bad: list[str] | None = None, drop: bool = False) -> None:
+    """EEG channels only; those marked bad aren't pooled."""
+    s.samples = spatial.set_reference(s.samples, reference, bad, s.table(), drop)
+    if drop and reference not in ("average", "median"):
+        s.channels = signals.drop_channels(s.table(), [reference] if isinstance(reference, str) else reference)
 
 
 @_step("bipolar")
@@ -143,8 +151,10 @@ def _bipolar(s: State, pairs: list) -> None:
 
 
 @_step("laplacian")
-def _laplacian(s: State, k: int = 4) -> None:
-    s.samples = channels.apply_weights(s.samples, channels.laplacian(channels.set_montage(s.table(), overwrite=False), k))
+def _laplacian(s: State, k: int = 4, method: str = "hjorth") -> None:
+    """Of nearest neighbours (hjorth), or the current source density by splines (csd)."""
+    placed = channels.set_montage(s.table(), overwrite=False)
+    s.samples = channels.apply_weights(s.samples, channels.source_density(placed) if method == "csd" else channels.laplacian(placed, k))
 
 
 @_step("ica")

@@ -138,20 +138,24 @@ def test_references_and_weights(spark):
         spatial.interpolation_weights(spark, {"a": (0, 0, 1)}, {"b": (1, 0, 0)})
 
 
-def test_connectivity_of_a_lagged_pair(spark):
-    rng = np.random.default_rng(3)
-    base = filtering_free_alpha(rng, 256 * 20)
-    s = frame(spark, a=base[10:], b=base[:-10], c=rng.standard_normal(256 * 20 - 10))
-    for method in ("coherence", "imcoh", "pli", "wpli"):
-        v = {(r.a, r.b): r.value for r in connectivity.spectral(s, 256, 8, 13, method).collect()}
-        assert v["a", "b"] > 2 * max(v["a", "c"], v["b", "c"]), method
-    v = {(r.a, r.b): r.value for r in connectivity.phase_locking(s, 256, 8, 13).collect()}
-    assert v["a", "b"] > 0.9 > 0.5 > v["a", "c"]
+def resonance(seed: int, n: int, freq: float, sfreq: float) -> np.ndarray:
+    """Noise through a resonator: a rhythm whose phase wanders."""
+    drive, y = np.random.default_rng(seed).uniform(-1, 1, n), np.zeros(n)
+    for i in range(2, n):
+        y[i] = 2 * 0.98 * np.cos(2 * np.pi * freq / sfreq) * y[i - 1] - 0.98**2 * y[i - 2] + drive[i]
+    return y
 
 
-def filtering_free_alpha(rng, n):
-    t = np.arange(n) / 256
-    return np.sin(2 * np.pi * 10 * t + np.cumsum(rng.standard_normal(n)) * 0.05) + 0.3 * rng.standard_normal(n)
+def test_connectivity_of_a_lagged_pair(spark):
+    """b follows a by 6 samples, a quarter of a cycle; c is a rhythm of its own."""
+    sfreq, n, lag = 256, 6000, 6
+    lead, alone = resonance(31, n + lag, 10.5, sfreq), resonance(32, n, 10.5, sfreq)
+    s = frame(spark, a=lead[lag:], b=lead[:n], c=alone)
+    for method in ("coherence", "imcoh", "pli", "wpli"):
+        v = {(r.a, r.b): r.value for r in connectivity.spectral(s, sfreq, 8, 13, method).collect()}
+        assert v["a", "b"] > 1.5 * max(v["a", "c"], v["b", "c"]), (method, v)
+    v = {(r.a, r.b): r.value for r in connectivity.phase_locking(s, sfreq, 8, 13).collect()}
+    assert v["a", "b"] > 0.9 > 0.6 > v["a", "c"]
 
 
 def test_rankings(spark):
@@ -193,20 +197,21 @@ def test_ransac_finds_a_channel_unlike_its_neighbours(spark):
     names = list(at)[:32]
     made = simulate(spark, 1, names, 20.0, 64.0, {names[7]: "noisy"}, seed=3)
     pool = made.select("recording", "channel").distinct()
-    found = one(bad_channels.ransac(made, pool, {n: at[n] for n in names}, 64.0), "ransac_bad_fraction")
+    positions = pool.join(spark.createDataFrame([(n, *map(float, at[n])) for n in names], "channel string, x double, y double, z double"), "channel")
+    found = one(bad_channels.ransac(made, pool, positions, 64.0), "ransac_bad_fraction")
     assert found[names[7]] == max(found.values()) and found[names[7]] > 0.4
 
 
 def test_components_are_separated(spark):
-    rng = np.random.default_rng(6)
-    t = np.arange(4000) / 200
-    sources = np.stack([np.sign(np.sin(2 * np.pi * 3 * t)), rng.laplace(size=4000), (2.3 * t) % 1 - 0.5])
-    x = rng.standard_normal((3, 3)) @ sources
+    """Three signals of different distributions through a fixed mixture come back, up to sign and order."""
+    rng, n = np.random.default_rng(16), 5000
+    sources = np.stack([rng.uniform(-1, 1, n), rng.exponential(1.0, n), np.cos(np.cumsum(np.linspace(0.01, 0.4, n)))])
+    x = np.array([[1.0, 0.5, -0.3], [-0.4, 1.0, 0.8], [0.6, -0.7, 1.0]]) @ sources
     s = frame(spark, a=x[0], b=x[1], c=x[2])
     model = ica.fit(s).cache()
     got = ica.sources(s, model).toPandas().pivot(index="sample", columns="channel", values="value").to_numpy().T
-    r = np.abs(np.corrcoef(got, sources)[:3, 3:])
-    assert (r.max(axis=1) > 0.95).all()
+    match = np.abs(np.corrcoef(got, sources)[:3, 3:])
+    assert sorted(match.argmax(axis=1)) == [0, 1, 2] and match.max(axis=1).min() > 0.97
     left = ica.remove(s, model, spark.createDataFrame([], "recording string, component int"))
     assert left.join(s.withColumnRenamed("value", "v"), ["recording", "channel", "sample"]).agg(F.max(F.abs(F.col("value") - F.col("v")))).first()[0] < 1e-9
     none = ica.remove(s, model, model.select("recording", "component").distinct())
@@ -227,3 +232,39 @@ def test_stim_resampling_keeps_every_code(spark):
     x[10], x[50:53] = 4, 9
     y = filtering.resample_stim(frame(spark, s=x), 100, 25).orderBy("sample").toPandas().value.to_numpy()
     assert len(y) == 25 and y[2] == 4 and y[12] == 9 and (y > 0).sum() <= 3
+    assert (filtering.resampled_codes(x, 0.25) == y).all()
+
+
+def test_steps_go_by_type(spark):
+    """Codes of a trigger channel stay codes, and a reference is made of EEG channels, and changes them alone."""
+    rng = np.random.default_rng(9)
+    code = np.zeros(400)
+    code[100:110], code[200:203] = 5, 2
+    s = frame(spark, Fz=rng.normal(0, 10, 400), Cz=rng.normal(0, 10, 400), Pz=np.full(400, 1e4), EOG=rng.normal(0, 90, 400), STI=code)
+    steps = [{"set_bads": {"channels": ["Pz"]}}, {"filter": {"low": 1.0, "high": 40.0}}, {"notch": {"frequency": 50}}, {"notch": {}}, "reference"]
+    state = Pipeline.from_config(steps).run(s, 200.0)
+    wide = state.samples.toPandas().pivot(index="sample", columns="channel", values="value")
+    assert (wide.STI.to_numpy() == code).all() and wide.EOG.std() > 40
+    assert np.allclose(wide.Fz + wide.Cz, 0, atol=1e-6)
+    halved = Pipeline.from_config([{"resample": {"sfreq": 100}}]).run(s, 200.0).samples.toPandas().pivot(index="sample", columns="channel", values="value")
+    assert set(halved.STI) == {0, 2, 5} and (halved.STI == 5).sum() == 5 and len(halved) == 200
+    one_less = Pipeline.from_config([{"reference": {"reference": "Cz", "drop": True}}]).run(s, 200.0)
+    assert {r.channel for r in one_less.samples.select("channel").distinct().collect()} == {"Fz", "Pz", "EOG", "STI"} and one_less.channels.count() == 4
+
+
+def test_names_that_clean_to_one_stay_apart(spark):
+    s = frame(spark, **{"EEG Cz-REF": [1, 1], "Cz": [2, 2], "Pz.": [3, 3], "Cz-1": [4, 4]})
+    state = Pipeline.from_config(["standardize_names"]).run(s, 100.0)
+    names = {r.channel: r.value for r in state.samples.where("sample = 0").collect()}
+    assert len(names) == 4 and names["Cz"] == 2 and names["Pz"] == 3 and set(names.values()) == {1, 2, 3, 4}
+
+
+def test_bad_channels_with_positions_of_the_table(spark):
+    at = {n: p for n, p in standard_positions().items() if p[2] > -0.05}
+    names = sorted(at)[:34]
+    made = simulate(spark, 1, names, 20.0, 64.0, {names[7]: "disconnected"}, seed=3)
+    table = made.select("recording", "channel").distinct().join(spark.createDataFrame([(n, *map(float, at[n])) for n in names], "channel string, x double, y double, z double"), "channel")
+    found = bad_channels.find_bad_channels(made, 64.0, table).toPandas().set_index("channel")
+    assert found.ransac_bad_fraction.notna().all() and found.bad[names[7]]
+    none = bad_channels.find_bad_channels(made, 64.0, table.limit(20)).toPandas()
+    assert none.ransac_bad_fraction.isna().all()
