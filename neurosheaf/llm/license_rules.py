@@ -80,17 +80,91 @@ FORMS = [
 #: Notices that name a licence by its wording: label, keyword, pattern.
 WORDINGS = [
     ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "substantial portions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("x11", "in advertising", "the name of .{1,80}? shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("json", "not evil", "the software shall be used for good not evil"),
     ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ntp", "permission", "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted"),
+    ("postgresql", "written agreement", "for any purpose without fee and without a written agreement is hereby granted"),
     ("bsd-3-clause", "neither", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote"),
     ("bsd-2-clause", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-2-clause", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd-2-clause", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-4-clause", "advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-2-clause-views", "official policies", "the views and conclusions contained in the software and documentation are those of the authors"),
+    ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation"),
     ("apache-2", "apache", "(?:https? )?(?:www )?apache org licenses license 2 0"),
+    ("apache-2", "in compliance", "you may not use this file except in compliance with the license"),
+    ("apache-2", "agreed to in writing", "unless required by applicable law or agreed to in writing software distributed under the license"),
+    ("apache-2-llvm", "llvm", "apache license(?: version| v)? ?2(?: 0)? with llvm exceptions?"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
     ("gpl-3", "gnu", "either version 3 of the license or at your option any later version"),
     ("gpl-2", "gnu", "either version 2 of the license or at your option any later version"),
+    ("gpl-2-only", "gnu", "gnu general public license version 2 only"),
+    ("gpl-3-only", "gnu", "gnu general public license version 3 only"),
+    ("gpl-2-or-later", "gpl", "gpl ?v?(?:ersion )?2(?: 0)? or (?:any )?later(?: version)?"),
+    ("gpl-3-or-later", "gpl", "gpl ?v?(?:ersion )?3(?: 0)? or (?:any )?later(?: version)?"),
+    ("lgpl-2.1-or-later", "lgpl", "lgpl ?v?(?:ersion )?2 1 or (?:any )?later(?: version)?"),
+    ("lgpl-3-or-later", "lgpl", "lgpl ?v?(?:ersion )?3(?: 0)? or (?:any )?later(?: version)?"),
+    ("agpl-3-or-later", "agpl", "agpl ?v?(?:ersion )?3(?: 0)? or (?:any )?later(?: version)?"),
+    ("lgpl-2.1", "gnu", "either version 2 1 of the license or at your option any later version"),
+    ("lgpl", "lesser general", "gnu lesser general public license for more details"),
+    ("lgpl", "library general", "gnu library general public license for more details"),
+    ("agpl-3", "affero", "gnu affero general public license for more details"),
+    ("gpl", "gnu", "gnu general public license for more details"),
+    ("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gfdl", "gnu", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("classpath-exception", "independent modules", "permission to link this library with independent modules to produce an executable"),
+    ("classpath-exception", "classpath", "(?:with )?(?:the )?(?:gnu )?classpath exception"),
+    ("gcc-exception", "runtime library exception", "gcc runtime library exception"),
+    ("bison-exception", "bison", "you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("autoconf-exception", "autoconf", "a configuration script generated by autoconf"),
+    ("font-exception", "this font", "if you create a document which uses this font and embed this font"),
+    ("openssl-exception", "openssl", "permission to link the code of portions of this program with the openssl library"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", " mpl ", "if a copy of the mpl was not distributed with this file"),
+    ("mpl-2-no-copyleft-exception", "secondary licenses", "this source code form is incompatible with secondary licenses"),
+    ("epl-1", "eclipse", "made available under the terms of the eclipse public license v ?1 0"),
+    ("epl-2", "eclipse", "made available under the terms of the eclipse public license(?: v)? ?2 0"),
+    ("cddl-1", "common development", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("ofl-1.1", "font software", "this font software is licensed under the sil open font license version 1 1"),
+    ("ofl-1.1", "font software", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("python-2", " psf ", "psf is making python available to licensee on an as is basis"),
+    ("perl", "as perl itself", "under the same terms as perl itself"),
+    ("artistic-1", "artistic", "the artistic license preamble"),
+    ("boost-1", "person or organization", "free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "what the fuck", "you just do what the fuck you want to"),
+    ("beerware", "a beer", "you can buy me a beer in return"),
     ("zlib", "warranty", "provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("cc0", "public", "waive all copyright and related or neighboring rights"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", "altered source", "altered source versions must be plainly marked as such"),
+    ("ncsa", "ncsa", "university of illinois(?: ncsa)? open source license"),
+    ("ms-pl", "accompanying software", "this license governs use of the accompanying software"),
+    ("cc0", "neighboring", "waive all copyright and related or neighboring rights"),
+    ("cc0", "waived", "to the extent possible under law .{1,80}? has waived all copyright"),
+    ("cc0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
+    ("cc-by", "creativecommons", "creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd [1-4] [05]"),
+    ("odbl-1", "odbl", "made available under the open database license odbl v1 0"),
+    ("public-domain", "public domain", "(?:is|are) (?:hereby )?(?:in|released into|dedicated to|placed in) the public domain"),
+    ("elastic-2", "elastic", "elastic license (?:2 0|v2)"),
+    ("sspl-1", "server side", "server side public license(?: version| v)? ?1?"),
+    ("busl-1.1", "business source", "business source license(?: version)? 1 1"),
+    ("commons-clause", "commons clause", "commons clause license condition"),
+    ("openrail", "rail", "(?:bigscience |creativeml )?(?:open)?rail(?: m)? license"),
+    ("llama-2", "llama", "llama 2 community license"),
     ("proprietary", "reserved", "all rights reserved"),
     ("proprietary", "confidential", "proprietary and confidential"),
+    ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "reproduced", "no part of this .{1,40}? may be reproduced"),
+    ("proprietary", "internal use", "for internal use only"),
 ]
 
 

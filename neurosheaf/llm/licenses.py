@@ -1,9 +1,9 @@
 """Licence scans by ordered signature rules, with DataFrame functions only.
 
 A text is normalised to lower-case words. Rules are looked at only where their keyword occurs, and
-none where no rule's does; each such regex then gives intervals. Of overlapping
-detections, one that lies inside another's interval goes if the other is longer or, at equal
-length, comes earlier in the order of rules. Rows stay where they are: there is no shuffle.
+none where no rule's does; each such regex then gives intervals. Of overlapping detections, one goes that lies inside
+another of the same or a better priority (of equal intervals the rule listed later), and one that holds another of a
+better priority. Rows stay where they are: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def _rule_table(all_rules: list[Rule]) -> Column:
     """A literal array of structs. A place begins after a space and ends before one, so neighbours may share it."""
     rows = (
         F.struct(
-            F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern")
+            F.lit(i).alias("rank"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern")
         )
         for i, r in enumerate(all_rules)
     )
@@ -44,7 +44,7 @@ def _rule_table(all_rules: list[Rule]) -> Column:
 
 
 #: A detection: words from 0, the last one included. ``order`` makes the longest of equal starts sort first.
-PLACE = "first:int,order:int,rank:int,label:string,weight:double,last:int"
+PLACE = "first:int,order:int,priority:int,rank:int,label:string,weight:double,last:int"
 
 
 def _spaces(text: Column) -> Column:
@@ -60,7 +60,7 @@ def _places(text: Column, rule: Column) -> Column:
         def step(s, match):
             first = s["at"] + _spaces(F.get(between, s["i"]))
             after = first + _spaces(match)
-            place = F.struct(first.alias("first"), (-after).alias("order"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["weight"].alias("weight"), (after - 1).alias("last"))
+            place = F.struct(first.alias("first"), (-after).alias("order"), rule["priority"].alias("priority"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["weight"].alias("weight"), (after - 1).alias("last"))
             return F.struct((s["i"] + 1).alias("i"), after.alias("at"), F.concat(s["out"], F.array(place)).alias("out"))
 
         return F.aggregate(found, start, step)["out"]
@@ -69,15 +69,39 @@ def _places(text: Column, rule: Column) -> Column:
     return let(parts, lambda m: walk(m["f"], m["b"]))
 
 
-def _resolved(places: Column, base: int) -> Column:
-    """Base places, and those that lie in no other: in sorted order, those that end after all before them."""
-    start = F.struct(F.lit(-1).alias("reach"), F.expr(f"cast(array() as array<struct<{PLACE}>>)").alias("out"))
+def _resolved(places: Column, base: int, priorities: list[int]) -> Column:
+    """Base places, and those that no other suppresses. Two passes over the places in order, each with a number for every priority.
 
-    def step(s, p):
-        kept = (p["rank"] < base) | (p["last"] > s["reach"])
-        return F.struct(F.greatest(s["reach"], p["last"]).alias("reach"), F.when(kept, F.concat(s["out"], F.array(p))).otherwise(s["out"]).alias("out"))
+    From the right, shortest first: where the nearest place of each priority ends; one that ends no sooner than one of a
+    better priority holds it. From the left, longest first: how far the places so far of each priority reach; one that reaches no
+    further than one of its own or a better priority lies inside it. Base places are never suppressed, and suppress what
+    lies inside them, but not what holds them: that says more.
+    """
+    known = F.array(*map(F.lit, priorities))
+
+    def passed(listed: Column, start: int, best, out) -> Column:
+        empty = F.expr(f"cast(array() as array<struct<{PLACE},held:boolean>>)")
+
+        def step(s, p):
+            at = F.array_position(known, p["priority"]).cast("int")
+            ends = F.transform(s["ends"], lambda e, i: F.when(i + 1 == at, best(e, p["last"])).otherwise(e))
+            return F.struct(ends.alias("ends"), out(s["out"], s["ends"], at, p).alias("out"))
+
+        return F.aggregate(listed, F.struct(F.array(*(F.lit(start) for _ in priorities)).alias("ends"), empty.alias("out")), step)["out"]
 
-    return F.aggregate(F.array_sort(places), start, step)["out"]
+    def with_held(listed, ends, at, p):
+        held = F.exists(F.slice(ends, 2, F.greatest(at - 2, F.lit(0))), lambda e: e <= p["last"])
+        return F.concat(listed, F.array(p.withField("held", held)))
+
+    def without_suppressed(listed, ends, at, p):
+        inside = F.exists(F.slice(ends, F.lit(1), at), lambda e: e >= p["last"])
+        kept = (p["rank"] < base) | ~(p["held"] | inside)
+        return F.when(kept, F.concat(listed, F.array(p))).otherwise(listed)
+
+    judged = passed(F.reverse(F.array_sort(places)), 1 << 30, F.least, with_held)
+    resolved = passed(F.reverse(judged), -1, F.greatest, without_suppressed)
+    # Most texts have one place at most.
+    return F.when(F.size(places) > 1, resolved).otherwise(F.transform(places, lambda p: p.withField("held", F.lit(False))))
 
 
 def scan(docs: DataFrame, text_col: str = "text", all_rules: list[Rule] | None = None) -> DataFrame:
@@ -93,8 +117,11 @@ def scan(docs: DataFrame, text_col: str = "text", all_rules: list[Rule] | None =
     gate = let(F.lower("__norm__"), lambda s: reduce(or_, (F.contains(s, F.lit(t)) for t in triggers(used))))
 
     def detections(text: Column) -> Column:
+        def resolved(found: Column) -> Column:
+            return _resolved(found, base, sorted({r.priority for r in used}))
+
         tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k)))
-        kept = _resolved(F.flatten(F.transform(tried, lambda r: _places(text, r))), base)
+        kept = let(F.flatten(F.transform(tried, lambda r: _places(text, r))), resolved)
         return F.transform(kept, lambda p: F.struct(*(p[c].alias(c) for c in ("first", "last", "rank", "label", "weight"))))
 
     # A text of words has a space on each side of each; one without is a space or two.

@@ -1,7 +1,7 @@
 import re
 
 from neurosheaf.llm import licenses
-from neurosheaf.llm.license_rules import BASE, rules
+from neurosheaf.llm.license_rules import BASE, FORMS, LICENSES, Rule, rules
 
 SCHEMA = "doc_id long, text string, found string, score string, n_words string, labels string"
 TEXTS = [
@@ -45,19 +45,52 @@ def test_detections(spark):
     assert got[6].labels == "" and got[6].score == 0
 
 
+def plain(text):
+    """What is left of all matches of all regexes, without keywords: (first, last, rank)."""
+    norm = f" {' '.join(words(text))} "
+    found = []
+    for rank, r in enumerate(rules()):
+        for m in re.finditer(rf" (?:{r.pattern})(?= )", norm):
+            first = norm[: m.start() + 1].count(" ") - 1
+            found.append((first, first + m[0].count(" ") - 1, rank, r.priority))
+
+    def suppressed(x):
+        for y in found:
+            within = y[0] <= x[0] and x[1] <= y[1] and (y[:2] != x[:2] or (y[3], y[2]) < (x[3], x[2]))
+            if within and y[3] <= x[3]:
+                return True
+            if x[0] <= y[0] and y[1] <= x[1] and 0 < y[3] < x[3]:
+                return True
+        return False
+
+    return sorted(x[:3] for x in found if x[2] < len(BASE) or not suppressed(x))
+
+
 def test_detections_against_plain_regexes(spark):
     texts = [f"{a} {b} {c}" for a in ("licensed under the", "see", "SPDX-License-Identifier") for b in ("LGPL v2.1", "creative commons attribution share alike 4.0", "Mozilla Public License 2.0", "Artistic License 2.0", "isc") for c in ("license", "now", "licence and redistribution")]
+    got = scanned(spark, [*texts, *TEXTS[:6]])
+    for i, t in enumerate([*texts, *TEXTS[:6]]):
+        assert sorted((p["first"], p["last"], p["rank"]) for p in got[i].found) == plain(t), t
+
+
+def test_every_form_with_every_name(spark):
+    """In lower, upper and title case, between other words."""
+    texts = []
+    for k, (_, form, _) in enumerate(FORMS):
+        for j, (_, _, name) in enumerate(LICENSES):
+            t = example(form.replace("{name}", f"(?:{name})"))
+            texts.append(f"some words, {(t, t.upper(), t.title())[(j + k) % 3]}; and others")
     got = scanned(spark, texts)
     for i, t in enumerate(texts):
-        norm = f" {' '.join(words(t))} "
-        found = []
-        for rank, r in enumerate(rules()):
-            for m in re.finditer(rf" (?:{r.pattern})(?= )", norm):
-                first = norm[: m.start() + 1].count(" ") - 1
-                found.append((first, first + m[0].count(" ") - 1, rank, r.label))
-        # One that lies in another goes if it is shorter, or equally long and later.
-        kept = [x for x in found if x[2] < len(BASE) or not any(y is not x and y[0] <= x[0] and y[1] >= x[1] and ((y[1] - y[0]) > (x[1] - x[0]) or y[2] < x[2]) for y in found)]
-        assert sorted((p["first"], p["last"], p["rank"]) for p in got[i].found) == sorted(k[:3] for k in kept), t
+        assert got[i].found and sorted((p["first"], p["last"], p["rank"]) for p in got[i].found) == plain(t), t
+
+
+def test_priority_decides_between_a_form_and_a_longer_one(spark):
+    """A detection of a better priority stays, whether it lies in one of a worse priority or holds it."""
+    own = [*rules()[: len(BASE)], Rule("long", 50, ("alpha",), "alpha beta gamma", 0.5), Rule("short", 10, ("beta",), "beta", 0.5), Rule("same", 50, ("alpha",), "alpha beta", 0.5), Rule("worse", 60, ("gamma",), "gamma", 0.5)]
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha gamma"), (3, "beta alpha beta delta")], "doc_id long, text string")
+    got = {r.doc_id: sorted(p["label"] for p in r.found) for r in licenses.scan(docs, all_rules=own).collect()}
+    assert got == {1: ["short"], 2: ["worse"], 3: ["short", "short"]}
 
 
 def test_no_rows(spark):
