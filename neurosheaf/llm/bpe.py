@@ -1,7 +1,7 @@
 """Byte-level BPE by longest matches with backtracking.
 
-A word (one match of the pre-tokenizer) is mapped from bytes to Latin-1 characters, so that an
-Aho-Corasick automaton over the vocabulary finds every token in it. Tokens are then taken longest
+A word (one match of the pre-tokenizer) is mapped from bytes to Latin-1 characters, so that the trie of an
+automaton over the vocabulary gives the longest token at a place. Tokens are taken longest
 first. A token may follow another only if plain merging of the two together gives the two back; a
 sequence whose neighbours are all compatible in that sense is the one that the merges give. When no
 token fits, the last one is given up and the position is closed, so each position is opened once.
@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import resident, slices, widened
+from .common import fresh, resident, slices, widened
 
 #: Words (twice) and pairs of tokens kept by a worker, at most.
 MEMO = 150_000
@@ -161,19 +161,28 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out_col: str = "ids", whole_col: str = "round_trip") -> DataFrame:
-    """encode(), and ``whole_col``: whether the bytes decoded from the ids are the text's. One pass over the texts, by one worker a task."""
+    """encode(), and ``whole_col``: whether the bytes decoded from the ids are the text's. One pass over the texts, by one worker a task.
+
+    A null or empty text has no ids and comes back whole; rows are treated one by one, repeated ones alike, and texts of any
+    length in one piece. Columns of the two names in ``docs`` are replaced, all others pass through.
+    """
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in {out_col.lower(), whole_col.lower()}))
     kind = pa.struct([(out_col, pa.list_(pa.int32())), (whole_col, pa.bool_())])
 
     def both(e: Encoder, text: str):
         ids = e.encode(text)
         return {out_col: np.array(ids, np.int32), whole_col: e.decode(ids) == text.encode()}
 
-    found = _map_texts(docs, ranks, pattern, text_col, "__both__", f"struct<`{out_col}`:array<int>,`{whole_col}`:boolean>", kind, both)
-    return found.select(*docs.columns, "__both__.*")
+    name = fresh(docs.columns, "both")
+    found = _map_texts(docs, ranks, pattern, text_col, name, f"struct<`{out_col}`:array<int>,`{whole_col}`:boolean>", kind, both)
+    return found.select(*docs.columns, f"{name}.*")
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
-    """Adds n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 (of the bytes decoded from the ids)."""
+    """Adds n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 (of the bytes decoded from the ids).
+
+    A null or empty text has 0 tokens and the digests of nothing. Columns of the three names in ``docs`` are replaced.
+    """
 
     def digest(e: Encoder, text: str):
         ids = e.encode(text)
@@ -184,8 +193,7 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: st
         }
 
     kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    taken = {c.lower() for c in docs.columns}
-    name = next(x for i in range(len(taken) + 1) if (x := f"_digest{i}") not in taken)
+    name = fresh(docs.columns, "digest")
     found = _map_texts(docs, ranks, pattern, text_col, name, "struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>", kind, digest)
     return found.select(*(c for c in docs.columns if c.lower() not in {"n_tokens", "ids_sha256", "decoded_sha256"}), f"{name}.*")
 

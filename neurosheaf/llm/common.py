@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +34,61 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, kept in the shared folder, with their lineage cut."""
+    """The rows, kept in the shared folder, with their lineage cut. For what is small or lasts as long as the result; see Scratch for more."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with _freed(df.sparkSession):
+        return df.checkpoint()
+
+
+#: Frees a statement's shuffle files when it has ended; what it made then stands in the shared folder.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _freed(spark: SparkSession):
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before)
+
+
+def gathered(df: DataFrame) -> pa.Table:
+    """The rows of a table of bounded size, on the driver."""
+    with _freed(df.sparkSession):
+        return df.toArrow()
+
+
+class Scratch:
+    """Tables that an operator makes on its way, as Parquet in the shared folder: a lost executor takes none with it. Their
+    shuffle files go as soon as a table stands, and a table goes with drop(), when what was made from it stands."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        with _freed(self.spark):
+            df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = kept, path
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(self.spark, self.paths[id(t)][1])
+
+
+    def clear(self) -> None:
+        """Removes all of them."""
+        remove(self.spark, self.folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store Spark wrote it to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def let(value: Column, body) -> Column:
@@ -63,6 +117,12 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A name that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    return next(x for i in range(len(taken) + 1) if (x := f"_{name}{i}") not in taken)
+
+
 _RESIDENT: dict[str, object] = {}
 
 

@@ -76,11 +76,11 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
     return F.get(F.lit(hilbert_order(dims, bits)), cell)
 
 
-def hilbert_shards(df: DataFrame, coordinates: list[Column], bits: int, shards: int, tie: Column) -> DataFrame:
+def hilbert_shards(df: DataFrame, coordinates: list[Column], bits: int, shards: int, tie: Column, further: tuple[Column, ...] = ()) -> DataFrame:
     """Adds curve (int), shard (int, from 0) and slot (long, gapless from 0 in each shard).
 
     Shards are runs of the order (curve, hash slice of tie, tie), and their counts differ by one at
-    most. Ties keep some order of their own. Null coordinates aren't allowed (the quantisers give
+    most. Rows of one tie are ordered by ``further``, so that a task run again gives them the same slots. Null coordinates aren't allowed (the quantisers give
     none); a null tie is one more value. Fewer rows than shards: some shards stay empty. The columns
     curve, slice, shard and slot of ``df`` are replaced.
 
@@ -101,10 +101,9 @@ def hilbert_shards(df: DataFrame, coordinates: list[Column], bits: int, shards:
     offsets = counts.join(F.broadcast(cells), F.col("curve") == F.col("cell")).select(
         F.col("curve").alias("__curve__"), F.col("slice").alias("__slice__"), (F.col("start") + F.col("before")).alias("__start__"), F.col("total").alias("__total__")
     )
-    ranked = placed.withColumn("slot", F.row_number().over(W.partitionBy("curve", "slice").orderBy(tie)) - 1)
+    ranked = placed.withColumn("slot", F.row_number().over(W.partitionBy("curve", "slice").orderBy(tie, *further)) - 1)
     ranked = ranked.join(offsets, (F.col("curve") == F.col("__curve__")) & (F.col("slice") == F.col("__slice__")))
     rank = F.col("__start__") + F.col("slot")
-    shard = F.floor(rank * shards / F.col("__total__"))
     shard = F.expr(f"({shards} * (__start__ + slot)) div __total__")
     first = F.expr(f"(shard * __total__ + {shards - 1}) div {shards}")
     return (

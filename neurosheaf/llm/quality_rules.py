@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import by_ids, cut, let
+from .common import by_ids, cut, fresh, let
 
 WHITE = r"[\x20\x09-\x0D]"
 #: Feature and cutoffs, most lenient first; a document is over a cutoff if its value is greater.
@@ -188,17 +188,20 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def verdicts(measured: DataFrame, accepted: DataFrame, stratum: str = "lang") -> DataFrame:
-    """Adds base_failed and kept to measure()'s rows: kept ones aren't base_failed and over no cutoff of their stratum."""
-    cutoffs = accepted.groupBy(F.col("stratum").alias("__stratum__")).pivot("feature", list(LADDERS)).agg(F.min("cutoff"))
-    cutoffs = cut(cutoffs.select("__stratum__", *(F.col(f).alias(f"_{f}") for f in LADDERS)))
+    """Adds base_failed and kept to measure()'s rows: kept ones aren't base_failed and over no cutoff of their stratum.
+
+    Columns of these two names are replaced; all others pass through."""
+    name = {c: fresh(measured.columns, c) for c in ("stratum", "key", *LADDERS)}
+    cutoffs = accepted.groupBy(F.col("stratum").alias(name["stratum"])).pivot("feature", list(LADDERS)).agg(F.min("cutoff"))
+    cutoffs = cut(cutoffs.select(name["stratum"], *(F.col(f).alias(name[f]) for f in LADDERS)))
     if cutoffs.count() <= BROADCAST_STRATA:
         cutoffs = F.broadcast(cutoffs)
-    judged = measured.withColumn("__key__", F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(cutoffs, F.col("__key__") == F.col("__stratum__"), "left")
+    judged = measured.withColumn(name["key"], F.coalesce(F.col(stratum).cast("string"), F.lit(""))).join(cutoffs, F.col(name["key"]) == F.col(name["stratum"]), "left")
     over = F.lit(False)
     for f, value in ratios().items():
-        over = over | F.coalesce(value > F.col(f"_{f}"), F.lit(False))
+        over = over | F.coalesce(value > F.col(name[f]), F.lit(False))
     failed = base_failed()
-    return judged.withColumns({"base_failed": failed, "kept": ~failed & ~over}).drop("__key__", "__stratum__", *(f"_{f}" for f in LADDERS))
+    return judged.withColumns({"base_failed": failed, "kept": ~failed & ~over}).drop(*name.values())
 
 
 def judge_ids(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:

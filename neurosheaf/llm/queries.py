@@ -32,7 +32,7 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     axes = [hilbert.by_hash(F.col("lang"), 4), hilbert.by_hash(F.col("source"), 4), hilbert.by_log2(F.col("size"), 4)]
-    placed = hilbert.hilbert_shards(docs, axes, 4, SHARDS, F.col("doc_id"))
+    placed = hilbert.hilbert_shards(docs, axes, 4, SHARDS, F.col("doc_id"), (F.col("size"), F.col("text_crc32")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
@@ -121,7 +121,7 @@ def _sharding_sql() -> str:
 tables AS (SELECT {_crc_table()} AS crc, {hilbert.hilbert_order(3, 4)} AS hilbert),
 c AS (SELECT doc_id, size, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32,
   hilbert[{cell} + 1] AS curve, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 7) AS BIGINT) % 1024 AS slice FROM s, tables),
-r AS (SELECT *, row_number() OVER (ORDER BY curve, slice, doc_id) - 1 AS place, count(*) OVER () AS total FROM c), h AS (SELECT *, ({SHARDS} * place) // total AS shard FROM r)
+r AS (SELECT *, row_number() OVER (ORDER BY curve, slice, doc_id, size, text_crc32) - 1 AS place, count(*) OVER () AS total FROM c), h AS (SELECT *, ({SHARDS} * place) // total AS shard FROM r)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(place - (shard * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(curve AS INTEGER) AS curve FROM h"""
 
 

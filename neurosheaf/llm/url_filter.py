@@ -95,8 +95,22 @@ def node_of(url: Column) -> Column:
     return F.when(at > 0, F.concat(ascii_lower(F.substr(bare, F.lit(1), at + 2)), ascii_lower(host), F.substr(rest, F.length(host) + 1)))
 
 
+def _without_dots(url: Column) -> Column:
+    """A url without ``.`` and ``..`` in its path; a ``..`` at the root goes."""
+    root, path, rest = (F.regexp_extract(url, r"(?s)^([^:/?#]+://[^/?#]*)([^?#]*)(.*)$", g) for g in (1, 2, 3))
+    parts = F.split(path, "/")
+
+    def step(done, part):
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    plain = F.concat(F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step), folder)
+    return F.when(F.contains(path, F.lit("/.")), F.concat(root, F.array_join(plain, "/"), rest)).otherwise(url)
+
+
 def resolved(target: Column, base: Column) -> Column:
-    """An absolute url for the target of a link: absolute as it is; ``//host``, ``/path``, ``?query`` and names beside the base."""
+    """An absolute url for the target of a link: absolute as it is; ``//host``, ``/path``, ``?query`` and names beside the base, with dots taken out of the path."""
     scheme, root = F.regexp_extract(base, r"^([^:/?#]+):", 1), F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
     bare = F.regexp_extract(base, r"(?s)^([^?#]*)", 1)
     folder = F.when(F.length(bare) > F.length(root), F.regexp_extract(bare, r"(?s)^(.*/)", 1)).otherwise(F.concat(root, F.lit("/")))
@@ -104,22 +118,26 @@ def resolved(target: Column, base: Column) -> Column:
         F.when(F.trim(target) == "", None)
         .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(root, target))
+        .when(F.startswith(target, F.lit("/")), _without_dots(F.concat(root, target)))
         .when(F.startswith(target, F.lit("?")), F.concat(bare, target))
         .when(target.rlike(r"^(#|[A-Za-z][A-Za-z0-9+.-]*:)"), None)
-        .otherwise(F.concat(folder, target))
+        .otherwise(_without_dots(F.concat(folder, target)))
     )
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(u, v) from canonical links and meta refreshes in pages; a page with neither, or null html or url, gives none."""
+    """(u, v) from all canonical links and meta refreshes in pages; a page with neither, or null html or url, gives none."""
     html = F.col(html_col)
     kinds = ((_CANONICAL, "canonical", 3), (_REFRESH, "refresh", 1))
     targets = []
     for pattern, word, groups in kinds:
-        found = F.coalesce(*(F.nullif(F.regexp_extract(html, pattern, g), F.lit("")) for g in range(1, groups + 1)))
-        targets.append(F.when(html.rlike(f"(?i){word}"), F.replace(F.trim(found), F.lit("&amp;"), F.lit("&"))))
-    links = pages.select(F.col(url_col).alias("base"), F.explode(F.array(*targets)).alias("target")).where("target is not null")
+        def target(tag, pattern=pattern, groups=groups):
+            found = F.coalesce(*(F.nullif(F.regexp_extract(tag, pattern, g), F.lit("")) for g in range(1, groups + 1)))
+            return F.replace(F.trim(found), F.lit("&amp;"), F.lit("&"))
+
+        tags = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+        targets.append(F.when(html.rlike(f"(?i){word}"), F.transform(tags, target)).otherwise(F.array().cast("array<string>")))
+    links = pages.select(F.col(url_col).alias("base"), F.explode(F.concat(*targets)).alias("target")).where("target is not null")
     return links.select(node_of(F.col("base")).alias("u"), node_of(resolved(F.col("target"), F.col("base"))).alias("v")).where("u <> v")
 
 
@@ -133,7 +151,8 @@ def judge(pages: DataFrame, rules: list[UrlRule] | DataFrame, edges: DataFrame,
     groups = cut(connected_components(edges.select("u", "v").where("u is not null and v is not null")))
     judged = match_rules(groups, rules, "node")
     blocked = judged.where("best is not null and not best.allow").select("component").distinct()
-    aliases = groups.join(blocked, "component", "left_semi").select(F.col("node").alias("__alias__"))
+    # Dealt out once more, so that adaptive execution can split the partition of a component with very many aliases.
+    aliases = groups.join(dealt(blocked), "component", "left_semi").select(F.col("node").alias("__alias__"))
     own = pages.drop("host", "path", "best", "rule", "alias_blocked", "verdict")
     matched = match_rules(own, rules, url_col).join(aliases, node_of(F.col(url_col)) == F.col("__alias__"), "left")
     verdict = F.when(F.col("best").isNotNull(), F.col("best.allow")).otherwise(F.col("__alias__").isNull())

@@ -278,7 +278,10 @@ def page_of(urn: Column) -> Column:
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Archives all pages in the shared folder and reads them back: (page_id, payload_bytes, payload_digest, record_type, refers_to, problem)."""
+    """Archives all pages in the shared folder and reads them back: (page_id, payload_bytes, payload_digest, record_type, refers_to, problem).
+
+    A null or empty html is a payload of no bytes, and a null url an empty one. Other columns of ``pages`` don't matter.
+    """
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, **options)
     read = read_archives(pages.sparkSession, path)

@@ -55,13 +55,28 @@ def test_blocks_reach_aliases_but_not_explicit_allows(spark):
         (10, None, link("http://x.net/es/3")),
         (11, "http://f.org/a", link("//x.net/es/3")),
         (12, "http://f.org/b", link("mailto:x@x.net") + link("")),
+        (13, "http://g.org/a/b/c", link("http://g.org/") + link("http://x.net/es/3")),
+        (14, "http://h.org/a/b/c", link("../../../x/./y?q=../z")),
+        (15, "http://h.org/x/y?q=../z", link("//x.net/es/3")),
+        (16, "http://h.org/k/", link("./../x/..")),
     ]
     pages = spark.createDataFrame([(*r, None, None, None, None) for r in rows], SCHEMA)
     got = {r.page_id: r.verdict for r in url_filter.judge(pages, URL_RULES, url_filter.page_edges(pages)).collect()}
-    assert {i for i, v in got.items() if v == "block"} == {1, 2, 3, 7, 8, 11}
+    assert {i for i, v in got.items() if v == "block"} == {1, 2, 3, 7, 8, 11, 13, 14, 15}
 
 
 def test_a_hub_of_aliases(spark):
     edges = spark.createDataFrame([(f"http://m{i}.org/", "http://x.net/es/hub") for i in range(500)] + [(None, "x"), ("y", None)], "u string, v string")
     pages = spark.createDataFrame([(i, f"http://m{i % 500}.org/", None, None, None, None, None) for i in range(1000)], SCHEMA)
     assert url_filter.judge(pages, URL_RULES, edges).where("verdict = 'block'").count() == 1000
+
+
+def test_a_long_chain_and_a_large_hub(spark):
+    """Blocks travel along 200 redirects, and to 20,000 aliases of one page."""
+    chain = [(f"http://c{i}.org/", f"http://c{i + 1}.org/") for i in range(200)] + [("http://c200.org/", "http://x.net/fr/end")]
+    hub = spark.range(20_000).selectExpr("concat('http://h', id, '.org/') u", "'http://x.net/es/hub' v")
+    edges = spark.createDataFrame(chain, "u string, v string").union(hub)
+    pages = spark.range(20_000).selectExpr("id page_id", "concat('http://h', id, '.org/') url").union(spark.range(201).selectExpr("id + 50000", "concat('http://c', id, '.org/')"))
+    pages = pages.union(spark.createDataFrame([(90_000, "http://other.org/")], "page_id long, url string"))
+    got = url_filter.judge(pages, URL_RULES, edges)
+    assert got.where("verdict = 'allow'").select("page_id").collect() == [(90_000,)]
