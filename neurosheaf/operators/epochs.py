@@ -75,12 +75,27 @@ def detrend(epochs: DataFrame) -> DataFrame:
     return epochs.withColumn("value", v - F.avg(v).over(group) - F.coalesce(slope, F.lit(0.0)) * (t - F.avg(t).over(group)))
 
 
-def rejected(epochs: DataFrame, reject: float | None = None, flat: float | None = None) -> DataFrame:
-    """(recording, epoch, reason, channels): epochs with a channel's range over ``reject``, or else below ``flat``; three channels at most are named."""
+def rejected(epochs: DataFrame, reject: float | dict[str, float] | None = None, flat: float | dict[str, float] | None = None, channels: DataFrame | None = None) -> DataFrame:
+    """(recording, epoch, reason, channels): epochs with a channel's range over ``reject``, or else below ``flat``; three channels at most are named.
+
+    Limits are numbers, or numbers by type of channel, for which ``channels`` (recording, channel, ch_type, bad) is needed; with
+    it, channels marked bad have no say, and one number is meant for EEG.
+    """
     ptp = epochs.groupBy(*EPOCH, "channel").agg((F.max("value") - F.min("value")).alias("ptp"))
-    over = F.lit(False) if reject is None else F.col("ptp") > reject
-    under = F.lit(False) if flat is None else F.col("ptp") < flat
-    marked = ptp.withColumn("reason", F.when(over, "REJECT").when(under, "FLAT")).where("reason is not null")
+    if channels is not None:
+        ptp = ptp.join(channels.where("not bad").select("recording", "channel", "ch_type"), ["recording", "channel"])
+    elif isinstance(reject, dict) or isinstance(flat, dict):
+        raise ValueError("limits by type need the table of channels")
+
+    def limit(x) -> Column:
+        if x is None:
+            return F.lit(None).cast("double")
+        if channels is None:
+            return F.lit(float(x))
+        by_type = x if isinstance(x, dict) else {"eeg": x}
+        return F.try_element_at(F.create_map(*(F.lit(v) for k, y in by_type.items() for v in (k, float(y)))), F.col("ch_type"))
+
+    marked = ptp.withColumn("reason", F.when(F.col("ptp") > limit(reject), "REJECT").when(F.col("ptp") < limit(flat), "FLAT")).where("reason is not null")
     found = marked.groupBy(*EPOCH).agg(F.max("reason").alias("reason"), F.sort_array(F.collect_list(F.struct("reason", "channel"))).alias("c"))
     names = F.transform(F.filter("c", lambda x: x["reason"] == F.col("reason")), lambda x: x["channel"])
     return found.select(*EPOCH, "reason", F.array_join(F.slice(names, 1, 3), ",").alias("channels"))

@@ -493,7 +493,15 @@ def _(spark, d):
     return signals.pick(spatial.apply_weights(cap(spark, d), weights), ["c05", "c40"])
 
 
-@register("current_source_density")
+def _density() -> list[tuple[str, str, float]]:
+    import numpy as np
+
+    at = _cap_positions()
+    made = montage.density_weights(np.array(list(at.values())))
+    return [(o, c, float(w)) for o, row in zip(at, made, strict=True) for c, w in zip(at, row, strict=True)]
+
+
+@register("current_source_density", f"WITH {CAP}, w(output, channel, weight) AS (VALUES " + ", ".join(f"('{o}', '{c}', CAST({w!r} AS DOUBLE))" for o, c, w in _density()) + f") SELECT recording, output AS channel, CAST(sample AS BIGINT) AS sample, {r6('sum(value * weight)')} AS value FROM cap JOIN w USING (channel) GROUP BY ALL")
 def _(spark, d):
     return spatial.apply_weights(cap(spark, d), spatial.density_weights(spark, _cap_positions()))
 
@@ -806,9 +814,13 @@ def _(spark, d):
     return ranking.rank_channels(sig(spark, d), RATE, "alpha")
 
 
-@register("rank_by_discriminability")
+@register("rank_by_discriminability", f"""WITH {_TRIALS}, c AS (SELECT channel, condition, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM tr WHERE condition IN ('0', '1') GROUP BY ALL), g AS (SELECT *, sum(n * m) OVER (PARTITION BY channel) / sum(n) OVER (PARTITION BY channel) AS mu FROM c),
+s AS (SELECT channel, sum(n * (m - mu) * (m - mu)) / sum(n * v) AS value FROM g GROUP BY ALL), p AS (SELECT channel, condition, rank() OVER o + (count(*) OVER (PARTITION BY channel, value) - 1) / 2.0 AS place FROM tr WHERE condition IN ('0', '1') WINDOW o AS (PARTITION BY channel ORDER BY value)),
+r AS (SELECT channel, sum(CASE WHEN condition = '0' THEN place END) AS r, sum(CASE WHEN condition = '0' THEN 1.0 ELSE 0.0 END) AS n1, sum(CASE WHEN condition = '1' THEN 1.0 ELSE 0.0 END) AS n2 FROM p GROUP BY ALL), u AS (SELECT channel, (r - n1 * (n1 + 1) / 2) / (n1 * n2) AS u FROM r)
+SELECT CAST(0 AS BIGINT) AS recording, channel, {r6('value')} AS value, row_number() OVER (ORDER BY value DESC, channel) AS rank, '0' AS feature, {r6('CAST(greatest(u, 1 - u) AS DOUBLE)')} AS auc FROM s JOIN u USING (channel)""")
 def _(spark, d):
-    return ranking.rank_trials(_trials(spark, d).withColumn("time", F.lit(0).cast("long")), "discriminability")
+    two = _trials(spark, d).where("condition in ('0', '1')").withColumn("time", F.lit(0).cast("long"))
+    return ranking.rank_trials(two, "discriminability").drop("p_value")
 
 
 # Files, pipelines, reports
@@ -824,6 +836,26 @@ def _(spark, d):
     return both.groupBy(*signals.KEY).agg(F.count("*").alias("n"), (F.max(F.abs(F.col("value") - F.col("read"))) < span * 1e-4).alias("close"))
 
 
+@register("typed_pipeline", f"""WITH {SIG}, r AS (SELECT recording, channel, sample, CASE WHEN channel IN ('disc', 'price', 'qty') AND sample BETWEEN 20 AND 299 THEN value - avg(CASE WHEN channel IN ('disc', 'qty') THEN value END) OVER (PARTITION BY recording, sample) ELSE value END AS value FROM sig),
+t AS (SELECT recording, 'eog' AS channel, sample, price AS value FROM wide UNION ALL SELECT recording, 'STI', sample, tax * 100 FROM wide UNION ALL SELECT recording, channel, sample, value FROM r WHERE channel IN ('disc', 'price', 'qty'))
+SELECT recording, channel, CAST(sample - 20 AS BIGINT) AS sample, {r6('value')} AS value FROM t WHERE sample BETWEEN 20 AND 299""")
+def _(spark, d):
+    """A reference with an EOG and a trigger channel, which it leaves as they are, and a bad one, which it doesn't pool."""
+    s = sig(spark, d)
+    more = [s.where(f"channel = '{c}'").select("recording", F.lit(n).alias("channel"), "sample", (F.col("value") * k).alias("value")) for c, n, k in (("price", "eog", 1), ("tax", "STI", 100))]
+    s = s.where("channel <> 'tax'").unionByName(more[0]).unionByName(more[1])
+    steps = [{"crop": {"tmin": 0.2, "tmax": 2.99}}, {"set_channel_types": {"types": {"eog": "eog", "STI": "stim"}}}, {"set_bads": {"channels": ["price"]}}, "reference"]
+    return Pipeline.from_config(steps).run(s, RATE).samples
+
+
+@register("bad_channels_with_positions")
+def _(spark, d):
+    """All criteria, prediction from neighbours too, over caps of 64 channels; every window is looked at."""
+    at = _positions(spark)
+    table = cap(spark, d).select(*signals.KEY).distinct().join(at, "channel")
+    return bad_channels.find_bad_channels(cap(spark, d), 64.0, table, ransac_windows=1 << 30).drop("deviation_z", "hf_noise_z")
+
+
 @register("cleaning_pipeline")
 def _(spark, d):
     steps = [{"filter": {"low": 1.0, "high": 40.0}}, {"notch": {"frequency": "auto"}}, {"set_bads": {"channels": ["price"]}}, "reference", {"resample": {"sfreq": 50.0}}]
