@@ -3,91 +3,21 @@
 The model is ``word_model``: pairs of words with an unbounded vocabulary, whose table is sharded by hash and
 joined with the distinct words and pairs of each document. Documents above a quantile of their language's
 trusted perplexities are rejected.
-
-fit(), Model and perplexities() are a model of 4-grams of 48 character classes with a bounded table, which
-the query and the pipeline don't use.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import word_model
-from .common import by_ids, cut, slices, widened
+from .common import by_ids, cut
 
-ORDER, CLASSES = 4, 48
 #: Log perplexities are compared in steps of this.
 STEP = 0.001
 #: Of a language's trusted documents, the share that stays.
 KEPT_SHARE = 0.995
-#: Characters of a text scored or counted at a time.
-CHUNK = 1 << 20
-
-
-def _class_table() -> np.ndarray:
-    """Class of each code point below 2**16: 0 text boundary, 1-26 letters, 27 digits, 28 white space, 29-35 ASCII marks, 36-47 the rest by number."""
-    table = 36 + np.arange(1 << 16, dtype=np.int64) % 12
-    for i in range(26):
-        table[ord("a") + i] = table[ord("A") + i] = 1 + i
-    table[ord("0") : ord("9") + 1] = 27
-    table[:33] = 28
-    marks = {".": 29, ",": 30, "'": 31, '"': 31, "-": 32, "!": 33, "?": 33, ":": 34, ";": 34, "(": 34, ")": 34}
-    for c in range(33, 127):
-        if not chr(c).isalnum():
-            table[c] = marks.get(chr(c), 35)
-    return table.astype(np.int32)
-
-
-_TABLE = _class_table()
-
-
-def ngram_codes(text: str):
-    """Codes of the n-grams of a text with its boundaries, as arrays of bounded length."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    before = np.zeros(ORDER - 1, np.int32)
-    for at in range(0, len(points), CHUNK):
-        part = _TABLE[points[at : at + CHUNK] & 0xFFFF]
-        last = at + CHUNK >= len(points)
-        part = np.concatenate([before, part, np.zeros(int(last), np.int32)])
-        codes = part[: len(part) - ORDER + 1].copy()
-        for k in range(1, ORDER):
-            codes = codes * CLASSES + part[k : len(part) - ORDER + 1 + k]
-        before = part[len(part) - ORDER + 1 :]
-        yield codes
-
-
-def ngram_counts(texts: DataFrame) -> DataFrame:
-    """(code, c): n-grams of all rows of the one text column; null and empty texts have none."""
-
-    def run(batches):
-        known, total = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        held, n = [], 0
-
-        def add():
-            nonlocal known, total
-            if held:
-                new, counts = np.unique(np.concatenate(held), return_counts=True)
-                known, at = np.unique(np.concatenate([known, new]), return_inverse=True)
-                total = np.bincount(at, np.concatenate([total, counts])).astype(np.int64)
-
-        for b in batches:
-            for t in b.column(0):
-                for codes in ngram_codes(t.as_py() or ""):
-                    held.append(codes)
-                    n += len(codes)
-                    if n > 2 * CHUNK:
-                        add()
-                        held, n = [], 0
-        add()
-        for at in range(0, len(known), 100_000):
-            part = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(known[part].astype(np.int64)), pa.array(total[part])], names=["code", "c"])
-
-    return texts.mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -99,80 +29,6 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) if a else 0.5 for i, a, b in ratios)
 
 
-def fit(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Probabilities (k, code, p) of the n-grams seen of each order k, and weights (k, context, gamma) of backing off."""
-    counts = cut(ngram_counts(texts))
-    levels = [counts]
-    for k in range(ORDER - 1, 0, -1):
-        levels.append(cut(levels[-1].groupBy((F.col("code") % CLASSES**k).alias("code")).agg(F.count("*").alias("c"))))
-    probabilities = gammas = lower = None
-    for k, level in zip(range(1, ORDER + 1), reversed(levels), strict=True):
-        d1, d2, d3 = _discounts(level)
-        context = F.floor(F.col("code") / CLASSES)
-        level = level.withColumn("context", context)
-        lost = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        totals = level.groupBy("context").agg(F.sum("c").alias("total"), F.sum(F.least(lost, F.col("c"))).alias("lost"))
-        seen = level.join(totals, "context").select("code", "context", ((F.col("c") - F.least(lost, F.col("c"))) / F.col("total")).alias("own"), (F.col("lost") / F.col("total")).alias("gamma"))
-        if lower is None:
-            full = seen.select("code", (F.col("own") + F.col("gamma") / CLASSES).alias("p"))
-        else:
-            below = lower.withColumnsRenamed({"code": "suffix", "p": "q"})
-            full = seen.withColumn("suffix", F.col("code") % CLASSES ** (k - 1)).join(below, "suffix").select("code", (F.col("own") + F.col("gamma") * F.col("q")).alias("p"))
-        lower = full = cut(full)
-        weights = totals.select(F.lit(k).alias("k"), "context", (F.col("lost") / F.col("total")).alias("gamma"))
-        full = full.select(F.lit(k).alias("k"), "code", "p")
-        probabilities = full if probabilities is None else probabilities.union(full)
-        gammas = weights if gammas is None else gammas.union(weights)
-    return probabilities, gammas
-
-
-def log_table(probabilities: list[tuple[np.ndarray, np.ndarray]], gammas: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """ln p of every n-gram of the highest order, from the sparse tables of each order."""
-    dense = np.full((1, CLASSES), 1.0 / CLASSES, np.float32)
-    for k, ((codes, p), (contexts, g)) in enumerate(zip(probabilities, gammas, strict=True), 1):
-        weight = np.ones(CLASSES ** (k - 1), np.float32)
-        weight[contexts] = g
-        # The order below, for each first class: an n-gram backs off to what follows its first class.
-        below = np.broadcast_to(dense, (CLASSES if k > 1 else 1, *dense.shape)).reshape(-1, CLASSES)
-        dense = below * weight[:, None]
-        dense.reshape(-1)[codes] = p
-    return np.log(dense, out=dense).reshape(-1)
-
-
-class Model:
-    """The table of ln p, gathered on the driver: at most the sum of 48**k rows for k from 1 to 4, whatever the corpus (48 MB), made one of 48**4 (21 MB)."""
-
-    def __init__(self, probabilities: DataFrame, gammas: DataFrame):
-        p = probabilities.select("k", F.col("code").cast("int").alias("code"), F.col("p").cast("float").alias("p")).toArrow()
-        g = gammas.select("k", F.col("context").cast("int").alias("code"), F.col("gamma").cast("float").alias("p")).toArrow()
-        columns = lambda t: [t[c].to_numpy() for c in ("k", "code", "p")]
-        parts = [[(code[k == n], value[k == n]) for n in range(1, ORDER + 1)] for k, code, value in (columns(p), columns(g))]
-        self.table = log_table(*parts)
-
-
-def perplexities(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "log_perplexity") -> DataFrame:
-    """Adds ``out_col``: mean -ln p a character of each whole text; null for null and empty texts.
-
-    All other columns pass through; one of that name is replaced.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model.table)
-    docs = docs.select(*(c for c in docs.columns if c.lower() != out_col.lower()))
-
-    def run(batches):
-        table = shared.value
-        for b in slices(batches):
-            out = []
-            for t in b.column(b.schema.get_field_index(text_col)):
-                total, n = 0.0, 0
-                for codes in ngram_codes(t.as_py() or ""):
-                    total -= float(table[codes].sum(dtype=np.float64))
-                    n += len(codes)
-                out.append(total / n if n else None)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, out_col])
-
-    return docs.mapInArrow(run, widened(docs, f"`{out_col}` double"))
-
-
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Ids that every label calls good and none calls toxic."""
     found = labels.groupBy(id_col).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
@@ -198,6 +54,7 @@ def _scored(docs: DataFrame, labels: DataFrame, text_col: str, lang_col: str, id
     half = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(2))
     model = word_model.Model(by_ids(docs.select(id_col, text_col), trusted.where(half == 0), id_col).select(text_col), _discounts)
     scores = cut(word_model.text_scores(docs.select(text_col), model, text_col))
+    model.scratch.clear()
     slim = cut(docs.select(id_col, lang_col, word_model.text_key(text_col).alias("text_key")).join(scores, "text_key", "left"))
     return slim, cut(language_thresholds(slim, trusted.where(half == 1), lang_col, id_col, share))
 

@@ -7,12 +7,14 @@ each pair that the model has seen, and one constant a token:
 
 with the first bracket for known words, the second for known contexts and the third for known pairs. So a
 document's distinct words and pairs are joined with the table of terms, sharded by hash, and summed. The most
-frequent terms, a bounded number, are looked up where the texts are, and all others by the join.
+frequent terms, a bounded number, are looked up where the texts are, and all others by the join. A bitmap of
+bounded size tells of most words and pairs that no term is theirs; those have no part in the sum and aren't sent.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, resident, slices
+from .common import Scratch, gathered, resident, slices
 
 #: Hashes of what stands before and after a text.
 BEFORE, AFTER = 1, 2
 #: Terms that every task has (16 bytes each); the others are joined.
-HEAD = 1 << 20
+HEAD = 1 << 18
+#: Bits of the bitmap of the other terms' keys (16 MB). With many more terms than bits it tells less, and more is sent.
+FILTER_BITS = 1 << 27
+#: Words whose two numbers are broadcast when the terms are made (24 bytes each); more are joined by a shuffle.
+BROADCAST_WORDS = 1 << 20
+#: Parts of the texts, by their hash, that are scored one after the other: what they send stands on disk for one part at a time.
+PASSES = 6
 #: Words kept with their hashes by a worker; tokens of training text counted at a time.
 MEMO, CHUNK = 200_000, 1 << 20
 
@@ -94,26 +102,33 @@ def pair_counts(texts: DataFrame) -> DataFrame:
 
 
 class Model:
-    """``terms`` (key, value, c), their most frequent ones on the driver, and the constants of a token and of a text."""
+    """``terms`` (key, value, c), their most frequent ones and the bitmap of the others on the driver, and the constants of a token and of a text.
+
+    ``scratch`` holds the terms; clear it when all scores are taken.
+    """
 
     def __init__(self, texts: DataFrame, discounts):
-        pairs = cut(pair_counts(texts))
+        self.scratch = Scratch(texts.sparkSession, "word-model")
+        pairs = self.scratch.keep(pair_counts(texts))
         lost = lambda d: F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        known = cut(pairs.groupBy(F.col("b").alias("w")).agg(F.count("*").alias("c")))
+        known = self.scratch.keep(pairs.groupBy(F.col("b").alias("w")).agg(F.count("*").alias("c")))
         own, above = lost(discounts(known)), lost(discounts(pairs))
         total, left, words = known.agg(F.sum("c"), F.sum(F.least(own, F.col("c"))), F.count("*")).first()
         # The uniform share goes to all known words and one unknown.
         uniform = (left / total if total else 1.0) / (words + 1)
         self.base = float(np.log(uniform))
         p = known.select("w", ((F.col("c") - F.least(own, F.col("c"))) / F.lit(total or 1) + F.lit(uniform)).alias("p"))
-        contexts = pairs.groupBy(F.col("a").alias("w")).agg(F.sum("c").alias("total"), (F.sum(F.least(above, F.col("c"))) / F.sum("c")).alias("gamma"))
-        vocabulary = cut(p.join(contexts, "w", "full_outer"))
-        first = vocabulary.select(F.col("w").alias("a"), "total", "gamma")
-        second = vocabulary.where("p is not null").select(F.col("w").alias("b"), "p")
-        whole = (F.col("c") - F.least(above, F.col("c"))) / F.col("total") + F.col("gamma") * F.col("p")
-        joined = pairs.join(first, "a").join(second, "b").select(F.xxhash64("a", "b").alias("key"), (F.ln(whole) - F.ln("gamma") - F.ln("p")).alias("value"), "c")
-        single = F.coalesce(F.ln("p") - self.base, F.lit(0.0)) + F.coalesce(F.ln("gamma"), F.lit(0.0))
-        self.terms = cut(joined.union(vocabulary.select(F.col("w").alias("key"), single.alias("value"), F.coalesce("total", F.lit(1)).alias("c"))))
+        contexts = pairs.groupBy(F.col("a").alias("w")).agg(F.sum("c").alias("total"), F.sum(F.least(above, F.col("c"))).alias("lost"))
+        vocabulary = self.scratch.keep(p.join(contexts, "w", "full_outer"))
+        near = F.broadcast if vocabulary.count() <= BROADCAST_WORDS else lambda table: table
+        first = near(vocabulary.where("lost is not null").select(F.col("w").alias("a"), "lost"))
+        second = near(vocabulary.where("p is not null").select(F.col("w").alias("b"), "p"))
+        # (c - d) / total + gamma p, over gamma p, where gamma is lost / total.
+        ratio = 1 + (F.col("c") - F.least(above, F.col("c"))) / (F.col("lost") * F.col("p"))
+        joined = pairs.join(first, "a").join(second, "b").select(F.xxhash64("a", "b").alias("key"), F.ln(ratio).alias("value"), "c")
+        single = F.coalesce(F.ln("p") - self.base, F.lit(0.0)) + F.coalesce(F.ln(F.col("lost") / F.col("total")), F.lit(0.0))
+        self.terms = self.scratch.keep(joined.union(vocabulary.select(F.col("w").alias("key"), single.alias("value"), F.coalesce("total", F.lit(1)).alias("c"))))
+        self.scratch.drop(pairs, known, vocabulary)
         # Every text has one of each boundary.
         self.of_text = sum(r.value for r in self.terms.where(F.col("key").isin(BEFORE, AFTER)).collect())
         steps = self.terms.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("m")).collect()
@@ -124,11 +139,26 @@ class Model:
                 break
             least = r.c
         self.complete = room >= 0
-        head = self.terms.where(F.col("c") >= least).select("key", "value").toArrow()
-        keys, values = (head[c].to_numpy() for c in ("key", "value"))
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+        head = gathered(self.terms.where(F.col("c") >= least).select("key", "value").orderBy("key"))
+        self.keys, self.values = (head[c].to_numpy() for c in ("key", "value"))
         self.tail = self.terms.where(F.col("c") < least).select("key", "value")
+        self.bitmap = np.zeros(1, np.int64) if self.complete else _bitmap(self.tail)
+
+
+def _bitmap(tail: DataFrame) -> np.ndarray:
+    """Longs whose bits are set at the keys' lower bits: FILTER_BITS / 64 rows at most reach the driver."""
+    at = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bit = F.expr(f"shiftleft(1L, cast((key & {FILTER_BITS - 1}) & 63 as int))")
+    found = gathered(tail.groupBy(F.shiftright(at, 6).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def maybe(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be one of the bitmap's."""
+    at = keys & (64 * len(bitmap) - 1)
+    return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
 
 def text_key(text_col: str = "text"):
@@ -136,40 +166,53 @@ def text_key(text_col: str = "text"):
 
 
 def text_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(text_key, log_perplexity): mean -ln p a token of each different text that is not null or empty."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.keys, model.values, model.base, model.of_text, model.complete))
+    """(text_key, log_perplexity): mean -ln p a token of each different text that is not null or empty.
+
+    The model's own folder holds the scores; all of it but them can go then."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.values, model.bitmap, model.base, model.of_text, model.complete))
+    slim = docs.where(F.length(text_col) > 0).select(text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    passes = 1 if model.complete else PASSES
+    parts = [model.scratch.keep(_scored(slim.where(F.pmod("text_key", F.lit(passes)) == k), model, shared)) for k in range(passes)]
+    shared.destroy()
+    return reduce(DataFrame.union, parts)
+
+
+def _counted(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that aren't empty: their numbers of tokens and one, and for each text's different words and pairs its place, key and number."""
+    tokens = [token_hashes(t.as_py()) for t in texts]
+    ends = np.cumsum([len(x) for x in tokens])
+    joined = np.concatenate(tokens)
+    pairs = pair_keys(joined)
+    found = [np.unique(np.concatenate([joined[at + 1 : end - 1], pairs[at : end - 1]]), return_counts=True) for at, end in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+    place = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
+    return np.diff(ends, prepend=0), place, np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
 
+
+def _scored(slim: DataFrame, model: Model, shared) -> DataFrame:
     def run(batches):
-        head, values, base, of_text, complete = shared.value
+        head, values, bitmap, base, of_text, complete = shared.value
         for b in slices(batches):
-            docs, keys, ns, owns, sizes = [], [], [], [], []
-            for doc, t in zip(b.column(0).to_numpy(), b.column(1), strict=True):
-                tokens = token_hashes(t.as_py())
-                found, n = np.unique(np.concatenate([tokens[1:-1], pair_keys(tokens)]), return_counts=True)
-                own = base * (len(tokens) - 1) + of_text
-                rest = np.ones(len(found), bool)
-                if len(head):
-                    at = np.minimum(np.searchsorted(head, found), len(head) - 1)
-                    hit = head[at] == found
-                    own += float((values[at[hit]] * n[hit]).sum())
-                    rest = ~hit
-                if complete:
-                    rest[:] = False
-                m = int(rest.sum())
-                # What is summed already is a row of its own, placed by its text.
-                docs.append(np.full(m + 1, doc))
-                keys.append(np.r_[found[rest], doc])
-                ns.append(np.r_[n[rest], 0])
-                owns.append(np.r_[np.zeros(m), own])
-                sizes.append(np.r_[np.zeros(m, np.int64), len(tokens) - 1])
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, keys, ns, owns, sizes)], names=["text_key", "key", "n", "own", "size"])
-
-    slim = docs.where(F.length(text_col) > 0).select(text_key(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    parts = slim.mapInArrow(run, "text_key long, key long, n long, own double, size long")
+            if not b.num_rows:
+                continue
+            docs = b.column(0).to_numpy()
+            sizes, place, keys, n = _counted(b.column(1))
+            own = base * (sizes - 1) + of_text
+            rest = np.full(len(keys), not complete)
+            if len(head):
+                at = np.minimum(np.searchsorted(head, keys), len(head) - 1)
+                hit = np.flatnonzero(head[at] == keys)
+                own += np.bincount(place[hit], values[at[hit]] * n[hit], len(docs))
+                rest[hit] = False
+            if not complete:
+                rest &= maybe(bitmap, keys)
+            sent = np.flatnonzero(rest)
+            # What is summed already is a row of its own, placed by its text; its n is the text's tokens, below 0.
+            columns = np.r_[docs[place[sent]], docs], np.r_[keys[sent], docs], np.r_[n[sent], 1 - sizes], np.r_[np.zeros(len(sent)), own]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["text_key", "key", "n", "own"])
+
+    parts = slim.mapInArrow(run, "text_key long, key long, n long, own double")
     if not model.complete:
         parts = parts.join(model.tail.hint("shuffle_hash"), "key", "left")
-        parts = parts.withColumn("own", F.col("own") + F.col("n") * F.coalesce("value", F.lit(0.0)))
+        parts = parts.withColumn("own", F.col("own") + F.when(F.col("n") > 0, F.col("n") * F.coalesce("value", F.lit(0.0))).otherwise(0.0))
     # Copies of a text have equal sums, so their mean is that of each.
-    return parts.groupBy("text_key").agg((-F.sum("own") / F.sum("size")).alias("log_perplexity"))
+    return parts.groupBy("text_key").agg((F.sum("own") / F.sum(F.least("n", F.lit(0)))).alias("log_perplexity"))

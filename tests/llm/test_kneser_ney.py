@@ -1,82 +1,17 @@
 import random
-from collections import Counter
 
 import numpy as np
-import pytest
 
 from neurosheaf.llm import kneser_ney as k
 
 SCHEMA = "doc_id long, text string, lang string, kept string, threshold string"
 
 
-def codes(text):
-    classes = [0] * (k.ORDER - 1) + [int(k._TABLE[ord(c) & 0xFFFF]) for c in text] + [0]
-    return [tuple(classes[i : i + k.ORDER]) for i in range(len(classes) - k.ORDER + 1)]
-
-
-class Brute:
-    """The same model by dictionaries."""
-
-    def __init__(self, texts):
-        level = Counter(g for t in texts for g in codes(t))
-        self.levels = {k.ORDER: level}
-        for n in range(k.ORDER - 1, 0, -1):
-            level = Counter(g[1:] for g in level)
-            self.levels[n] = level
-        self.d = {}
-        for n, c in self.levels.items():
-            m = Counter(min(v, 5) for v in c.values())
-            y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0.5
-            self.d[n] = [min(max(i - (i + 1) * y * m[i + 1] / m[i], 0.05), i - 0.05) if m[i] else 0.5 for i in (1, 2, 3)]
-        self.totals = {n: Counter() for n in self.levels}
-        self.lost = {n: Counter() for n in self.levels}
-        for n, c in self.levels.items():
-            for g, v in c.items():
-                self.totals[n][g[:-1]] += v
-                self.lost[n][g[:-1]] += min(self.d[n][min(v, 3) - 1], v)
-
-    def p(self, gram):
-        n = len(gram)
-        if n == 0:
-            return 1 / k.CLASSES
-        total = self.totals[n][gram[:-1]]
-        if not total:
-            return self.p(gram[1:])
-        c = self.levels[n][gram]
-        own = c - min(self.d[n][min(c, 3) - 1], c) if c else 0
-        return own / total + self.lost[n][gram[:-1]] / total * self.p(gram[1:])
-
-
 def texts(n, seed=0):
     rng = random.Random(seed)
     return [" ".join(rng.choices(["the", "of", "and", "river", "stone", "été", "42"], k=rng.randint(1, 30))) + "." for _ in range(n)]
 
 
-def test_probabilities_against_dictionaries_and_sum_to_one(spark):
-    train = texts(40)
-    model = k.Model(*k.fit(spark.createDataFrame([(t,) for t in train] + [(None,), ("",)], "text string")))
-    brute = Brute(train)
-    table = model.table
-    for t in texts(5, 1) + ["zzz qqq !!", "日本"]:
-        for g in codes(t):
-            code = 0
-            for c in g:
-                code = code * k.CLASSES + c
-            assert table[code] == pytest.approx(np.log(brute.p(g)), abs=1e-4)
-    p = np.exp(table.astype(float)).reshape(-1, k.CLASSES)
-    assert np.abs(p.sum(axis=1) - 1).max() < 1e-3
-
-
-def test_long_texts_in_chunks_equal_whole_ones():
-    text = "".join(random.Random(3).choices("abc d", k=5000))
-    whole = np.concatenate(list(k.ngram_codes(text)))
-    old, k.CHUNK = k.CHUNK, 700
-    try:
-        assert (np.concatenate(list(k.ngram_codes(text))) == whole).all() and len(whole) == 5001
-    finally:
-        k.CHUNK = old
-
-
 def test_junk_goes_and_clean_text_stays(spark):
     rng = random.Random(4)
     rows = [(i, t, "en") for i, t in enumerate(texts(600))]

@@ -41,9 +41,12 @@ def brute(train, texts):
     return {t: -sum(math.log(p(a, b)) for a, b in zip(w, w[1:], strict=False)) / (len(w) - 1) for t in texts if t for w in [tokens(t)]}
 
 
-@pytest.mark.parametrize("head", [0, 40, 1 << 20])
-def test_scores_against_dictionaries(spark, monkeypatch, head):
+@pytest.mark.parametrize("head,bits,words", [(0, 1 << 28, 1 << 20), (40, 1 << 7, 0), (1 << 21, 1 << 28, 1 << 20)])
+def test_scores_against_dictionaries(spark, monkeypatch, head, bits, words):
+    """Also with a bitmap too small to tell much, and with the words joined by a shuffle."""
     monkeypatch.setattr(m, "HEAD", head)
+    monkeypatch.setattr(m, "FILTER_BITS", bits)
+    monkeypatch.setattr(m, "BROADCAST_WORDS", words)
     rng = random.Random(0)
     make = lambda: " ".join(rng.choices(["the", "of", "River", "stone", "été", "日本", "x1", *map(str, range(40))], k=rng.randint(1, 30))) + "."
     train = [make() for _ in range(60)] + [None, ""]
