@@ -131,12 +131,10 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     kinds = ((_CANONICAL, "canonical", 3), (_REFRESH, "refresh", 1))
     targets = []
     for pattern, word, groups in kinds:
-        def target(tag, pattern=pattern, groups=groups):
-            found = F.coalesce(*(F.nullif(F.regexp_extract(tag, pattern, g), F.lit("")) for g in range(1, groups + 1)))
-            return F.replace(F.trim(found), F.lit("&amp;"), F.lit("&"))
-
         tags = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
-        targets.append(F.when(html.rlike(f"(?i){word}"), F.transform(tags, target)).otherwise(F.array().cast("array<string>")))
+        found = F.transform(tags, lambda tag: F.coalesce(*(F.nullif(F.regexp_extract(tag, pattern, g), F.lit("")) for g in range(1, groups + 1))))  # noqa: B023
+        plain = F.transform(found, lambda x: F.replace(F.trim(x), F.lit("&amp;"), F.lit("&")))
+        targets.append(F.when(html.rlike(f"(?i){word}"), plain).otherwise(F.array().cast("array<string>")))
     links = pages.select(F.col(url_col).alias("base"), F.explode(F.concat(*targets)).alias("target")).where("target is not null")
     return links.select(node_of(F.col("base")).alias("u"), node_of(resolved(F.col("target"), F.col("base"))).alias("v")).where("u <> v")
 
