@@ -4,16 +4,20 @@ Every distinct fingerprint has its Hamming distances to fixed reference fingerpr
 Two fingerprints within r of each other differ by at most r in each of those coordinates, so a
 pair with a larger difference in any coordinate is discarded before it is verified. The table alone
 names no pairs without comparing all of them; the pairs come from bands: of seven blocks of bits,
-four differing bits leave three blocks equal, so each linked pair meets in one of 35 equi-joins.
+four differing bits leave three blocks equal, so each linked pair meets in one of 35 equi-joins (of nine
+blocks and 126 for more than 2**27 fingerprints, so that a band's key has more values than there are fingerprints).
 
-A band with many fingerprints (a large group of near copies) isn't paired up. Its fingerprints go
-to balls instead: x and y are within 2r bits if and only if some z is within r of both. Grouping by
+A band with many fingerprints (a large group of near copies) isn't paired up. It is cut by cells of pivot
+coordinates, of which a linked pair has the same or neighbouring ones. Fingerprints of cells that are still crowded
+go to balls: x and y are within 2r bits if and only if some z is within r of both. Grouping by
 z links a group without listing its pairs, so work stays proportional to the number of fingerprints.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +29,11 @@ from .common import cut, dealt, slices
 from .components import connected_components
 
 BITS = 64
-BLOCKS = 7
+#: Blocks of bits by the number of fingerprints up to which they do.
+BLOCKS = [(1 << 27, 7), (1 << 62, 9)]
 PIVOTS = 16
-#: A band of more fingerprints than this is linked by balls.
-BAND_MAX = 128
+#: A band of more fingerprints than this is cut by cells of the first pivots' coordinates, and such a cell is linked by balls.
+BAND_MAX, CELL_PIVOTS = 128, 3
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 14
 
@@ -54,13 +59,18 @@ def shingle_hashes(text: bytes | None, width: int, seed: int) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :], strict=False)]
 
 
-def majority_bits(hashes: list[int]) -> int:
-    """The fingerprint as a signed long; no hashes: 0."""
-    n, ones = len(hashes), np.zeros(BITS, np.int64)
-    for at in range(0, n, CHUNK):
+def bit_counts(hashes) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
         part = np.array(hashes[at : at + CHUNK], dtype="<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return ones
+
+
+def majority_bits(hashes: list[int]) -> int:
+    """The fingerprint as a signed long; no hashes: 0."""
+    return int(np.packbits(2 * bit_counts(hashes) > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
@@ -90,12 +100,15 @@ def pivot_table(fps: DataFrame, pivots: int = PIVOTS) -> DataFrame:
     return fps.withColumns({f"p{i // 8}": packed(pivot[i : i + 8]) for i in range(0, pivots, 8)})
 
 
-def _coordinates_agree(radius: int, pivots: int) -> Column:
-    """No pivot coordinate of a and b differs by more than the radius."""
+def _coordinate(i: int, side: str = "") -> Column:
+    return F.shiftright(F.col(f"{side}p{i // 8}"), 8 * (i % 8)).bitwiseAND(F.lit(127).cast("long"))
+
+
+def coordinates_agree(radius: int, pivots: int = PIVOTS) -> Column:
+    """No pivot coordinate of rows a and b differs by more than the radius."""
     agree = F.lit(True)
     for i in range(pivots):
-        a, b = (F.shiftright(F.col(f"{side}.p{i // 8}"), 8 * (i % 8)).bitwiseAND(F.lit(127).cast("long")) for side in "ab")
-        agree = agree & (F.abs(a - b) <= radius)
+        agree = agree & (F.abs(_coordinate(i, "a.") - _coordinate(i, "b.")) <= radius)
     return agree
 
 
@@ -106,12 +119,29 @@ def _bands(radius: int, blocks: int) -> list[int]:
     return [_signed(sum(keep)) for keep in combinations(block, blocks - radius)]
 
 
-def _in_bands(fps: DataFrame, radius: int) -> DataFrame:
-    masks = F.array(*(F.lit(m).cast("long") for m in _bands(radius, BLOCKS)))
+def _in_bands(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
+    masks = F.array(*(F.lit(m).cast("long") for m in _bands(radius, blocks)))
     banded = fps.select("fp", F.posexplode(masks).alias("band", "mask"))
     return banded.select("fp", "band", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
+def _in_cells(banded: DataFrame, radius: int, around: bool) -> DataFrame:
+    """``banded`` (with coordinates) by its cells of the first pivots, 2 * radius wide; or by all cells within the radius of it, 8 at most."""
+    out = banded
+    for i in range(CELL_PIVOTS):
+        at = _coordinate(i)
+        cells = F.array_distinct(F.array(*(F.floor((at + d) / (2 * radius)).cast("int") for d in ((-radius, radius) if around else (0,)))))
+        out = out.withColumn(f"c{i}", F.explode(cells))
+    return out
+
+
+def _pairs(homes: DataFrame, others: DataFrame, on: list[str], radius: int, pivots: int) -> DataFrame:
+    """Pairs (u, v) of rows that meet, u the greater: those that the pivots leave, and of these those within the radius."""
+    met = reduce(and_, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in on)) & (F.col("a.fp") > F.col("b.fp"))
+    close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
+    return homes.alias("a").join(others.alias("b"), met & coordinates_agree(radius, pivots) & close).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+
+
 def _ball_masks(radius: int) -> list[int]:
     return [_signed(sum(1 << i for i in c)) for r in range(radius + 1) for c in combinations(range(BITS), r)]
 
@@ -144,16 +174,21 @@ def near_links(fps: DataFrame, radius: int = 4, band_max: int = BAND_MAX, pivots
     """
     if radius % 2:
         raise ValueError("radius must be even")
-    banded = _in_bands(fps, radius)
+    fps = cut(fps)
+    n = fps.count()
+    banded = _in_bands(fps, radius, next(blocks for most, blocks in BLOCKS if n <= most))
     sizes = cut(banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    crowded = cut(banded.join(sizes.where(F.col("n") > band_max), ["band", "key"], "left_semi").select("fp").distinct())
-    small = cut(pivot_table(banded.join(sizes.where(F.col("n") <= band_max), ["band", "key"], "left_semi"), pivots))
-    close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
-    pairs = small.alias("a").join(
-        small.alias("b"),
-        (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") > F.col("b.fp")) & _coordinates_agree(radius, pivots) & close,
-    )
-    links = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    some = cut(pivot_table(banded.join(sizes, ["band", "key"]), pivots))
+    small, large = some.where(F.col("n") <= band_max), some.where(F.col("n") > band_max)
+    links = _pairs(small, small, ["band", "key"], radius, pivots)
+    if large.isEmpty():
+        return links
+    where = ["band", "key", *(f"c{i}" for i in range(CELL_PIVOTS))]
+    homes, around = cut(_in_cells(large, radius, False)), _in_cells(large, radius, True)
+    cells = cut(homes.groupBy(where).agg(F.count("*").alias("m")))
+    links = links.union(_pairs(homes.join(cells.where(F.col("m") <= band_max), where, "left_semi"), around, where, radius, pivots))
+    # Pairs of a crowded cell: both its own fingerprints and those around it.
+    crowded = cut(around.join(cells.where(F.col("m") > band_max), where, "left_semi").select("fp").distinct())
     return links if crowded.isEmpty() else links.union(_ball_links(crowded, radius))
 
 
@@ -173,14 +208,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_fp = placed.join(dealt(firsts), "c").select("fp", "component_id")
     return marked.join(cut(by_fp), "fp").select("id", "fp", "component_id")
 
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the least id.
-
-    Rows that repeat an id count as one document, of which one row stays. Rows without an id can't be
-    told apart by it and stay.
-    """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    named = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)

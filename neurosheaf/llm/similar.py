@@ -1,135 +1,233 @@
-"""Near copies by exact Jaccard similarity of word shingles, with MinHash bands as the pair filter.
-
-Texts with equal sets of shingles are one class. Classes that share a band of minima are candidates; a
-candidate is linked if the Jaccard similarity of the two whole sets is at least the bar. 24 bands of 4 minima
-miss a pair of similarity 0.8 with probability 4e-6, and closer pairs less often.
-
-A bucket of many classes isn't paired up at once: all its classes are held against two of them a round, one
-from either end of the groups found so far, until what hasn't been held against all is one group. What
-is left apart after a few rounds is paired up, so no pair of a bucket that could join two groups is left out.
+"""Near copies of at least a Jaccard similarity of word shingles: SimHash names pairs, pivots discard, whole sets verify.
+
+Texts with equal sets of shingles are one class. A class has SimHash counters (for each bit, the hashes that have it less
+those that don't) and a fingerprint, their signs. Counters are held against many fixed reference fingerprints: sets of 64 that
+differ pairwise in half of their bits, and their opposites. A class goes to one bucket a table, that of its nearest reference in
+each of a few sets, by the Hamming distance weighted with the counters. Classes that share a bucket are candidates; of these,
+pairs too unlike in size, those that a pivot coordinate tells apart by more than RADIUS, and those whose fingerprints differ in
+more bits are discarded, and the Jaccard similarity of the two whole sets decides on the others.
+
+Two bits of SimHashes differ with the probability angle / pi, which is 0.15 at a similarity of 0.8: tables and RADIUS are
+chosen for that. By simulation (30 to 300 words) a pair shares a bucket with probability 0.95 at 0.8, 0.99 at 0.85 and 0.999 at
+0.9, and RADIUS discards one of 1,000 at 0.8. At such a radius the pivots discard little beyond what the distance itself does.
+
+A bucket isn't paired up. Each class is held against one leader a round, the least one of another group that it shares a bucket with.
+What is then in no bucket's largest group is held against all of its buckets, so no pair that could join two groups is left out;
+pairs within a group are never listed.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, cut, dealt, slices
+from .common import Scratch, by_ids, cut, dealt, fresh, slices
 from .components import connected_components
-from .simhash import shingle_hashes
+from .simhash import BITS, bit_counts, coordinates_agree, pivot_table, shingle_hashes
 
 WIDTH, LEAST = 5, 0.8
-BANDS, ROWS = 24, 4
-#: Buckets of more classes than this are linked by rounds, so many of them.
-BUCKET_MAX, CROWDED_ROUNDS = 64, 6
-#: Shingles whose minima are taken at a time.
-CHUNK = 1 << 14
-
-_MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"%d" % i, 3) | 1 for i in range(BANDS * ROWS)], np.uint64)
+#: Bits that may differ: a pair of similarity 0.8 has more with probability 0.001.
+RADIUS = 20
+#: Sets of references a table, 7 bits of selectivity each, the classes up to which they do, and tables that give the same recall.
+DEPTHS = [(3, 1 << 28, 48), (4, 1 << 35, 160)]
+#: Rounds against leaders.
+ROUNDS = 2
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, width, 42), np.uint64))
 
 
-def band_hashes(own: np.ndarray) -> np.ndarray:
-    """A hash of the minima of each band; of an empty set none."""
-    if not len(own):
-        return np.zeros(0, np.int64)
-    minima = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), CHUNK):
-        part = own[at : at + CHUNK]
-        for f, m in enumerate(_MULTIPLIERS):
-            mixed = (part ^ (m >> np.uint64(7))) * m
-            minima[f] = min(minima[f], (mixed ^ (mixed >> np.uint64(32))).min())
-    return np.array([xxhash.xxh64_intdigest(minima[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
+@cache
+def references(sets: int) -> np.ndarray:
+    """Sets of 64 sign vectors each, as columns; vectors of a set are orthogonal."""
+    at = np.arange(BITS)
+    signs = 1 - 2 * (np.bitwise_count(at[:, None] & at[None, :]) % 2).astype(float)
+    turned = []
+    for s in range(sets):
+        flips = xxhash.xxh64_intdigest(b"%d" % s, 11)
+        turned.append(signs * np.array([1 - 2 * (flips >> i & 1) for i in range(BITS)])[:, None])
+    return np.concatenate(turned, axis=1)
+
 
+def buckets(counters: np.ndarray, depth: int, tables: int) -> np.ndarray:
+    """A row of bucket numbers, one a table, for each row of counters. Sums are of whole numbers, so they are exact."""
+    y = (counters.astype(float) @ references(depth * tables)).reshape(len(counters), depth * tables, BITS)
+    nearest = np.abs(y).argmax(axis=2)
+    opposite = np.take_along_axis(y, nearest[:, :, None], axis=2)[:, :, 0] < 0
+    code = (2 * nearest + opposite).reshape(len(counters), tables, depth)
+    return (code << 7 * np.arange(depth)).sum(axis=2) | np.arange(tables) << 7 * depth
 
-def _signatures(docs: DataFrame, width: int, whole: bool) -> DataFrame:
-    """(id, set_key, hashes) of ``docs`` (id, text): of the bands, or the whole sets."""
+
+def _signatures(slim: DataFrame, width: int) -> DataFrame:
+    """(id, text_hash, set_key, fp, size, counters) of ``slim`` (id, text_hash, text)."""
 
     def run(batches):
         for b in slices(batches):
-            sets = [shingle_set(t.as_py(), width) for t in b.column(1).cast(pa.large_binary())]
-            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), 5) for s in sets], np.uint64).view(np.int64)
-            found = [s.view(np.int64) if whole else band_hashes(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array(found, pa.list_(pa.int64()))], names=["id", "set_key", "hashes"])
-
-    return docs.mapInArrow(run, "id long, set_key long, hashes array<long>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (u, v) whose sets have at least the similarity ``least``."""
-    one = sets.select(F.col("set_key").alias("u"), F.col("hashes").alias("x"))
-    two = sets.select(F.col("set_key").alias("v"), F.col("hashes").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    # Sets too unlike in size aren't joined any further.
-    sized = F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y"))
-    both = pairs.join(one, "u").join(two, "v").where(sized)
-    return both.where(shared / (F.size("x") + F.size("y") - shared) >= least).select("u", "v")
-
-
-def _crowded_links(members: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``links`` and those among ``members`` (bucket, set_key) of crowded buckets."""
-    served = None
-    for turn in range(CROWDED_ROUNDS + 1):
-        groups = connected_components(links).withColumnsRenamed({"node": "set_key", "component": "c"})
-        placed = members.join(groups, "set_key", "left").select("bucket", "set_key", F.coalesce("c", "set_key").alias("c"))
-        open_ = placed if served is None else placed.join(served, ["bucket", "set_key"], "left_anti")
-        open_ = cut(open_)
-        ends = open_.groupBy("bucket").agg(F.min(F.struct("c", "set_key")).alias("a"), F.max(F.struct("c", "set_key")).alias("b")).where("a.c <> b.c")
-        ends = cut(ends)
-        if ends.isEmpty():
-            break
-        if turn < CROWDED_ROUNDS:
-            leaders = cut(ends.select("bucket", F.explode(F.array("a", "b")).alias("x")).select("bucket", F.col("x.set_key").alias("set_key"), F.col("x.c").alias("lc")))
-            pairs = placed.join(dealt(leaders.withColumnRenamed("set_key", "u")), "bucket").where("c <> lc").select("u", F.col("set_key").alias("v"))
-            now = leaders.select("bucket", "set_key")
-            served = now if served is None else served.union(now)
-        else:
-            rest = open_.join(ends.select("bucket"), "bucket", "left_semi")
-            pairs = rest.alias("p").join(rest.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.c") > F.col("q.c"))).select(F.col("p.set_key").alias("u"), F.col("q.set_key").alias("v"))
-        links = cut(links.union(_verified(pairs.distinct(), sets, least)))
-    return links
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """(id, component_id) for every row with an id: the least id reachable over pairs of texts of at least ``least`` Jaccard similarity.
-
-    Words are separated by ASCII white space and A-Z lower-cased; fewer than ``width`` are one shingle. Null texts and
-    texts without words are copies of one another. Repeated rows are returned each.
+            keys, fps, sizes, counters = [], [], [], []
+            for t in b.column(2).cast(pa.large_binary()):
+                own = shingle_set(t.as_py(), width)
+                signed = 2 * bit_counts(own) - len(own)
+                keys.append(xxhash.xxh64_intdigest(own.tobytes(), 5))
+                fps.append(int(np.packbits(signed > 0, bitorder="little").view("<i8")[0]))
+                sizes.append(len(own))
+                counters.append(signed.astype("<i4").tobytes())
+            keys = np.array(keys, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(counters, pa.binary())], names=["id", "text_hash", "set_key", "fp", "size", "counters"])
+
+    return slim.mapInArrow(run, "id long, text_hash long, set_key long, fp long, size int, counters binary")
+
+
+def _placed(classes: DataFrame, depth: int, tables: int) -> DataFrame:
+    """(bucket, set_key) of ``classes`` (set_key, counters)."""
+
+    def run(batches):
+        for b in slices(batches, 128):
+            if b.num_rows:
+                counters = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i4").reshape(-1, BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets(counters, depth, tables).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), tables))], names=["bucket", "set_key"])
+
+    return classes.mapInArrow(run, "bucket long, set_key long")
+
+
+def _candidate(least: float, radius: int) -> Column:
+    """Of rows a and b of a bucket: what is left when sizes, pivot coordinates and distances have discarded."""
+    small, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
+    return (small >= F.lit(least) * large) & coordinates_agree(radius, 16) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The ``pairs`` (u, v) whose texts have at least the similarity ``least``; texts: (set_key, text)."""
+
+    def run(batches):
+        lead, own = None, None
+        for b in slices(batches, 64):
+            u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
+            keep = []
+            for key, x, y in zip(u, b.column(2).cast(pa.large_binary()), b.column(3).cast(pa.large_binary()), strict=True):
+                if key != lead:
+                    lead, own = key, shingle_set(x.as_py(), width)
+                other = shingle_set(y.as_py(), width)
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                keep.append(shared >= least * (len(own) + len(other) - shared))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(u, keep, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(v, keep, strict=True) if k], pa.int64())], names=["u", "v"])
+
+    seconds = pairs.join(texts.select(F.col("set_key").alias("v"), F.col("text").alias("y")), "v")
+    leads = texts.join(pairs.select(F.col("u").alias("set_key")).distinct(), "set_key", "left_semi")
+    both = seconds.join(dealt(leads.select(F.col("set_key").alias("u"), F.col("text").alias("x"))), "u")
+    return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+class _Search:
+    """Links between classes, round by round."""
+
+    def __init__(self, slim: DataFrame, classes: DataFrame, members: DataFrame, scratch: Scratch, width: int, least: float, radius: int):
+        self.slim, self.classes, self.members, self.scratch = slim, classes, members, scratch
+        self.width, self.least, self.radius = width, least, radius
+        self.links = self.tried = None
+
+    def grouped(self) -> DataFrame:
+        """``members`` with their group c so far."""
+        if self.links is None:
+            return self.members.withColumn("c", F.col("set_key"))
+        groups = connected_components(self.links).withColumnsRenamed({"node": "set_key", "component": "c"})
+        return self.members.join(groups, "set_key", "left").withColumn("c", F.coalesce("c", "set_key"))
+
+    def judge(self, pairs: DataFrame) -> None:
+        """Verifies pairs (u, v) that weren't yet."""
+        pairs = pairs if self.tried is None else pairs.join(self.tried, ["u", "v"], "left_anti")
+        pairs = cut(pairs)
+        if pairs.isEmpty():
+            return
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("set_key")).distinct()
+        firsts = self.classes.join(wanted, "set_key").select("set_key", F.col("first.id").alias("own_id"), F.col("first.text_hash").alias("own_hash"))
+        rows = by_ids(self.slim, firsts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")), "inner")
+        texts = rows.groupBy("set_key").agg(F.first("text").alias("text"))
+        found = cut(_verified(pairs, texts, self.width, self.least))
+        self.links = found if self.links is None else self.links.union(found)
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+
+    def against_leaders(self) -> None:
+        placed = self.scratch.keep(self.grouped())
+        ends = placed.groupBy("bucket").agg(F.min(F.struct("c", "set_key", "fp", "size", "p0", "p1")).alias("x"), F.max("c").alias("last")).where("x.c <> last")
+        leaders = dealt(ends.select("bucket", "x.*"))
+        near = placed.alias("b").join(leaders.alias("a"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.c") != F.col("b.c")) & _candidate(self.least, self.radius))
+        # One leader a round is enough for a class: others follow when it isn't in their group then.
+        self.judge(near.groupBy(F.col("b.set_key").alias("v")).agg(F.min("a.set_key").alias("u")).select("u", "v"))
+        self.scratch.drop(placed)
+
+    def rest(self) -> None:
+        placed = self.scratch.keep(self.grouped())
+        counts = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+        largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("x"), F.count("*").alias("groups")).where("groups > 1").select("bucket", F.col("x.c").alias("largest"))
+        left = self.scratch.keep(placed.join(dealt(largest), "bucket").withColumn("outside", F.col("c") != F.col("largest")))
+        pairs = left.where("outside").alias("a").join(
+            left.alias("b"),
+            # Two that are outside of the largest group meet twice; one meeting counts.
+            (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.c") != F.col("b.c")) & (~F.col("b.outside") | (F.col("a.set_key") < F.col("b.set_key"))) & _candidate(self.least, self.radius),
+        )
+        self.judge(pairs.select(F.least("a.set_key", "b.set_key").alias("u"), F.greatest("a.set_key", "b.set_key").alias("v")).distinct())
+        self.scratch.drop(placed, left)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
+    """(id, text_hash, component_id, is_first) for every row: groups over pairs of at least ``least`` Jaccard similarity.
+
+    The first of a group is its row of the least id (rows without one come last) and, of rows that share an id, the
+    one whose text has the least hash; component_id is the first one's id. Rows that repeat both id and text are all first if
+    one is. Words are separated by ASCII white space and A-Z lower-cased; fewer than ``width`` are one shingle. Null texts and
+    texts without words are copies of one another. Classes are told apart by 64-bit hashes of their sets. No rows: no rows.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    marked = cut(_signatures(slim, width, False))
-    classes = cut(marked.groupBy("set_key").agg(F.min("id").alias("least"), F.first("hashes").alias("hashes")))
-    banded = classes.select("set_key", F.posexplode("hashes").alias("band", "hash")).select("set_key", F.xxhash64("band", "hash").alias("bucket"))
-    sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    members = cut(banded.join(sizes, "bucket").select("bucket", "set_key", "n"))
-    wanted = members.select("set_key").distinct().join(classes, "set_key").select(F.col("least").alias("id")).distinct()
-    sets = cut(_signatures(by_ids(slim, wanted, "id"), width, True).select("set_key", "hashes").dropDuplicates(["set_key"]))
-    few = members.where(F.col("n") <= BUCKET_MAX)
-    pairs = few.alias("p").join(few.alias("q"), (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.set_key") > F.col("q.set_key")))
-    links = cut(_verified(pairs.select(F.col("p.set_key").alias("u"), F.col("q.set_key").alias("v")).distinct(), sets, least))
-    crowded = cut(members.where(F.col("n") > BUCKET_MAX).select("bucket", "set_key"))
-    if not crowded.isEmpty():
-        links = _crowded_links(crowded, links, sets, least)
-    found = connected_components(links).withColumnsRenamed({"node": "set_key", "component": "c"})
-    placed = cut(classes.select("set_key", "least").join(found, "set_key", "left").select("set_key", "least", F.coalesce("c", "set_key").alias("c")))
-    firsts = placed.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_set = cut(placed.join(dealt(firsts), "c").select("set_key", "component_id"))
-    return marked.select("id", "set_key").join(by_set, "set_key").select("id", "component_id")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    marked = scratch.keep(_signatures(slim, width))
+    row = F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash")
+    classes = scratch.keep(marked.groupBy("set_key").agg(F.min(row).alias("first"), *(F.first(c).alias(c) for c in ("fp", "size", "counters"))))
+    n = classes.count()
+    depth, _, tables = next((d for d in DEPTHS if n <= d[1]), DEPTHS[-1])
+    placed = scratch.keep(_placed(classes.where("size > 0").select("set_key", "counters"), depth, tables))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    coordinates = pivot_table(classes.select("set_key", "fp", "size"))
+    members = scratch.keep(placed.join(dealt(shared), "bucket").join(coordinates, "set_key").select("bucket", "set_key", "fp", "size", "p0", "p1"))
+    scratch.drop(placed)
+    search = _Search(slim, classes, members, scratch, width, least, radius)
+    for _ in range(ROUNDS):
+        search.against_leaders()
+    search.rest()
+    own = classes.select("set_key", "first")
+    if search.links is None:
+        firsts = own
+    else:
+        groups = connected_components(search.links).withColumnsRenamed({"node": "set_key", "component": "c"})
+        grouped = own.join(groups, "set_key", "left").withColumn("c", F.coalesce("c", "set_key"))
+        firsts = grouped.select("set_key", "c").join(dealt(grouped.groupBy("c").agg(F.min("first").alias("first"))), "c").select("set_key", "first")
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    found = marked.select("id", "text_hash", "set_key").join(dealt(firsts), "set_key").select("id", "text_hash", F.col("first.id").alias("component_id"), is_first.alias("is_first"))
+    out = cut(found)
+    scratch.drop(marked, classes, members)
+    return out
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the document of the least id of each group of near copies.
+    """``docs`` with one document, the first, of each group of near copies; all columns pass through, whatever their names.
 
-    Rows that repeat an id count as one document, of which one row stays. Rows without an id can't be
-    told apart by it and stay.
+    Rows that share an id but not the text are different documents. Of rows that repeat both, the one
+    of the least hash over all columns stays. Texts stay where they are, unless very many rows go; rows that
+    repeat an id and text are shuffled.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.where("id = component_id").select(F.col("id").alias(id_col)).distinct()
-    named = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    at, key = (fresh(docs.columns, c) for c in ("id", "hash"))
+    own = F.col(id_col).cast("long").eqNullSafe(F.col(at)) & (F.xxhash64(text_col) == F.col(key))
+    named = found.withColumnsRenamed({"id": at, "text_hash": key})
+    left = by_ids(docs, named.where("not is_first").select(at, key).distinct(), own, "left_anti")
+    twice = cut(named.where("is_first").groupBy(at, key).agg(F.count("*").alias("n")).where("n > 1").select(at, key))
+    if twice.isEmpty():
+        return left
+    repeated = by_ids(left, twice, own)
+    one = repeated.groupBy(F.col(id_col), F.xxhash64(text_col)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return by_ids(left, twice, own, "left_anti").unionByName(one.select("row.*"))

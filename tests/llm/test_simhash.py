@@ -2,6 +2,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from neurosheaf.llm import simhash
 from neurosheaf.llm.components import connected_components
@@ -76,12 +77,26 @@ def test_links_of_crowded_bands_have_the_same_components(spark, band_max):
     assert groups(got) == {g for g in groups(want) if len(g) > 1}
 
 
-def test_deduplicate(spark):
-    text = " ".join(f"word{i}" for i in range(100))
-    rows = [(5, text), (3, text), (9, "something else entirely here now"), (None, text), (9, "something else entirely here now"), (7, None), (8, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id or -1 for r in simhash.deduplicate(docs).collect()) == [-1, 3, 7, 9]
-    assert simhash.deduplicate(docs.limit(0)).count() == 0
+def test_pivots_discard_pairs_before_they_are_verified(spark):
+    """Of pairs that meet in a band, most differ too much in some coordinate; none of these is linked."""
+    rng = random.Random(2)
+    base = rng.getrandbits(64) >> 37 << 37
+    fps = [base | rng.getrandbits(37) for _ in range(120)] + [base | 3, base | 1, base | 0]
+    table = simhash.pivot_table(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in set(fps)], "fp long"))
+    met = table.alias("a").join(table.alias("b"), F.col("a.fp") > F.col("b.fp"))
+    close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= 4
+    agree = simhash.coordinates_agree(4)
+    n, left, linked, lost = met.agg(F.count("*"), F.count_if(agree), F.count_if(close), F.count_if(close & ~agree)).first()
+    assert lost == 0 and 0 < linked <= left < n / 20
+
+
+@pytest.mark.parametrize("blocks", [7, 9])
+def test_every_linked_pair_meets_in_a_band(blocks):
+    rng = random.Random(3)
+    masks = [m & (1 << 64) - 1 for m in simhash._bands(4, blocks)]
+    for _ in range(300):
+        bits = sum(1 << b for b in rng.sample(range(64), 4))
+        assert any(bits & m == 0 for m in masks)
 
 
 def test_components_of_a_long_path_a_hub_and_nothing(spark):
