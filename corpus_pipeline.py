@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurosheaf.llm import bpe, decontaminate, jaccard, kneser_ney, quality_rules
-from neurosheaf.llm.common import read, shared_dir
+from neurosheaf.llm import bpe, decontaminate, kneser_ney, quality_rules, similar
+from neurosheaf.llm.common import read, remove, shared_dir
 from neurosheaf.session import ship
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -28,9 +28,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each group of near copies: five-word Jaccard similarity of 0.8 or more."""
+    """One document, the one with the least id, of each group of near copies: SimHash finds them, five-word Jaccard similarity of 0.8 or more verifies them."""
     ship(spark)
-    return jaccard.deduplicate(docs)
+    return similar.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over all documents; what stands between them is kept in the shared folder."""
-    docs, folder = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages in order over all documents. What a stage wrote to the shared folder goes when the next one's stands."""
+    docs, folder, before = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
