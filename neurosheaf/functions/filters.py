@@ -7,6 +7,7 @@ matrix product, and only the few state values go from block to block.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -108,33 +109,36 @@ def _state_space(sos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, f
     return a, b, through_c, through_d
 
 
+@lru_cache(64)
+def _block_maps(coefficients: bytes, size: int) -> tuple[np.ndarray, ...]:
+    """What a filter does to blocks of up to ``size`` samples: state to output, input to output, input to state (the last sample
+    first), and the powers of its state matrix. They depend on the design alone, so a worker makes them once."""
+    a, b, c, d = _state_space(np.frombuffer(coefficients).reshape(-1, 6))
+    powers = np.empty((size + 1, len(b), len(b)))
+    powers[0] = np.eye(len(b))
+    for i in range(size):
+        powers[i + 1] = a @ powers[i]
+    free, to_state = c @ powers[:size], powers[:size] @ b
+    response_ = np.r_[d, to_state @ c]
+    lag = np.subtract.outer(np.arange(size), np.arange(size))
+    return free, np.where(lag >= 0, response_[np.clip(lag, 0, None)], 0.0), to_state, powers
+
+
 def causal(sos: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The filtered signal and the state after it; without a state, from rest."""
-    a, b, c, d = _state_space(sos)
+    free, forced, to_state, powers = _block_maps(np.ascontiguousarray(sos, float).tobytes(), BLOCK)
     x = np.asarray(x, float)
-    state = np.zeros(len(b)) if state is None else np.asarray(state, float)
-    size = min(BLOCK, max(1, len(x)))
-    power, response_, to_state = np.eye(len(b)), [d], []
-    rows = []
-    for _ in range(size):
-        rows.append(c @ power)
-        to_state.append(power @ b)
-        response_.append(c @ to_state[-1])
-        power = a @ power
-    free, into = np.array(rows), np.array(to_state[::-1]).T
-    lag = np.subtract.outer(np.arange(size), np.arange(size))
-    forced = np.where(lag >= 0, np.array(response_)[np.clip(lag, 0, None)], 0.0)
-    whole = len(x) // size
-    blocks = x[: whole * size].reshape(whole, size)
-    out, push = blocks @ forced.T, blocks @ into.T
+    state = np.zeros(powers.shape[1]) if state is None else np.asarray(state, float)
+    whole = len(x) // BLOCK
+    blocks = x[: whole * BLOCK].reshape(whole, BLOCK)
+    out, push = blocks @ forced.T, blocks @ to_state[::-1]
     for i in range(whole):
         out[i] += free @ state
-        state = power @ state + push[i]
-    rest = x[whole * size :]
-    tail = np.empty(len(rest))
-    for i, u in enumerate(rest):
-        tail[i] = c @ state + d * u
-        state = a @ state + b * u
+        state = powers[BLOCK] @ state + push[i]
+    rest = x[whole * BLOCK :]
+    r = len(rest)
+    tail = free[:r] @ state + forced[:r, :r] @ rest
+    state = powers[r] @ state + (rest @ to_state[:r][::-1] if r else 0.0)
     return np.concatenate([out.ravel(), tail]), state
 
 

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import montage
 from ..session import kept
 from . import quality, windowing
-from .connectivity import max_correlation, window_correlations
 from .signals import KEY
-from .statistics import robust_std, robust_z
+from .statistics import robust_z
 
 METHODS = ("nan", "flat", "deviation", "dropout", "correlation", "hf_noise", "ransac")
 
@@ -35,19 +34,16 @@ def find_bad_channels(samples: DataFrame, sfreq: float, positions: DataFrame | N
     channels, and eight of them that nothing else flags; ``ransac_windows`` as in ransac().
     """
     missing = samples.groupBy(*KEY).agg(F.max((F.col("value").isNull() | F.isnan("value")).cast("int")).alias("missing"))
-    signals = kept(quality.filtered(samples, sfreq))
     length = max(2, round(sfreq))
-    band = signals.select(*KEY, "sample", F.col("band").alias("value"))
-    table = band.groupBy(*KEY).agg(robust_std(F.col("value")).alias("amplitude")).join(missing, KEY)
+    found = kept(quality.described(samples, sfreq, length))
+    table = found.select(*KEY, "amplitude", "hf_ratio").join(missing, KEY)
     table = table.withColumns({"nan": F.col("missing") == 1, "flat": F.col("amplitude") < flat}).withColumn("usable", ~F.col("nan") & ~F.col("flat"))
     table = _z(table, "amplitude", "deviation_z")
-    windows = windowing.window_table(band, length)
+    windows = quality.windows_of(found, "band_std")
     table = table.join(windowing.flat_fraction(windows, flat * 0.2).withColumnRenamed("flat_fraction", "dropout_fraction"), KEY, "left")
-    good = band.join(table.where("usable").select(*KEY), KEY, "left_semi")
-    best = max_correlation(window_correlations(good, length)).groupBy(*KEY).agg(F.avg((F.col("max_correlation") < 0.4).cast("double")).alias("correlation_bad_fraction"))
-    ratio = quality._scaled_mad(signals, F.col("high") - F.col("low"), "hi").join(quality._scaled_mad(signals, F.col("low"), "lo"), KEY)
-    ratio = ratio.select(*KEY, F.when(F.col("lo") > 1e-12, F.col("hi") / F.col("lo")).otherwise(0.0).alias("hf_ratio"))
-    table = _z(table.join(best, KEY, "left").join(ratio, KEY, "left"), "hf_ratio", "hf_noise_z")
+    good = found.join(table.where("usable").select(*KEY), KEY, "left_semi")
+    poor = quality.poorly_correlated(quality.block_correlations(quality.in_blocks_of(good, length), length)).withColumnRenamed("corr_bad_fraction", "correlation_bad_fraction")
+    table = _z(table.join(poor, KEY, "left"), "hf_ratio", "hf_noise_z")
     table = table.withColumns(
         {
             "deviation": F.abs("deviation_z") > 5,
@@ -62,6 +58,8 @@ def find_bad_channels(samples: DataFrame, sfreq: float, positions: DataFrame | N
         table = kept(table)
         placed = positions.where("x is not null").select(*KEY, "x", "y", "z")
         enough = placed.groupBy("recording").agg(F.count("*").alias("n")).where(F.col("n") >= ransac_channels).select("recording")
+        band = found.select(*KEY, "start", F.posexplode("band").alias("place", "value")).where("not isnan(value)")
+        band = band.select(*KEY, (F.col("start") + F.col("place")).alias("sample"), "value")
         fraction = ransac(band, table.where("not flagged").select(*KEY), placed.join(enough, "recording", "left_semi"), sfreq, seed, windows=ransac_windows)
         table = table.join(fraction, KEY, "left")
     else:

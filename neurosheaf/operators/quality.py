@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import filters
 from ..session import kept
 from . import spectral, windowing
-from .connectivity import both_ways, max_correlation, window_correlations
+from .connectivity import both_ways
 from .signals import KEY
-from .statistics import MAD_SCALE, excess_kurtosis, grade, ramp, robust_std, robust_z
+from .statistics import MAD_SCALE, grade, ramp, robust_std, robust_z
 
 #: Penalty, and the metric's values at which it begins and is full, and its size there.
 RAMPS = {
@@ -36,72 +37,222 @@ ALWAYS = ("flat", "clipping")
 REASON = 3.0
 
 
-def filtered(samples: DataFrame, sfreq: float) -> DataFrame:
-    """(recording, channel, sample, value, high, band, low): above 1 Hz, from 1 to 40 Hz, and ``high`` below its noise split."""
+#: Windows of a recording, with all its channels, that are one group when channels are compared.
+BLOCK_WINDOWS = 64
+#: What described() gives a channel.
+_DESCRIBED = """n_samples long, amplitude double, slow double, hf_ratio double, clipping_fraction double, windows array<long>, high_std array<double>,
+ high_ptp array<double>, band_std array<double>, power array<double>, start long, band array<double>"""
+
+
+def _spread(x: np.ndarray) -> float:
+    """0.7413 times the range between quartiles."""
+    low, high = np.percentile(x, [25, 75])
+    return 0.7413 * (high - low)
+
+
+def _scaled_mad(x: np.ndarray) -> float:
+    return MAD_SCALE * float(np.median(np.abs(x - np.median(x))))
+
+
+def _clipped(x: np.ndarray, sample: np.ndarray, least: int = 3) -> float:
+    """Share of samples in runs of at least ``least`` at the lowest or highest value; constant: 1."""
+    if x.min() == x.max():
+        return 1.0
+    at = (x == x.min()) | (x == x.max())
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (np.diff(sample) != 1)])
+    length = np.diff(np.r_[new, len(x)])
+    return float(length[at[new] & (length >= least)].sum() / len(x))
+
+
+def _median_welch(dense: np.ndarray, first: int, length: int, sfreq: float) -> np.ndarray | None:
+    """spectral.welch(average="median", half overlap) of one channel: windows begin at multiples of their step, and have all their samples."""
+    step = length - round(length * 0.5)
+    begins = np.arange(-(-first // step) * step, first + len(dense) - length + 1, step) - first
+    if not len(begins):
+        return None
+    cut = np.lib.stride_tricks.sliding_window_view(dense, length)[begins]
+    cut = cut[np.isfinite(cut).all(axis=1)]
+    if not len(cut):
+        return None
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
+    power = np.abs(np.fft.rfft((cut - cut.mean(axis=1, keepdims=True)) * hann, axis=1)) ** 2 / (sfreq * (hann**2).sum())
+    power[:, 1 : (None if length % 2 else -1)] *= 2
+    n = len(cut)
+    pairs = np.arange(1, max((n - 1) // 2, 1) + 1)
+    bias = 1.0 if n < 3 else 1.0 + (1 / (2 * pairs + 1) - 1 / (2 * pairs)).sum()
+    return np.median(power, axis=0) / bias
+
+
+def described(samples: DataFrame, sfreq: float, length: int, spectrum_seconds: float = 4.0) -> DataFrame:
+    """A row a channel (recording, channel, _DESCRIBED), from one pass over it: filtered above 1 Hz (high) and from 1 to 40 Hz (band).
+
+    ``band`` begins at the sample ``start``, a multiple of ``length``, with NaN where there is no sample; ``windows`` are
+    the numbers of the full windows of ``length``. Missing values count as 0.
+    """
     split = 50.0 if sfreq / 2 > 55 else 0.7 * sfreq / 2
-    top = min(40.0, 0.45 * sfreq)
-    designs = [filters.butterworth(1.0, None, sfreq), filters.butterworth(1.0, top, sfreq), filters.butterworth(None, split, sfreq)]
+    designs = [filters.butterworth(1.0, None, sfreq), filters.butterworth(1.0, min(40.0, 0.45 * sfreq), sfreq), filters.butterworth(None, split, sfreq)]
+    spectrum_length = max(8, round(spectrum_seconds * sfreq))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("sample")
-        x = np.nan_to_num(rows.value.to_numpy(float))
+        x, sample = np.nan_to_num(rows.value.to_numpy(float)), rows["sample"].to_numpy()
         high, band = filters.zero_phase(designs[0], x), filters.zero_phase(designs[1], x)
-        return pd.DataFrame({"recording": rows.recording, "channel": rows.channel, "sample": rows["sample"], "value": x, "high": high, "band": band, "low": filters.zero_phase(designs[2], high)})
+        low = filters.zero_phase(designs[2], high)
+        start = int(sample[0]) // length * length
+
+        def placed(v: np.ndarray) -> np.ndarray:
+            out = np.full(int(sample[-1]) + 1 - start, np.nan)
+            out[sample - start] = v
+            return out
+
+        in_windows = [placed(v)[: (int(sample[-1]) + 1 - start) // length * length].reshape(-1, length) for v in (high, band)]
+        full = np.isfinite(in_windows[0]).all(axis=1)
+        high_windows, band_windows = (w[full] for w in in_windows)
+        noise = _scaled_mad(low)
+        found = {
+            "recording": rows.recording.iloc[0], "channel": rows.channel.iloc[0], "n_samples": len(x), "amplitude": _spread(band), "slow": _spread(x - high),
+            "hf_ratio": _scaled_mad(high - low) / noise if noise > 1e-12 else 0.0, "clipping_fraction": _clipped(x, sample), "windows": start // length + np.flatnonzero(full),
+            "high_std": high_windows.std(axis=1), "high_ptp": np.ptp(high_windows, axis=1) if len(high_windows) else np.zeros(0), "band_std": band_windows.std(axis=1),
+            "power": _median_welch(placed(x), start, spectrum_length, sfreq), "start": start, "band": placed(band),
+        }
+        return pd.DataFrame([found])
 
     kind = dict(samples.dtypes)["recording"]
-    return samples.select(*KEY, F.col("sample").cast("long").alias("sample"), "value").groupBy(*KEY).applyInPandas(run, f"recording {kind}, channel string, sample long, value double, high double, band double, low double")
+    return samples.select(*KEY, F.col("sample").cast("long").alias("sample"), "value").groupBy(*KEY).applyInPandas(run, f"recording {kind}, channel string, {_DESCRIBED}")
+
 
+def windows_of(table: DataFrame, std: str, ptp: str | None = None) -> DataFrame:
+    """described()'s windows as rows (recording, channel, window, std, ptp)."""
+    zipped = F.explode(F.arrays_zip(F.col("windows").alias("w"), F.col(std).alias("s"), F.col(ptp or std).alias("p")))
+    return table.select(*KEY, zipped.alias("x")).select(*KEY, F.col("x.w").alias("window"), F.col("x.s").alias("std"), F.col("x.p").alias("ptp"))
 
-def _of(signals: DataFrame, column: str) -> DataFrame:
-    return signals.select(*KEY, "sample", F.col(column).alias("value"))
 
+def spectrum_of(table: DataFrame, sfreq: float, spectrum_seconds: float = 4.0) -> DataFrame:
+    """described()'s spectra as rows (recording, channel, freq, power)."""
+    length = max(8, round(spectrum_seconds * sfreq))
+    return table.select(*KEY, F.posexplode("power").alias("bin", "power")).select(*KEY, (F.col("bin") * F.lit(sfreq / length)).alias("freq"), "power")
 
-def _scaled_mad(signals: DataFrame, value: Column, name: str) -> DataFrame:
-    own = signals.select(*KEY, value.alias("v")).withColumn("d", F.abs(F.col("v") - F.median("v").over(W.partitionBy(*KEY))))
-    return own.groupBy(*KEY).agg((MAD_SCALE * F.median("d")).alias(name))
+
+def in_blocks_of(table: DataFrame, length: int) -> DataFrame:
+    """described()'s band signals in blocks of windows: (recording, block, channel, at, x); ``at`` is where x begins in its block."""
+    size = length * BLOCK_WINDOWS
+    first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.size("band") - 1) / size)
+    piece = lambda k: F.struct(
+        k.alias("block"),
+        F.greatest(F.col("start") - k * size, F.lit(0)).cast("int").alias("at"),
+        F.slice("band", F.greatest(k * size - F.col("start"), F.lit(0)).cast("int") + 1, (F.lit(size) - F.greatest(F.col("start") - k * size, F.lit(0))).cast("int")).alias("x"),
+    )
+    return table.select(*KEY, F.explode(F.transform(F.sequence(first, last), piece)).alias("b")).select(*KEY, "b.*")
+
+
+def _block(table: pa.Table, size: int) -> tuple[list[str], np.ndarray]:
+    """Channels in order of name and a row of ``size`` values for each, NaN where there are none."""
+    names = table["channel"].to_pylist()
+    x = np.full((len(names), size), np.nan)
+    for row, at, values in zip(x, table["at"].to_pylist(), table["x"].combine_chunks(), strict=True):
+        v = values.values.to_numpy(zero_copy_only=False)
+        row[at : at + len(v)] = v
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return [names[i] for i in order], x[order]
+
+
+def block_correlations(blocks: DataFrame, length: int) -> DataFrame:
+    """(recording, a, b, r) of each block: correlations of a pair in full windows; and with b null the largest |r| of a channel with another in each."""
+    kind = dict(blocks.dtypes)["recording"]
+
+    def run(key, table):
+        names, x = _block(table, length * BLOCK_WINDOWS)
+        x = x.reshape(len(names), BLOCK_WINDOWS, length)
+        x = x - x.mean(axis=2, keepdims=True)
+        size = np.sqrt((x * x).sum(axis=2))
+        unit = np.divide(x, size[:, :, None], out=np.where(np.isfinite(x), 0.0, np.nan), where=size[:, :, None] > 0)
+        r = np.einsum("iwt,jwt->ijw", unit, unit)
+        a, b = np.triu_indices(len(names), 1)
+        pairs = [(names[i], names[j], v[np.isfinite(v)]) for i, j, v in zip(a, b, r[a, b], strict=True)]
+        others = np.abs(r)
+        others[np.arange(len(names)), np.arange(len(names))] = np.nan
+        best = np.where(np.isfinite(others), others, -1.0).max(axis=1)
+        rows = pairs + [(c, None, v[v >= 0]) for c, v in zip(names, best, strict=True)]
+        one = [key[0].as_py()] * len(rows)
+        return pa.table({"recording": pa.array(one, table.schema.field("recording").type), "a": pa.array([p[0] for p in rows], pa.string()), "b": pa.array([p[1] for p in rows], pa.string()), "r": pa.array([p[2] for p in rows], pa.list_(pa.float64()))})
+
+    return blocks.groupBy("recording", "block").applyInArrow(run, f"recording {kind}, a string, b string, r array<double>")
+
+
+def poorly_correlated(correlations: DataFrame, least: float = 0.4) -> DataFrame:
+    """Share of a channel's windows in which it correlates less than ``least`` with every other."""
+    best = correlations.where("b is null").select("recording", F.col("a").alias("channel"), F.explode("r").alias("r"))
+    return best.groupBy(*KEY).agg(F.avg((F.col("r") < least).cast("double")).alias("corr_bad_fraction"))
+
+
+def _residual_moments(blocks: DataFrame, around: DataFrame, length: int) -> DataFrame:
+    """Excess kurtosis of each channel's band signal less the mean of its neighbours', from sums over blocks."""
+    kind = dict(blocks.dtypes)["recording"]
+    lists = around.groupBy(*KEY).agg(F.collect_set("neighbour").alias("around"))
+    sums = ["n", "s1", "s2", "s3", "s4"]
+
+    def run(key, table):
+        names, x = _block(table, length * BLOCK_WINDOWS)
+        near = dict(zip(table["channel"].to_pylist(), table["around"].to_pylist(), strict=True))
+        place, there = {c: i for i, c in enumerate(names)}, np.isfinite(x)
+        filled = np.where(there, x, 0.0)
+        out = []
+        for i, c in enumerate(names):
+            own = [place[o] for o in near[c] or [] if o in place]
+            count = there[own].sum(axis=0)
+            v = (filled[i] - np.divide(filled[own].sum(axis=0), count, out=np.zeros(len(count)), where=count > 0))[there[i]]
+            out.append([float(len(v)), *(float((v**k).sum()) for k in (1, 2, 3, 4))])
+        columns = dict(zip(sums, np.array(out).T, strict=True))
+        return pa.table({"recording": pa.array([key[0].as_py()] * len(names), table.schema.field("recording").type), "channel": pa.array(names, pa.string()), **{k: pa.array(v) for k, v in columns.items()}})
+
+    found = blocks.join(lists, KEY, "left").groupBy("recording", "block").applyInArrow(run, f"recording {kind}, channel string, n double, s1 double, s2 double, s3 double, s4 double")
+    total = found.groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in sums))
+    m = F.col("s1") / F.col("n")
+    second = F.col("s2") / F.col("n") - m * m
+    fourth = (F.col("s4") - 4 * m * F.col("s3") + 6 * m * m * F.col("s2")) / F.col("n") - 3 * m * m * m * m
+    kurtosis = F.when(second > 0, fourth / (second * second) - 3)
+    n = F.col("n")
+    return total.select(*KEY, F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurtosis + 6)).alias("local_kurtosis"))
 
 
 def metrics(samples: DataFrame, sfreq: float, line: float | None = None, near: DataFrame | None = None, window: float = 1.0, flat: float = 0.5, ptp: float = 200.0) -> DataFrame:
     """A row of metrics for each channel. ``near`` (channel, neighbour) is the montage's; without one, a channel's
-    neighbours are the four that it is most correlated with. Dead channels don't count as neighbours while a live one is there."""
-    signals = kept(filtered(samples, sfreq))
+    neighbours are the four that it is most correlated with. Dead channels don't count as neighbours while a live one is there.
+
+    Samples are shuffled by channel once; the band signals that come of it are compared in blocks of a recording, twice: for
+    the correlations, and for what is left of each channel without its neighbours.
+    """
     length = max(2, round(window * sfreq))
-    high, band = kept(windowing.window_table(_of(signals, "high"), length)), windowing.window_table(_of(signals, "band"), length)
-    level = signals.groupBy(*KEY).agg(robust_std(F.col("band")).alias("amplitude"), robust_std(F.col("value") - F.col("high")).alias("slow"), F.count("*").alias("n_samples"))
+    table = kept(described(samples, sfreq, length))
+    high, band = windows_of(table, "high_std", "high_ptp"), windows_of(table, "band_std")
     drift = 20 * F.log10(F.greatest(F.col("slow") / F.greatest("amplitude", F.lit(1e-9)), F.lit(1e-9)))
-    level = level.select(*KEY, "n_samples", "amplitude", drift.alias("drift_db"))
-    spectrum = kept(spectral.welch(_of(signals, "value"), sfreq, 4.0, average="median"))
+    level = table.select(*KEY, "n_samples", "amplitude", drift.alias("drift_db"), "hf_ratio", "clipping_fraction")
+    spectrum = spectrum_of(table, sfreq)
     nyquist = sfreq / 2
     noise = (45.0, min(95.0, nyquist - 2)) if nyquist > 55 else (0.7 * nyquist, nyquist - 1)
     away = spectrum if not line else spectrum.where(F.abs(F.col("freq") - line) > 2)
-    windows = kept(window_correlations(_of(signals, "band"), length))
-    low = max_correlation(windows).groupBy(*KEY).agg(F.avg((F.col("max_correlation") < 0.4).cast("double")).alias("corr_bad_fraction"))
+    blocks = in_blocks_of(table, length)
+    compared = kept(block_correlations(blocks, length))
+    medians = compared.where("b is not null").select("recording", "a", "b", F.explode("r").alias("r")).groupBy("recording", "a", "b").agg(F.median(F.abs("r")).alias("value"))
+    middle = kept(both_ways(medians).withColumnRenamed("value", "r"))
     flats = kept(windowing.flat_fraction(high, flat))
     live = flats.where("flat_fraction < 0.5").select("recording", F.col("channel").alias("neighbour"), F.lit(True).alias("live"))
     if near is None:
-        middle = both_ways(windows, "window").groupBy("recording", "channel", "other").agg(F.median(F.abs("value")).alias("r"))
         best = W.partitionBy(*KEY).orderBy(F.desc("r"), "other")
         around = middle.withColumn("p", F.row_number().over(best)).where("p <= 4").select(*KEY, F.col("other").alias("neighbour"))
     else:
-        around = signals.select(*KEY).distinct().join(near.select("channel", "neighbour"), "channel")
+        around = table.select(*KEY).join(near.select("channel", "neighbour"), "channel")
     around = around.join(live, ["recording", "neighbour"], "left").withColumn("any", F.max("live").over(W.partitionBy(*KEY)))
     around = kept(around.where("live or any is null").select(*KEY, "neighbour"))
-    ratio = _scaled_mad(signals, F.col("high") - F.col("low"), "hi").join(_scaled_mad(signals, F.col("low"), "lo"), KEY)
-    ratio = ratio.select(*KEY, F.when(F.col("lo") > 1e-12, F.col("hi") / F.col("lo")).otherwise(0.0).alias("hf_ratio"))
-    values = _of(signals, "band")
-    others = around.join(values.withColumnRenamed("channel", "neighbour"), ["recording", "neighbour"]).groupBy(*KEY, "sample").agg(F.avg("value").alias("around"))
-    residual = values.join(others, [*KEY, "sample"], "left").select(*KEY, (F.col("value") - F.coalesce("around", F.lit(0.0))).alias("value"))
     tables = [
         flats,
-        windowing.clipping_fraction(_of(signals, "value")),
-        low,
-        _median_neighbours(windows, around),
-        ratio,
+        poorly_correlated(compared),
+        _median_neighbours(middle, around),
         spectral.snr_db(spectrum, line or 1e9, noise=noise),
         spectral.aperiodic(away).select(*KEY, "exponent"),
         alpha_peak(spectrum),
         windowing.bad_window_fraction(high, ptp),
-        residual.groupBy(*KEY).agg(excess_kurtosis(F.col("value")).alias("local_kurtosis")),
+        _residual_moments(blocks, around, length),
         windowing.amplitude_instability(band),
     ]
     if line and line < nyquist - 3:
@@ -112,10 +263,9 @@ def metrics(samples: DataFrame, sfreq: float, line: float | None = None, near: D
     return _across(joined, sfreq)
 
 
-def _median_neighbours(windows: DataFrame, around: DataFrame) -> DataFrame:
-    sides = both_ways(windows, "window").join(around.withColumnRenamed("neighbour", "other"), [*KEY, "other"])
-    middle = sides.groupBy(*KEY, "other").agg(F.median(F.abs("value")).alias("r"))
-    best = middle.withColumn("p", F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("r"), "other"))).where("p <= 2")
+def _median_neighbours(middle: DataFrame, around: DataFrame) -> DataFrame:
+    sides = middle.join(around.withColumnRenamed("neighbour", "other"), [*KEY, "other"])
+    best = sides.withColumn("p", F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("r"), "other"))).where("p <= 2")
     return best.groupBy(*KEY).agg(F.avg("r").alias("neighbour_correlation"))
 
 

@@ -844,7 +844,7 @@ def _(spark, d):
     s = sig(spark, d)
     more = [s.where(f"channel = '{c}'").select("recording", F.lit(n).alias("channel"), "sample", (F.col("value") * k).alias("value")) for c, n, k in (("price", "eog", 1), ("tax", "STI", 100))]
     s = s.where("channel <> 'tax'").unionByName(more[0]).unionByName(more[1])
-    steps = [{"crop": {"tmin": 0.2, "tmax": 2.99}}, {"set_channel_types": {"types": {"eog": "eog", "STI": "stim"}}}, {"set_bads": {"channels": ["price"]}}, "reference"]
+    steps = [{"crop": {"tmin": 0.2, "tmax": 3.0}}, {"set_channel_types": {"types": {"eog": "eog", "STI": "stim"}}}, {"set_bads": {"channels": ["price"]}}, "reference"]
     return Pipeline.from_config(steps).run(s, RATE).samples
 
 
