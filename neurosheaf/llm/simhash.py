@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, dealt, slices
-from .components import connected_components
+from .components import SMALL, connected_components
 
 BITS = 64
 #: Blocks of bits by the number of fingerprints up to which they do.
@@ -162,7 +162,7 @@ def _ball_links(hot: DataFrame, radius: int) -> DataFrame:
         links = new if links is None else links.union(new)
         if new.isEmpty():
             return links
-        moved = connected_components(new).withColumnsRenamed({"node": "c", "component": "to"})
+        moved = connected_components(new, SMALL).withColumnsRenamed({"node": "c", "component": "to"})
         labels = cut(labels.join(moved, "c", "left").select("fp", F.coalesce("to", "c").alias("c")))
 
 
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = cut(fingerprints(docs, id_col, text_col, width, seed))
     classes = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    found = connected_components(near_links(classes.select("fp"), radius)).withColumnsRenamed({"node": "fp", "component": "c"})
+    found = connected_components(near_links(classes.select("fp"), radius), SMALL).withColumnsRenamed({"node": "fp", "component": "c"})
     placed = cut(classes.join(found, "fp", "left").select("fp", "least", F.coalesce("c", "fp").alias("c")))
     firsts = placed.groupBy("c").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(dealt(firsts), "c").select("fp", "component_id")

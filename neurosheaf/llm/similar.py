@@ -11,14 +11,19 @@ Two bits of SimHashes differ with the probability angle / pi, which is 0.15 at a
 chosen for that. By simulation (30 to 300 words) a pair shares a bucket with probability 0.95 at 0.8, 0.99 at 0.85 and 0.999 at
 0.9, and RADIUS discards one of 1,000 at 0.8. At such a radius the pivots discard little beyond what the distance itself does.
 
-A bucket isn't paired up. Each class is held against one leader a round, the least one of another group that it shares a bucket with.
-What is then in no bucket's largest group is held against all of its buckets, so no pair that could join two groups is left out;
-pairs within a group are never listed.
+A bucket isn't paired up. First a class is held against the most copied of the leaders of its buckets, then, in a few rounds, against
+the nearest of several leaders in some tables, always one that isn't in its group so far; most of a large group is one group
+then. What is then in no bucket's largest group is held against all of its buckets, so no pair that could join two groups is left out;
+pairs within a group are never listed. In crowded buckets (many texts of one origin, but too far apart) the shingles that no
+other class there has are counted first: they can't be shared, so they bound the similarity of a class with any other. And each
+class has a bitmap of its shingles' hashes: a bit that only one of two classes has is a shingle that the other lacks. Most classes
+and pairs go by these bounds, which discard nothing that reaches the similarity.
 """
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +32,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_ids, cut, dealt, fresh, slices
-from .components import connected_components
+from .components import SMALL, connected_components
 from .simhash import BITS, bit_counts, coordinates_agree, pivot_table, shingle_hashes
 
 WIDTH, LEAST = 5, 0.8
 #: Bits that may differ: a pair of similarity 0.8 has more with probability 0.001.
 RADIUS = 20
-#: Sets of references a table, 7 bits of selectivity each, the classes up to which they do, and tables that give the same recall.
-DEPTHS = [(3, 1 << 28, 48), (4, 1 << 35, 160)]
-#: Rounds against leaders.
-ROUNDS = 2
+#: Sets of references a table, 7 bits of selectivity each, the classes up to which they do (8 a bucket), and tables that give the same recall.
+DEPTHS = [(3, 1 << 24, 48), (4, 1 << 31, 160)]
+#: Rounds against leaders: how many a bucket has (those with most copies, of as many parts of it), and of how many tables one takes part.
+ROUNDS = [(1, 1), (8, 8)]
+#: Classes of a bucket from which their own shingles are counted.
+CROWDED = 24
+#: Room for rounding where whole numbers are held against shares of others.
+CLOSE = 1e-6
+#: Longs of the bitmap of such a class's shingles.
+WORDS = 16
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -98,7 +109,7 @@ def _placed(classes: DataFrame, depth: int, tables: int) -> DataFrame:
 def _candidate(least: float, radius: int) -> Column:
     """Of rows a and b of a bucket: what is left when sizes, pivot coordinates and distances have discarded."""
     small, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-    return (small >= F.lit(least) * large) & coordinates_agree(radius, 16) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
+    return (small + CLOSE >= F.lit(least) * large) & coordinates_agree(radius, 16) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -114,7 +125,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> D
                     lead, own = key, shingle_set(x.as_py(), width)
                 other = shingle_set(y.as_py(), width)
                 shared = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(shared >= least * (len(own) + len(other) - shared))
+                keep.append(shared + CLOSE >= least * (len(own) + len(other) - shared))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(u, keep, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(v, keep, strict=True) if k], pa.int64())], names=["u", "v"])
 
     seconds = pairs.join(texts.select(F.col("set_key").alias("v"), F.col("text").alias("y")), "v")
@@ -126,8 +137,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> D
 class _Search:
     """Links between classes, round by round."""
 
-    def __init__(self, slim: DataFrame, classes: DataFrame, members: DataFrame, scratch: Scratch, width: int, least: float, radius: int):
+    def __init__(self, slim: DataFrame, classes: DataFrame, members: DataFrame, scratch: Scratch, width: int, least: float, radius: int, depth: int):
         self.slim, self.classes, self.members, self.scratch = slim, classes, members, scratch
+        self.table = F.shiftright("bucket", 7 * depth)
         self.width, self.least, self.radius = width, least, radius
         self.links = self.tried = None
 
@@ -135,7 +147,7 @@ class _Search:
         """``members`` with their group c so far."""
         if self.links is None:
             return self.members.withColumn("c", F.col("set_key"))
-        groups = connected_components(self.links).withColumnsRenamed({"node": "set_key", "component": "c"})
+        groups = connected_components(self.links, SMALL).withColumnsRenamed({"node": "set_key", "component": "c"})
         return self.members.join(groups, "set_key", "left").withColumn("c", F.coalesce("c", "set_key"))
 
     def judge(self, pairs: DataFrame) -> None:
@@ -145,34 +157,80 @@ class _Search:
         if pairs.isEmpty():
             return
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("set_key")).distinct()
-        firsts = self.classes.join(wanted, "set_key").select("set_key", F.col("first.id").alias("own_id"), F.col("first.text_hash").alias("own_hash"))
-        rows = by_ids(self.slim, firsts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")), "inner")
-        texts = rows.groupBy("set_key").agg(F.first("text").alias("text"))
+        texts = self.rows_of(wanted).groupBy("set_key").agg(F.first("text").alias("text"))
         found = cut(_verified(pairs, texts, self.width, self.least))
         self.links = found if self.links is None else self.links.union(found)
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
 
-    def against_leaders(self) -> None:
-        placed = self.scratch.keep(self.grouped())
-        ends = placed.groupBy("bucket").agg(F.min(F.struct("c", "set_key", "fp", "size", "p0", "p1")).alias("x"), F.max("c").alias("last")).where("x.c <> last")
-        leaders = dealt(ends.select("bucket", "x.*"))
+    def against_leaders(self, turn: int) -> None:
+        many, apart = ROUNDS[turn]
+        placed = self.scratch.keep(self.grouped().where(self.table % apart == turn))
+        several = placed.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
+        part = F.pmod(F.xxhash64("set_key", F.lit(turn)), F.lit(many))
+        leaders = placed.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("copies")).alias("most"), "set_key", "c", "copies", "fp", "size", "p0", "p1")).alias("x"))
+        leaders = dealt(leaders.join(several, "bucket", "left_semi").select("bucket", "x.*"))
         near = placed.alias("b").join(leaders.alias("a"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.c") != F.col("b.c")) & _candidate(self.least, self.radius))
-        # One leader a round is enough for a class: others follow when it isn't in their group then.
-        self.judge(near.groupBy(F.col("b.set_key").alias("v")).agg(F.min("a.set_key").alias("u")).select("u", "v"))
+        distance = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
+        copied = -F.col("a.copies") if many == 1 else F.lit(0).cast("long")
+        nearest = near.groupBy(F.col("b.set_key").alias("v")).agg(F.min(F.struct(copied.alias("copied"), distance.alias("d"), F.col("a.set_key").alias("u"))).alias("x"))
+        self.judge(nearest.select("x.u", "v"))
         self.scratch.drop(placed)
 
     def rest(self) -> None:
         placed = self.scratch.keep(self.grouped())
         counts = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("x"), F.count("*").alias("groups")).where("groups > 1").select("bucket", F.col("x.c").alias("largest"))
-        left = self.scratch.keep(placed.join(dealt(largest), "bucket").withColumn("outside", F.col("c") != F.col("largest")))
-        pairs = left.where("outside").alias("a").join(
-            left.alias("b"),
+        largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("x"), F.count("*").alias("groups"), F.sum("n").alias("n")).where("groups > 1")
+        largest = largest.select("bucket", F.col("x.c").alias("largest"), (F.col("n") > CROWDED).alias("crowded"))
+        left = self.scratch.keep(placed.join(dealt(largest), "bucket").withColumn("outside", F.col("c") != F.col("largest")).drop("largest"))
+        own = self.own_shingles(left.where("crowded").select("set_key").distinct())
+        bounded = self.scratch.keep(left.join(own, "set_key", "left").join(self.bitmaps(own), "set_key", "left").where(~F.col("crowded") | (F.col("size") - F.col("own") + CLOSE >= F.lit(self.least) * F.col("size"))))
+        # What two classes can share at most; both have to be among those that were counted.
+        lacking = lambda x, y: reduce(add, (F.bit_count(F.col(f"{x}.w{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.w{i}")))) for i in range(WORDS)))
+        shared = F.least(*(F.col(f"{x}.size") - F.greatest(F.col(f"{x}.own"), lacking(x, y).cast("long")) for x, y in ("ab", "ba")))
+        bound = F.col("a.own").isNull() | F.col("b.own").isNull() | (shared * (1 + self.least) + CLOSE >= F.lit(self.least) * (F.col("a.size") + F.col("b.size")))
+        pairs = bounded.where("outside").alias("a").join(
+            bounded.alias("b"),
             # Two that are outside of the largest group meet twice; one meeting counts.
-            (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.c") != F.col("b.c")) & (~F.col("b.outside") | (F.col("a.set_key") < F.col("b.set_key"))) & _candidate(self.least, self.radius),
+            (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.c") != F.col("b.c")) & (~F.col("b.outside") | (F.col("a.set_key") < F.col("b.set_key"))) & bound & _candidate(self.least, self.radius),
         )
         self.judge(pairs.select(F.least("a.set_key", "b.set_key").alias("u"), F.greatest("a.set_key", "b.set_key").alias("v")).distinct())
-        self.scratch.drop(placed, left)
+        self.scratch.drop(placed, left, bounded)
+
+    def rows_of(self, wanted: DataFrame) -> DataFrame:
+        """(set_key, text) of the wanted classes' first rows, which stay where they are if they are few."""
+        firsts = self.classes.join(wanted, "set_key").select("set_key", F.col("first.id").alias("own_id"), F.col("first.text_hash").alias("own_hash"))
+        return by_ids(self.slim, firsts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")), "inner").select("set_key", "text")
+
+    def bitmaps(self, classes: DataFrame) -> DataFrame:
+        """(set_key, w0, w1, ...) of ``classes``."""
+        width = self.width
+
+        def run(batches):
+            for b in slices(batches, 256):
+                bits = np.zeros((b.num_rows, 64 * WORDS), np.uint8)
+                for row, t in zip(bits, b.column(1).cast(pa.large_binary()), strict=True):
+                    row[shingle_set(t.as_py(), width) % np.uint64(64 * WORDS)] = 1
+                words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(WORDS))], names=["set_key", *(f"w{i}" for i in range(WORDS))])
+
+        columns = [f"w{i}" for i in range(WORDS)]
+        found = self.rows_of(classes.select("set_key")).mapInArrow(run, "set_key long, " + ", ".join(f"{c} long" for c in columns))
+        # Rows that repeat an id and text have equal bitmaps.
+        return found.groupBy("set_key").agg(*(F.max(c).alias(c) for c in columns))
+
+    def own_shingles(self, classes: DataFrame) -> DataFrame:
+        """(set_key, own): how many shingles of each of ``classes`` no other one of them has."""
+        classes, width = cut(classes), self.width
+
+        def run(batches):
+            for b in slices(batches, 64):
+                sets = [shingle_set(t.as_py(), width).view(np.int64) for t in b.column(1).cast(pa.large_binary())]
+                if sets:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), list(map(len, sets)))), pa.array(np.concatenate(sets))], names=["set_key", "shingle"])
+
+        held = self.rows_of(classes).mapInArrow(run, "set_key long, shingle long")
+        single = held.groupBy("shingle").agg(F.min("set_key").alias("set_key"), F.max("set_key").alias("last")).where("set_key = last")
+        return classes.join(single.groupBy("set_key").agg(F.count("*").alias("own")), "set_key", "left").select("set_key", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
@@ -187,23 +245,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession, "near-copies")
     marked = scratch.keep(_signatures(slim, width))
     row = F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash")
-    classes = scratch.keep(marked.groupBy("set_key").agg(F.min(row).alias("first"), *(F.first(c).alias(c) for c in ("fp", "size", "counters"))))
+    classes = scratch.keep(marked.groupBy("set_key").agg(F.min(row).alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("fp", "size", "counters"))))
     n = classes.count()
     depth, _, tables = next((d for d in DEPTHS if n <= d[1]), DEPTHS[-1])
     placed = scratch.keep(_placed(classes.where("size > 0").select("set_key", "counters"), depth, tables))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    coordinates = pivot_table(classes.select("set_key", "fp", "size"))
-    members = scratch.keep(placed.join(dealt(shared), "bucket").join(coordinates, "set_key").select("bucket", "set_key", "fp", "size", "p0", "p1"))
+    coordinates = pivot_table(classes.select("set_key", "fp", "size", "copies"))
+    members = scratch.keep(placed.join(dealt(shared), "bucket").join(coordinates, "set_key").select("bucket", "set_key", "fp", "size", "copies", "p0", "p1"))
     scratch.drop(placed)
-    search = _Search(slim, classes, members, scratch, width, least, radius)
-    for _ in range(ROUNDS):
-        search.against_leaders()
+    search = _Search(slim, classes, members, scratch, width, least, radius, depth)
+    for turn in range(len(ROUNDS)):
+        search.against_leaders(turn)
     search.rest()
     own = classes.select("set_key", "first")
     if search.links is None:
         firsts = own
     else:
-        groups = connected_components(search.links).withColumnsRenamed({"node": "set_key", "component": "c"})
+        groups = connected_components(search.links, SMALL).withColumnsRenamed({"node": "set_key", "component": "c"})
         grouped = own.join(groups, "set_key", "left").withColumn("c", F.coalesce("c", "set_key"))
         firsts = grouped.select("set_key", "c").join(dealt(grouped.groupBy("c").agg(F.min("first").alias("first"))), "c").select("set_key", "first")
     is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))

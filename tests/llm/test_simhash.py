@@ -99,8 +99,9 @@ def test_every_linked_pair_meets_in_a_band(blocks):
         assert any(bits & m == 0 for m in masks)
 
 
-def test_components_of_a_long_path_a_hub_and_nothing(spark):
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_components_of_a_long_path_a_hub_and_nothing(spark, small):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 400)] + [(7, 7), (None, 3)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long"), small).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 400)}
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "u long, v long"), small).count() == 0

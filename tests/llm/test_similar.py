@@ -43,7 +43,7 @@ def corpus(rng):
     return list(enumerate([*rows, None, "", "one two", "One  two", *rows[:5]]))
 
 
-@pytest.mark.parametrize("rounds", [2, 0])
+@pytest.mark.parametrize("rounds", [j.ROUNDS, []])
 def test_groups_against_all_pairs(spark, monkeypatch, rounds):
     """Every link is one of all pairs, and hardly one of those is missed, though pairs are as far apart as 0.8."""
     monkeypatch.setattr(j, "ROUNDS", rounds)
@@ -78,6 +78,30 @@ def test_large_groups_are_found_without_listing_their_pairs(spark, monkeypatch):
     assert sum(pairs) < 4 * 300
 
 
+def test_crowds_that_are_too_far_apart_are_not_paired(spark, monkeypatch):
+    """400 texts of one origin, each with a quarter of its words changed, and a few that are near copies of one another."""
+    rng, pairs, judge = random.Random(5), [], j._Search.judge
+
+    def counted(self, found):
+        pairs.append(found.count())
+        judge(self, found)
+
+    monkeypatch.setattr(j._Search, "judge", counted)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        own, at = list(words), rng.randrange(225)
+        own[at : at + 75] = [f"n{rng.randrange(10**6)}" for _ in range(75)]
+        rows.append((i, " ".join(own)))
+    for i in range(10):
+        own = rows[i][1].split()
+        own[rng.randrange(300)] = "changed"
+        rows.append((1000 + i, " ".join(own)))
+    got = {r.id: r.component_id for r in j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 1000 if i >= 1000 else i for i, _ in rows}
+    assert sum(pairs) < 410 * 409 / 2 / 5
+
+
 def test_buckets_by_plain_distances():
     rng = np.random.default_rng(0)
     counters = rng.integers(-50, 50, (5, 64))
