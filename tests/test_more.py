@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from neurosheaf.functions import distributions
 from neurosheaf.functions.montage import project, standard_positions
@@ -81,3 +82,57 @@ def test_positions_from_files(tmp_path):
     with pytest.raises(ValueError):
         montages.read(f"{tmp_path}/g.csv")
     assert project(0, 1, 0) == pytest.approx((0, 1))
+
+
+def test_discriminability_names_the_best_feature(spark):
+    """A rhythm of 10 Hz in one condition: alpha tells them apart, with an AUC near 1 and a small p."""
+    rng, t = np.random.default_rng(21), np.arange(128) / 128
+    rows = []
+    for i in range(40):
+        for c, gain in (("with", 3.0), ("none", 0.0)):
+            x = rng.standard_normal(128) + gain * (i % 2) * np.sin(2 * np.pi * 10 * t + rng.uniform(0, 6))
+            rows += [("r", c, i, "ab"[i % 2], k, float(v)) for k, v in enumerate(x)]
+    trials = spark.createDataFrame(rows, "recording string, channel string, trial long, condition string, time long, value double")
+    features = ranking.band_features(trials, 128.0)
+    assert features.count() == 40 * 2 * 5
+    found = {r.channel: r for r in ranking.rank_trials(trials, "discriminability", sfreq=128.0).collect()}
+    assert found["with"].rank == 1 and found["with"].feature == "alpha" and found["with"].auc > 0.95 and found["with"].p_value < 1e-6
+    assert found["none"].auc < 0.75
+    three = features.withColumn("condition", F.concat("condition", (F.col("trial") % 3).cast("string")))
+    assert all(r.auc is None and r.p_value is not None for r in ranking.discriminability(three).collect())
+    both = {r.channel: r.accuracy for r in ranking.decoding_accuracy(features, repeats=1, together=True).collect()}
+    assert set(both) == {"with", "none", "all"} and min(both["with"], both["all"]) > 0.85
+
+
+def test_folds_deal_out_every_condition(spark):
+    trials = spark.createDataFrame([("r", i, "ab"[i < 7]) for i in range(40)], "recording string, trial long, condition string")
+    folds = ranking.with_folds(trials, 5, 3, 1).collect()
+    assert len(folds) == 40 and all(len(r.folds) == 3 for r in folds)
+    for repeat in range(3):
+        for c in "ab":
+            sizes = np.bincount([r.folds[repeat] for r in folds if r.condition == c], minlength=5)
+            assert sizes.max() - sizes.min() <= 1
+    assert {tuple(r.folds) for r in folds} != {(r.folds[0],) * 3 for r in folds}
+
+
+def test_shrinkage_lies_between_the_sample_and_its_target():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((30, 6)) * [1, 2, 3, 4, 5, 6]
+    x -= x.mean(axis=0)
+    sample, shrunk = x.T @ x / 30, ranking.shrunk_covariance(x)
+    assert np.trace(shrunk) == pytest.approx(np.trace(sample))
+    share = 1 - shrunk[0, 1] / sample[0, 1]
+    assert 0 < share < 1 and shrunk == pytest.approx((1 - share) * sample + share * np.eye(6) * np.trace(sample) / 6)
+    direct = np.mean([((np.outer(r, r) - sample) ** 2).sum() for r in x]) / 30 / ((sample - np.eye(6) * np.trace(sample) / 6) ** 2).sum()
+    assert share == pytest.approx(direct)
+
+
+def test_rejection_by_type(spark):
+    rows = [("r", e, c, k, "x", float(v * k)) for e, c, v in ((0, "a", 5), (0, "b", 500), (1, "a", 200), (1, "b", 1), (2, "a", 5), (2, "b", 1), (2, "e", 900)) for k in (0, 1)]
+    cut = spark.createDataFrame(rows, "recording string, epoch long, channel string, time long, condition string, value double")
+    table = spark.createDataFrame([("r", "a", "eeg", False), ("r", "b", "eeg", True), ("r", "e", "eog", False)], "recording string, channel string, ch_type string, bad boolean")
+    assert {(r.epoch, r.channels) for r in epochs.rejected(cut, 100.0).collect()} == {(0, "b"), (1, "a"), (2, "e")}
+    assert {(r.epoch, r.channels) for r in epochs.rejected(cut, 100.0, None, table).collect()} == {(1, "a")}
+    assert {(r.epoch, r.channels) for r in epochs.rejected(cut, {"eeg": 100.0, "eog": 800.0}, {"eeg": 10.0}, table).collect()} == {(0, "a"), (1, "a"), (2, "e")}
+    with pytest.raises(ValueError):
+        epochs.rejected(cut, {"eeg": 100.0})

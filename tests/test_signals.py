@@ -180,14 +180,28 @@ def test_erp_snr_prefers_the_channel_with_a_response(spark):
     assert snr["erp"] > 8 and abs(snr["none"]) < 5
 
 
-def test_planted_faults_rank_lowest(spark):
-    faults = {"T8": "noisy", "O2": "flat", "F7": "drift", "P4": "disconnected", "C3": "pop"}
-    near = spatial.neighbours(spark.createDataFrame([(n, *map(float, standard_positions()[n])) for n in TEN_TWENTY], "channel string, x double, y double, z double"))
-    table = quality.assess(simulate(spark, 1, TEN_TWENTY, 60.0, 128.0, faults, seed=1), 128.0, 50.0, near).orderBy("rank").collect()
-    assert {r.channel for r in table[-5:]} == set(faults)
+@pytest.mark.parametrize("names,faults,seconds", [
+    (TEN_TWENTY, {"T8": "noisy", "O2": "flat", "F7": "drift", "P4": "line", "C3": "pop"}, 90.0),
+    (None, {"T8": "noisy", "O2": "flat", "F7": "drift", "P4": "line", "C3": "pop", "FC2": "disconnected", "CP5": "clipping", "AF3": "intermittent"}, 60.0),
+])
+def test_planted_faults_rank_lowest(spark, names, faults, seconds):
+    """Exactly the faulty channels rank lowest, on 19 channels, where all others stay good, and on 64 with all kinds of faults."""
+    if names is None:
+        inner = [n for n, p in standard_positions().items() if p[2] > -0.05]
+        names = sorted({*inner[:64], *faults})
+    near = spatial.neighbours(spark.createDataFrame([(n, *map(float, standard_positions()[n])) for n in names], "channel string, x double, y double, z double"))
+    table = quality.assess(simulate(spark, 1, names, seconds, 256.0, faults, seed=1), 256.0, 50.0, near).orderBy("rank").collect()
+    assert {r.channel for r in table[-len(faults):]} == set(faults), [(r.channel, r.score, r.reasons) for r in table[-10:]]
     assert next(r for r in table if r.channel == "O2").grade == "bad"
+    good = np.array([r.score for r in table if r.channel not in faults])
+    assert np.median(good) >= 75 and (len(names) > 19 or good.min() >= 75), sorted(good)[:10]
+
+
+def test_a_clean_recording_scores_high(spark):
+    near = spatial.neighbours(spark.createDataFrame([(n, *map(float, standard_positions()[n])) for n in TEN_TWENTY], "channel string, x double, y double, z double"))
     clean = quality.assess(simulate(spark, 1, TEN_TWENTY, 60.0, 128.0, seed=7), 128.0, 50.0, near).toPandas()
     assert clean.score.median() > 90
+    faults = {"T8": "noisy", "O2": "flat", "F7": "drift", "P4": "disconnected", "C3": "pop"}
     bad = bad_channels.find_bad_channels(simulate(spark, 1, TEN_TWENTY, 30.0, 128.0, faults, seed=1), 128.0).where("bad").toPandas()
     assert {"O2", "T8"} <= set(bad.channel)
 
