@@ -128,10 +128,10 @@ def resolved(target: Column, base: Column) -> Column:
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(u, v) from all canonical links and meta refreshes in pages; a page with neither, or null html or url, gives none."""
     html = F.col(html_col)
-    kinds = ((_CANONICAL, "canonical", 3), (_REFRESH, "refresh", 1))
+    kinds = ((_CANONICAL, "link", "canonical", 3), (_REFRESH, "meta", "refresh", 1))
     targets = []
-    for pattern, word, groups in kinds:
-        tags = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    for pattern, tag_name, word, groups in kinds:
+        tags = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag_name}\b[^>]*"), F.lit(0))
         found = F.transform(tags, lambda tag: F.coalesce(*(F.nullif(F.regexp_extract(tag, pattern, g), F.lit("")) for g in range(1, groups + 1))))  # noqa: B023
         plain = F.transform(found, lambda x: F.replace(F.trim(x), F.lit("&amp;"), F.lit("&")))
         targets.append(F.when(html.rlike(f"(?i){word}"), plain).otherwise(F.array().cast("array<string>")))
