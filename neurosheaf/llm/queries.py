@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hilbert, kneser_ney, licenses, quality_rules, simhash, url_filter, warc, wordpiece
+from . import bpe, decontaminate, hilbert, kneser_ney, licenses, quality_rules, simhash, url_filter, warc, word_bpe, wordpiece
 from ..session import ship
 from .common import read
 
@@ -88,6 +88,12 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def word_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return word_bpe.digests(docs, word_bpe.load(public_tokenizers.path("word_bpe_49k.json"))).drop("text")
+
+
 QUERIES = {
     "op1_hilbert_shards": sharding,
     "op2_simhash": near_duplicates,
@@ -99,6 +105,7 @@ QUERIES = {
     "op8_url_filter": url_verdicts,
     "op9_kneser_ney": perplexity,
     "op10_decontamination": decontamination,
+    "op11_word_bpe": word_bpe_digests,
 }
 
 _WHITE = r"[\x20\x09-\x0D]"
