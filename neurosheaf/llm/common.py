@@ -79,7 +79,6 @@ class Scratch:
         for t in tables:
             remove(self.spark, self.paths[id(t)][1])
 
-
     def clear(self) -> None:
         """Removes all of them."""
         remove(self.spark, self.folder)
@@ -111,6 +110,28 @@ def by_ids(df: DataFrame, ids: DataFrame, on, how: str = "left_semi") -> DataFra
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
+#: Steps a doubling in which counts are compared when the most frequent rows are looked for.
+FINE = 16
+
+
+def most_frequent(table: DataFrame, count: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the highest counts, ``limit`` at most, and all others; None if there are no others.
+
+    Counts are taken in steps of a 16th of a doubling, so that a bounded number of rows reaches the driver; if even the
+    highest step holds more than ``limit`` rows, all are others."""
+    step = F.floor(F.log2(F.greatest(F.col(count), F.lit(1))) * FINE)
+    steps = sorted(table.groupBy(step.alias("step")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r.step)
+    least, room = None, limit
+    for r in steps:
+        room -= r.m
+        if room < 0:
+            break
+        least = r.step
+    if room >= 0:
+        return table, None
+    return (table.where(step >= least), table.where(step < least)) if least is not None else (table.limit(0), table)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """The rows dealt out evenly. A join on what was grouped before then has an exchange of its own on both
     sides, so that adaptive execution can split the partition of a hot key."""

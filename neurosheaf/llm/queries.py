@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hilbert, kneser_ney, licenses, quality_rules, simhash, url_filter, warc, word_bpe, wordpiece
+from . import alignment, bpe, decontaminate, hilbert, kneser_ney, licenses, quality_rules, simhash, url_filter, warc, word_bpe, wordpiece
 from ..session import ship
 from .common import read
 
@@ -94,6 +94,12 @@ def word_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.digests(docs, word_bpe.load(public_tokenizers.path("word_bpe_49k.json"))).drop("text")
 
 
+def cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    pair = alignment.Pair.load(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.score(read(spark, sf_dir, "documents").select("doc_id", "text"), pair, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_hilbert_shards": sharding,
     "op2_simhash": near_duplicates,
@@ -106,6 +112,7 @@ QUERIES = {
     "op9_kneser_ney": perplexity,
     "op10_decontamination": decontamination,
     "op11_word_bpe": word_bpe_digests,
+    "op12_token_alignment": cross_tokenizer,
 }
 
 _WHITE = r"[\x20\x09-\x0D]"

@@ -70,7 +70,7 @@ def load(path: str) -> Vocabulary:
         return Vocabulary(f.read())
 
 
-class _Memo:
+class Memo:
     """What was met of late: two tables of MEMO entries, the older of which goes when the newer is full."""
 
     def __init__(self):
@@ -128,7 +128,7 @@ class Encoder:
         self.stable = np.zeros(size, bool)
         for t, i in self.ids.items():
             self.stable[i] = ordered[i] and not twice[i] and self.merged(t) == [i]
-        self.chunk_memo, self.word_memo = _Memo(), _Memo()
+        self.chunk_memo, self.word_memo = Memo(), Memo()
 
     def symbols(self, word: str) -> list[int]:
         """The single symbols of a word; its last one is one with the end mark."""
