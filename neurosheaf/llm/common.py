@@ -67,10 +67,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, **options) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}"
         with _freed(self.spark):
-            df.write.parquet(path)
+            df.write.options(**options).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = kept, path
         return kept

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, decontaminate, hilbert, kneser_ney, licenses, quality_rules, simhash, url_filter, warc, word_bpe, wordpiece
+from . import alignment, bpe, decontaminate, hilbert, kneser_ney, licenses, quality_rules, ranked_search, simhash, url_filter, warc, word_bpe, wordpiece
 from ..session import ship
 from .common import read
 
@@ -100,6 +100,14 @@ def cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.score(read(spark, sf_dir, "documents").select("doc_id", "text"), pair, digest=True).withColumnRenamed("groups", "groups_sha256")
 
 
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    index = ranked_search.Index(read(spark, sf_dir, "documents"))
+    found = ranked_search.search(index, read(spark, sf_dir, "benchmark"))
+    index.clear()
+    return found
+
+
 QUERIES = {
     "op1_hilbert_shards": sharding,
     "op2_simhash": near_duplicates,
@@ -113,6 +121,7 @@ QUERIES = {
     "op10_decontamination": decontamination,
     "op11_word_bpe": word_bpe_digests,
     "op12_token_alignment": cross_tokenizer,
+    "op13_ranked_search": ranked,
 }
 
 _WHITE = r"[\x20\x09-\x0D]"
@@ -190,6 +199,18 @@ ds AS ({cut('(SELECT * FROM d WHERE len(w) > 0)', 'doc_id')}), bs AS ({cut('(SEL
 SELECT doc_id, item_id, count(*) / CAST(any_value(n) AS DOUBLE) AS containment FROM bs JOIN ds USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= {decontaminate.CONTAINMENT} * any_value(n)"""
 
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SEARCH_SQL = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{_TERMS}'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents),
+b AS (SELECT row_number() OVER () AS item, item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '{_TERMS}'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM benchmark),
+q AS (SELECT item, item_id, term, CAST(count(*) AS BIGINT) AS times FROM b GROUP BY ALL),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(len(terms)) AS BIGINT) AS nt FROM d WHERE len(terms) > 0),
+p AS (SELECT row, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * CAST(count(*) AS BIGINT) + 1))) AS BIGINT) AS w FROM p, totals GROUP BY term, nd),
+s AS (SELECT item, item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term), totals GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20"""
+
+
 #: The other operators need a hash, a tokenizer or a trained model that SQL doesn't have; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_hilbert_shards": _sharding_sql(),
@@ -197,4 +218,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc": _WARC_SQL,
     "op8_url_filter": _url_sql(),
     "op10_decontamination": _contained_sql(),
+    "op13_ranked_search": _SEARCH_SQL,
 }
