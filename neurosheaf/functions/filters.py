@@ -187,13 +187,18 @@ def windowed_sinc(low: float | None, high: float | None, sfreq: float, width: fl
     return unit - low_pass(lo) if hi is None else low_pass(hi) - low_pass(lo)
 
 
+def convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """The full convolution, by transforms."""
+    n = len(x) + len(taps) - 1
+    size = 1 << n.bit_length()
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(taps, size), size)[:n]
+
+
 def fir_zero_phase(taps: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Convolution with the taps centred, over reflected ends."""
     half = len(taps) // 2
     wide = np.pad(np.asarray(x, float), half, "reflect") if len(x) > 1 else np.pad(x, half, "edge")
-    size = 1 << (len(wide) + len(taps) - 1).bit_length()
-    full = np.fft.irfft(np.fft.rfft(wide, size) * np.fft.rfft(taps, size), size)
-    return full[2 * half : 2 * half + len(x)]
+    return convolved(wide, taps)[2 * half : 2 * half + len(x)]
 
 
 def analytic(x: np.ndarray) -> np.ndarray:

@@ -1,6 +1,5 @@
-"""Filters over whole channels: each (recording, channel) is one group, filtered by a numpy kernel.
-
-A channel has to fit a task (an hour at 256 Hz takes 7 MB); recordings and channels run in parallel.
+"""Filters of channels. Band filters and notches go over channels of any length in blocks (see blockwise); resampling and
+envelopes take a channel as one group with a numpy kernel, so that it has to fit a task (an hour at 256 Hz takes 7 MB).
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import filters
+from . import blockwise
 from .signals import KEY
 
 
@@ -52,28 +52,27 @@ def _picked(samples: DataFrame, channels: list[str] | None, change: Callable[[Da
 
 
 def band_filter(samples: DataFrame, low: float | None, high: float | None, sfreq: float, method: str = "iir", zero_phase: bool = True, channels: list[str] | None = None, triggers: DataFrame | None = None) -> DataFrame:
-    """Butterworth (iir) or windowed-sinc (fir) filter of whole channels, forwards and backwards or causal."""
+    """Butterworth (iir) or windowed-sinc (fir) filter of channels of any length, forwards and backwards or causal; see blockwise."""
     if method == "iir":
         sos = filters.butterworth(low, high, sfreq)
-        kernel = (lambda x: filters.zero_phase(sos, x)) if zero_phase else (lambda x: filters.causal(sos, x)[0])
-    elif method == "fir":
-        taps = filters.windowed_sinc(low, high, sfreq)
-        kernel = (lambda x: filters.fir_zero_phase(taps, x)) if zero_phase else (lambda x: np.convolve(x, taps)[: len(x)])
-    else:
+        return _picked(samples, channels, lambda s: blockwise.from_blocks(blockwise.iir(blockwise.in_blocks(s, triggers), sos, zero_phase)))
+    if method != "fir":
         raise ValueError("method is iir or fir")
-    return _picked(samples, channels, lambda s: per_channel(s, kernel, triggers))
+    taps = filters.windowed_sinc(low, high, sfreq)
+    return _picked(samples, channels, lambda s: blockwise.fir(s, taps, zero_phase, triggers))
 
 
 def notch_filter(samples: DataFrame, frequency: float, sfreq: float, quality: float = 30.0, channels: list[str] | None = None, triggers: DataFrame | None = None) -> DataFrame:
     """Takes out a frequency and its harmonics below half the rate less 1 Hz."""
     stops = [filters.notch(f, sfreq, quality) for f in np.arange(frequency, sfreq / 2 - 1, frequency)]
 
-    def kernel(x: np.ndarray) -> np.ndarray:
+    def change(s: DataFrame) -> DataFrame:
+        blocks = blockwise.in_blocks(s, triggers)
         for sos in stops:
-            x = filters.zero_phase(sos, x)
-        return x
+            blocks = blockwise.iir(blocks, sos)
+        return blockwise.from_blocks(blocks)
 
-    return _picked(samples, channels, lambda s: per_channel(s, kernel, triggers))
+    return _picked(samples, channels, change)
 
 
 def weighted_frame(samples: DataFrame, taps: list[float]) -> DataFrame:
