@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,14 +102,33 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
-#: Ids that are broadcast at most (about 40 MB); more are joined by a shuffle.
+#: Ids that are broadcast at most (about 40 MB); of more a bitmap is.
 BROADCAST_IDS = 1_000_000
-
-
-def by_ids(df: DataFrame, ids: DataFrame, on, how: str = "left_semi") -> DataFrame:
-    """A semi or anti join with a table of ids, whose size is looked at first: a short one goes to the rows, which then stay where they are."""
-    ids = cut(ids)
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+#: Longs of that bitmap: 2^26 bits, in 2^20 rows of about 40 MB.
+BITMAP = 1 << 20
+
+
+def by_ids(df: DataFrame, ids: DataFrame, on: dict[str, Column], how: str = "left_semi") -> DataFrame:
+    """A semi, anti or inner join of rows with a table of ids: ``on`` has for each of its key columns what it is equal to in the rows, nulls included.
+
+    The table's size is looked at first. A short one goes to the rows, which then stay where they are. Of a longer one a bitmap of its
+    hashes goes to them: rows whose bit isn't set have no partner and stay where they are too. Only the others are shuffled: those that have one, and,
+    of n ids, a share of n / 2^26 of the rest. For an inner join other columns of ``ids`` come along; names may clash, as they are told apart inside."""
+    fresh_name = {c: fresh([*df.columns, *ids.columns], f"key{i}") for i, c in enumerate(on)}
+    kinds = dict(df.select(*(key.alias(c) for c, key in on.items())).dtypes)
+    ids = cut(ids.select(*(F.col(c).cast(kinds[c]).alias(n) for c, n in fresh_name.items()), *(c for c in ids.columns if c not in on)))
+    equal = reduce(and_, (key.eqNullSafe(F.col(fresh_name[c])) for c, key in on.items()))
+    if ids.count() <= BROADCAST_IDS:
+        return df.join(F.broadcast(ids), equal, how).drop(*fresh_name.values())
+    slot, bit, word, bits = (fresh(df.columns, c) for c in ("slot", "bit", "word", "bits"))
+    place = F.pmod(F.xxhash64(*(F.col(n) for n in fresh_name.values())), F.lit(64 * BITMAP))
+    marks = ids.select(F.floor(place / 64).alias(word), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("mark"))
+    marks = cut(marks.groupBy(word).agg(F.bit_or("mark").alias(bits)))
+    own = F.pmod(F.xxhash64(*on.values()), F.lit(64 * BITMAP))
+    placed = df.withColumns({slot: F.floor(own / 64), bit: (own % 64).cast("int")}).join(F.broadcast(marks), F.col(slot) == F.col(word), "left")
+    maybe = F.coalesce(F.call_function("shiftright", F.col(bits), F.col(bit)).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    joined = placed.where(maybe).drop(slot, bit, word, bits).join(ids, equal, how).drop(*fresh_name.values())
+    return placed.where(~maybe).drop(slot, bit, word, bits).unionByName(joined) if how == "left_anti" else joined
 
 
 #: Steps a doubling in which counts are compared when the most frequent rows are looked for.

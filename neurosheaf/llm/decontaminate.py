@@ -228,7 +228,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The ids found come back by an anti-join, for which texts stay where they are unless very many are
     found; those of rows without an id come back by a hash of the text.
     """
-    key, found_in = F.xxhash64(text_col), lambda rows: contained(rows, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__found__")).distinct()
+    key, found_in = F.xxhash64(text_col), lambda rows: contained(rows, benchmark, "id", "text", **options).select("id").distinct()
     named, nameless = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
-    left = by_ids(named, found_in(named), F.col(id_col) == F.col("__found__"), "left_anti")
-    return left.unionByName(by_ids(nameless, found_in(nameless.select(key.alias(id_col), text_col)), key == F.col("__found__"), "left_anti"))
+    slim = lambda rows, own: rows.select(own.alias("id"), F.col(text_col).alias("text"))
+    left = by_ids(named, found_in(slim(named, F.col(id_col))), {"id": F.col(id_col)}, "left_anti")
+    return left.unionByName(by_ids(nameless, found_in(slim(nameless, key)), {"id": key}, "left_anti"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import shared_dir
+from .common import fresh, shared_dir
 
 #: Cells at most: their curve indices are a literal array, and their counts one ordered window.
 MAX_CELL_BITS = 12
@@ -98,18 +98,19 @@ def hilbert_shards(df: DataFrame, coordinates: list[Column], bits: int, shards:
         (F.sum("n").over(W.orderBy("curve")) - F.col("n")).alias("start"),
         F.sum("n").over(W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"),
     )
+    at_curve, at_slice, start, total = (fresh(placed.columns, c) for c in ("curve", "slice", "start", "total"))
     offsets = counts.join(F.broadcast(cells), F.col("curve") == F.col("cell")).select(
-        F.col("curve").alias("__curve__"), F.col("slice").alias("__slice__"), (F.col("start") + F.col("before")).alias("__start__"), F.col("total").alias("__total__")
+        F.col("curve").alias(at_curve), F.col("slice").alias(at_slice), (F.col("start") + F.col("before")).alias(start), F.col("total").alias(total)
     )
     ranked = placed.withColumn("slot", F.row_number().over(W.partitionBy("curve", "slice").orderBy(tie, *further)) - 1)
-    ranked = ranked.join(offsets, (F.col("curve") == F.col("__curve__")) & (F.col("slice") == F.col("__slice__")))
-    rank = F.col("__start__") + F.col("slot")
-    shard = F.expr(f"({shards} * (__start__ + slot)) div __total__")
-    first = F.expr(f"(shard * __total__ + {shards - 1}) div {shards}")
+    ranked = ranked.join(offsets, (F.col("curve") == F.col(at_curve)) & (F.col("slice") == F.col(at_slice)))
+    rank = F.col(start) + F.col("slot")
+    shard = F.expr(f"({shards} * ({start} + slot)) div {total}")
+    first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
     return (
         ranked.withColumn("shard", shard.cast("int"))
         .withColumn("slot", (rank - first).cast("long"))
-        .drop("__curve__", "__slice__", "__start__", "__total__", "slice")
+        .drop(at_curve, at_slice, start, total, "slice")
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import word_model
-from .common import by_ids, cut
+from .common import by_ids, cut, fresh
 
 #: Log perplexities are compared in steps of this.
 STEP = 0.001
@@ -52,7 +52,8 @@ def _scored(docs: DataFrame, labels: DataFrame, text_col: str, lang_col: str, id
     # One half of the trusted text trains the model, the other sets the thresholds: scores of texts that
     # the model has seen would be too low a bar for those that it hasn't.
     half = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(2))
-    model = word_model.Model(by_ids(docs.select(id_col, text_col), trusted.where(half == 0), id_col).select(text_col), _discounts)
+    training = trusted.where((half == 0) & F.col(id_col).isNotNull())
+    model = word_model.Model(by_ids(docs.select(id_col, text_col), training, {id_col: F.col(id_col)}).select(text_col), _discounts)
     scores = cut(word_model.text_scores(docs.select(text_col), model, text_col))
     model.scratch.clear()
     slim = cut(docs.select(id_col, lang_col, word_model.text_key(text_col).alias("text_key")).join(scores, "text_key", "left"))
@@ -60,10 +61,11 @@ def _scored(docs: DataFrame, labels: DataFrame, text_col: str, lang_col: str, id
 
 
 def _judged(scored: DataFrame, limits: DataFrame, lang_col: str, languages: int) -> DataFrame:
-    limits = limits.withColumnsRenamed({"language": "__language__"})
+    language = fresh(scored.columns, "language")
+    limits = limits.withColumnsRenamed({"language": language})
     if limits.count() <= languages:
         limits = F.broadcast(limits)
-    judged = scored.withColumn("__key__", F.coalesce(F.col(lang_col).cast("string"), F.lit(""))).join(limits, F.col("__key__") == F.col("__language__"), "left")
+    judged = scored.join(limits, F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col(language), "left")
     kept = F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True))
     return judged.select(*scored.columns, "threshold", kept.alias("kept"))
 
@@ -75,10 +77,13 @@ def classify_ids(docs: DataFrame, labels: DataFrame, text_col: str = "text", lan
 
 
 def keep(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", share: float = KEPT_SHARE, languages: int = 10_000) -> DataFrame:
-    """The rows of ``docs`` that classify() keeps. What is rejected comes back by text and language, so texts stay where they are unless very many are."""
+    """The rows of ``docs`` that classify() keeps, with all their columns, whatever their names.
+
+    What is rejected comes back by text and language, so rows of one text and language, repeated ones among them, stay or go together; null
+    and empty texts stay. Texts that stay aren't moved, but for a few (see common.by_ids). No rows: no rows."""
     slim, limits = _scored(docs, labels, text_col, lang_col, id_col, share)
-    gone = _judged(slim, limits, lang_col, languages).where("not kept").select(F.col("text_key").alias("__text__"), F.col(lang_col).alias("__lang__")).distinct()
-    return by_ids(docs, gone, (word_model.text_key(text_col) == F.col("__text__")) & F.col(lang_col).eqNullSafe(F.col("__lang__")), "left_anti")
+    gone = _judged(slim, limits, lang_col, languages).where("not kept").select("text_key", F.col(lang_col).alias("lang")).distinct()
+    return by_ids(docs, gone, {"text_key": word_model.text_key(text_col), "lang": F.col(lang_col)}, "left_anti")
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", share: float = KEPT_SHARE, languages: int = 10_000) -> DataFrame:
@@ -90,7 +95,8 @@ def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_co
     back by a join on the text's hash.
     """
     slim, limits = _scored(docs, labels, text_col, lang_col, id_col, share)
-    scores = cut(slim.where("log_perplexity is not null").select("text_key", "log_perplexity").dropDuplicates(["text_key"]))
+    key = fresh(docs.columns, "text_key")
+    scores = cut(slim.where("log_perplexity is not null").select(F.col("text_key").alias(key), "log_perplexity").dropDuplicates([key]))
     plain = [c for c in docs.columns if c.lower() not in {"log_perplexity", "threshold", "kept"}]
-    scored = docs.select(*plain, word_model.text_key(text_col).alias("text_key")).join(scores, "text_key", "left").select(*plain, "log_perplexity")
+    scored = docs.select(*plain, word_model.text_key(text_col).alias(key)).join(scores, key, "left").select(*plain, "log_perplexity")
     return _judged(scored, limits, lang_col, languages)

@@ -160,7 +160,6 @@ WORDINGS = [
     ("commons-clause", "commons clause", "commons clause license condition"),
     ("openrail", "rail", "(?:bigscience |creativeml )?(?:open)?rail(?: m)? license"),
     ("llama-2", "llama", "llama 2 community license"),
-    ("proprietary", "reserved", "all rights reserved"),
     ("proprietary", "confidential", "proprietary and confidential"),
     ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
     ("proprietary", "reproduced", "no part of this .{1,40}? may be reproduced"),
@@ -168,9 +167,39 @@ WORDINGS = [
 ]
 
 
+#: Whole notices, from a wording to one of its last: what lies inside them is part of them. Those that hold more stand first.
+NOTICES = [
+    ("bsd-4-clause", "advertising materials", "redistribution and use in source and binary forms .{1,600}? all advertising materials mentioning features .{1,600}?(?:endorse or promote products derived|even if advised of the possibility of such damage)"),
+    ("bsd-3-clause", "neither the name", "redistribution and use in source and binary forms .{1,900}? neither the name .{1,200}? endorse or promote products derived"),
+    ("bsd-3-clause-clear", "no express or implied licenses", "redistribution and use in source and binary forms .{1,1200}? no express or implied licenses to any party s patent rights are granted"),
+    ("bsd-2-clause", "redistributions in binary form", "redistribution and use in source and binary forms .{1,400}? redistributions in binary form must reproduce the above copyright notice"),
+    ("apache-1.1", "apache software foundation", "redistribution and use in source and binary forms .{1,900}? this product includes software developed by the apache software foundation .{1,600}? products derived from this software may not be called apache"),
+    ("apache-2", "in compliance", "licensed under the apache license version 2 0 .{1,300}? unless required by applicable law or agreed to in writing"),
+    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation .{1,400}? shall be included in all copies or substantial portions of the software"),
+    ("gpl-2-or-later", "or at your option", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version .{1,400}? gnu general public license for more details"),
+    ("gpl-3-or-later", "or at your option", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version .{1,400}? gnu general public license for more details"),
+    ("lgpl-2.1-or-later", "or at your option", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version .{1,400}? gnu lesser general public license for more details"),
+    ("lgpl-3-or-later", "or at your option", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version .{1,400}? gnu lesser general public license for more details"),
+    ("agpl-3-or-later", "or at your option", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version .{1,400}? gnu affero general public license for more details"),
+    ("gpl-3-only", "version 3 of the license", "under the terms of the gnu general public license as published by the free software foundation version 3 of the license"),
+    ("gpl-2-only", "version 2 of the license", "under the terms of the gnu general public license as published by the free software foundation version 2 of the license"),
+    ("mpl-2", "mozilla public", "this source code form is subject to the terms of the mozilla public license v 2 0 .{1,200}? you can obtain one at"),
+    ("zlib", "altered source", "provided as is without any express or implied warranty .{1,500}? altered source versions must be plainly marked as such"),
+    ("boost-1", "accompanying documentation", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license .{1,600}? machine executable object code"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain .{1,300}? by any means"),
+    ("isc", "appear in all copies", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ofl-1.1", "font software", "permission is hereby granted free of charge to any person obtaining a copy of the font software .{1,900}? may not be sold by itself"),
+]
+#: Priority of phrases that stand in notices of most licences: they count where nothing else is found.
+PHRASE = 90
+PHRASES = [("proprietary", "reserved", "all rights reserved")]
+
+
 def rules() -> list[Rule]:
-    """All rules in order: base phrases, wordings, then each form for each licence."""
+    """All rules in order: base phrases, whole notices, wordings, phrases, then each form for each licence."""
     out = [Rule(label, 0, (phrase,), phrase, 1.0) for label, phrase in BASE.items()]
+    out += [Rule(label, 3, (keyword,), pattern, 1.0) for label, keyword, pattern in NOTICES]
+    out += [Rule(label, PHRASE, (keyword,), pattern, 0.3) for label, keyword, pattern in PHRASES]
     out += [Rule(label, 5, (keyword,), pattern, 1.0 if label != "proprietary" else 0.3) for label, keyword, pattern in WORDINGS]
     for priority, form, weight in FORMS:
         out += [Rule(label, priority, tuple(keyword.split("|")), form.replace("{name}", f"(?:{name})"), weight) for label, keyword, name in LICENSES]

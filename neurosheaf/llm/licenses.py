@@ -14,8 +14,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, let
-from .license_rules import BASE, Rule, rules
+from .common import ASCII_LOWER, ASCII_UPPER, fresh, let
+from .license_rules import BASE, PHRASE, Rule, rules
 
 #: What separates words, before A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -109,26 +109,31 @@ def scan(docs: DataFrame, text_col: str = "text", all_rules: list[Rule] | None =
     detections left after suppression, in order of place) and score (the largest weight, 0 without).
 
     Null and empty texts have no words and nothing found. Rows with equal texts get equal results, and
-    all other columns pass through; n_words, found, score and __norm__ of ``docs`` are replaced or lost.
+    all other columns pass through; n_words, found and score of ``docs`` are replaced.
     """
     used = all_rules or rules()
     table, base = _rule_table(used), len(BASE)
-    words = docs.withColumn("__norm__", normalised(F.col(text_col)))
-    gate = let(F.lower("__norm__"), lambda s: reduce(or_, (F.contains(s, F.lit(t)) for t in triggers(used))))
+    norm = fresh([*docs.columns, "n_words", "found", "score"], "norm")
+    words = docs.withColumn(norm, normalised(F.col(text_col)))
+    gate = let(F.lower(norm), lambda s: reduce(or_, (F.contains(s, F.lit(t)) for t in triggers(used))))
 
     def detections(text: Column) -> Column:
         def resolved(found: Column) -> Column:
             return _resolved(found, base, sorted({r.priority for r in used}))
 
+        def without_phrases(found: Column) -> Column:
+            """Phrases that stand in notices of most licences say something only where nothing else does."""
+            return F.when(F.exists(found, lambda p: p["priority"] < PHRASE), F.filter(found, lambda p: p["priority"] < PHRASE)).otherwise(found)
+
         tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k)))
-        kept = let(F.flatten(F.transform(tried, lambda r: _places(text, r))), resolved)
+        kept = let(let(F.flatten(F.transform(tried, lambda r: _places(text, r))), resolved), without_phrases)
         return F.transform(kept, lambda p: F.struct(*(p[c].alias(c) for c in ("first", "last", "rank", "label", "weight"))))
 
     # A text of words has a space on each side of each; one without is a space or two.
-    count = F.when(F.trim("__norm__") == "", F.lit(0)).otherwise(_spaces(F.col("__norm__")) - 1).cast("long")
-    found = F.when(gate, let(F.translate("__norm__", ASCII_UPPER, ASCII_LOWER), detections))
+    count = F.when(F.trim(norm) == "", F.lit(0)).otherwise(_spaces(F.col(norm)) - 1).cast("long")
+    found = F.when(gate, let(F.translate(norm, ASCII_UPPER, ASCII_LOWER), detections))
     none = F.expr("cast(array() as array<struct<first:int,last:int,rank:int,label:string,weight:double>>)")
-    out = words.withColumns({"n_words": count, "found": F.coalesce(found, none)}).drop("__norm__")
+    out = words.withColumns({"n_words": count, "found": F.coalesce(found, none)}).drop(norm)
     return out.withColumn("score", F.coalesce(F.array_max(F.transform("found", lambda x: x["weight"])), F.lit(0.0)))
 
 

@@ -83,17 +83,18 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
     words = F.array_remove(F.split(text, f"{WHITE}+"), "")
-    plain = docs.withColumn("__words__", let(words, of_words))
+    found = fresh(docs.columns, "words")
+    plain = docs.withColumn(found, let(words, of_words))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return plain.withColumns(
         {
-            "n_words": F.col("__words__.n"),
+            "n_words": F.col(found)["n"],
             "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
             "n_dup_lines": let(lines, dup_lines),
-            "n_repeat_words": F.col("__words__.repeated"),
+            "n_repeat_words": F.col(found)["repeated"],
         }
-    ).drop("__words__")
+    ).drop(found)
 
 
 def base_failed() -> Column:
@@ -144,15 +145,19 @@ def good_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where("quality is not null").groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA, text_hash: str | None = None) -> DataFrame:
     """(stratum, feature, cutoff) accepted for each family, from all labelled good documents that pass the base rules.
 
-    ``measured`` has features() and ``stratum``; ``labels`` has the id and quality (1: good). An id with
-    several labels counts once, and as good only if all say so; null labels say nothing. No labels: no rows.
+    ``measured`` has features() and ``stratum``, and with ``text_hash`` a hash of the text; ``labels`` has the id and quality (1: good). An id with
+    several labels counts once, and as good only if all say so; null labels say nothing. No labels: no rows. A bound holds for independent
+    documents, so rows that repeat an id count once, and so do, by their hash, copies of a text in a stratum.
     """
-    good = good_ids(labels, id_col)
+    good = good_ids(labels, id_col).where(F.col(id_col).isNotNull())
     shares = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(ladder).cast("array<double>").alias("ladder"), ratios()[f].alias("value")) for f, ladder in LADDERS.items()))
-    held = measured.where(~base_failed()).join(good, id_col, "left_semi").select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.explode(shares).alias("x"))
+    held = measured.where(~base_failed()).join(good, id_col, "left_semi")
+    copy = (F.col(text_hash) if text_hash else F.xxhash64(F.col(id_col))).alias("copy")
+    held = held.select(F.col(id_col).alias("id"), copy, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), shares.alias("shares"))
+    held = held.groupBy("id").agg(F.min(F.struct("copy", "stratum", "shares")).alias("x")).groupBy("x.copy", "x.stratum").agg(F.min("x.shares").alias("shares")).select("stratum", F.explode("shares").alias("x"))
     # How many cutoffs of the ladder, strictest first, a document's value is over.
     over = F.size(F.filter("x.ladder", lambda c: F.col("x.value") > c))
     counted = held.select("stratum", "x.feature", "x.ladder", over.alias("over")).groupBy("stratum", "feature", "ladder", "over").agg(F.count("*").alias("m"))
@@ -169,14 +174,14 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id
     return accepted.groupBy("stratum", "feature").agg(F.min("cutoff").alias("cutoff"))
 
 
-def with_pool(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def with_pool(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA, text_hash: str | None = None) -> DataFrame:
     """thresholds(), and for families of a stratum without an accepted cutoff those of all strata together.
 
     Each of the two gets half of ``delta``. A cutoff from the pool keeps alpha over the good documents of all
     strata, not of its own.
     """
-    own = thresholds(measured, labels, stratum, id_col, alpha, delta / 2)
-    pool = thresholds(measured.withColumn(stratum, F.lit("")), labels, stratum, id_col, alpha, delta / 2).drop("stratum")
+    own = thresholds(measured, labels, stratum, id_col, alpha, delta / 2, text_hash)
+    pool = thresholds(measured.withColumn(stratum, F.lit("")), labels, stratum, id_col, alpha, delta / 2, text_hash).drop("stratum")
     strata = measured.select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")).distinct()
     missing = cut(strata.crossJoin(pool)).join(own.select("stratum", "feature"), ["stratum", "feature"], "left_anti")
     return own.unionByName(missing)
@@ -206,8 +211,9 @@ def verdicts(measured: DataFrame, accepted: DataFrame, stratum: str = "lang") ->
 
 def judge_ids(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """judge() without the texts and other columns: each text is measured once."""
-    slim = cut(measure(docs.select(id_col, stratum, text_col), text_col).drop(text_col))
-    return verdicts(slim, thresholds(slim, labels, stratum, id_col, alpha, delta), stratum)
+    hashed = fresh([id_col, stratum, text_col], "text_hash")
+    slim = cut(measure(docs.select(id_col, stratum, text_col), text_col).withColumn(hashed, F.xxhash64(text_col)).drop(text_col))
+    return verdicts(slim, thresholds(slim, labels, stratum, id_col, alpha, delta, hashed), stratum).drop(hashed)
 
 
 def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum: str = "lang", id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> DataFrame:
@@ -218,7 +224,9 @@ def judge(docs: DataFrame, labels: DataFrame, text_col: str = "text", stratum: s
     small for cutoffs of their own take those of with_pool(). Labelled texts
     are read twice, once for the thresholds and once to be judged; none is shuffled unless very many are labelled.
     """
-    labelled = by_ids(docs.select(id_col, stratum, text_col), good_ids(labels, id_col), id_col)
-    slim = cut(measure(labelled, text_col).drop(text_col))
+    good = good_ids(labels, id_col).where(F.col(id_col).isNotNull())
+    labelled = by_ids(docs.select(id_col, stratum, text_col), good, {id_col: F.col(id_col)})
+    hashed = fresh([id_col, stratum, text_col], "text_hash")
+    slim = cut(measure(labelled, text_col).withColumn(hashed, F.xxhash64(text_col)).drop(text_col))
     accepted = with_pool if pooled else thresholds
-    return verdicts(measure(docs, text_col), accepted(slim, labels, stratum, id_col, alpha, delta), stratum)
+    return verdicts(measure(docs, text_col), accepted(slim, labels, stratum, id_col, alpha, delta, hashed), stratum)

@@ -161,7 +161,8 @@ twice AS (SELECT row, i FROM win QUALIFY count(*) OVER (PARTITION BY row, a, b,
 l AS (SELECT row, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 m0 AS (SELECT row, doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, length(regexp_replace(text, '{_WHITE}', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM t JOIN w USING (row) JOIN l USING (row) LEFT JOIN rep USING (row)),
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM m0), v AS ({union}), ladder(feature, step, cutoff) AS (VALUES {rungs}),
-good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1), held AS (SELECT * FROM v WHERE NOT failed AND doc_id IN (SELECT doc_id FROM good)),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1), once AS (SELECT doc_id, lang, min(row) AS row FROM m WHERE NOT failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL), copies AS (SELECT min(once.row) AS row FROM once JOIN t ON t.row = once.row GROUP BY once.lang, t.text),
+held AS (SELECT * FROM v WHERE row IN (SELECT row FROM copies)),
 k AS (SELECT lang, feature, step, cutoff, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN value > cutoff THEN 1 ELSE 0 END) AS BIGINT) AS k FROM held JOIN ladder USING (feature) GROUP BY ALL),
 p AS (SELECT *, CASE WHEN k >= n * {a} THEN 1.0 ELSE (SELECT sum({term}) FROM (SELECT unnest(range(k + 1)) AS j)) END AS p FROM k),
 ok AS (SELECT lang, feature, cutoff FROM p QUALIFY max(CASE WHEN p > {quality_rules.DELTA} / ((SELECT count(DISTINCT lang) FROM held) * {len(values)}) THEN 1 ELSE 0 END) OVER (PARTITION BY lang, feature ORDER BY step) = 0),

@@ -46,6 +46,8 @@ ROUNDS = [(1, 1), (8, 8)]
 CROWDED = 24
 #: Room for rounding where whole numbers are held against shares of others.
 CLOSE = 1e-6
+#: Bits of a set's key. Sets that share one are told apart by a second hash of 64 bits, whatever its length.
+KEY_BITS = 64
 #: Longs of the bitmap of such a class's shingles.
 WORDS = 16
 
@@ -76,22 +78,39 @@ def buckets(counters: np.ndarray, depth: int, tables: int) -> np.ndarray:
 
 
 def _signatures(slim: DataFrame, width: int) -> DataFrame:
-    """(id, text_hash, set_key, fp, size, counters) of ``slim`` (id, text_hash, text)."""
+    """(id, text_hash, set_key, set_check, fp, size, counters) of ``slim`` (id, text_hash, text)."""
+    bits = (1 << KEY_BITS) - 1
 
     def run(batches):
         for b in slices(batches):
-            keys, fps, sizes, counters = [], [], [], []
+            keys, checks, fps, sizes, counters = [], [], [], [], []
             for t in b.column(2).cast(pa.large_binary()):
                 own = shingle_set(t.as_py(), width)
                 signed = 2 * bit_counts(own) - len(own)
-                keys.append(xxhash.xxh64_intdigest(own.tobytes(), 5))
+                keys.append(xxhash.xxh64_intdigest(own.tobytes(), 5) & bits)
+                checks.append(xxhash.xxh64_intdigest(own.tobytes(), 6))
                 fps.append(int(np.packbits(signed > 0, bitorder="little").view("<i8")[0]))
                 sizes.append(len(own))
                 counters.append(signed.astype("<i4").tobytes())
-            keys = np.array(keys, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(counters, pa.binary())], names=["id", "text_hash", "set_key", "fp", "size", "counters"])
+            keys, checks = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, checks))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys, checks, pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(counters, pa.binary())], names=["id", "text_hash", "set_key", "set_check", "fp", "size", "counters"])
 
-    return slim.mapInArrow(run, "id long, text_hash long, set_key long, fp long, size int, counters binary")
+    return slim.mapInArrow(run, "id long, text_hash long, set_key long, set_check long, fp long, size int, counters binary")
+
+
+def _classes(marked: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``marked`` and its classes, a row a set of shingles. A key that two different sets share is given up: their rows take
+    the second hash for a key, so texts are copies only if all 128 bits agree."""
+    row = F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash")
+    named = [F.min(row).alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("fp", "size", "counters"))]
+    classes = scratch.keep(marked.groupBy("set_key").agg(*named, F.min("set_check").alias("low"), F.max("set_check").alias("high")))
+    shared = cut(classes.where("low <> high").select("set_key"))
+    if not shared.isEmpty():
+        apart = marked.join(shared.withColumn("shared", F.lit(True)), "set_key", "left").withColumn("set_key", F.when(F.col("shared"), F.col("set_check")).otherwise(F.col("set_key"))).drop("shared")
+        marked, before = scratch.keep(apart.select(marked.columns)), (marked, classes)
+        classes = scratch.keep(marked.groupBy("set_key").agg(*named))
+        scratch.drop(*before)
+    return marked, classes.select("set_key", "first", "copies", "fp", "size", "counters")
 
 
 def _placed(classes: DataFrame, depth: int, tables: int) -> DataFrame:
@@ -165,10 +184,12 @@ class _Search:
     def against_leaders(self, turn: int) -> None:
         many, apart = ROUNDS[turn]
         placed = self.scratch.keep(self.grouped().where(self.table % apart == turn))
-        several = placed.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
         part = F.pmod(F.xxhash64("set_key", F.lit(turn)), F.lit(many))
-        leaders = placed.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("copies")).alias("most"), "set_key", "c", "copies", "fp", "size", "p0", "p1")).alias("x"))
-        leaders = dealt(leaders.join(several, "bucket", "left_semi").select("bucket", "x.*"))
+        first = F.min(F.struct((-F.col("copies")).alias("most"), "set_key", "c", "copies", "fp", "size", "p0", "p1")).alias("x")
+        # A bucket's leaders, one a part of it, where it has several groups.
+        parts = placed.groupBy("bucket", part.alias("part")).agg(first, F.min("c").alias("low"), F.max("c").alias("high"))
+        found = parts.groupBy("bucket").agg(F.collect_list("x").alias("x"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+        leaders = dealt(found.select("bucket", F.explode("x").alias("x")).select("bucket", "x.*"))
         near = placed.alias("b").join(leaders.alias("a"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.c") != F.col("b.c")) & _candidate(self.least, self.radius))
         distance = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
         copied = -F.col("a.copies") if many == 1 else F.lit(0).cast("long")
@@ -199,7 +220,7 @@ class _Search:
     def rows_of(self, wanted: DataFrame) -> DataFrame:
         """(set_key, text) of the wanted classes' first rows, which stay where they are if they are few."""
         firsts = self.classes.join(wanted, "set_key").select("set_key", F.col("first.id").alias("own_id"), F.col("first.text_hash").alias("own_hash"))
-        return by_ids(self.slim, firsts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")), "inner").select("set_key", "text")
+        return by_ids(self.slim, firsts, {"own_id": F.col("id"), "own_hash": F.col("text_hash")}, "inner").select("set_key", "text")
 
     def bitmaps(self, classes: DataFrame) -> DataFrame:
         """(set_key, w0, w1, ...) of ``classes``."""
@@ -239,13 +260,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The first of a group is its row of the least id (rows without one come last) and, of rows that share an id, the
     one whose text has the least hash; component_id is the first one's id. Rows that repeat both id and text are all first if
     one is. Words are separated by ASCII white space and A-Z lower-cased; fewer than ``width`` are one shingle. Null texts and
-    texts without words are copies of one another. Classes are told apart by 64-bit hashes of their sets. No rows: no rows.
+    texts without words are copies of one another. Sets are equal if 128 bits of hashes are. No rows: no rows.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession, "near-copies")
     marked = scratch.keep(_signatures(slim, width))
-    row = F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash")
-    classes = scratch.keep(marked.groupBy("set_key").agg(F.min(row).alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("fp", "size", "counters"))))
+    marked, classes = _classes(marked, scratch)
     n = classes.count()
     depth, _, tables = next((d for d in DEPTHS if n <= d[1]), DEPTHS[-1])
     placed = scratch.keep(_placed(classes.where("size > 0").select("set_key", "counters"), depth, tables))
@@ -267,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
     found = marked.select("id", "text_hash", "set_key").join(dealt(firsts), "set_key").select("id", "text_hash", F.col("first.id").alias("component_id"), is_first.alias("is_first"))
     out = cut(found)
-    scratch.drop(marked, classes, members)
+    scratch.clear()
     return out
 
 
@@ -275,15 +295,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one document, the first, of each group of near copies; all columns pass through, whatever their names.
 
     Rows that share an id but not the text are different documents. Of rows that repeat both, the one
-    of the least hash over all columns stays. Texts stay where they are, unless very many rows go; rows that
+    of the least hash over all columns stays. Texts that stay aren't moved, but for a few (see common.by_ids); rows that
     repeat an id and text are shuffled.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    at, key = (fresh(docs.columns, c) for c in ("id", "hash"))
-    own = F.col(id_col).cast("long").eqNullSafe(F.col(at)) & (F.xxhash64(text_col) == F.col(key))
-    named = found.withColumnsRenamed({"id": at, "text_hash": key})
-    left = by_ids(docs, named.where("not is_first").select(at, key).distinct(), own, "left_anti")
-    twice = cut(named.where("is_first").groupBy(at, key).agg(F.count("*").alias("n")).where("n > 1").select(at, key))
+    own = {"id": F.col(id_col).cast("long"), "text_hash": F.xxhash64(text_col)}
+    left = by_ids(docs, found.where("not is_first").select("id", "text_hash").distinct(), own, "left_anti")
+    twice = cut(found.where("is_first").groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("id", "text_hash"))
     if twice.isEmpty():
         return left
     repeated = by_ids(left, twice, own)

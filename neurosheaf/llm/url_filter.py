@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, dealt
+from .common import ascii_lower, cut, dealt, fresh
 from .components import connected_components
 
 
@@ -82,8 +82,10 @@ def match_rules(urls: DataFrame, rules: list[UrlRule] | DataFrame, url_col: str
     names = parts.select("host", "path").distinct().withColumn("rule_host", F.explode(above))
     fitting = names.join(table, "rule_host").where(F.startswith("path", "rule_path"))
     best = fitting.groupBy("host", "path").agg(F.max("rule").alias("best"))
-    best = best.select(F.col("host").alias("__host__"), F.col("path").alias("__path__"), "best")
-    return parts.join(dealt(best), (F.col("host") == F.col("__host__")) & (F.col("path") == F.col("__path__")), "left").drop("__host__", "__path__")
+    of_host, of_path = fresh(parts.columns, "host"), fresh(parts.columns, "path")
+    best = best.select(F.col("host").alias(of_host), F.col("path").alias(of_path), "best")
+    plain = parts.drop("best")
+    return plain.join(dealt(best), (F.col("host") == F.col(of_host)) & (F.col("path") == F.col(of_path)), "left").drop(of_host, of_path)
 
 
 def node_of(url: Column) -> Column:
@@ -150,8 +152,8 @@ def judge(pages: DataFrame, rules: list[UrlRule] | DataFrame, edges: DataFrame,
     judged = match_rules(groups, rules, "node")
     blocked = judged.where("best is not null and not best.allow").select("component").distinct()
     # Dealt out once more, so that adaptive execution can split the partition of a component with very many aliases.
-    aliases = groups.join(dealt(blocked), "component", "left_semi").select(F.col("node").alias("__alias__"))
+    aliases = groups.join(dealt(blocked), "component", "left_semi").select(F.col("node").alias(alias := fresh(pages.columns, "alias")))
     own = pages.drop("host", "path", "best", "rule", "alias_blocked", "verdict")
-    matched = match_rules(own, rules, url_col).join(aliases, node_of(F.col(url_col)) == F.col("__alias__"), "left")
-    verdict = F.when(F.col("best").isNotNull(), F.col("best.allow")).otherwise(F.col("__alias__").isNull())
-    return matched.withColumns({"rule": F.col("best.name"), "alias_blocked": F.col("__alias__").isNotNull(), "verdict": F.when(verdict, "allow").otherwise("block")}).drop("best", "__alias__")
+    matched = match_rules(own, rules, url_col).join(aliases, node_of(F.col(url_col)) == F.col(alias), "left")
+    verdict = F.when(F.col("best").isNotNull(), F.col("best.allow")).otherwise(F.col(alias).isNull())
+    return matched.withColumns({"rule": F.col("best.name"), "alias_blocked": F.col(alias).isNotNull(), "verdict": F.when(verdict, "allow").otherwise("block")}).drop("best", alias)
