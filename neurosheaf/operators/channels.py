@@ -102,6 +102,19 @@ def set_bads(channels: DataFrame, bad: list[str] | DataFrame, add: bool = False)
     return channels.join(rows, KEY, "left").withColumn("bad", marked | F.col("bad") if add else marked).drop("_bad")
 
 
+def bipolar_table(channels: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The table of channels of spatial.bipolar(): EEG, halfway between the two of a pair, and bad if one of them is; trigger channels as they are, last."""
+    listed = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(c).alias("c")) for i, (a, c) in enumerate(pairs)))
+    side = lambda name: channels.select("recording", F.col("channel").alias(name), F.struct("x", "y", "z", "bad").alias(f"{name}_row"))
+    both = channels.select("recording").distinct().select("recording", F.explode(listed).alias("p")).select("recording", "p.*").join(side("a"), ["recording", "a"]).join(side("c"), ["recording", "c"])
+    made = {"channel": F.concat_ws("-", "a", "c"), "ch_index": F.col("i").cast(dict(channels.dtypes)["ch_index"]), "ch_type": F.lit("eeg"), "bad": F.col("a_row.bad") | F.col("c_row.bad")}
+    made |= {x: (F.col(f"a_row.{x}") + F.col(f"c_row.{x}")) / 2 for x in "xyz"}
+    kinds = dict(channels.dtypes)
+    found = both.select(*(c if c == "recording" else made.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in channels.columns))
+    codes = channels.where("ch_type = 'stim'").withColumn("ch_index", (F.col("ch_index") + len(pairs)).cast(kinds["ch_index"]))
+    return found.unionByName(codes)
+
+
 def standard_montage(spark) -> DataFrame:
     """(name, mx, my, mz) of the 10-10 layout; some ninety rows."""
     return spark.createDataFrame([(n, *map(float, p)) for n, p in montage.standard_positions().items()], "name string, mx double, my double, mz double")

@@ -117,7 +117,7 @@ def resample_stim(samples: DataFrame, sfreq: float, to: float) -> DataFrame:
     return every.join(coded, [*KEY, "sample"], "left").select(*KEY, "sample", F.coalesce("code", F.lit(0.0)).alias("value"))
 
 
-def envelope(samples: DataFrame, low: float, high: float, sfreq: float) -> DataFrame:
-    """The amplitude of a band: band-pass, then the modulus of the analytic signal."""
+def envelope(samples: DataFrame, low: float, high: float, sfreq: float, triggers: DataFrame | None = None) -> DataFrame:
+    """The amplitude of a band: band-pass, then the modulus of the analytic signal; channels in ``triggers`` stay as they are."""
     sos = filters.butterworth(low, high, sfreq)
-    return per_channel(samples, lambda x: np.abs(filters.analytic(filters.zero_phase(sos, x))))
+    return per_channel(samples, lambda x: np.abs(filters.analytic(filters.zero_phase(sos, x))), triggers)

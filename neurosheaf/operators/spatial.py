@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +15,14 @@ from ..functions import montage
 BROADCAST_WEIGHTS = 100_000
 
 
+#: The chains of electrodes of the two clinical bipolar montages, longitudinal and transverse.
+CHAINS = {
+    "double_banana": ["Fp1 F7 T7 P7 O1", "Fp2 F8 T8 P8 O2", "Fp1 F3 C3 P3 O1", "Fp2 F4 C4 P4 O2", "Fz Cz Pz"],
+    "transverse": ["F7 Fp1 Fp2 F8", "F7 F3 Fz F4 F8", "T7 C3 Cz C4 T8", "P7 P3 Pz P4 P8", "O1 O2"],
+}
+BIPOLAR = {name: [p for chain in chains for p in pairwise(chain.split())] for name, chains in CHAINS.items()}
+
+
 def set_reference(samples: DataFrame, reference: str | list[str] = "average", bad: list[str] | None = None, channels: DataFrame | None = None, drop: bool = False) -> DataFrame:
     """Values minus the mean (average) or median of the good channels at each sample, or the mean of named channels.
 

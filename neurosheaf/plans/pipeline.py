@@ -146,8 +146,13 @@ def _reference(s: State, reference: str | list[str] = "average", bad: list[str]
 
 
 @_step("bipolar")
-def _bipolar(s: State, pairs: list) -> None:
-    s.samples, s.channels = spatial.bipolar(s.samples, [tuple(p) for p in pairs]), None
+def _bipolar(s: State, pairs: list | str = "double_banana") -> None:
+    """Pairs of channels, or a montage by name (double_banana, transverse). A pair lies in the middle of its two, and is bad if one of them is; triggers stay."""
+    table = s.table()
+    pairs = spatial.BIPOLAR[pairs] if isinstance(pairs, str) else [tuple(p) for p in pairs]
+    codes = s.samples.join(s.triggers(), signals.KEY, "left_semi")
+    s.samples = spatial.bipolar(s.samples, pairs).unionByName(codes.select("recording", "channel", "sample", "value"))
+    s.channels = kept(channels.bipolar_table(table, pairs))
 
 
 @_step("laplacian")
@@ -159,11 +164,24 @@ def _laplacian(s: State, k: int = 4, method: str = "hjorth") -> None:
 
 @_step("ica")
 def _ica(s: State, components: int | float | None = None, eye: list[str] | None = None, muscle: bool = False) -> None:
-    """Takes out components that go with eye channels (frontal ones if none are named), and muscle ones if asked for."""
-    model = kept(ica.fit(filtering.band_filter(s.samples, 1.0, None, s.sfreq), components))
-    gone = ica.eye_components(s.samples, model, s.sfreq, eye or artifacts.FRONTAL[:2]).where("flagged").select("recording", "component")
+    """Takes out components that go with eye channels (EOG ones if none are named, frontal ones where there are none), and muscle ones if asked for.
+
+    The model is of EEG channels that aren't bad, outside bad annotations; all other channels stay as they are."""
+    from ..operators import annotations
+
+    table = s.table()
+    high = kept(filtering.band_filter(s.samples.join(table.where("ch_type <> 'stim'").select(*signals.KEY), signals.KEY, "left_semi"), 1.0, None, s.sfreq))
+    spans = None if s.annotations is None else kept(annotations.bad_spans(s.annotations, s.sfreq))
+    model = kept(ica.fit(ica.usable(high, table, spans), components))
+    if eye is None:
+        has_eog = table.where("ch_type = 'eog'").select("recording").distinct()
+        frontal = table.where(F.col("channel").isin(artifacts.FRONTAL[:2])).join(has_eog, "recording", "left_anti")
+        eyes = table.where("ch_type = 'eog'").select(*signals.KEY).unionByName(frontal.select(*signals.KEY))
+    else:
+        eyes = table.where(F.col("channel").isin(eye)).select(*signals.KEY)
+    gone = ica.eye_components(high, model, s.sfreq, kept(eyes)).where("flagged").select("recording", "component")
     if muscle:
-        gone = gone.unionByName(ica.muscle_components(s.samples, model, s.sfreq).where("flagged").select("recording", "component"))
+        gone = gone.unionByName(ica.muscle_components(high, model, s.sfreq).where("flagged").select("recording", "component"))
     numbered = gone.select("recording", F.substring("component", 3, 9).cast("int").alias("component"))
     s.samples = ica.remove(s.samples, model, kept(numbered))
 
@@ -176,7 +194,8 @@ def _annotate(s: State, blinks: bool = False) -> None:
 
 @_step("envelope")
 def _envelope(s: State, low: float, high: float) -> None:
-    s.samples = filtering.envelope(s.samples, low, high, s.sfreq)
+    """Of all channels but those of triggers."""
+    s.samples = filtering.envelope(s.samples, low, high, s.sfreq, s.triggers())
 
 
 class Pipeline:
