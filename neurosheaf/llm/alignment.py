@@ -170,9 +170,9 @@ def _aligned_rows(e: Aligner, texts: list[str], digest: bool) -> list[tuple]:
         for (k, _), found in zip(held, e.aligned([x for _, x in held]), strict=True):
             rows[k].add(found)
 
-    for k, t in enumerate(texts):
-        parts = e.parts(t) if t else []
-        known = e.memo.of(set(parts), e.learn)
+    cut_texts = [e.parts(t) if t else [] for t in texts]
+    known = e.memo.of(set().union(*cut_texts), e.learn)
+    for k, parts in enumerate(cut_texts):
         own = list(map(known.__getitem__, parts))
         whole[k] = None not in own
         for at in range(0, len(own) if whole[k] else 0, PARTS):

@@ -83,8 +83,9 @@ class Memo:
             self.older, self.newer = self.newer, {}
         newer, older = self.newer, self.older
         lacking = keys.difference(newer)
-        newer |= {k: older[k] for k in lacking.intersection(older)}
-        lacking = lacking.difference(older)
+        again = [k for k in lacking if k in older]  # not by an intersection, which goes through all of the older ones
+        newer |= {k: older[k] for k in again}
+        lacking.difference_update(again)
         long = {k for k in lacking if len(k) >= LONGEST}
         newer |= make(list(lacking - long))
         return newer | make(list(long)) if long else newer
