@@ -157,34 +157,35 @@ def zero_phase(sos: np.ndarray, x: np.ndarray, pad: int | None = None) -> np.nda
 
 
 def windowed_sinc(low: float | None, high: float | None, sfreq: float, width: float | None = None) -> np.ndarray:
-    """Taps of a linear-phase FIR filter (Hamming window, odd length); low > high stops the band between."""
+    """Taps of a linear-phase FIR filter (Hamming window, odd length); low > high stops the band between.
+
+    An edge's transition, a quarter of its frequency but 2 Hz at least, lies outside the band that is kept, as far as there is
+    room; the narrowest says how many taps there are.
+    """
     low, high = check_band(low, high, sfreq)
-    nyquist = sfreq / 2
-    stop = low is not None and high is not None and low > high
-    widths = []
-    for edge, room in ((low, nyquist - low if stop else low) if low else (None, 0), (high, high if stop else nyquist - high) if high else (None, 0)):
-        if edge is not None:
-            widths.append(width if width is not None else min(max(0.25 * edge, 2.0), room))
-    narrow = min(widths)
-    n = math.ceil(3.3 / narrow * sfreq)
-    n += 1 - n % 2
-    sign = -1 if stop else 1
-    own = iter(widths)
-    lo = None if low is None else min(max(low - sign * next(own) / 2, 1e-6), nyquist - 1e-6)
-    hi = None if high is None else min(max(high + sign * next(own) / 2, 1e-6), nyquist - 1e-6)
-    at = np.arange(n) - (n - 1) / 2
-    window = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
-
-    def low_pass(edge: float) -> np.ndarray:
-        taps = 2 * edge / sfreq * np.sinc(2 * edge / sfreq * at) * window
-        return taps / taps.sum()
-
-    unit = (at == 0).astype(float)
-    if stop:
-        return low_pass(hi) + unit - low_pass(lo)
-    if lo is None:
-        return low_pass(hi)
-    return unit - low_pass(lo) if hi is None else low_pass(hi) - low_pass(lo)
+    nyquist, stops = sfreq / 2, None not in (low, high) and low > high
+    cuts, widths = [], []
+    for edge, below in ((low, True), (high, False)):
+        if edge is None:
+            continue
+        down = below is not stops  # the side of the edge on which the transition lies
+        own = width or min(max(0.25 * edge, 2.0), edge if down else nyquist - edge)
+        widths.append(own)
+        cuts.append((float(np.clip(edge + (-own if down else own) / 2, 1e-6, nyquist - 1e-6)), below))
+    n = math.ceil(3.3 * sfreq / min(widths)) | 1
+    at = np.arange(n) - n // 2
+    window = 0.54 + 0.46 * np.cos(2 * np.pi * at / (n - 1))
+
+    def passing(cut: float, below: bool) -> np.ndarray:
+        """A low-pass filter, or for a lower edge what it leaves."""
+        taps = np.sinc(2 * cut / sfreq * at) * window
+        return (at == 0) - taps / taps.sum() if below else taps / taps.sum()
+
+    parts = [passing(*c) for c in cuts]
+    if len(parts) == 1:
+        return parts[0]
+    # Both edges: what passes both, or in a stop what passes either.
+    return parts[0] + parts[1] - (at == 0) if not stops else parts[0] + parts[1]
 
 
 def convolved(x: np.ndarray, taps: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ REASON = 3.0
 #: Windows of a recording, with all its channels, that are one group when channels are compared.
 BLOCK_WINDOWS = 64
 #: What described() gives a channel.
-_DESCRIBED = """n_samples long, amplitude double, slow double, hf_ratio double, clipping_fraction double, windows array<long>, high_std array<double>,
+_DESCRIBED = """n_samples long, amplitude double, slow double, hf_ratio double, clipping_fraction double, whole_std double, windows array<long>, high_std array<double>,
  high_ptp array<double>, band_std array<double>, power array<double>, start long, band array<double>"""
 
 
@@ -111,7 +111,7 @@ def described(samples: DataFrame, sfreq: float, length: int, spectrum_seconds: f
         noise = _scaled_mad(low)
         found = {
             "recording": rows.recording.iloc[0], "channel": rows.channel.iloc[0], "n_samples": len(x), "amplitude": _spread(band), "slow": _spread(x - high),
-            "hf_ratio": _scaled_mad(high - low) / noise if noise > 1e-12 else 0.0, "clipping_fraction": _clipped(x, sample), "windows": start // length + np.flatnonzero(full),
+            "hf_ratio": _scaled_mad(high - low) / noise if noise > 1e-12 else 0.0, "clipping_fraction": _clipped(x, sample), "whole_std": float(high.std()), "windows": start // length + np.flatnonzero(full),
             "high_std": high_windows.std(axis=1), "high_ptp": np.ptp(high_windows, axis=1) if len(high_windows) else np.zeros(0), "band_std": band_windows.std(axis=1),
             "power": _median_welch(placed(x), start, spectrum_length, sfreq), "start": start, "band": placed(band),
         }
@@ -235,7 +235,9 @@ def metrics(samples: DataFrame, sfreq: float, line: float | None = None, near: D
     compared = kept(block_correlations(blocks, length))
     medians = compared.where("b is not null").select("recording", "a", "b", F.explode("r").alias("r")).groupBy("recording", "a", "b").agg(F.median(F.abs("r")).alias("value"))
     middle = kept(both_ways(medians).withColumnRenamed("value", "r"))
-    flats = kept(windowing.flat_fraction(high, flat))
+    # A channel shorter than a window is flat or not as a whole.
+    whole = F.coalesce("flat_fraction", (F.col("whole_std") < flat).cast("double")).alias("flat_fraction")
+    flats = kept(table.select(*KEY, "whole_std").join(windowing.flat_fraction(high, flat), KEY, "left").select(*KEY, whole))
     live = flats.where("flat_fraction < 0.5").select("recording", F.col("channel").alias("neighbour"), F.lit(True).alias("live"))
     if near is None:
         best = W.partitionBy(*KEY).orderBy(F.desc("r"), "other")

@@ -816,11 +816,15 @@ def _(spark, d):
 
 @register("rank_by_discriminability", f"""WITH {_TRIALS}, c AS (SELECT channel, condition, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM tr WHERE condition IN ('0', '1') GROUP BY ALL), g AS (SELECT *, sum(n * m) OVER (PARTITION BY channel) / sum(n) OVER (PARTITION BY channel) AS mu FROM c),
 s AS (SELECT channel, sum(n * (m - mu) * (m - mu)) / sum(n * v) AS value FROM g GROUP BY ALL), p AS (SELECT channel, condition, rank() OVER o + (count(*) OVER (PARTITION BY channel, value) - 1) / 2.0 AS place FROM tr WHERE condition IN ('0', '1') WINDOW o AS (PARTITION BY channel ORDER BY value)),
-r AS (SELECT channel, sum(CASE WHEN condition = '0' THEN place END) AS r, sum(CASE WHEN condition = '0' THEN 1.0 ELSE 0.0 END) AS n1, sum(CASE WHEN condition = '1' THEN 1.0 ELSE 0.0 END) AS n2 FROM p GROUP BY ALL), u AS (SELECT channel, (r - n1 * (n1 + 1) / 2) / (n1 * n2) AS u FROM r)
-SELECT CAST(0 AS BIGINT) AS recording, channel, {r6('value')} AS value, row_number() OVER (ORDER BY value DESC, channel) AS rank, '0' AS feature, {r6('CAST(greatest(u, 1 - u) AS DOUBLE)')} AS auc FROM s JOIN u USING (channel)""")
+r AS (SELECT channel, sum(CASE WHEN condition = '0' THEN place END) AS r, sum(CASE WHEN condition = '0' THEN 1.0 ELSE 0.0 END) AS n1, sum(CASE WHEN condition = '1' THEN 1.0 ELSE 0.0 END) AS n2 FROM p GROUP BY ALL), u AS (SELECT channel, (r - n1 * (n1 + 1) / 2) / (n1 * n2) AS u FROM r),
+m AS (SELECT channel, avg(CASE WHEN condition = '0' THEN value END) - avg(CASE WHEN condition = '1' THEN value END) AS gap, var_samp(CASE WHEN condition = '0' THEN value END) / count(CASE WHEN condition = '0' THEN 1 END) AS a, var_samp(CASE WHEN condition = '1' THEN value END) / count(CASE WHEN condition = '1' THEN 1 END) AS b, count(CASE WHEN condition = '0' THEN 1 END) AS na, count(CASE WHEN condition = '1' THEN 1 END) AS nb FROM tr WHERE condition IN ('0', '1') GROUP BY ALL),
+t AS (SELECT channel, abs(gap) / sqrt(a + b) AS t, (a + b) * (a + b) / (a * a / (na - 1) + b * b / (nb - 1)) AS df FROM m),
+i AS (SELECT channel, t, df, unnest(range(2001)) AS i FROM t), -- Simpson's rule over the density of Student's t
+pv AS (SELECT channel, 1 - 2 * any_value(exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi() * df)) * any_value(t) / 6000 * sum((CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power(1 + (t * i / 2000) * (t * i / 2000) / df, -(df + 1) / 2)) AS p FROM i GROUP BY ALL)
+SELECT CAST(0 AS BIGINT) AS recording, channel, {r6('value')} AS value, row_number() OVER (ORDER BY value DESC, channel) AS rank, '0' AS feature, {r6('CAST(greatest(u, 1 - u) AS DOUBLE)')} AS auc, {r6('p')} AS p_value FROM s JOIN u USING (channel) JOIN pv USING (channel)""")
 def _(spark, d):
     two = _trials(spark, d).where("condition in ('0', '1')").withColumn("time", F.lit(0).cast("long"))
-    return ranking.rank_trials(two, "discriminability").drop("p_value")
+    return ranking.rank_trials(two, "discriminability")
 
 
 # Files, pipelines, reports

@@ -85,7 +85,7 @@ def test_positions_from_files(tmp_path):
 
 
 def test_discriminability_names_the_best_feature(spark):
-    """A rhythm of 10 Hz in one condition: alpha tells them apart, with an AUC near 1 and a small p."""
+    """A rhythm of 10 Hz in one condition: mu tells them apart, with an AUC near 1 and a small p."""
     rng, t = np.random.default_rng(21), np.arange(128) / 128
     rows = []
     for i in range(40):
@@ -94,9 +94,9 @@ def test_discriminability_names_the_best_feature(spark):
             rows += [("r", c, i, "ab"[i % 2], k, float(v)) for k, v in enumerate(x)]
     trials = spark.createDataFrame(rows, "recording string, channel string, trial long, condition string, time long, value double")
     features = ranking.band_features(trials, 128.0)
-    assert features.count() == 40 * 2 * 5
+    assert features.count() == 40 * 2 * 2
     found = {r.channel: r for r in ranking.rank_trials(trials, "discriminability", sfreq=128.0).collect()}
-    assert found["with"].rank == 1 and found["with"].feature == "alpha" and found["with"].auc > 0.95 and found["with"].p_value < 1e-6
+    assert found["with"].rank == 1 and found["with"].feature == "mu" and found["with"].auc > 0.95 and found["with"].p_value < 1e-6
     assert found["none"].auc < 0.75
     three = features.withColumn("condition", F.concat("condition", (F.col("trial") % 3).cast("string")))
     assert all(r.auc is None and r.p_value is not None for r in ranking.discriminability(three).collect())
@@ -136,3 +136,35 @@ def test_rejection_by_type(spark):
     assert {(r.epoch, r.channels) for r in epochs.rejected(cut, {"eeg": 100.0, "eog": 800.0}, {"eeg": 10.0}, table).collect()} == {(0, "a"), (1, "a"), (2, "e")}
     with pytest.raises(ValueError):
         epochs.rejected(cut, {"eeg": 100.0})
+
+
+def test_band_power_of_trials_is_that_of_welch(spark):
+    """Windows of a second within trials of 2.5 s: the same as the power of spectral.welch() over each trial as a channel."""
+    rng = np.random.default_rng(5)
+    rows = [("r", "c", i, "ab"[i % 2], k, float(v)) for i in range(4) for k, v in enumerate(rng.standard_normal(320))]
+    trials = spark.createDataFrame(rows, "recording string, channel string, trial long, condition string, time long, value double")
+    got = {(r.trial, r.feature): r.value for r in ranking.band_features(trials, 128.0).collect()}
+    as_channels = trials.select("recording", F.col("trial").cast("string").alias("channel"), F.col("time").alias("sample"), "value")
+    power = spectral.band_power(spectral.welch(as_channels, 128.0, 1.0), ranking.MOTOR)
+    want = {(int(r.channel), r.band): np.log10(r.power) for r in power.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_two_conditions_are_tested_by_welch(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(0, 1, 12), rng.normal(1, 3, 30)
+    rows = [("r", "c", i, "a" if i < 12 else "b", "f", float(v)) for i, v in enumerate([*a, *b])]
+    features = spark.createDataFrame(rows, "recording string, channel string, trial long, condition string, feature string, value double")
+    (r,) = ranking.discriminability(features).collect()
+    va, vb = a.var(ddof=1) / 12, b.var(ddof=1) / 30
+    t, df = (a.mean() - b.mean()) / np.sqrt(va + vb), (va + vb) ** 2 / (va**2 / 11 + vb**2 / 29)
+    x = np.linspace(0, abs(t), 200_001)
+    density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / np.sqrt(np.pi * df) * (1 + x * x / df) ** (-(df + 1) / 2)
+    assert abs(r.p_value - (1 - 2 * np.trapezoid(density, x))) < 1e-8
+
+
+def test_channels_shorter_than_a_window_are_judged_as_a_whole(spark):
+    rng = np.random.default_rng(7)
+    rows = [("r", c, k, float(v)) for c in ("A", "B", "C") for k, v in enumerate(20 * rng.standard_normal(200))] + [("r", "D", k, 0.0) for k in range(200)]
+    got = {r.channel: r for r in quality.assess(spark.createDataFrame(rows, "recording string, channel string, sample long, value double"), 256.0).collect()}
+    assert all(got[c].flat_fraction == 0 and got[c].score > 50 for c in "ABC") and got["D"].flat_fraction == 1 and got["D"].score == 0
