@@ -2,9 +2,11 @@
 
 The option ``table`` says what is read: samples (the default), channels or annotations. A file is read in
 ranges of its records, each a task, so that one long recording is spread over many; text and numpy files
-are a range each. Filters on ``channel`` reach the reader, which then decodes no other signals.
+are a range each. Filters on ``channel`` and ``sample`` reach the reader, which then decodes no other signals and
+plans no tasks for records outside.
 
-Options: path (a file or a folder), table, sfreq, delimiter, unit, range_mb (size of a range, 16).
+Options: path (a file or a folder), table, sfreq, delimiter, unit, range_mb (size of a range, 16), tmin and tmax (seconds: only
+samples in [tmin, tmax), counted from 0 again as signals.crop() does, whatever the rates of the files).
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from . import brainvision, edf, store, tables
+from . import brainvision, edf, mat5, store, tables
 
 #: Endings, and how files with them are read.
-ENDINGS = {".edf": "edf", ".rec": "edf", ".bdf": "edf", ".vhdr": "brainvision", ".csv": "text", ".tsv": "text", ".txt": "text", ".asc": "text", ".npy": "numpy", ".npz": "numpy"}
+ENDINGS = {".edf": "edf", ".rec": "edf", ".bdf": "edf", ".vhdr": "brainvision", ".csv": "text", ".tsv": "text", ".txt": "text", ".asc": "text", ".npy": "numpy", ".npz": "numpy", ".mat": "matlab", ".set": "matlab"}
 SCHEMAS = {
     "samples": "recording string, channel string, sample long, value double",
     "channels": "recording string, channel string, ch_index int, sfreq double, n_samples long",
@@ -45,6 +47,8 @@ def sniff(uri: str) -> str:
         return "edf"
     if b"Brain Vision" in head or b"BrainVision" in head:
         return "brainvision"
+    if head[:6] == b"MATLAB" and head[126:128] in (b"IM", b"MI"):
+        return "matlab"
     if head[:6] == b"\x93NUMPY" or head[:2] == b"PK":
         return "numpy"
     head.decode("utf-8")
@@ -82,6 +86,9 @@ class RecordingsReader(DataSourceReader):
         self.delimiter, self.unit = options.get("delimiter"), options.get("unit", "uV")
         self.size = int(float(options.get("range_mb", 16)) * 2**20)
         self.channels: set[str] | None = None
+        # Samples from ``first`` to ``last`` - 1 are wanted, and of each file those of the times.
+        self.first, self.last = 0, 1 << 62
+        self.times = tuple(float(options[k]) if options.get(k) else None for k in ("tmin", "tmax"))
 
     def pushFilters(self, filters):
         for f in filters:
@@ -89,22 +96,49 @@ class RecordingsReader(DataSourceReader):
                 self.channels = {f.value} & (self.channels or {f.value})
             elif isinstance(f, In) and f.attribute == ("channel",):
                 self.channels = set(f.value) if self.channels is None else self.channels & set(f.value)
+            elif getattr(f, "attribute", None) == ("sample",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.last = min(self.last, f.value + (not isinstance(f, LessThan)))
             yield f  # Spark checks it as well
 
+    def _span(self, sfreq: float) -> tuple[int, int, int]:
+        """First and last + 1 of the wanted samples of a signal, and what is taken from their numbers."""
+        begin, end = (None if t is None else max(0, int(np.rint(t * sfreq))) for t in self.times)
+        shift = begin or 0
+        return max(self.first, 0) + shift, min(self.last + shift, 1 << 62 if end is None else end), shift
+
+    def _records(self, spans: list[tuple[int, int, int]], n: int) -> tuple[int, int]:
+        """The records (of so many samples) that hold any of the spans: (first, last, samples a record)."""
+        held = [(a // size, -(-b // size)) for a, b, size in spans if a < b]
+        return (max(0, min(a for a, _ in held)), min(n, max(b for _, b in held))) if held else (0, 0)
+
     def partitions(self) -> list[Range]:
         out = []
         for uri in store.files(self.path, tuple(ENDINGS)):
-            kind, n, step = sniff(uri), 1, 1
+            kind, n, step, begin = sniff(uri), 1, 1, 0
+            samples = self.table == "samples"
             if kind == "edf":
                 h = edf.header(uri)
                 n, step = h.records, max(1, self.size // max(1, h.record_bytes))
+                if samples:
+                    own = [h.signals[i] for i in self._wanted([s["label"] for s in h.signals]) if i in h.data]
+                    begin, n = self._records([(*self._span(s["n"] / h.seconds)[:2], s["n"]) for s in own], n)
             elif kind == "brainvision":
                 h = brainvision.header(uri)
                 if h.kind is not None:
                     n, step = h.samples, max(1, self.size // (np.dtype(h.kind).itemsize * len(h.channels)))
+                    begin, n = self._records([(*self._span(h.sfreq)[:2], 1)], n) if samples else (0, n)
+            elif kind == "matlab":
+                h = mat5.recording(uri, self.sfreq)
+                n, step = h.samples, max(1, self.size // h.bytes_a_sample)
+                begin, n = self._records([(*self._span(h.sfreq)[:2], 1)], n) if samples else (0, n)
+            if samples and begin >= n and kind in ("edf", "brainvision", "matlab"):
+                continue
             if self.table == "channels" or (self.table == "annotations" and kind != "edf"):
                 step = max(n, 1)
-            out += [Range(uri, kind, a, min(a + step, n)) for a in range(0, max(n, 1), step)]
+            out += [Range(uri, kind, a, min(a + step, n)) for a in range(begin, max(n, 1), step)]
         return out
 
     def _wanted(self, names: list[str]) -> list[int]:
@@ -113,7 +147,9 @@ class RecordingsReader(DataSourceReader):
     def _loaded(self, part: Range) -> dict:
         return tables.text(part.uri, self.sfreq, self.delimiter, self.unit) if part.kind == "text" else tables.archive(part.uri, self.sfreq)
 
-    def read(self, part: Range):
+    def read(self, part: Range | None):
+        if part is None:  # there are no ranges
+            return
         recording = name_of(part.uri)
         rows = getattr(self, f"_{self.table}")(part, recording)
         if self.table == "samples":
@@ -124,16 +160,23 @@ class RecordingsReader(DataSourceReader):
     def _samples(self, part: Range, recording: str):
         if part.kind == "edf":
             h = edf.header(part.uri)
-            names = [s["label"] for s in h.signals]
+            names, rates = [s["label"] for s in h.signals], [s["n"] / h.seconds for s in h.signals]
             found = edf.records(h, part.first, part.last, [i for i in self._wanted(names) if i in h.data])
         elif part.kind == "brainvision":
             h = brainvision.header(part.uri)
-            names = [c for c, _ in h.channels]
+            names, rates = [c for c, _ in h.channels], [h.sfreq] * len(h.channels)
             found = brainvision.samples(h, part.first, part.last, self._wanted(names))
+        elif part.kind == "matlab":
+            h = mat5.recording(part.uri, self.sfreq)
+            names, rates = h.channels, [h.sfreq] * len(h.channels)
+            found = h.read(part.first, part.last, self._wanted(names))
         else:
             t = self._loaded(part)
-            names, found = t["channels"], {i: (0, t["values"][i]) for i in self._wanted(t["channels"])}
+            names, found, rates = t["channels"], {i: (0, t["values"][i]) for i in self._wanted(t["channels"])}, [float(t["sfreq"])] * len(t["channels"])
         for i, (start, values) in found.items():
+            first, last, shift = self._span(rates[i])
+            values = values[max(first - start, 0) : max(last - start, 0)]
+            start = max(start, first) - shift
             n = len(values)
             one = lambda text: pa.array([text] * n, pa.string())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([one(recording), one(names[i]), pa.array(np.arange(start, start + n)), pa.array(values, pa.float64())], names=["recording", "channel", "sample", "value"])
@@ -146,6 +189,9 @@ class RecordingsReader(DataSourceReader):
             h = brainvision.header(part.uri)
             n = h.samples if h.kind is not None else len(brainvision.samples(h, 0, 0, [0])[0][1])
             return [(recording, c, k, h.sfreq, n) for k, (c, _) in enumerate(h.channels)]
+        if part.kind == "matlab":
+            h = mat5.recording(part.uri, self.sfreq)
+            return [(recording, c, k, h.sfreq, h.samples) for k, c in enumerate(h.channels)]
         t = self._loaded(part)
         return [(recording, c, k, float(t["sfreq"]), len(x)) for k, (c, x) in enumerate(zip(t["channels"], t["values"], strict=True))]
 
@@ -154,7 +200,10 @@ class RecordingsReader(DataSourceReader):
             h = edf.header(part.uri)
             first = edf.first_onset(h)
             return [(recording, o - first, d, t) for o, d, t in edf.annotations(h, part.first, part.last)]
-        found = brainvision.annotations(brainvision.header(part.uri)) if part.kind == "brainvision" else self._loaded(part)["annotations"]
+        if part.kind == "matlab":
+            found = mat5.recording(part.uri, self.sfreq).annotations
+        else:
+            found = brainvision.annotations(brainvision.header(part.uri)) if part.kind == "brainvision" else self._loaded(part)["annotations"]
         return [(recording, float(o), float(d), t) for o, d, t in found]
 
 
@@ -179,7 +228,7 @@ def bids_channels(spark: SparkSession, path: str, channels: DataFrame) -> DataFr
 
 
 def write(samples: DataFrame, folder: str, sfreq: float, kind: str = "edf", annotations: DataFrame | None = None) -> DataFrame:
-    """Writes a file a recording (edf, bdf, brainvision, text or numpy) into a folder that all executors reach: (recording, uri, bytes).
+    """Writes a file a recording (edf, bdf, brainvision, text, numpy or matlab) into a folder that all executors reach: (recording, uri, bytes).
 
     A recording has to fit a task. The files are written when the result is used; writing again gives the same files.
     """
@@ -188,6 +237,8 @@ def write(samples: DataFrame, folder: str, sfreq: float, kind: str = "edf", anno
             return {f".{kind}": edf.encode(values, sfreq, dict.fromkeys(values, "uV"), marks=marks, wide=kind == "bdf")}
         if kind == "brainvision":
             return brainvision.encode(name, values, sfreq, marks)
+        if kind == "matlab":
+            return {".mat": mat5.encode(values, sfreq, marks)}
         return {".csv": tables.encode_text(values, sfreq, marks)} if kind == "text" else {".npz": tables.encode_archive(values, sfreq, marks)}
 
     def run(rows: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from neurosheaf.functions import distributions
 from neurosheaf.functions.montage import project, standard_positions
-from neurosheaf.operators import epochs, features, ranking, spectral
+from neurosheaf.operators import epochs, features, quality, ranking, spectral
 from neurosheaf.sources import montages, store
 
 from .test_signals import frame
