@@ -11,7 +11,9 @@ samples in [tmin, tmax), counted from 0 again as signals.crop() does, whatever t
 
 from __future__ import annotations
 
+import pickle
 import posixpath
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..session import kept
 from . import brainvision, edf, mat5, store, tables
 
 #: Endings, and how files with them are read.
@@ -227,14 +230,88 @@ def bids_channels(spark: SparkSession, path: str, channels: DataFrame) -> DataFr
     return channels.withColumn("_name", F.lower("channel")).join(side, ["recording", "_name"], "left").drop("_name")
 
 
+#: Bytes of a recording's records that a task encodes at a time.
+PART = 1 << 23
+
+
+def write_records(samples: DataFrame, folder: str, sfreq: float, kind: str = "edf", annotations: DataFrame | None = None, part: int = PART) -> DataFrame:
+    """Writes an EDF or BDF file a recording, of any length, into a folder that all executors reach: (recording, uri, bytes).
+
+    Tasks encode ranges of records to parts in a folder of their own; then the parts of each recording are put together in order, behind
+    its header, a piece at a time, and the file is moved to its place when it is whole. So a task that is lost or run again leaves no half
+    file, and none holds a recording. What a channel lacks inside is written as 0, and behind its end as its last value; sample counts from 0.
+    """
+    spark, wide = samples.sparkSession, kind == "bdf"
+    rows = samples.select(F.col("recording").cast("string").alias("recording"), "channel", F.col("sample").cast("long").alias("sample"), F.nanvl(F.coalesce(F.col("value").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("value"))
+    if annotations is None:
+        annotations = spark.createDataFrame([], SCHEMAS["annotations"])
+    notes = annotations.select(F.col("recording").cast("string").alias("recording"), "onset", "duration", "description")
+    ranges = rows.groupBy("recording", "channel").agg(F.min("value").alias("low"), F.max("value").alias("high"), (F.max("sample") + 1).alias("n"), F.max_by("value", "sample").alias("last"))
+    parts = f"{folder}/.parts-{uuid.uuid4().hex}"
+
+    def planned(held: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        columns = ["recording", "size", "per", "head", "plan", "block", "texts"]
+        if held.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        held = held.sort_values("channel")
+        name = str(held.recording.iloc[0])
+        texts = edf.mark_texts([(float(m.onset), float(m.duration), str(m.description)) for m in marks.itertuples()])
+        # A channel that ends before others, or has gaps, has zeros or its last value there.
+        own = edf.layout({r.channel: (min(r.low, 0.0) if r.n < held.n.max() else r.low, max(r.high, 0.0) if r.n < held.n.max() else r.high) for r in held.itertuples()}, int(held.n.max()), sfreq, texts, wide)
+        per = max(1, part // own.record_bytes)
+        plan, out = pickle.dumps((own, dict(zip(held.channel, zip(held.n.astype(int), held["last"], strict=True), strict=True)))), []
+        for block, first in enumerate(range(0, own.count, per)):
+            last = min(first + per, own.count)
+            out.append((name, own.size, per, edf.header_bytes(own, dict.fromkeys(own.names, "uV")) if not block else None, plan, block, texts[own.listed(first)[0] : own.listed(last - 1)[1]]))
+        return pd.DataFrame(out, columns=columns)
+
+    plans = kept(ranges.groupBy("recording").cogroup(notes.groupBy("recording")).applyInPandas(planned, "recording string, size long, per long, head binary, plan binary, block long, texts array<binary>"))
+    sizes = plans.where("block = 0").select("recording", (F.col("size") * F.col("per")).alias("_span"))
+    placed = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_RECORDINGS else sizes, "recording").withColumn("block", F.floor(F.col("sample") / F.col("_span"))).drop("_span")
+
+    def encoded(held: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        (one,) = plan.itertuples()
+        own, ends = pickle.loads(one.plan)
+        first = one.block * one.per
+        count = min(one.per, own.count - first)
+        begin = first * own.size
+        x = np.zeros((len(own.names), count * own.size))
+        if len(held):
+            x[np.searchsorted(own.names, held.channel.to_numpy(str)), held["sample"].to_numpy() - begin] = held.value.to_numpy()
+        for row, name in zip(x, own.names, strict=True):
+            n, last = ends[name]
+            row[max(n - begin, 0) :] = last
+        data = (one.head or b"") + edf.record_bytes(own, first, x, list(one.texts))
+        uri = f"{parts}/{one.recording}/{one.block:09d}"
+        store.write(uri, data)
+        return pd.DataFrame({"recording": [one.recording], "block": [one.block], "uri": [uri], "bytes": [len(data)]})
+
+    written = placed.groupBy("recording", "block").cogroup(plans.groupBy("recording", "block")).applyInPandas(encoded, "recording string, block long, uri string, bytes long")
+
+    def joined(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("block")
+        name = held.recording.iloc[0]
+        uri, total = f"{folder}/{name}.{kind}", int(held.bytes.sum())
+        store.join(uri, held.uri.tolist(), total)
+        return pd.DataFrame({"recording": [name], "uri": [uri], "bytes": [total]})
+
+    return written.groupBy("recording").applyInPandas(joined, "recording string, uri string, bytes long")
+
+
+#: Recordings whose record lengths are broadcast.
+BROADCAST_RECORDINGS = 100_000
+
+
 def write(samples: DataFrame, folder: str, sfreq: float, kind: str = "edf", annotations: DataFrame | None = None) -> DataFrame:
     """Writes a file a recording (edf, bdf, brainvision, text, numpy or matlab) into a folder that all executors reach: (recording, uri, bytes).
 
-    A recording has to fit a task. The files are written when the result is used; writing again gives the same files.
+    EDF and BDF files are written in parts (see write_records); of the other kinds a recording has to fit a task. The files are written
+    when the result is used; writing again gives the same files.
     """
+    if kind in ("edf", "bdf"):
+        return write_records(samples, folder, sfreq, kind, annotations)
+
     def encoded(name: str, values: dict, marks: list) -> dict[str, bytes]:
-        if kind in ("edf", "bdf"):
-            return {f".{kind}": edf.encode(values, sfreq, dict.fromkeys(values, "uV"), marks=marks, wide=kind == "bdf")}
         if kind == "brainvision":
             return brainvision.encode(name, values, sfreq, marks)
         if kind == "matlab":

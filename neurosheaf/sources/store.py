@@ -34,6 +34,27 @@ def write(uri: str, data: bytes) -> None:
     system.move(part, path)
 
 
+def join(uri: str, parts: list[str], total: int, piece: int = 1 << 23) -> None:
+    """A file of parts in order, a piece at a time: beside its place, and moved there when it is whole; then the parts go. Run again after that, it does nothing."""
+    system, path = at(uri)
+    if any(system.get_file_info(at(p)[1]).type == fs.FileType.NotFound for p in parts):
+        if system.get_file_info(path).size == total:
+            return
+        raise FileNotFoundError(f"parts of {uri}")
+    system.create_dir(posixpath.dirname(path), recursive=True)
+    part = f"{path}.part"
+    with system.open_output_stream(part) as out:
+        for p in parts:
+            with system.open_input_file(at(p)[1]) as f:
+                while data := f.read(piece):
+                    out.write(data)
+    if system.get_file_info(part).size != total:
+        raise OSError(f"{uri}: {system.get_file_info(part).size} bytes of {total}")
+    system.move(part, path)
+    for p in parts:
+        system.delete_file(at(p)[1])
+
+
 def files(uri: str, endings: tuple[str, ...]) -> list[str]:
     """The file itself, or the files of a folder and its folders that have one of the endings, in order."""
     system, path = at(uri)
