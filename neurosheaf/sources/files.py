@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..session import kept
 from . import brainvision, edf, mat5, store, tables
@@ -81,6 +81,9 @@ class Recordings(DataSource):
     def reader(self, schema) -> RecordingsReader:
         return RecordingsReader(dict(self.options))
 
+    def streamReader(self, schema) -> RecordingsStreamReader:
+        return RecordingsStreamReader(dict(self.options))
+
 
 class RecordingsReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
@@ -210,6 +213,58 @@ class RecordingsReader(DataSourceReader):
         return [(recording, float(o), float(d), t) for o, d, t in found]
 
 
+class RecordingsStreamReader(DataSourceStreamReader):
+    """Samples of EDF, BDF and binary BrainVision files as they grow. An offset has the whole records of each file that were there; what
+    stands behind the last whole one waits. Each trigger reads what is new, in ranges, of files that are new as well."""
+
+    def __init__(self, options: dict[str, str]):
+        if options.get("table", "samples") != "samples" or options.get("tmin") or options.get("tmax"):
+            raise ValueError("a stream has samples, and all of them")
+        self.batch = RecordingsReader(options)
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def _there(self, uri: str) -> tuple[str, int, int]:
+        """A file's kind, its whole records and their bytes."""
+        kind = sniff(uri)
+        if kind == "edf":
+            h = edf.header(uri)
+            return kind, h.records, h.record_bytes
+        h = brainvision.header(uri) if kind == "brainvision" else None
+        return (kind, h.samples, np.dtype(h.kind).itemsize * len(h.channels)) if h is not None and h.kind is not None else (kind, 0, 1)
+
+    def latestOffset(self) -> dict:
+        found = {}
+        for uri in store.files(self.batch.path, tuple(ENDINGS)):
+            try:
+                found[uri] = self._there(uri)[1]
+            except (ValueError, FileNotFoundError):  # a header that isn't whole yet
+                continue
+        return found
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
+        for uri, n in sorted(end.items()):
+            if n > start.get(uri, 0):
+                kind, _, size = self._there(uri)
+                step = max(1, self.batch.size // max(1, size))
+                out += [Range(uri, kind, a, min(a + step, n)) for a in range(start.get(uri, 0), n, step)]
+        return out
+
+    def read(self, part: Range | None):
+        return self.batch.read(part)
+
+
+def read_stream(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The samples of the recordings in a folder as a stream."""
+    spark.dataSource.register(Recordings)
+    reader = spark.readStream.format("recordings")
+    for k, v in options.items():
+        reader = reader.option(k, str(v))
+    return reader.load(path)
+
+
 def read(spark: SparkSession, path: str, table: str = "samples", **options) -> DataFrame:
     """A table of the recordings in a file or folder."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import filters
 
@@ -37,6 +39,57 @@ def causal_filter(stream: DataFrame, low: float | None, high: float | None, sfre
     return named.groupBy("recording", "channel").applyInPandasWithState(run, SAMPLE, "last long, values array<double>", "append", "NoTimeout")
 
 
+#: What filter_events() gives: a filtered sample; how many rows of a batch came too late (value); or the end of a channel, with its last sample and how many came too late in all.
+EVENTS = "recording string, channel string, event string, sample long, value double"
+_STATE = "last long, values array<double>, late long"
+
+
+class _Filter(StatefulProcessor):
+    """The state of a channel's filter, of the late rows and of the timer that ends it."""
+
+    def __init__(self, sos: np.ndarray, idle: int):
+        self.sos, self.idle = sos, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("filter", _STATE)
+
+    def _row(self, key, event: str, sample, value) -> pd.DataFrame:
+        return pd.DataFrame({"recording": [key[0]], "channel": [key[1]], "event": [event], "sample": pd.array([sample], "Int64"), "value": [float(value)]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, values, late = self.state.get() if self.state.exists() else (-1, [0.0] * (2 * len(self.sos)), 0)
+        table = pd.concat(list(rows)).sort_values("sample")
+        fresh = table[table["sample"] > last].drop_duplicates("sample")
+        missed = int((table["sample"] <= last).sum())
+        if len(fresh):
+            y, values = filters.causal(self.sos, fresh.value.to_numpy(float), np.array(values, float))
+            last, values = int(fresh["sample"].iloc[-1]), values.tolist()
+            yield pd.DataFrame({"recording": key[0], "channel": key[1], "event": "sample", "sample": fresh["sample"].astype("Int64"), "value": y})
+        self.state.update((last, list(values), late + missed))
+        if missed:
+            yield self._row(key, "late", None, missed)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, _, late = self.state.get()
+        self.state.clear()
+        yield self._row(key, "end", last, late)
+
+    def close(self) -> None:
+        pass
+
+
+def filter_events(stream: DataFrame, low: float | None, high: float | None, sfreq: float, idle_seconds: float = 600.0, order: int = 4) -> DataFrame:
+    """causal_filter() with typed state: rows of EVENTS. Late rows are counted instead of passed over, and a channel from which nothing came for
+    ``idle_seconds`` ends: its state goes, and what comes later begins anew. State is kept in RocksDB, which this session then uses for streams."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    named = stream.select(F.col("recording").cast("string").alias("recording"), "channel", "sample", "value")
+    made = _Filter(filters.butterworth(low, high, sfreq, order), int(1000 * idle_seconds))
+    return named.groupBy("recording", "channel").transformWithStateInPandas(made, T.StructType.fromDDL(EVENTS), "append", "ProcessingTime")
+
+
 def windowed_table(stream: DataFrame, time: str, length: str, late: str, step: str | None = None) -> DataFrame:
     """Count, mean, population standard deviation and range of each channel in windows of event time; rows later than ``late`` are dropped."""
     window = F.window(time, length, step) if step else F.window(time, length)

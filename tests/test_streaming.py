@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 
 from neurosheaf.functions import filters
+from neurosheaf.sources import edf, files
 from neurosheaf.streaming import causal
 
 SCHEMA = "recording string, channel string, sample long, value double"
@@ -34,3 +35,50 @@ def test_sessions_and_windows(spark, tmp_path):
     table = run(spark, causal.windowed_table(read, "ts", "60 seconds", "20 seconds"), "windows").sort_values("start")
     assert table.iloc[0].n == 5 and table.iloc[0].ptp == 31
     assert len(run(spark, causal.first_seen(read, ["description"], "ts", "20 seconds"), "firsts")) == 1
+
+
+def step(spark, stream, folder, **trigger):
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return spark.read.parquet(f"{folder}/out").toPandas()
+
+
+def test_files_that_grow_are_filtered_as_a_whole_after_a_restart(spark, tmp_path):
+    x = {c: np.random.default_rng(i).standard_normal(1000) * 20 for i, c in enumerate("AB")}
+    data = edf.encode(x, 100.0, {})
+    h0 = 256 * 4
+    size = (len(data) - h0) // 10
+    data = data[:236] + b"-1      " + data[244:]  # as while it is recorded
+    (tmp_path / "in").mkdir()
+    path = tmp_path / "in" / "r.edf"
+    whole = None
+    for k, end in enumerate((h0 + 3 * size + 17, h0 + 7 * size, len(data))):
+        path.write_bytes(data[:end])
+        if k == 2:
+            (tmp_path / "in" / "new.edf").write_bytes(data)
+        stream = files.read_stream(spark, str(tmp_path / "in"), range_mb=0.0005)
+        whole = step(spark, causal.filter_events(stream, 1, 30, 100.0), tmp_path)
+        assert (whole[whole.recording == "r"]["sample"].max() + 1) == (300, 700, 1000)[k]
+    assert set(whole.event) == {"sample"} and len(whole) == 4000
+    plain = files.read(spark, str(tmp_path / "in")).toPandas()
+    for (r, c), own in plain.groupby(["recording", "channel"]):
+        got = whole[(whole.recording == r) & (whole.channel == c)].sort_values("sample")
+        want = filters.causal(filters.butterworth(1, 30, 100.0), own.sort_values("sample").value.to_numpy())[0]
+        assert got["sample"].tolist() == list(range(1000)) and np.abs(got.value.to_numpy() - want).max() < 1e-9
+
+
+def test_late_rows_are_counted_and_idle_channels_end(spark, tmp_path):
+    def put(first, n):
+        rows = pd.DataFrame({"recording": "r", "channel": "a", "sample": np.arange(first, first + n), "value": 1.0})
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    put(0, 50)
+    stream = lambda: spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    step(spark, causal.filter_events(stream(), 1, 30, 100.0, 600.0), tmp_path)
+    put(45, 10)
+    got = step(spark, causal.filter_events(stream(), 1, 30, 100.0, 0.001), tmp_path)
+    assert sorted(got[got.event == "sample"]["sample"]) == list(range(55)) and got[got.event == "late"].value.tolist() == [5.0]
+    put(100, 1)
+    got = step(spark, causal.filter_events(stream(), 1, 30, 100.0, 0.001), tmp_path)
+    ends = got[got.event == "end"]
+    assert len(ends) >= 1 and ends["sample"].iloc[0] in (54, 100) and ends.value.iloc[0] == 5.0
