@@ -47,7 +47,7 @@ _STATE = "last long, values array<double>, late long"
 class _Filter(StatefulProcessor):
     """The state of a channel's filter, of the late rows and of the timer that ends it."""
 
-    def __init__(self, sos: np.ndarray, idle: int):
+    def __init__(self, sos: np.ndarray, idle: int | None):
         self.sos, self.idle = sos, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -68,9 +68,10 @@ class _Filter(StatefulProcessor):
         self.state.update((last, list(values), late + missed))
         if missed:
             yield self._row(key, "late", None, missed)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last, _, late = self.state.get()
@@ -81,13 +82,14 @@ class _Filter(StatefulProcessor):
         pass
 
 
-def filter_events(stream: DataFrame, low: float | None, high: float | None, sfreq: float, idle_seconds: float = 600.0, order: int = 4) -> DataFrame:
-    """causal_filter() with typed state: rows of EVENTS. Late rows are counted instead of passed over, and a channel from which nothing came for
-    ``idle_seconds`` ends: its state goes, and what comes later begins anew. State is kept in RocksDB, which this session then uses for streams."""
+def filter_events(stream: DataFrame, low: float | None, high: float | None, sfreq: float, idle_seconds: float | None = None, order: int = 4) -> DataFrame:
+    """causal_filter() with typed state: rows of EVENTS. Late rows are counted instead of passed over, and with ``idle_seconds`` a channel from which nothing
+    came for so long ends: its state goes, and what comes later begins anew. Timers make a batch follow every batch, so such a stream runs until it
+    is stopped. State is kept in RocksDB, which this session then uses for streams."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     named = stream.select(F.col("recording").cast("string").alias("recording"), "channel", "sample", "value")
-    made = _Filter(filters.butterworth(low, high, sfreq, order), int(1000 * idle_seconds))
-    return named.groupBy("recording", "channel").transformWithStateInPandas(made, T.StructType.fromDDL(EVENTS), "append", "ProcessingTime")
+    made = _Filter(filters.butterworth(low, high, sfreq, order), None if idle_seconds is None else int(1000 * idle_seconds))
+    return named.groupBy("recording", "channel").transformWithStateInPandas(made, T.StructType.fromDDL(EVENTS), "append", "None" if idle_seconds is None else "ProcessingTime")
 
 
 def windowed_table(stream: DataFrame, time: str, length: str, late: str, step: str | None = None) -> DataFrame:

@@ -37,9 +37,10 @@ def test_sessions_and_windows(spark, tmp_path):
     assert len(run(spark, causal.first_seen(read, ["description"], "ts", "20 seconds"), "firsts")) == 1
 
 
-def step(spark, stream, folder, **trigger):
+def step(spark, stream, folder):
     query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
+    query.stop()
     return spark.read.parquet(f"{folder}/out").toPandas()
 
 
@@ -67,18 +68,40 @@ def test_files_that_grow_are_filtered_as_a_whole_after_a_restart(spark, tmp_path
         assert got["sample"].tolist() == list(range(1000)) and np.abs(got.value.to_numpy() - want).max() < 1e-9
 
 
-def test_late_rows_are_counted_and_idle_channels_end(spark, tmp_path):
-    def put(first, n):
-        rows = pd.DataFrame({"recording": "r", "channel": "a", "sample": np.arange(first, first + n), "value": 1.0})
-        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+class Handle:
+    """What a processor asks of Spark, for one key."""
+
+    def __init__(self):
+        self.value, self.timers, self.now = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    clear = lambda self: self.update(None)
+    listTimers = lambda self: iter(self.timers)
+    deleteTimer = lambda self, t: self.timers.remove(t)
+    registerTimer = lambda self, t: self.timers.append(t)
+    getCurrentProcessingTimeInMs = lambda self: self.now
+
+    def update(self, value):
+        self.value = value
+
 
-    put(0, 50)
-    stream = lambda: spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
-    step(spark, causal.filter_events(stream(), 1, 30, 100.0, 600.0), tmp_path)
-    put(45, 10)
-    got = step(spark, causal.filter_events(stream(), 1, 30, 100.0, 0.001), tmp_path)
-    assert sorted(got[got.event == "sample"]["sample"]) == list(range(55)) and got[got.event == "late"].value.tolist() == [5.0]
-    put(100, 1)
-    got = step(spark, causal.filter_events(stream(), 1, 30, 100.0, 0.001), tmp_path)
-    ends = got[got.event == "end"]
-    assert len(ends) >= 1 and ends["sample"].iloc[0] in (54, 100) and ends.value.iloc[0] == 5.0
+def test_late_rows_are_counted_and_idle_channels_end():
+    sos, handle = filters.butterworth(1, 30, 100.0), Handle()
+    own = causal._Filter(sos, 5000)
+    own.init(handle)
+    x = np.random.default_rng(2).standard_normal(100)
+    put = lambda at: pd.concat(own.handleInputRows(("r", "a"), iter([pd.DataFrame({"sample": at, "value": x[at]})]), handle))
+    first = put(np.arange(50)[::-1])
+    handle.now = 3000
+    second = put(np.arange(45, 60))
+    assert handle.timers == [8000] and handle.value[0] == 59 and handle.value[2] == 5
+    assert second[second.event == "late"].value.tolist() == [5.0] and set(first.event) == {"sample"}
+    y = np.r_[first.value, second[second.event == "sample"].value]
+    assert np.abs(y - filters.causal(sos, x[:60])[0]).max() < 1e-12
+    (end,) = own.handleExpiredTimer(("r", "a"), handle, None)
+    assert end[["event", "sample", "value"]].values.tolist() == [["end", 59, 5.0]] and handle.value is None
+    assert put(np.arange(10)).event.tolist() == ["sample"] * 10
