@@ -840,6 +840,32 @@ def _(spark, d):
     return both.groupBy(*signals.KEY).agg(F.count("*").alias("n"), (F.max(F.abs(F.col("value") - F.col("read"))) < span * 1e-4).alias("close"))
 
 
+@register("matlab_round_trip", f"WITH {SIG} SELECT CAST(recording AS VARCHAR) AS recording, channel, count(*) AS n, true AS close FROM sig GROUP BY ALL")
+def _(spark, d):
+    s, folder = sig(spark, d), shared_folder(spark, "matlab")
+    files.write(s, folder, RATE, "matlab").write.format("noop").mode("overwrite").save()
+    read = files.read(spark, folder, range_mb=0.01).withColumnRenamed("value", "read")
+    both = s.withColumn("recording", F.col("recording").cast("string")).join(read, [*signals.KEY, "sample"])
+    return both.groupBy(*signals.KEY).agg(F.count("*").alias("n"), F.bool_and(F.col("value") == F.col("read")).alias("close"))
+
+
+@register("edf_sample_range", f"WITH {SIG} SELECT CAST(recording AS VARCHAR) AS recording, channel, count(*) AS n, min(sample) AS first, max(sample) AS last FROM sig WHERE sample BETWEEN 200 AND 349 GROUP BY ALL")
+def _(spark, d):
+    """Ranges of records outside of the samples asked for aren't read."""
+    folder = shared_folder(spark, "edf")
+    files.write(sig(spark, d), folder, RATE).write.format("noop").mode("overwrite").save()
+    part = files.read(spark, folder, range_mb=0.001).where("sample >= 200 and sample < 350")
+    return part.groupBy(*signals.KEY).agg(F.count("*").alias("n"), F.min("sample").alias("first"), F.max("sample").alias("last"))
+
+
+@register("recording_covariance", f"WITH {SIG} SELECT a.recording, a.channel AS a, b.channel AS b, count(*) AS n, {r6('covar_pop(a.value, b.value)')} AS covariance FROM sig a JOIN sig b USING (recording, sample) GROUP BY ALL")
+def _(spark, d):
+    """What independent components are fitted to, from sums over blocks of samples."""
+    found = ica.moments(ica.in_blocks(sig(spark, d))).select("recording", "n", "names", F.posexplode("covariance").alias("i", "v"))
+    size = F.size("names")
+    return found.select("recording", F.get("names", F.floor(F.col("i") / size).cast("int")).alias("a"), F.get("names", (F.col("i") % size).cast("int")).alias("b"), "n", F.col("v").alias("covariance"))
+
+
 @register("typed_pipeline", f"""WITH {SIG}, r AS (SELECT recording, channel, sample, CASE WHEN channel IN ('disc', 'price', 'qty') AND sample BETWEEN 20 AND 299 THEN value - avg(CASE WHEN channel IN ('disc', 'qty') THEN value END) OVER (PARTITION BY recording, sample) ELSE value END AS value FROM sig),
 t AS (SELECT recording, 'eog' AS channel, sample, price AS value FROM wide UNION ALL SELECT recording, 'STI', sample, tax * 100 FROM wide UNION ALL SELECT recording, channel, sample, value FROM r WHERE channel IN ('disc', 'price', 'qty'))
 SELECT recording, channel, CAST(sample - 20 AS BIGINT) AS sample, {r6('value')} AS value FROM t WHERE sample BETWEEN 20 AND 299""")

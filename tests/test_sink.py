@@ -61,6 +61,14 @@ def test_no_half_file_is_left(tmp_path):
         store.join(f"{tmp_path}/y.edf", parts, 30)
 
 
+@pytest.mark.parametrize(("rate", "n"), [(30.0, 601), (7.0, 50), (128.0, 999)])
+def test_records_whose_times_have_many_digits(spark, tmp_path, rate, n):
+    x = np.sin(np.arange(n) / 5)
+    rows = spark.createDataFrame(pd.DataFrame({"recording": "r", "channel": "A", "sample": np.arange(n), "value": x}))
+    files.write_records(rows, str(tmp_path), rate, part=1).collect()
+    assert store.read(f"{tmp_path}/r.edf") == edf.encode({"A": x}, rate, {})
+
+
 def test_odd_rows(spark, tmp_path):
     rows = spark.createDataFrame([("r", "A", 0, 1.0), ("r", "A", 1, None), ("r", "A", 2, float("nan")), ("r", "A", 4, 3.0), ("r", "B", 2, 7.0)], "recording string, channel string, sample long, value double")
     (out,) = files.write_records(rows, str(tmp_path), 5.0).collect()
