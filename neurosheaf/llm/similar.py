@@ -186,9 +186,13 @@ class _Search:
         placed = self.scratch.keep(self.grouped().where(self.table % apart == turn))
         part = F.pmod(F.xxhash64("set_key", F.lit(turn)), F.lit(many))
         first = F.min(F.struct((-F.col("copies")).alias("most"), "set_key", "c", "copies", "fp", "size", "p0", "p1")).alias("x")
-        # A bucket's leaders, one a part of it, where it has several groups.
-        parts = placed.groupBy("bucket", part.alias("part")).agg(first, F.min("c").alias("low"), F.max("c").alias("high"))
-        found = parts.groupBy("bucket").agg(F.collect_list("x").alias("x"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+        # A bucket's leaders, one a part of it, where it has several groups. Of two classes alone the least and greatest values are
+        # theirs, so that those too unlike in size or fingerprint, as chance brings together, go here.
+        ends = [(f, n, c) for c in ("c", "size", "fp") for f, n in ((F.min, "low"), (F.max, "high"))]
+        parts = placed.groupBy("bucket", part.alias("part")).agg(first, F.count("*").alias("n"), *(f(c).alias(f"{n}_{c}") for f, n, c in ends))
+        found = parts.groupBy("bucket").agg(F.collect_list("x").alias("x"), F.sum("n").alias("n"), *(f(f"{n}_{c}").alias(f"{n}_{c}") for f, n, c in ends))
+        unlike = (F.col("low_size") + CLOSE < F.lit(self.least) * F.col("high_size")) | (F.bit_count(F.col("low_fp").bitwiseXOR(F.col("high_fp"))) > self.radius)
+        found = found.where("low_c <> high_c").where((F.col("n") > 2) | ~unlike)
         leaders = dealt(found.select("bucket", F.explode("x").alias("x")).select("bucket", "x.*"))
         near = placed.alias("b").join(leaders.alias("a"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.c") != F.col("b.c")) & _candidate(self.least, self.radius))
         distance = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
