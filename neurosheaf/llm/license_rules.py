@@ -10,13 +10,14 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Rule:
-    """A regex over ' word word ... ' text, tried only where one of ``keywords`` occurs. A lower priority goes first."""
+    """A regex over ' word word ... ' text, tried only where one of ``keywords`` and, if there are any, one of ``also`` occurs. A lower priority goes first."""
 
     label: str
     priority: int
     keywords: tuple[str, ...]
     pattern: str
     weight: float
+    also: tuple[str, ...] = ()
 
 
 #: Base phrases: every place counts, and nothing suppresses their labels.
@@ -66,15 +67,15 @@ LICENSES = [
     ("gfdl-1.3", "free documentation|gfdl", "(?:gnu )?(?:free documentation license|gfdl)(?: version| v)? ?1 3"),
 ]
 
-#: Form of a notice: priority, pattern around {name}, weight.
+#: Form of a notice: priority, pattern around {name}, weight, and what every text of the form has beside the name.
 FORMS = [
-    (10, "spdx license identifier {name}", 1.0),
-    (20, "(?:released|distributed|licensed|published|available|provided|offered)(?: \\w+){0,3}? under(?: the)?(?: terms of)?(?: the)? {name}(?: licen[cs]e)?", 0.95),
-    (30, "under the terms(?: and conditions)? of the {name}(?: licen[cs]e)?", 0.95),
-    (40, "subject to the(?: terms of the)? {name}(?: licen[cs]e)?", 0.9),
-    (50, "under(?: the| an?)? {name}(?: licen[cs]e)?", 0.9),
-    (60, "licen[cs]e {name}", 0.8),
-    (70, "{name} licen[cs]ed?", 0.7),
+    (10, "spdx license identifier {name}", 1.0, "spdx license identifier"),
+    (20, "(?:released|distributed|licensed|published|available|provided|offered)(?: \\w+){0,3}? under(?: the)?(?: terms of)?(?: the)? {name}(?: licen[cs]e)?", 0.95, " under "),
+    (30, "under the terms(?: and conditions)? of the {name}(?: licen[cs]e)?", 0.95, "under the terms"),
+    (40, "subject to the(?: terms of the)? {name}(?: licen[cs]e)?", 0.9, "subject to the"),
+    (50, "under(?: the| an?)? {name}(?: licen[cs]e)?", 0.9, " under "),
+    (60, "licen[cs]e {name}", 0.8, " license | licence "),
+    (70, "{name} licen[cs]ed?", 0.7, " license| licence"),
 ]
 
 #: Notices that name a licence by its wording: label, keyword, pattern.
@@ -201,6 +202,6 @@ def rules() -> list[Rule]:
     out += [Rule(label, 3, (keyword,), pattern, 1.0) for label, keyword, pattern in NOTICES]
     out += [Rule(label, PHRASE, (keyword,), pattern, 0.3) for label, keyword, pattern in PHRASES]
     out += [Rule(label, 5, (keyword,), pattern, 1.0 if label != "proprietary" else 0.3) for label, keyword, pattern in WORDINGS]
-    for priority, form, weight in FORMS:
-        out += [Rule(label, priority, tuple(keyword.split("|")), form.replace("{name}", f"(?:{name})"), weight) for label, keyword, name in LICENSES]
+    for priority, form, weight, also in FORMS:
+        out += [Rule(label, priority, tuple(keyword.split("|")), form.replace("{name}", f"(?:{name})"), weight, tuple(also.split("|"))) for label, keyword, name in LICENSES]
     return out

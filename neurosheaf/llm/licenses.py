@@ -36,7 +36,7 @@ def _rule_table(all_rules: list[Rule]) -> Column:
     """A literal array of structs. A place begins after a space and ends before one, so neighbours may share it."""
     rows = (
         F.struct(
-            F.lit(i).alias("rank"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern")
+            F.lit(i).alias("rank"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.weight).alias("weight"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.array(*map(F.lit, r.also or ("",))).alias("also"), F.lit(f" (?:{r.pattern})(?= )").alias("pattern")
         )
         for i, r in enumerate(all_rules)
     )
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, text_col: str = "text", all_rules: list[Rule] | None =
             """Phrases that stand in notices of most licences say something only where nothing else does."""
             return F.when(F.exists(found, lambda p: p["priority"] < PHRASE), F.filter(found, lambda p: p["priority"] < PHRASE)).otherwise(found)
 
-        tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k)))
+        tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(text, k)) & F.exists(r["also"], lambda k: F.contains(text, k)))
         kept = let(let(F.flatten(F.transform(tried, lambda r: _places(text, r))), resolved), without_phrases)
         return F.transform(kept, lambda p: F.struct(*(p[c].alias(c) for c in ("first", "last", "rank", "label", "weight"))))
 

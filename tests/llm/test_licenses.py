@@ -78,7 +78,7 @@ def test_detections_against_plain_regexes(spark):
 def test_every_form_with_every_name(spark):
     """In lower, upper and title case, between other words."""
     texts = []
-    for k, (_, form, _) in enumerate(FORMS):
+    for k, (_, form, *_) in enumerate(FORMS):
         for j, (_, _, name) in enumerate(LICENSES):
             t = example(form.replace("{name}", f"(?:{name})"))
             texts.append(f"some words, {(t, t.upper(), t.title())[(j + k) % 3]}; and others")
