@@ -18,7 +18,9 @@ DATA = ("eeg", "eog", "ecg", "emg", "resp")
 
 def described(samples: DataFrame) -> DataFrame:
     """The table made from the channels that samples have, in order of name: types by name, none bad, no positions."""
-    found = samples.select(*KEY).distinct().withColumn("ch_index", F.row_number().over(W.partitionBy("recording").orderBy("channel")) - 1)
+    # A recording's names are listed and exploded: what is asked of a name later can't be pushed from here down to the samples.
+    names_of = samples.select(*KEY).distinct().groupBy("recording").agg(F.array_sort(F.collect_list("channel")).alias("names"))
+    found = names_of.select("recording", F.posexplode("names").alias("ch_index", "channel"))
     nothing = F.lit(None).cast("double")
     return found.select(*KEY, "ch_index", names.channel_type(names.clean_channel_name(F.col("channel"))).alias("ch_type"), F.lit(False).alias("bad"), nothing.alias("x"), nothing.alias("y"), nothing.alias("z"))
 
