@@ -9,6 +9,7 @@ the first and last samples of each, of which the extensions at a channel's ends
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -27,11 +28,26 @@ SIZE, RUN = 1 << 15, 1 << 10
 _BLOCK = ["recording", "channel", "block"]
 
 
-def in_blocks(samples: DataFrame, triggers: DataFrame | None = None, size: int = SIZE) -> DataFrame:
+#: Channels that take more than a block, if known by a broadcast.
+BROADCAST_CHANNELS = 100_000
+
+
+def split(samples: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Samples of the channels that one block holds, and of the others; None if there are none. One pass over the numbers of samples tells."""
+    ends = samples.groupBy(*KEY).agg(F.min("sample").alias("first"), F.max("sample").alias("last"))
+    long = kept(ends.where(F.col("last") - F.col("first") >= SIZE).select(*KEY))
+    n = long.count()
+    if not n:
+        return samples, None
+    long = F.broadcast(long) if n <= BROADCAST_CHANNELS else long
+    return samples.join(long, KEY, "left_anti"), samples.join(long, KEY, "left_semi")
+
+
+def in_blocks(samples: DataFrame, triggers: DataFrame | None = None, size: int | None = SIZE) -> DataFrame:
     """(recording, channel, block, coded, start, numbers, values): samples in order. numbers are theirs if some are missing between, else null.
 
-    ``coded`` tells of channels in ``triggers``, which no filter may touch."""
-    at = F.floor(F.col("sample") / F.lit(size)).alias("block")
+    ``coded`` tells of channels in ``triggers``, which no filter may touch. Without a size each channel is one block."""
+    at = (F.lit(0).cast("long") if size is None else F.floor(F.col("sample") / F.lit(size))).alias("block")
     rows = samples.select(*KEY, at, F.struct(F.col("sample").cast("long").alias("sample"), F.col("value").cast("double").alias("value")).alias("s"))
     blocks = rows.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list("s")).alias("s"))
     if triggers is None:
@@ -196,6 +212,39 @@ def _entering(passed: DataFrame, sos: np.ndarray, zero_phase: bool) -> DataFrame
     return both.groupBy(*KEY, "run").applyInPandas(down, f"recording {kind}, channel string, block long, first array<double>, last array<double>")
 
 
+def changed(blocks: DataFrame, change: Callable[..., np.ndarray], *more: str) -> DataFrame:
+    """``blocks`` with what ``change(values, *more)`` makes of each row's values; ``more`` are columns. Batches of rows are gone
+    through, as a group of pandas a channel would cost more than most filters of a short one."""
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            told = [batch.column(names.index(c)).to_pylist() for c in more]
+            out = [change(x, *own) for x, *own in zip(_lists(batch.column(names.index("values"))), *told, strict=True)]
+            columns = [batch.column(names.index(c)) for c in (*_BLOCK, "coded", "start", "numbers")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.float64()))], names=[*_BLOCK, "coded", "start", "numbers", "values"])
+
+    return blocks.select(*_BLOCK, "coded", "start", "numbers", "values", *(c for c in more if c != "coded")).mapInArrow(run, f"recording {_kind(blocks)}, channel string, block long, coded boolean, start long, numbers array<long>, values array<double>")
+
+
+def filtered(samples: DataFrame, stages: list[np.ndarray], zero_phase: bool = True, triggers: DataFrame | None = None) -> DataFrame:
+    """Samples filtered by one cascade after another: channels of a block where they are, longer ones by iir()."""
+    short, long = split(samples)
+
+    def change(x: np.ndarray, held: bool) -> np.ndarray:
+        for sos in () if held else stages:
+            x = filters.zero_phase(sos, x) if zero_phase else filters.causal(sos, x)[0]
+        return x
+
+    made = from_blocks(changed(in_blocks(short, triggers, None), change, "coded"))
+    if long is None:
+        return made
+    blocks = in_blocks(long, triggers)
+    for sos in stages:
+        blocks = iir(blocks, sos, zero_phase)
+    return made.unionByName(from_blocks(blocks))
+
+
 def iir(blocks: DataFrame, sos: np.ndarray, zero_phase: bool = True) -> DataFrame:
     """in_blocks() filtered by second-order sections, forwards and backwards as filters.zero_phase() or forwards from rest; coded channels as they are.
 

@@ -9,7 +9,6 @@ from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +27,8 @@ def per_channel(samples: DataFrame, kernel: Callable[[np.ndarray], np.ndarray],
     Channels in ``triggers`` (recording, channel) hold codes: they are left as they are, or to a kernel of their own.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sample")
-        own = trigger_kernel if "coded" in rows and rows.coded.iloc[0] is not None and bool(rows.coded.iloc[0]) else kernel
-        y = own(rows.value.to_numpy(float))
-        return pd.DataFrame({"recording": rows.recording.iloc[0], "channel": rows.channel.iloc[0], "sample": rows["sample"].iloc[0] + np.arange(len(y)), "value": y})
-
-    kind = dict(samples.dtypes)
-    used = samples.select(*KEY, "sample", "value")
-    if triggers is not None:
-        # Both sides are dealt out by the key of the groups, so the join needs no shuffle of its own.
-        used = used.join(triggers.select(*KEY).distinct().withColumn("coded", F.lit(True)), KEY, "left")
-    return used.groupBy(*KEY).applyInPandas(run, f"recording {kind['recording']}, channel string, sample long, value double")
+    whole = blockwise.in_blocks(samples, triggers, None).withColumn("numbers", F.lit(None).cast("array<bigint>"))
+    return blockwise.from_blocks(blockwise.changed(whole, lambda x, held: (trigger_kernel if held else kernel)(x), "coded"))
 
 
 def _picked(samples: DataFrame, channels: list[str] | None, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -55,7 +44,7 @@ def band_filter(samples: DataFrame, low: float | None, high: float | None, sfreq
     """Butterworth (iir) or windowed-sinc (fir) filter of channels of any length, forwards and backwards or causal; see blockwise."""
     if method == "iir":
         sos = filters.butterworth(low, high, sfreq)
-        return _picked(samples, channels, lambda s: blockwise.from_blocks(blockwise.iir(blockwise.in_blocks(s, triggers), sos, zero_phase)))
+        return _picked(samples, channels, lambda s: blockwise.filtered(s, [sos], zero_phase, triggers))
     if method != "fir":
         raise ValueError("method is iir or fir")
     taps = filters.windowed_sinc(low, high, sfreq)
@@ -65,14 +54,7 @@ def band_filter(samples: DataFrame, low: float | None, high: float | None, sfreq
 def notch_filter(samples: DataFrame, frequency: float, sfreq: float, quality: float = 30.0, channels: list[str] | None = None, triggers: DataFrame | None = None) -> DataFrame:
     """Takes out a frequency and its harmonics below half the rate less 1 Hz."""
     stops = [filters.notch(f, sfreq, quality) for f in np.arange(frequency, sfreq / 2 - 1, frequency)]
-
-    def change(s: DataFrame) -> DataFrame:
-        blocks = blockwise.in_blocks(s, triggers)
-        for sos in stops:
-            blocks = blockwise.iir(blocks, sos)
-        return blockwise.from_blocks(blocks)
-
-    return _picked(samples, channels, change)
+    return _picked(samples, channels, lambda s: blockwise.filtered(s, stops, True, triggers))
 
 
 def weighted_frame(samples: DataFrame, taps: list[float]) -> DataFrame:

@@ -26,8 +26,10 @@ def time_to_index(time: Column, sfreq: float, n: Column | None = None) -> Column
 
 
 def melt(wide: DataFrame, channels: list[str], keys: tuple[str, ...] = ("recording", "sample")) -> DataFrame:
-    """Samples from one column a channel."""
-    return wide.unpivot(list(keys), channels, "channel", "value").select(*keys[:-1], "channel", keys[-1], F.col("value").cast("double").alias("value"))
+    """Samples from one column a channel. Rows are exploded where they are: an unpivot would make Spark forget by what they are
+    dealt out, so that each grouping by recording and channel, or sample, shuffled all samples once more."""
+    cells = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in channels))
+    return wide.select(*keys, F.explode(cells).alias("cell")).select(*keys[:-1], "cell.channel", keys[-1], "cell.value")
 
 
 def spread(samples: DataFrame, channels: list[str]) -> DataFrame:

@@ -32,8 +32,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("l_suppkey").orderBy(*_ORDER)) - 1
-    wide = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("recording"), place.cast("long").alias("sample"), F.col("l_discount").alias("disc"), (F.col("l_extendedprice") / 1000).alias("price"), F.col("l_quantity").alias("qty"), F.col("l_tax").alias("tax"))
+    # Named before the window, so that Spark knows the rows as dealt out by recording, and groups channels or samples where they are.
+    rows = _read(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "recording")
+    place = F.row_number().over(W.partitionBy("recording").orderBy(*_ORDER)) - 1
+    wide = rows.select("recording", place.cast("long").alias("sample"), F.col("l_discount").alias("disc"), (F.col("l_extendedprice") / 1000).alias("price"), F.col("l_quantity").alias("qty"), F.col("l_tax").alias("tax"))
     return signals.melt(wide, CHANNELS)
 
 
