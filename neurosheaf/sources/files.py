@@ -70,6 +70,17 @@ class Range(InputPartition):
     last: int
 
 
+#: More files than these are read several a task, up to so many bytes of them; the tasks then look at their headers themselves.
+FILES, PACK = 200, 1 << 21
+#: Endings of files whose samples may lie in another one.
+_BESIDE = (".vhdr", ".set")
+
+
+@dataclass
+class Pack(InputPartition):
+    uris: list[str]
+
+
 class Recordings(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -120,9 +131,26 @@ class RecordingsReader(DataSourceReader):
         held = [(a // size, -(-b // size)) for a, b, size in spans if a < b]
         return (max(0, min(a for a, _ in held)), min(n, max(b for _, b in held))) if held else (0, 0)
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[InputPartition]:
+        found = store.sized(self.path, tuple(ENDINGS))
+        out, small = [], []
+        for uri, size in found:
+            if len(found) > FILES and size <= PACK and not uri.lower().endswith(_BESIDE):
+                small.append((uri, size))
+            else:
+                out += self._ranges([uri])
+        held = PACK + 1
+        for uri, size in small:
+            if held + size > PACK:
+                out.append(Pack([]))
+                held = 0
+            out[-1].uris.append(uri)
+            held += size
+        return out
+
+    def _ranges(self, uris: list[str]) -> list[Range]:
         out = []
-        for uri in store.files(self.path, tuple(ENDINGS)):
+        for uri in uris:
             kind, n, step, begin = sniff(uri), 1, 1, 0
             samples = self.table == "samples"
             if kind == "edf":
@@ -153,9 +181,13 @@ class RecordingsReader(DataSourceReader):
     def _loaded(self, part: Range) -> dict:
         return tables.text(part.uri, self.sfreq, self.delimiter, self.unit) if part.kind == "text" else tables.archive(part.uri, self.sfreq)
 
-    def read(self, part: Range | None):
+    def read(self, part: InputPartition | None):
         if part is None:  # there are no ranges
             return
+        if isinstance(part, Pack):
+            for own in self._ranges(part.uris):
+                yield from self.read(own)
+            return
         recording = name_of(part.uri)
         rows = getattr(self, f"_{self.table}")(part, recording)
         if self.table == "samples":
@@ -304,23 +336,30 @@ def write_records(samples: DataFrame, folder: str, sfreq: float, kind: str = "ed
     ranges = rows.groupBy("recording", "channel").agg(F.min("value").alias("low"), F.max("value").alias("high"), (F.max("sample") + 1).alias("n"), F.max_by("value", "sample").alias("last"))
     parts = f"{folder}/.parts-{uuid.uuid4().hex}"
 
-    def planned(held: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        columns = ["recording", "size", "per", "head", "plan", "block", "texts"]
-        if held.empty:
-            return pd.DataFrame({c: [] for c in columns})
-        held = held.sort_values("channel")
-        name = str(held.recording.iloc[0])
-        texts = edf.mark_texts([(float(m.onset), float(m.duration), str(m.description)) for m in marks.itertuples()])
+    def planned(name: str, held: list[dict], marks: list[dict] | None) -> list[tuple]:
+        texts = edf.mark_texts([(float(m["onset"]), float(m["duration"]), str(m["description"])) for m in marks or ()])
+        most = max(r["n"] for r in held)
         # A channel that ends before others, or has gaps, has zeros or its last value there.
-        own = edf.layout({r.channel: (min(r.low, 0.0) if r.n < held.n.max() else r.low, max(r.high, 0.0) if r.n < held.n.max() else r.high) for r in held.itertuples()}, int(held.n.max()), sfreq, texts, wide)
+        own = edf.layout({r["channel"]: (min(r["low"], 0.0) if r["n"] < most else r["low"], max(r["high"], 0.0) if r["n"] < most else r["high"]) for r in held}, most, sfreq, texts, wide)
         per = max(1, part // own.record_bytes)
-        plan, out = pickle.dumps((own, dict(zip(held.channel, zip(held.n.astype(int), held["last"], strict=True), strict=True)))), []
+        plan, out = pickle.dumps((own, {r["channel"]: (r["n"], r["last"]) for r in held})), []
         for block, first in enumerate(range(0, own.count, per)):
             last = min(first + per, own.count)
             out.append((name, own.size, per, edf.header_bytes(own, dict.fromkeys(own.names, "uV")) if not block else None, plan, block, texts[own.listed(first)[0] : own.listed(last - 1)[1]]))
-        return pd.DataFrame(out, columns=columns)
+        return out
 
-    plans = kept(ranges.groupBy("recording").cogroup(notes.groupBy("recording")).applyInPandas(planned, "recording string, size long, per long, head binary, plan binary, block long, texts array<binary>"))
+    # A row a recording, gone through in batches: groups of pandas so small would be dealt to a few tasks, and take most of the time.
+    columns = pa.schema([("recording", pa.string()), ("size", pa.int64()), ("per", pa.int64()), ("head", pa.binary()), ("plan", pa.binary()), ("block", pa.int64()), ("texts", pa.list_(pa.binary()))])
+
+    def plan_all(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                made = planned(row["recording"], row["held"], row["marks"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), columns, strict=True)], schema=columns)
+
+    held = ranges.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("channel", "low", "high", "n", "last"))).alias("held"))
+    marks = notes.groupBy("recording").agg(F.collect_list(F.struct("onset", "duration", "description")).alias("marks"))
+    plans = kept(held.join(marks, "recording", "left").select("recording", "held", "marks").mapInArrow(plan_all, "recording string, size long, per long, head binary, plan binary, block long, texts array<binary>"))
     sizes = plans.where("block = 0").select("recording", (F.col("size") * F.col("per")).alias("_span"))
     placed = rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_RECORDINGS else sizes, "recording").withColumn("block", F.floor(F.col("sample") / F.col("_span"))).drop("_span")
 
@@ -337,20 +376,27 @@ def write_records(samples: DataFrame, folder: str, sfreq: float, kind: str = "ed
             n, last = ends[name]
             row[max(n - begin, 0) :] = last
         data = (one.head or b"") + edf.record_bytes(own, first, x, list(one.texts))
-        uri = f"{parts}/{one.recording}/{one.block:09d}"
+        # A recording of one part is its file.
+        uri = f"{folder}/{one.recording}.{kind}" if own.count <= one.per else f"{parts}/{one.recording}/{one.block:09d}"
         store.write(uri, data)
         return pd.DataFrame({"recording": [one.recording], "block": [one.block], "uri": [uri], "bytes": [len(data)]})
 
     written = placed.groupBy("recording", "block").cogroup(plans.groupBy("recording", "block")).applyInPandas(encoded, "recording string, block long, uri string, bytes long")
 
-    def joined(held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values("block")
-        name = held.recording.iloc[0]
-        uri, total = f"{folder}/{name}.{kind}", int(held.bytes.sum())
-        store.join(uri, held.uri.tolist(), total)
-        return pd.DataFrame({"recording": [name], "uri": [uri], "bytes": [total]})
-
-    return written.groupBy("recording").applyInPandas(joined, "recording string, uri string, bytes long")
+    def joined(batches):
+        for batch in batches:
+            names, uris, totals = [], [], []
+            for row in batch.to_pylist():
+                names.append(row["recording"])
+                uris.append(f"{folder}/{row['recording']}.{kind}")
+                totals.append(sum(p["bytes"] for p in row["parts"]))
+                own = [p["uri"] for p in row["parts"]]
+                if own != uris[-1:]:
+                    store.join(uris[-1], own, totals[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(uris, pa.string()), pa.array(totals, pa.int64())], names=["recording", "uri", "bytes"])
+
+    gathered = written.groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("block", "uri", "bytes"))).alias("parts"))
+    return gathered.mapInArrow(joined, "recording string, uri string, bytes long")
 
 
 #: Recordings whose record lengths are broadcast.

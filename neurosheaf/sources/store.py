@@ -57,12 +57,17 @@ def join(uri: str, parts: list[str], total: int, piece: int = 1 << 23) -> None:
 
 def files(uri: str, endings: tuple[str, ...]) -> list[str]:
     """The file itself, or the files of a folder and its folders that have one of the endings, in order."""
+    return [name for name, _ in sized(uri, endings)]
+
+
+def sized(uri: str, endings: tuple[str, ...]) -> list[tuple[str, int]]:
+    """files() and their bytes, from one listing."""
     system, path = at(uri)
     info = system.get_file_info(path)
     if info.type == fs.FileType.File:
-        return [uri]
+        return [(uri, info.size)]
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(uri)
     prefix = uri[: len(uri) - len(path)] if uri.endswith(path) else ""
     found = system.get_file_info(fs.FileSelector(path, recursive=True))
-    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and f.path.lower().endswith(endings))
+    return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(endings))

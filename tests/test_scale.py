@@ -7,6 +7,7 @@ import pytest
 from neurosheaf import queries
 from neurosheaf.functions import filters
 from neurosheaf.operators import blockwise, channels, filtering
+from neurosheaf.sources import files
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -47,3 +48,18 @@ def test_long_and_short_channels_together(spark, monkeypatch):
     for p in parts:
         own = got[got.channel == p.channel.iloc[0]].sort_values("sample")
         assert np.abs(own.value.to_numpy() - filters.zero_phase(filters.notch(60.0, 200.0), p.value.to_numpy())).max() < 1e-8
+
+
+def test_many_small_files_are_read_several_a_task(spark, tmp_path, monkeypatch):
+    """Ranges of a file stay what is read at a time, but not a task each; filters hold as before."""
+    rows = spark.range(40).selectExpr("id as recording").crossJoin(spark.range(600).selectExpr("id as sample")).selectExpr("recording", "'c' as channel", "sample", "cast(recording + sample as double) as value")
+    assert files.write(rows, str(tmp_path), 100.0).count() == 40 and not list(tmp_path.glob(".parts-*/*/*"))
+    read = lambda: files.read(spark, str(tmp_path), range_mb=0.0005).where("sample >= 200 and sample < 350")
+    want, apart = sorted(map(tuple, read().collect())), read().rdd.getNumPartitions()
+    made = files.RecordingsReader({"path": str(tmp_path), "range_mb": "0.0005"})
+    monkeypatch.setattr(files, "FILES", 10)
+    packs = made.partitions()
+    assert apart >= 40 and len(packs) == 1 and len(want) == 40 * 150
+    made.first, made.last = 200, 350
+    got = sorted(r for p in packs for b in made.read(p) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    assert got == want
