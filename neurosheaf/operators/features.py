@@ -20,7 +20,8 @@ def time_features(samples: DataFrame, sfreq: float) -> DataFrame:
     A constant channel has no mobility or complexity (null).
     """
     order = in_order()
-    mean = F.avg("value").over(W.partitionBy(*KEY))
+    # Summed in the order of samples, so that a channel whose mean is one of its values gives the same wherever its rows come from.
+    mean = F.avg("value").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     steps = samples.withColumns({"d": F.col("value") - F.lag("value").over(order), "below": (F.col("value") - mean < 0).cast("int")})
     steps = steps.withColumns({"d2": F.col("d") - F.lag("d").over(order), "crossed": (F.col("below") != F.lag("below").over(order)).cast("int")})
     sums = steps.groupBy(*KEY).agg(
