@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filters
 from ..session import kept
-from .signals import KEY
+from .signals import KEY, Whole, Wide, made_of, melt, remember
 
 #: Samples a block, and blocks a run.
 SIZE, RUN = 1 << 15, 1 << 10
@@ -34,28 +34,55 @@ BROADCAST_CHANNELS = 100_000
 
 def split(samples: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Samples of the channels that one block holds, and of the others; None if there are none. One pass over the numbers of samples tells."""
-    ends = samples.groupBy(*KEY).agg(F.min("sample").alias("first"), F.max("sample").alias("last"))
-    long = kept(ends.where(F.col("last") - F.col("first") >= SIZE).select(*KEY))
+    own = made_of(samples)
+    if isinstance(own, Whole) and own.short:
+        return samples, None
+    # The channels of a wide table have the same samples.
+    rows, key = (own.rows, KEY[:1]) if isinstance(own, Wide) else (samples, KEY)
+    ends = rows.groupBy(*key).agg(F.min("sample").alias("first"), F.max("sample").alias("last"))
+    long = kept(ends.where(F.col("last") - F.col("first") >= SIZE).select(*key))
     n = long.count()
     if not n:
         return samples, None
     long = F.broadcast(long) if n <= BROADCAST_CHANNELS else long
-    return samples.join(long, KEY, "left_anti"), samples.join(long, KEY, "left_semi")
+    if isinstance(own, Wide):
+        return tuple(melt(rows.join(long, key, how), own.channels) for how in ("left_anti", "left_semi"))
+    return samples.join(long, key, "left_anti"), samples.join(long, key, "left_semi")
+
+
+def _gathered(samples: DataFrame, size: int | None) -> DataFrame:
+    """(recording, channel, block, s, values): numbers (s.sample) and values of a block's samples in order."""
+    at = (F.lit(0).cast("long") if size is None else F.floor(F.col("sample") / F.lit(size))).alias("block")
+    number, own = F.col("sample").cast("long").alias("sample"), made_of(samples)
+    if not isinstance(own, Wide):
+        rows = samples.select(*KEY, at, F.struct(number, F.col("value").cast("double").alias("value")).alias("s"))
+        return rows.groupBy(*_BLOCK).agg(F.sort_array(F.collect_list("s")).alias("s")).select(*_BLOCK, "s", F.col("s.value").alias("values"))
+    cells = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(own.channels)]
+    rows = own.rows.select("recording", at, F.struct(number, *cells).alias("s"))
+    blocks = rows.groupBy("recording", "block").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    each = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(f"s.v{i}").alias("values")) for i, c in enumerate(own.channels)))
+    return blocks.select("recording", "block", "s", F.explode(each).alias("c")).select("recording", "c.channel", "block", "s", "c.values")
 
 
 def in_blocks(samples: DataFrame, triggers: DataFrame | None = None, size: int | None = SIZE) -> DataFrame:
     """(recording, channel, block, coded, start, numbers, values): samples in order. numbers are theirs if some are missing between, else null.
 
     ``coded`` tells of channels in ``triggers``, which no filter may touch. Without a size each channel is one block."""
-    at = (F.lit(0).cast("long") if size is None else F.floor(F.col("sample") / F.lit(size))).alias("block")
-    rows = samples.select(*KEY, at, F.struct(F.col("sample").cast("long").alias("sample"), F.col("value").cast("double").alias("value")).alias("s"))
-    blocks = rows.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    own = made_of(samples)
+    if isinstance(own, Whole) and size is None:
+        blocks = own.blocks.select(*_BLOCK, "start", "numbers", "values")
+    else:
+        first, last = F.col("s")[0]["sample"], F.element_at("s", -1)["sample"]
+        numbers = F.when(last - first + 1 != F.size("s"), F.col("s.sample")).alias("numbers")
+        blocks = _gathered(samples, size).select(*_BLOCK, first.alias("start"), numbers, "values")
     if triggers is None:
         blocks = blocks.withColumn("coded", F.lit(False))
     else:
-        blocks = blocks.join(triggers.select(*KEY).distinct().withColumn("coded", F.lit(True)), KEY, "left").withColumn("coded", F.coalesce("coded", F.lit(False)))
-    first, last = F.col("s")[0]["sample"], F.element_at("s", -1)["sample"]
-    return blocks.select(*_BLOCK, "coded", first.alias("start"), F.when(last - first + 1 != F.size("s"), F.col("s.sample")).alias("numbers"), F.col("s.value").alias("values"))
+        codes = triggers.select(*KEY).distinct().withColumn("coded", F.lit(True))
+        # Blocks stay where they are if few channels hold codes.
+        codes = F.broadcast(codes) if codes.limit(BROADCAST_CHANNELS + 1).count() <= BROADCAST_CHANNELS else codes
+        blocks = blocks.join(codes, KEY, "left").withColumn("coded", F.coalesce("coded", F.lit(False)))
+    return blocks.select(*_BLOCK, "coded", "start", "numbers", "values")
 
 
 def from_blocks(blocks: DataFrame) -> DataFrame:
@@ -236,9 +263,10 @@ def filtered(samples: DataFrame, stages: list[np.ndarray], zero_phase: bool = Tr
             x = filters.zero_phase(sos, x) if zero_phase else filters.causal(sos, x)[0]
         return x
 
-    made = from_blocks(changed(in_blocks(short, triggers, None), change, "coded"))
+    whole = changed(in_blocks(short, triggers, None), change, "coded")
+    made = from_blocks(whole)
     if long is None:
-        return made
+        return remember(made, Whole(whole, True))
     blocks = in_blocks(long, triggers)
     for sos in stages:
         blocks = iir(blocks, sos, zero_phase)
@@ -285,7 +313,7 @@ def fir(samples: DataFrame, taps: np.ndarray, zero_phase: bool = True, triggers:
     size = max(size, len(taps))
     block = lambda by: F.floor((F.col("sample") + by) / F.lit(size))
     rows = used.select(*KEY, F.explode(F.sequence(block(-behind), block(half))).alias("block"), F.struct("sample", "value").alias("s"))
-    groups = rows.groupBy(*_BLOCK).agg(F.array_sort(F.collect_list("s")).alias("s")).select(*_BLOCK, F.col("s")[0]["sample"].alias("start"), F.col("s.value").alias("values"))
+    groups = rows.groupBy(*_BLOCK).agg(F.sort_array(F.collect_list("s")).alias("s")).select(*_BLOCK, F.col("s")[0]["sample"].alias("start"), F.col("s.value").alias("values"))
 
     def run(batches):
         for batch in batches:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filters
 from . import blockwise
-from .signals import KEY
+from .signals import KEY, Whole, made_of, remember
 
 
 def _same(x: np.ndarray) -> np.ndarray:
@@ -28,11 +28,14 @@ def per_channel(samples: DataFrame, kernel: Callable[[np.ndarray], np.ndarray],
     """
 
     whole = blockwise.in_blocks(samples, triggers, None).withColumn("numbers", F.lit(None).cast("array<bigint>"))
-    return blockwise.from_blocks(blockwise.changed(whole, lambda x, held: (trigger_kernel if held else kernel)(x), "coded"))
+    made = blockwise.changed(whole, lambda x, held: (trigger_kernel if held else kernel)(x), "coded")
+    return remember(blockwise.from_blocks(made), Whole(made, False))
 
 
 def _picked(samples: DataFrame, channels: list[str] | None, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``change`` of some channels; the others as they are."""
+    if channels is None and made_of(samples) is not None:
+        return change(samples)
     samples = samples.select(*KEY, F.col("sample").cast("long").alias("sample"), F.col("value").cast("double").alias("value"))
     if channels is None:
         return change(samples)

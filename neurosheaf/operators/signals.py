@@ -7,6 +7,8 @@ number of recordings are processed at once.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,11 +27,39 @@ def time_to_index(time: Column, sfreq: float, n: Column | None = None) -> Column
     return at if n is None else F.least(F.greatest(at, F.lit(0).cast("long")), n)
 
 
+class Wide(NamedTuple):
+    """Samples as one column a channel: rows (recording, sample, and the channels' values)."""
+
+    rows: DataFrame
+    channels: list[str]
+
+
+class Whole(NamedTuple):
+    """Samples as blockwise.in_blocks() gives them, a row a channel; all of them within a block's size if ``short``."""
+
+    blocks: DataFrame
+    short: bool
+
+
+def remember(samples: DataFrame, made_of: Wide | Whole) -> DataFrame:
+    """``samples`` themselves, which now tell what they were made of; whatever is made from them doesn't know."""
+    samples.__dict__["_made_of"] = made_of
+    return samples
+
+
+def made_of(samples: DataFrame) -> Wide | Whole | None:
+    """What ``samples`` were made of, if what needs arrays of samples can be made of that as well: one row a sample and channel is
+    then never grouped again."""
+    return samples.__dict__.get("_made_of")
+
+
 def melt(wide: DataFrame, channels: list[str], keys: tuple[str, ...] = ("recording", "sample")) -> DataFrame:
     """Samples from one column a channel. Rows are exploded where they are: an unpivot would make Spark forget by what they are
     dealt out, so that each grouping by recording and channel, or sample, shuffled all samples once more."""
     cells = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in channels))
-    return wide.select(*keys, F.explode(cells).alias("cell")).select(*keys[:-1], "cell.channel", keys[-1], "cell.value")
+    found = wide.select(*keys, F.explode(cells).alias("cell")).select(*keys[:-1], "cell.channel", keys[-1], "cell.value")
+    plain = keys == ("recording", "sample") and channels and not {*keys, "block"} & set(channels)
+    return remember(found, Wide(wide, list(channels))) if plain else found
 
 
 def spread(samples: DataFrame, channels: list[str]) -> DataFrame:
@@ -40,7 +70,7 @@ def spread(samples: DataFrame, channels: list[str]) -> DataFrame:
 def to_blocks(samples: DataFrame, size: int) -> DataFrame:
     """(recording, channel, block, start_sample, values): runs of ``size`` samples, in order."""
     block = F.floor(F.col("sample") / size).cast("long")
-    grouped = samples.groupBy(*KEY, block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("s"))
+    grouped = samples.groupBy(*KEY, block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("sample", "value"))).alias("s"))
     return grouped.select(*KEY, "block", F.col("s")[0]["sample"].alias("start_sample"), F.col("s.value").alias("values"))
 
 
@@ -54,17 +84,23 @@ def segments(samples: DataFrame, length: int, step: int) -> DataFrame:
     last = F.floor(F.col("sample") / step)
     first = F.greatest(F.lit(0), F.floor((F.col("sample") - length) / step) + 1)
     placed = samples.select(*KEY, "sample", "value", F.explode(F.sequence(first, last)).alias("segment"))
-    grouped = placed.groupBy(*KEY, "segment").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("s"))
+    grouped = placed.groupBy(*KEY, "segment").agg(F.sort_array(F.collect_list(F.struct("sample", "value"))).alias("s"))
     return grouped.where(F.size("s") == length).select(*KEY, "segment", F.col("s.value").alias("values"))
 
 
 def pick(samples: DataFrame, channels: list[str]) -> DataFrame:
     """Only the channels named; a name that no row has is no error, as recordings may differ."""
-    return samples.where(F.col("channel").isin(channels))
+    found, own = samples.where(F.col("channel").isin(channels)), made_of(samples)
+    if isinstance(own, Wide) and set(own.channels) & set(channels):
+        remember(found, Wide(own.rows, [c for c in own.channels if c in channels]))
+    return found
 
 
 def drop_channels(samples: DataFrame, channels: list[str]) -> DataFrame:
-    return samples.where(~F.col("channel").isin(channels))
+    found, own = samples.where(~F.col("channel").isin(channels)), made_of(samples)
+    if isinstance(own, Wide) and set(own.channels) - set(channels):
+        remember(found, Wide(own.rows, [c for c in own.channels if c not in channels]))
+    return found
 
 
 def pick_types(samples: DataFrame, channels: DataFrame, kinds: list[str], exclude_bad: bool = True) -> DataFrame:
