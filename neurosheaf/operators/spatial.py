@@ -5,11 +5,14 @@ from __future__ import annotations
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import montage
+from . import blockwise
+from .signals import KEY, Whole, made_of, remember
 
 #: Rows of a table of weights that are broadcast (the square of a montage's channels); a larger table is joined.
 BROADCAST_WEIGHTS = 100_000
@@ -30,6 +33,9 @@ def set_reference(samples: DataFrame, reference: str | list[str] = "average", ba
     EEG channels only are re-referenced, those of them that aren't bad are pooled, and the others stay as they are. ``drop``
     leaves out the named channels afterwards.
     """
+    own = made_of(samples)
+    if isinstance(own, Whole) and own.short and reference == "average":
+        return _less_average(own.blocks, bad, channels)
     sample = W.partitionBy("recording", "sample")
     names = [] if reference in ("average", "median") else [reference] if isinstance(reference, str) else list(reference)
     own = samples
@@ -44,6 +50,36 @@ def set_reference(samples: DataFrame, reference: str | list[str] = "average", ba
     return out.where(~F.col("channel").isin(names)) if drop and names else out
 
 
+def _less_average(blocks: DataFrame, bad: list[str] | None, channels: DataFrame | None) -> DataFrame:
+    """set_reference() by the average, of whole short channels: arrays of a recording's channels are shuffled, not samples."""
+    told = blocks.select(*KEY, "block", "start", "numbers", "values")
+    eeg, good = F.lit(True), ~F.col("channel").isin(bad) if bad else F.lit(True)
+    if channels is not None:
+        told = told.join(channels.select(*KEY, (F.col("ch_type") == "eeg").alias("_eeg"), F.col("bad").alias("_bad")), KEY, "left")
+        eeg = F.coalesce("_eeg", F.lit(False))
+        good = eeg & (good if bad is not None else ~F.coalesce("_bad", F.lit(False)))
+    told = told.select(*KEY, "block", F.lit(False).alias("coded"), "start", "numbers", "values", eeg.alias("changed"), F.coalesce(good, F.lit(False)).alias("pooled"))
+
+    def run(key, table):
+        x = [v.values.to_numpy(zero_copy_only=False).astype(float) for v in table["values"].combine_chunks()]
+        told_numbers, starts = table["numbers"].to_pylist(), table["start"].to_pylist()
+        numbers = [start + np.arange(len(v)) if n is None else np.array(n) for n, start, v in zip(told_numbers, starts, x, strict=True)]
+        every, at = np.unique(np.concatenate(numbers), return_inverse=True)
+        at = np.split(at, np.cumsum([len(v) for v in x])[:-1])
+        total, count = np.zeros(len(every)), np.zeros(len(every))
+        for v, place, pooled in zip(x, at, table["pooled"].to_pylist(), strict=True):
+            if pooled:
+                total[place] += v
+                count[place] += 1
+        level = np.divide(total, count, out=np.zeros(len(every)), where=count > 0)
+        made = [v - level[place] if changed else v for v, place, changed in zip(x, at, table["changed"].to_pylist(), strict=True)]
+        return table.select([*KEY, "block", "coded", "start", "numbers"]).append_column("values", pa.array(made, pa.list_(pa.float64())))
+
+    kind = dict(blocks.dtypes)["recording"]
+    made = told.groupBy("recording").applyInArrow(run, f"recording {kind}, channel string, block long, coded boolean, start long, numbers array<long>, values array<double>")
+    return remember(blockwise.from_blocks(made), Whole(made, True))
+
+
 def add_reference_channel(samples: DataFrame, name: str) -> DataFrame:
     """One more channel of zeros: the recording's own reference."""
     zeros = samples.select("recording", "sample").distinct().select("recording", F.lit(name).alias("channel"), "sample", F.lit(0.0).alias("value"))
