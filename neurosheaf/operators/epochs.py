@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .annotations import by_block
+from .signals import Wide, made_of, melt
 
 EPOCH = ["recording", "epoch"]
 
@@ -56,13 +57,34 @@ def place(events: DataFrame, lengths: DataFrame, tmin: float, tmax: float, sfreq
 def cut(samples: DataFrame, placed: DataFrame, size: int = 4096) -> DataFrame:
     """Samples of the epochs that aren't dropped: events meet the blocks of samples that they touch."""
     kept = by_block(placed.where("dropped is null"), size).select("recording", "block", "epoch", F.col("sample").alias("event"), "code", "start", "end")
+    own = made_of(samples)
+    if isinstance(own, Wide):
+        return _cut_rows(own, kept, size)
     blocks = samples.withColumn("block", F.floor(F.col("sample") / size))
     found = blocks.join(kept, ["recording", "block"]).where("sample >= start and sample < end")
     return found.select("recording", "epoch", F.col("code").alias("condition"), "channel", (F.col("sample") - F.col("event")).alias("time"), "value")
 
 
+def _cut_rows(own: Wide, kept: DataFrame, size: int) -> DataFrame:
+    """cut() of rows with a column a channel. Each row gets the events of its block by a window over both, which Spark needn't shuffle
+    where rows are dealt out by recording, as it has to for a join by block; nor then what is made of the epochs of a recording."""
+    kind = dict(own.rows.dtypes)["recording"]
+    told = kept.select(F.col("recording").cast(kind).alias("recording"), "block", F.struct("epoch", "event", "code", "start", "end").alias("_event")).repartition("recording")
+    values = [F.col(c).cast("double").alias(c) for c in own.channels]
+    rows = own.rows.select("recording", F.floor(F.col("sample") / size).alias("block"), "sample", *values)
+    both = rows.unionByName(told, allowMissingColumns=True)
+    met = both.withColumn("_event", F.collect_list("_event").over(W.partitionBy("recording", "block"))).where("sample is not null")
+    found = met.withColumn("_event", F.explode("_event")).where("sample >= _event.start and sample < _event.end")
+    time = (F.col("sample") - F.col("_event.event")).alias("time")
+    return melt(found.select("recording", "_event.epoch", F.col("_event.code").alias("condition"), time, *own.channels), own.channels, ("recording", "epoch", "condition", "time"))
+
+
 def baseline(epochs: DataFrame, first: int, last: int) -> DataFrame:
     """Values minus the epoch's mean over times from ``first`` to ``last``, both included."""
+    own = made_of(epochs)
+    if isinstance(own, Wide):
+        mean = lambda c: F.avg(F.when(F.col("time").between(first, last), F.col(c))).over(W.partitionBy(*EPOCH))
+        return melt(own.rows.withColumns({c: F.col(c) - mean(c) for c in own.channels}), own.channels, ("recording", "epoch", "condition", "time"))
     mean = F.avg(F.when(F.col("time").between(first, last), F.col("value"))).over(W.partitionBy(*EPOCH, "channel"))
     return epochs.withColumn("value", F.col("value") - mean)
 
@@ -107,6 +129,11 @@ def drop(epochs: DataFrame, found: DataFrame) -> DataFrame:
 
 def average(epochs: DataFrame, by: tuple[str, ...] = ("recording", "condition")) -> DataFrame:
     """Evoked responses: means over epochs, (by, channel, time, value, n)."""
+    own = made_of(epochs)
+    if isinstance(own, Wide):
+        means = own.rows.groupBy(*by, "time").agg(*(F.avg(c).alias(c) for c in own.channels), F.count("*").alias("_n"))
+        cells = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in own.channels))
+        return means.select(*by, "time", "_n", F.explode(cells).alias("_c")).select(*by, "_c.channel", "time", "_c.value", F.col("_n").alias("n"))
     return epochs.groupBy(*by, "channel", "time").agg(F.avg("value").alias("value"), F.count("*").alias("n"))
 
 

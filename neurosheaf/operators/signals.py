@@ -28,7 +28,7 @@ def time_to_index(time: Column, sfreq: float, n: Column | None = None) -> Column
 
 
 class Wide(NamedTuple):
-    """Samples as one column a channel: rows (recording, sample, and the channels' values)."""
+    """Samples as one column a channel: rows (recording, sample, and the channels' values), or an epoch's (recording, epoch, condition, time)."""
 
     rows: DataFrame
     channels: list[str]
@@ -58,12 +58,15 @@ def melt(wide: DataFrame, channels: list[str], keys: tuple[str, ...] = ("recordi
     dealt out, so that each grouping by recording and channel, or sample, shuffled all samples once more."""
     cells = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in channels))
     found = wide.select(*keys, F.explode(cells).alias("cell")).select(*keys[:-1], "cell.channel", keys[-1], "cell.value")
-    plain = keys == ("recording", "sample") and channels and not {*keys, "block"} & set(channels)
+    plain = channels and not {*keys, "channel", "value", "block"} & set(channels)
     return remember(found, Wide(wide, list(channels))) if plain else found
 
 
 def spread(samples: DataFrame, channels: list[str]) -> DataFrame:
     """One column a channel; the channels are named, so there is no pass over the data to find them."""
+    own = made_of(samples)
+    if isinstance(own, Wide) and set(channels) <= set(own.channels):
+        return own.rows.select("recording", "sample", *(F.col(c).cast("double").alias(c) for c in channels))
     return samples.groupBy("recording", "sample").pivot("channel", channels).agg(F.first("value"))
 
 
