@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import filters
 from ..session import kept
-from . import spectral, windowing
+from . import blockwise, spectral, windowing
 from .connectivity import both_ways
 from .signals import KEY
 from .statistics import MAD_SCALE, grade, ramp, robust_std, robust_z
@@ -93,9 +93,9 @@ def described(samples: DataFrame, sfreq: float, length: int, spectrum_seconds: f
     designs = [filters.butterworth(1.0, None, sfreq), filters.butterworth(1.0, min(40.0, 0.45 * sfreq), sfreq), filters.butterworth(None, split, sfreq)]
     spectrum_length = max(8, round(spectrum_seconds * sfreq))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sample")
-        x, sample = np.nan_to_num(rows.value.to_numpy(float)), rows["sample"].to_numpy()
+    def one(row) -> dict:
+        x = np.nan_to_num(np.asarray(row.values_, float))
+        sample = row.start + np.arange(len(x)) if row.numbers is None else np.asarray(row.numbers)
         high, band = filters.zero_phase(designs[0], x), filters.zero_phase(designs[1], x)
         low = filters.zero_phase(designs[2], high)
         start = int(sample[0]) // length * length
@@ -110,15 +110,21 @@ def described(samples: DataFrame, sfreq: float, length: int, spectrum_seconds: f
         high_windows, band_windows = (w[full] for w in in_windows)
         noise = _scaled_mad(low)
         found = {
-            "recording": rows.recording.iloc[0], "channel": rows.channel.iloc[0], "n_samples": len(x), "amplitude": _spread(band), "slow": _spread(x - high),
+            "recording": row.recording, "channel": row.channel, "n_samples": len(x), "amplitude": _spread(band), "slow": _spread(x - high),
             "hf_ratio": _scaled_mad(high - low) / noise if noise > 1e-12 else 0.0, "clipping_fraction": _clipped(x, sample), "whole_std": float(high.std()), "windows": start // length + np.flatnonzero(full),
             "high_std": high_windows.std(axis=1), "high_ptp": np.ptp(high_windows, axis=1) if len(high_windows) else np.zeros(0), "band_std": band_windows.std(axis=1),
             "power": _median_welch(placed(x), start, spectrum_length, sfreq), "start": start, "band": placed(band),
         }
-        return pd.DataFrame([found])
+        return found
+
+    def run(frames):
+        for rows in frames:
+            # A few channels at a time, as what is found has the length of the signal.
+            for at in range(0, len(rows), 64):
+                yield pd.DataFrame([one(row) for row in rows.iloc[at : at + 64].rename(columns={"values": "values_"}).itertuples(index=False)])
 
     kind = dict(samples.dtypes)["recording"]
-    return samples.select(*KEY, F.col("sample").cast("long").alias("sample"), "value").groupBy(*KEY).applyInPandas(run, f"recording {kind}, channel string, {_DESCRIBED}")
+    return blockwise.in_blocks(samples, None, None).drop("block", "coded").mapInPandas(run, f"recording {kind}, channel string, {_DESCRIBED}")
 
 
 def windows_of(table: DataFrame, std: str, ptp: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from neurosheaf.operators import artifacts, blockwise, epochs, filtering, ica, signals, spatial
+from neurosheaf.operators import artifacts, blockwise, epochs, filtering, ica, quality, signals, spatial
 
 
 def wide(spark, n=300):
@@ -91,3 +91,13 @@ def test_components_of_wide_rows_and_of_recordings_in_one_block(spark, monkeypat
         assert t[keys].equals(tables[0][keys]) and np.allclose(t[["unmixing", "mixing", "mean", "variance"]], tables[0][["unmixing", "mixing", "mean", "variance"]])
     got, want = (sorted_rows(ica.sources(s, models[0]), "recording", "channel", "sample") for s in (samples, forgotten(samples)))
     assert got[["recording", "channel", "sample"]].equals(want[["recording", "channel", "sample"]]) and np.allclose(got.value, want.value, equal_nan=True)
+
+
+def test_channels_are_described_from_blocks(spark):
+    samples = signals.melt(wide(spark), ["x", "y"])
+    made = quality.described(samples, 100.0, 50, 1.0)
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got, want = (sorted_rows(d, "recording", "channel") for d in (made, quality.described(forgotten(samples), 100.0, 50, 1.0)))
+    assert len(got) == 4 and got.n_samples.tolist() == [300, 300, 98, 98]
+    for c in got.columns:
+        assert all((g is None and w is None) or g == w if isinstance(g, str) or g is None else np.allclose(np.array(g, float), np.array(w, float), equal_nan=True) for g, w in zip(got[c], want[c], strict=True)), c
