@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import kept
-from .signals import KEY, in_order
+from .signals import KEY, Whole, in_order, made_of
 from .statistics import MAD_SCALE
 
 
@@ -41,23 +43,25 @@ def bad_window_fraction(windows: DataFrame, ptp: float, z: float = 5.0, channels
     return scored.groupBy(*KEY).agg(F.avg(bad.cast("double")).alias("bad_window_fraction"))
 
 
-def runs(samples: DataFrame, state: Column) -> DataFrame:
-    """(recording, channel, state, start, length): maximal runs of equal states at consecutive samples."""
+def runs(samples: DataFrame, state: Column, *more: Column) -> DataFrame:
+    """(recording, channel, state, start, length, more): maximal runs of equal states at consecutive samples; ``more`` are aggregates over a run."""
     marked = samples.withColumn("state", state)
     order = in_order()
     same = F.col("state").eqNullSafe(F.lag("state").over(order)) & (F.lag("sample").over(order) == F.col("sample") - 1)
     numbered = marked.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    return numbered.groupBy(*KEY, "_run", "state").agg(F.min("sample").alias("start"), F.count("*").alias("length")).drop("_run")
+    return numbered.groupBy(*KEY, "_run", "state").agg(F.min("sample").alias("start"), F.count("*").alias("length"), *more).drop("_run")
 
 
 def clipping_fraction(samples: DataFrame, least: int = 3) -> DataFrame:
     """Share of a channel's samples in runs of at least ``least`` at its own minimum or maximum; constant: 1."""
-    ends = samples.groupBy(*KEY).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"))
-    at = ((F.col("value") == F.col("lo")) | (F.col("value") == F.col("hi"))).cast("int")
-    found = runs(samples.join(ends, KEY), at).where((F.col("state") > 0) & (F.col("length") >= least))
-    clipped = found.groupBy(*KEY).agg(F.sum("length").alias("clipped"))
-    share = F.when(F.col("lo") == F.col("hi"), 1.0).otherwise(F.coalesce("clipped", F.lit(0)) / F.col("n"))
-    return ends.join(clipped, KEY, "left").select(*KEY, share.cast("double").alias("clipping_fraction"))
+    # The order of runs() over the whole channel, so that samples are sorted once and not joined with anything.
+    channel = in_order().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    edges = samples.select(*KEY, "sample", "value").withColumns({"lo": F.min("value").over(channel), "hi": F.max("value").over(channel)})
+    at = F.coalesce((F.col("value") == F.col("lo")) | (F.col("value") == F.col("hi")), F.lit(False)).cast("int")
+    found = runs(edges.withColumn("constant", F.col("lo") == F.col("hi")), at, F.max("constant").alias("constant"))
+    clipped = F.coalesce(F.sum(F.when((F.col("state") > 0) & (F.col("length") >= least), F.col("length"))), F.lit(0))
+    share = F.when(F.max("constant"), 1.0).otherwise(clipped / F.sum("length"))
+    return found.groupBy(*KEY).agg(share.cast("double").alias("clipping_fraction"))
 
 
 def merge_intervals(intervals: DataFrame, by: list[str], gap: Column | float = 0.0, start: str = "start", end: str = "end") -> DataFrame:
@@ -70,8 +74,37 @@ def merge_intervals(intervals: DataFrame, by: list[str], gap: Column | float = 0
     return marked.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts")).drop("_island")
 
 
+def _ranges(whole: DataFrame, length: int, step: int) -> DataFrame:
+    """hopping_extremes() of whole channels, where they are."""
+
+    def run(batches):
+        for b in batches:
+            rows, windows, ranges = [], [], []
+            for i, (start, numbers, values) in enumerate(zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True)):
+                x = values.values.to_numpy(zero_copy_only=False)
+                if not len(x):
+                    continue
+                sample = numbers.values.to_numpy() if numbers.is_valid else start + np.arange(len(x))
+                window = np.arange(max(0, -(-int(sample[0]) // step)), (int(sample[-1]) + 1 - length) // step + 1)
+                first = np.searchsorted(sample, window * step)
+                full = np.searchsorted(sample, window * step + length) - first == length
+                if full.any():
+                    cut = np.lib.stride_tricks.sliding_window_view(x, length)[first[full]]
+                    rows.append(np.full(len(cut), i))
+                    windows.append(window[full])
+                    ranges.append(np.ptp(cut, axis=1))
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(windows), pa.int64()), pa.array(np.concatenate(ranges))], names=[*KEY, "window", "ptp"])
+
+    return whole.select(*KEY, "start", "numbers", "values").mapInArrow(run, f"recording {dict(whole.dtypes)['recording']}, channel string, window long, ptp double")
+
+
 def hopping_extremes(samples: DataFrame, length: int, step: int) -> DataFrame:
     """Range of each full window of ``length`` samples every ``step``."""
+    own = made_of(samples)
+    if isinstance(own, Whole):
+        return _ranges(own.blocks, length, step)
     last, first = F.floor(F.col("sample") / step), F.greatest(F.lit(0), F.floor((F.col("sample") - length) / step) + 1)
     placed = samples.select(*KEY, "value", F.explode(F.sequence(first, last)).alias("window"))
     found = placed.groupBy(*KEY, "window").agg((F.max("value") - F.min("value")).alias("ptp"), F.count("*").alias("n"))
@@ -96,10 +129,12 @@ def stim_events(samples: DataFrame, least: int = 1, mask: int | None = None) ->
     """
     code = F.rint("value").cast("long")
     coded = samples.withColumn("code", code if mask is None else code.bitwiseAND(F.lit(mask).cast("long")))
-    levels = coded.groupBy(*KEY, "code").agg(F.count("*").alias("n"))
-    rest = levels.groupBy(*KEY).agg(F.max((F.col("code") == 0).cast("int")).alias("zero"), F.max_by(F.col("code"), F.struct("n", -F.col("code"))).alias("rest"))
-    levelled = coded.join(rest, KEY).withColumn("code", F.when((F.col("zero") == 0) & (F.col("code") == F.col("rest")), 0).otherwise(F.col("code")))
-    found = runs(levelled.select(*KEY, "sample", "value", "code"), F.col("code"))
+    # A line without zeros has the same runs before its rest counts as zero: what it rests at is told by runs, not by samples once more.
+    held = runs(coded.select(*KEY, "sample", "code"), F.col("code"))
+    line = W.partitionBy(*KEY)
+    counted = held.withColumn("n", F.sum("length").over(W.partitionBy(*KEY, "state")))
+    counted = counted.withColumns({"zero": F.max((F.col("state") == 0).cast("int")).over(line), "rest": F.max_by("state", F.struct("n", -F.col("state"))).over(line)})
+    found = counted.withColumn("state", F.when((F.col("zero") == 0) & (F.col("state") == F.col("rest")), 0).otherwise(F.col("state")))
     previous = F.coalesce(F.lag("state").over(W.partitionBy(*KEY).orderBy("start")), F.lit(0))
     marked = found.withColumn("previous", previous)
     return marked.where((F.col("state") != 0) & (F.col("length") >= least)).select(*KEY, F.col("start").alias("sample"), "previous", F.col("state").alias("code"))

@@ -24,6 +24,8 @@ from .sources.simulate import simulate
 from .streaming import causal
 
 RATE, CHANNELS = 100.0, ["disc", "price", "qty", "tax"]
+#: Rows of lineitem a task, about: what a task sorts is then bounded, whatever the size of the table.
+TASK_ROWS = 200_000
 _ORDER = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
@@ -33,7 +35,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Named before the window, so that Spark knows the rows as dealt out by recording, and groups channels or samples where they are.
-    rows = _read(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "recording")
+    table = _read(spark, sf_dir, "lineitem")
+    # Parquet files tell their numbers of rows.
+    tasks = max(table.count() // TASK_ROWS, spark.sparkContext.defaultParallelism)
+    rows = table.withColumnRenamed("l_suppkey", "recording").repartition(tasks, "recording")
     # Rows that are alike up to the four measures have the same values, so what comes after in the order can't change a sample, and isn't shuffled.
     place = F.row_number().over(W.partitionBy("recording").orderBy(*_ORDER[:7])) - 1
     wide = rows.select("recording", place.cast("long").alias("sample"), F.col("l_discount").alias("disc"), (F.col("l_extendedprice") / 1000).alias("price"), F.col("l_quantity").alias("qty"), F.col("l_tax").alias("tax"))

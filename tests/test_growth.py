@@ -54,3 +54,17 @@ def test_times_of_a_recording_are_told_without_its_trials(spark):
     found = ranking.bin_features(spark.createDataFrame(rows))
     assert not any(line.strip(" +-:").startswith("Window") for line in optimized(found))
     assert sorted((r.trial, r.feature, r.value) for r in found.collect()) == [(k, i, 2 * i + 0.5) for k in range(4) for i in range(5)]
+
+
+def test_tasks_of_the_view_are_bounded(spark, monkeypatch):
+    want = sorted_rows(windowing.stim_events(queries.sig(spark, SMALLEST)), "recording", "channel", "sample")
+    monkeypatch.setattr(queries, "TASK_ROWS", 500)
+    made = queries.sig(spark, SMALLEST)
+    assert made.rdd.getNumPartitions() == made.select("recording", "sample").distinct().count() // 500 > 8
+    assert sorted_rows(windowing.stim_events(made), "recording", "channel", "sample").equals(want)
+
+
+@pytest.mark.parametrize("query", ["stim_events", "clipping_fraction"])
+def test_samples_are_not_joined_with_what_they_give(spark, query):
+    lines = executed(queries.QUERIES[query](spark, SMALLEST))
+    assert not any("Join" in line for line in lines) and sum("Exchange" in line for line in lines) == 1
