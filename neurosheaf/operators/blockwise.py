@@ -85,6 +85,31 @@ def in_blocks(samples: DataFrame, triggers: DataFrame | None = None, size: int |
     return blocks.select(*_BLOCK, "coded", "start", "numbers", "values")
 
 
+def pieces(whole: DataFrame, size: int, block: str = "block") -> DataFrame:
+    """(recording, block, channel, at, places, x): stretches of ``size`` samples of whole channels as arrays. ``places`` are the samples' in the
+    block, or null if they follow each other from ``at``."""
+    start, numbers, values, wide = F.col("start"), F.col("numbers"), F.col("values"), F.lit(size).cast("long")
+    last = F.coalesce(F.element_at("numbers", -1), start + F.size(values) - 1)
+    placed = whole.select(*KEY, "start", "numbers", "values", F.explode(F.sequence(F.floor(start / wide), F.floor(last / wide))).alias("_b"))
+    k = F.col("_b")
+    before = lambda end: F.size(F.filter(numbers, lambda s: s < end)).cast("long")
+    at = F.greatest(start - k * wide, F.lit(0).cast("long"))
+    first = F.when(numbers.isNull(), F.greatest(k * wide - start, F.lit(0).cast("long"))).otherwise(before(k * wide)).cast("int")
+    count = F.when(numbers.isNull(), wide - at).otherwise(before((k + 1) * wide) - before(k * wide)).cast("int")
+    places = F.transform(F.slice("numbers", first + 1, count), lambda s: s - k * wide)
+    return placed.select("recording", k.alias(block), "channel", at.alias("at"), places.alias("places"), F.slice("values", first + 1, count).alias("x")).where(F.size("x") > 0)
+
+
+def piece_matrix(at: list[int], places: pa.Array, x: pa.Array) -> np.ndarray:
+    """pieces() of one block, a row each, at the samples up to the last; NaN where there is none."""
+    values, numbers = _lists(x), [p.values.to_numpy() if p.is_valid else None for p in places]
+    numbers = [np.arange(a, a + len(v)) if p is None else p for a, p, v in zip(at, numbers, values, strict=True)]
+    out = np.full((len(values), max(int(p[-1]) for p in numbers) + 1), np.nan)
+    for row, p, v in zip(out, numbers, values, strict=True):
+        row[p] = v
+    return out
+
+
 def from_blocks(blocks: DataFrame) -> DataFrame:
     """(recording, channel, sample, value) of in_blocks()."""
     number = F.coalesce(F.get("numbers", F.col("i")), F.col("start") + F.col("i"))

@@ -5,21 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import filters
+from . import blockwise
 from .filtering import per_channel
-from .signals import segments
+from .signals import Whole, made_of, transformed
 
 PAIR = ["recording", "a", "b"]
 
 
 def _matrix(table: pa.Table, column: str = "value") -> tuple[list[str], np.ndarray]:
     """Channels in order of name, and a row of values for each at the samples of a block; NaN where there is none."""
+    if "places" in table.column_names:
+        names = table["channel"].to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        x = blockwise.piece_matrix(table["at"].to_pylist(), table["places"].combine_chunks(), table["x"].combine_chunks())
+        return [names[i] for i in order], x[order]
     coded = table["channel"].combine_chunks().dictionary_encode()
     names = coded.dictionary.to_pylist()
     order = np.argsort(np.array(names, object))
@@ -47,7 +52,11 @@ def in_blocks(samples: DataFrame, size: int, kernel: Callable, columns: str, blo
         made = kernel(x, a, b) if len(a) else {c.split()[0]: np.zeros(0) for c in columns.split(", ")}
         return pa.table({"recording": pa.array([key[0].as_py()] * len(a), table.schema.field("recording").type), **out, **{k: pa.array(np.asarray(v, float)) for k, v in made.items()}})
 
-    placed = samples.select("recording", F.floor(F.col("sample") / size).cast("long").alias(block), "channel", "sample", F.col("value").cast("double").alias("value"))
+    own = made_of(samples)
+    if isinstance(own, Whole):  # arrays are cut, not samples grouped
+        placed = blockwise.pieces(own.blocks, size, block)
+    else:
+        placed = samples.select("recording", F.floor(F.col("sample") / size).cast("long").alias(block), "channel", "sample", F.col("value").cast("double").alias("value"))
     return placed.groupBy("recording", block).applyInArrow(run, f"recording {kind}, `{block}` long, a string, b string, {columns}")
 
 
@@ -128,35 +137,34 @@ def _spectra(samples: DataFrame, length: int, step: int, bins: np.ndarray) -> Da
     """(recording, channel, segment, z): real and imaginary parts of the wanted bins of Hann-windowed segments, one after the other."""
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
 
-    def run(frames):
-        for f in frames:
-            if len(f):
-                x = np.stack(f["values"].to_numpy())
-                z = np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window, axis=1)[:, bins]
-                yield pd.DataFrame({"recording": f.recording, "channel": f.channel, "segment": f.segment, "z": list(np.concatenate([z.real, z.imag], axis=1))})
+    def spectra(x: np.ndarray) -> np.ndarray:
+        z = np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window, axis=1)[:, bins]
+        return np.concatenate([z.real, z.imag], axis=1)
 
-    kind = dict(samples.dtypes)["recording"]
-    return segments(samples, length, step).mapInPandas(run, f"recording {kind}, channel string, segment long, z array<double>")
+    return transformed(samples, length, step, spectra, "z")
+
+
+#: What _cross() sums.
+_SUMS = ("re", "im", "aa", "bb", "sign", "size", "n")
 
 
-def _cross(rows: pd.DataFrame, n: int) -> pd.DataFrame:
+def _cross(rows: pa.Table, n: int) -> dict:
     """Sums over segments of what the measures need, for each pair and bin."""
-    names = sorted(rows.channel.unique())
-    at, seg = {c: i for i, c in enumerate(names)}, {k: i for i, k in enumerate(sorted(rows.segment.unique()))}
+    names, ci = np.unique(np.array(rows["channel"].to_pylist(), object), return_inverse=True)
+    seg, si = np.unique(rows["segment"].to_numpy(), return_inverse=True)
     z = np.zeros((len(names), len(seg), n), complex)
     there = np.zeros((len(names), len(seg), 1))
-    parts = np.stack(rows.z.to_numpy())
-    ci, si = rows.channel.map(at).to_numpy(), rows.segment.map(seg).to_numpy()
+    parts = rows["z"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * n)
     z[ci, si], there[ci, si] = parts[:, :n] + 1j * parts[:, n:], 1.0
-    out = []
+    found = []
     for i in range(len(names)):  # one channel with all after it
         both = there[i] * there[i + 1 :]
         s = z[i] * z[i + 1 :].conj() * both
         power = (np.abs(z[i]) ** 2 * both).sum(axis=1), (np.abs(z[i + 1 :]) ** 2 * both).sum(axis=1)
         sums = [s.real.sum(axis=1), s.imag.sum(axis=1), *power, np.sign(s.imag).sum(axis=1), np.abs(s.imag).sum(axis=1), np.broadcast_to(both.sum(axis=1), s.shape[::2])]
-        for j, name in enumerate(names[i + 1 :]):
-            out.append(pd.DataFrame({"a": names[i], "b": name, "bin": np.arange(n), **{k: v[j] for k, v in zip(("re", "im", "aa", "bb", "sign", "size", "n"), sums, strict=True)}}))
-    return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("a", "b", "bin", "re", "im", "aa", "bb", "sign", "size", "n")})
+        found.append(np.stack(sums).reshape(len(sums), -1))
+    a, b = np.triu_indices(len(names), 1)
+    return {"a": np.repeat(names[a], n), "b": np.repeat(names[b], n), "bin": np.tile(np.arange(n), len(a)), **dict(zip(_SUMS, np.concatenate(found, axis=1), strict=True))}
 
 
 def spectral(samples: DataFrame, sfreq: float, low: float, high: float, method: str = "coherence", seconds: float = 2.0) -> DataFrame:
@@ -169,14 +177,13 @@ def spectral(samples: DataFrame, sfreq: float, low: float, high: float, method:
     bins = np.flatnonzero((freqs >= low) & (freqs <= high))
     kind = dict(samples.dtypes)["recording"]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        made = _cross(rows, len(bins))
-        made.insert(0, "recording", rows.recording.iloc[0])
-        return made
+    def run(key, rows):
+        made = {k: pa.array(v, pa.string() if k in ("a", "b") else pa.int64() if k == "bin" else pa.float64()) for k, v in _cross(rows, len(bins)).items()}
+        return pa.table({"recording": pa.array([key[0].as_py()] * len(made["a"]), rows.schema.field("recording").type), **made})
 
     grouped = _spectra(samples, length, round(length / 2), bins).withColumn("chunk", F.floor(F.col("segment") / SEGMENTS))
-    parts = grouped.groupBy("recording", "chunk").applyInPandas(run, f"recording {kind}, a string, b string, bin long, re double, im double, aa double, bb double, sign double, size double, n double")
-    sums = parts.groupBy(*PAIR, "bin").agg(*(F.sum(c).alias(c) for c in ("re", "im", "aa", "bb", "sign", "size", "n")))
+    parts = grouped.groupBy("recording", "chunk").applyInArrow(run, f"recording {kind}, a string, b string, bin long, re double, im double, aa double, bb double, sign double, size double, n double")
+    sums = parts.groupBy(*PAIR, "bin").agg(*(F.sum(c).alias(c) for c in _SUMS))
     power = F.col("aa") * F.col("bb")
     value = {
         "coherence": F.when(power > 0, (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / power),

@@ -7,8 +7,11 @@ number of recordings are processed at once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,6 +94,59 @@ def segments(samples: DataFrame, length: int, step: int) -> DataFrame:
     return grouped.where(F.size("s") == length).select(*KEY, "segment", F.col("s.value").alias("values"))
 
 
+#: Samples of all channels, about, that are one row when segments are cut from rows with a column a channel.
+CHUNK = 1 << 12
+
+
+def lists(values: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel()))
+
+
+def transformed(samples: DataFrame, length: int, step: int, transform: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+    """segments() with what ``transform`` makes of a matrix, a row a segment, in place of values, as the column ``name``.
+
+    Of rows with a column a channel, stretches of a recording are gathered, each with the samples that its last segments reach
+    into the next one; segments are cut in arrays, so that no sample is sent once for every segment that it is in."""
+    own, kind = made_of(samples), dict(samples.dtypes)["recording"]
+    schema = f"recording {kind}, channel string, segment long, `{name}` array<double>"
+    if not isinstance(own, Wide) or step > length:
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    values = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, length).astype(float)
+                    yield pa.RecordBatch.from_arrays([*b.columns[:3], lists(transform(values))], names=[*KEY, "segment", name])
+
+        return segments(samples, length, step).mapInArrow(run, schema)
+    many, channels = max(1, CHUNK // step), own.channels
+    size = many * step
+    chunk = F.explode(F.sequence(F.greatest(F.floor((F.col("sample") - (length - step)) / size), F.lit(0)), F.floor(F.col("sample") / size))).alias("chunk")
+    rows = own.rows.select("recording", chunk, F.struct(F.col("sample").cast("long").alias("sample"), *(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(channels))).alias("s"))
+    chunks = rows.groupBy("recording", "chunk").agg(F.sort_array(F.collect_list("s")).alias("s")).select("recording", "chunk", "s.sample", *(f"s.v{i}" for i in range(len(channels))))
+
+    def cut(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):  # a few chunks at a time, as segments overlap
+                part = b.slice(at, 64)
+                places, found = [], []
+                for i, k in enumerate(part.column(1).to_pylist()):
+                    sample, *values = (c[i].values.to_numpy(zero_copy_only=False) for c in part.columns[2:])
+                    number = np.arange(max(k * many, -(-int(sample[0]) // step)), min((k + 1) * many - 1, (int(sample[-1]) + 1 - length) // step) + 1)
+                    first = np.searchsorted(sample, number * step)
+                    number, first = (x[np.searchsorted(sample, number * step + length) - first == length] for x in (number, first))
+                    if len(number):
+                        views = np.lib.stride_tricks.sliding_window_view(np.stack(values).astype(float), length, axis=1)
+                        found.append(views[:, first].reshape(-1, length))
+                        places.append((np.full(len(values) * len(number), i), np.repeat(np.arange(len(values)), len(number)), np.tile(number, len(values))))
+                if found:
+                    row, channel, segment = (np.concatenate(x) for x in zip(*places, strict=True))
+                    columns = [part.column(0).take(pa.array(row)), pa.array(channels, pa.string()).take(pa.array(channel)), pa.array(segment, pa.int64()), lists(transform(np.concatenate(found)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "segment", name])
+
+    return chunks.mapInArrow(cut, schema)
+
+
 def pick(samples: DataFrame, channels: list[str]) -> DataFrame:
     """Only the channels named; a name that no row has is no error, as recordings may differ."""
     found, own = samples.where(F.col("channel").isin(channels)), made_of(samples)

@@ -6,6 +6,8 @@ averages over segments are shuffled. A spectrum is rows (recording, channel, fre
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import filters
-from .signals import KEY, segments
+from .signals import KEY, segments, transformed
 
 #: The usual frequency bands in Hz, both edges included.
 BANDS = {"delta": (1.0, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "gamma": (30.0, 45.0)}
@@ -40,11 +42,16 @@ def _one_sided(power: np.ndarray, n: int) -> np.ndarray:
     return power
 
 
-def periodograms(cut: DataFrame, length: int, sfreq: float) -> DataFrame:
+def densities(length: int, sfreq: float) -> Callable[[np.ndarray], np.ndarray]:
     """Hann-windowed power densities of segments without their mean."""
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
     scale = 1 / (sfreq * (window**2).sum())
-    return _power(cut, length, lambda x: _one_sided(np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window, axis=1)) ** 2 * scale, length))
+    return lambda x: _one_sided(np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window, axis=1)) ** 2 * scale, length)
+
+
+def periodograms(cut: DataFrame, length: int, sfreq: float) -> DataFrame:
+    """Densities of segments that are there already."""
+    return _power(cut, length, densities(length, sfreq))
 
 
 def multitapers(cut: DataFrame, length: int, sfreq: float, bandwidth: float | None = None) -> DataFrame:
@@ -76,8 +83,7 @@ def averaged(power: DataFrame, length: int, sfreq: float, average: str = "mean",
 def welch(samples: DataFrame, sfreq: float, seconds: float, overlap: float = 0.5, average: str = "mean") -> DataFrame:
     """Welch's estimate over windows of ``seconds``; channels shorter than a window give no rows."""
     length = max(8, round(seconds * sfreq))
-    cut = segments(samples, length, length - round(length * overlap))
-    return averaged(periodograms(cut, length, sfreq), length, sfreq, average)
+    return averaged(transformed(samples, length, length - round(length * overlap), densities(length, sfreq), "power"), length, sfreq, average)
 
 
 def band_power(psd: DataFrame, bands: dict[str, tuple[float, float]] = BANDS, by: list[str] = KEY) -> DataFrame:

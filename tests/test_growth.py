@@ -68,3 +68,29 @@ def test_tasks_of_the_view_are_bounded(spark, monkeypatch):
 def test_samples_are_not_joined_with_what_they_give(spark, query):
     lines = executed(queries.QUERIES[query](spark, SMALLEST))
     assert not any("Join" in line for line in lines) and sum("Exchange" in line for line in lines) == 1
+
+
+def test_segments_of_wide_rows(spark, monkeypatch):
+    monkeypatch.setattr(signals, "CHUNK", 50)
+    samples = signals.drop_channels(signals.melt(wide(spark), ["x", "y", "z"]), ["z"])
+    for length, step in ((20, 7), (20, 20), (3, 1), (64, 32)):
+        got, want = (signals.transformed(s, length, step, lambda x: x, "v") for s in (samples, forgotten(samples)))
+        assert not any("sequence" in line and "segment" in line for line in optimized(got))
+        same(got, want, "recording", "channel", "segment")
+    same(spectral.welch(samples, 100.0, 0.4), spectral.welch(forgotten(samples), 100.0, 0.4), "recording", "channel", "freq")
+    for method in ("coherence", "wpli"):
+        same(*(connectivity.spectral(s, 100.0, 8.0, 30.0, method, 0.4) for s in (samples, forgotten(samples))), "recording", "a", "b")
+
+
+def test_pieces_of_whole_channels(spark):
+    """Arrays are cut into blocks, with and without gaps, as samples are grouped."""
+    samples = filtering.band_filter(signals.melt(wide(spark), ["x", "y", "z"]), 1.0, 30.0, 100.0)
+    assert isinstance(signals.made_of(samples), signals.Whole)
+    for size in (64, 4096):
+        got, want = connectivity.correlation(samples, size), connectivity.correlation(forgotten(samples), size)
+        assert "places" in got._jdf.queryExecution().optimizedPlan().toString()
+        same(got, want, "recording", "a", "b")
+    same(connectivity.window_correlations(samples, 10), connectivity.window_correlations(forgotten(samples), 10), "recording", "window", "a", "b")
+    got, want = (windowing.hopping_extremes(s, 10, 5) for s in (samples, forgotten(samples)))
+    assert not any("sequence" in line for line in optimized(got))
+    same(got, want, "recording", "channel", "window")
