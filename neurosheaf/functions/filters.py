@@ -142,6 +142,13 @@ def causal(sos: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> t
     return np.concatenate([out.ravel(), tail]), state
 
 
+@lru_cache(64)
+def _steady(coefficients: bytes) -> np.ndarray:
+    """The state to which a constant input of 1 leads."""
+    a, b, _, _ = _state_space(np.frombuffer(coefficients).reshape(-1, 6))
+    return np.linalg.solve(np.eye(len(b)) - a, b)
+
+
 def zero_phase(sos: np.ndarray, x: np.ndarray, pad: int | None = None) -> np.ndarray:
     """Forward and backward, over an odd extension of ``pad`` samples at each end, each way from the steady state of its first value."""
     x = np.asarray(x, float)
@@ -149,8 +156,7 @@ def zero_phase(sos: np.ndarray, x: np.ndarray, pad: int | None = None) -> np.nda
         return x.copy()
     pad = min(len(x) - 1, 30 * (2 * len(sos) + 1) if pad is None else pad)
     wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    a, b, _, _ = _state_space(sos)
-    steady = np.linalg.solve(np.eye(len(b)) - a, b)
+    steady = _steady(np.ascontiguousarray(sos, float).tobytes())
     for _ in range(2):
         wide = causal(sos, wide, steady * wide[0])[0][::-1]
     return wide[pad : pad + len(x)]

@@ -33,11 +33,10 @@ def find_bad_channels(samples: DataFrame, sfreq: float, positions: DataFrame | N
     Prediction by RANSAC runs in recordings for which ``positions`` (recording, channel, x, y, z) has ``ransac_channels``
     channels, and eight of them that nothing else flags; ``ransac_windows`` as in ransac().
     """
-    missing = samples.groupBy(*KEY).agg(F.max((F.col("value").isNull() | F.isnan("value")).cast("int")).alias("missing"))
     length = max(2, round(sfreq))
-    found = kept(quality.described(samples, sfreq, length))
-    table = found.select(*KEY, "amplitude", "hf_ratio").join(missing, KEY)
-    table = table.withColumns({"nan": F.col("missing") == 1, "flat": F.col("amplitude") < flat}).withColumn("usable", ~F.col("nan") & ~F.col("flat"))
+    found = kept(quality.described(samples, sfreq, length, spectra=False))
+    table = found.select(*KEY, "amplitude", "hf_ratio", "missing")
+    table = table.withColumns({"nan": F.col("missing"), "flat": F.col("amplitude") < flat}).withColumn("usable", ~F.col("nan") & ~F.col("flat"))
     table = _z(table, "amplitude", "deviation_z")
     windows = quality.windows_of(found, "band_std")
     table = table.join(windowing.flat_fraction(windows, flat * 0.2).withColumnRenamed("flat_fraction", "dropout_fraction"), KEY, "left")

@@ -40,7 +40,7 @@ REASON = 3.0
 #: Windows of a recording, with all its channels, that are one group when channels are compared.
 BLOCK_WINDOWS = 64
 #: What described() gives a channel.
-_DESCRIBED = """n_samples long, amplitude double, slow double, hf_ratio double, clipping_fraction double, whole_std double, windows array<long>, high_std array<double>,
+_DESCRIBED = """n_samples long, missing boolean, amplitude double, slow double, hf_ratio double, clipping_fraction double, whole_std double, windows array<long>, high_std array<double>,
  high_ptp array<double>, band_std array<double>, power array<double>, start long, band array<double>"""
 
 
@@ -83,18 +83,19 @@ def _median_welch(dense: np.ndarray, first: int, length: int, sfreq: float) -> n
     return np.median(power, axis=0) / bias
 
 
-def described(samples: DataFrame, sfreq: float, length: int, spectrum_seconds: float = 4.0) -> DataFrame:
+def described(samples: DataFrame, sfreq: float, length: int, spectrum_seconds: float = 4.0, spectra: bool = True) -> DataFrame:
     """A row a channel (recording, channel, _DESCRIBED), from one pass over it: filtered above 1 Hz (high) and from 1 to 40 Hz (band).
 
     ``band`` begins at the sample ``start``, a multiple of ``length``, with NaN where there is no sample; ``windows`` are
-    the numbers of the full windows of ``length``. Missing values count as 0.
+    the numbers of the full windows of ``length``. Missing values count as 0, and ``missing`` tells of them. Without ``spectra`` power is null.
     """
     split = 50.0 if sfreq / 2 > 55 else 0.7 * sfreq / 2
     designs = [filters.butterworth(1.0, None, sfreq), filters.butterworth(1.0, min(40.0, 0.45 * sfreq), sfreq), filters.butterworth(None, split, sfreq)]
     spectrum_length = max(8, round(spectrum_seconds * sfreq))
 
     def one(row) -> dict:
-        x = np.nan_to_num(np.asarray(row.values_, float))
+        given = np.asarray(row.values_, float)
+        x = np.nan_to_num(given)
         sample = row.start + np.arange(len(x)) if row.numbers is None else np.asarray(row.numbers)
         high, band = filters.zero_phase(designs[0], x), filters.zero_phase(designs[1], x)
         low = filters.zero_phase(designs[2], high)
@@ -110,10 +111,10 @@ def described(samples: DataFrame, sfreq: float, length: int, spectrum_seconds: f
         high_windows, band_windows = (w[full] for w in in_windows)
         noise = _scaled_mad(low)
         found = {
-            "recording": row.recording, "channel": row.channel, "n_samples": len(x), "amplitude": _spread(band), "slow": _spread(x - high),
+            "recording": row.recording, "channel": row.channel, "n_samples": len(x), "missing": bool(np.isnan(given).any()), "amplitude": _spread(band), "slow": _spread(x - high),
             "hf_ratio": _scaled_mad(high - low) / noise if noise > 1e-12 else 0.0, "clipping_fraction": _clipped(x, sample), "whole_std": float(high.std()), "windows": start // length + np.flatnonzero(full),
             "high_std": high_windows.std(axis=1), "high_ptp": np.ptp(high_windows, axis=1) if len(high_windows) else np.zeros(0), "band_std": band_windows.std(axis=1),
-            "power": _median_welch(placed(x), start, spectrum_length, sfreq), "start": start, "band": placed(band),
+            "power": _median_welch(placed(x), start, spectrum_length, sfreq) if spectra else None, "start": start, "band": placed(band),
         }
         return found
 

@@ -124,3 +124,12 @@ def test_muscle_bursts_over_blocks(spark, monkeypatch):
     got = artifacts.muscle(samples, 200.0)
     assert not any("avg(value" in line for line in optimized(got))
     assert sorted_rows(got, "recording", "onset").equals(want)
+
+
+def test_missing_values_are_told_by_the_same_pass(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame(pd.DataFrame({"recording": "r", "sample": np.arange(600), **{c: rng.normal(size=600) for c in "abcd"}}))
+    rows = rows.withColumns({"a": F.when(F.col("sample") != 5, F.col("a")), "b": F.when(F.col("sample") == 7, F.lit(float("nan"))).otherwise(F.col("b"))})
+    found = bad_channels.find_bad_channels(signals.melt(rows, list("abcd")), 100.0)
+    assert {r.channel: r["nan"] for r in found.collect()} == {"a": True, "b": True, "c": False, "d": False}
+    assert not any("sample#" in line and "isnan" in line for line in optimized(found))
