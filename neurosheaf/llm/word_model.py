@@ -30,8 +30,9 @@ BEFORE, AFTER = 1, 2
 HEAD = 1 << 18
 #: Bits of the bitmap of the other terms' keys (16 MB). With many more terms than bits it tells less, and more is sent.
 FILTER_BITS = 1 << 27
-#: Words whose two numbers are broadcast when the terms are made (24 bytes each); more are joined by a shuffle.
-BROADCAST_WORDS = 1 << 20
+#: Words whose two numbers are broadcast when the terms are made (two tables of some 80 bytes a word, which the driver holds
+#: several times over while it makes them); more are joined by a shuffle.
+BROADCAST_WORDS = 1 << 16
 #: Parts of the texts, by their hash, that are scored one after the other: what they send stands on disk for one part at a time.
 PASSES = 6
 #: Words kept with their hashes by a worker; tokens of training text counted at a time.
@@ -120,7 +121,7 @@ class Model:
         p = known.select("w", ((F.col("c") - F.least(own, F.col("c"))) / F.lit(total or 1) + F.lit(uniform)).alias("p"))
         contexts = pairs.groupBy(F.col("a").alias("w")).agg(F.sum("c").alias("total"), F.sum(F.least(above, F.col("c"))).alias("lost"))
         vocabulary = self.scratch.keep(p.join(contexts, "w", "full_outer"))
-        near = F.broadcast if vocabulary.count() <= BROADCAST_WORDS else lambda table: table
+        near = F.broadcast if vocabulary.count() <= BROADCAST_WORDS else lambda table: table.hint("shuffle_hash")
         first = near(vocabulary.where("lost is not null").select(F.col("w").alias("a"), "lost"))
         second = near(vocabulary.where("p is not null").select(F.col("w").alias("b"), "p"))
         # (c - d) / total + gamma p, over gamma p, where gamma is lost / total.
@@ -143,6 +144,7 @@ class Model:
         self.keys, self.values = (head[c].to_numpy() for c in ("key", "value"))
         self.tail = self.terms.where(F.col("c") < least).select("key", "value")
         self.bitmap = np.zeros(1, np.int64) if self.complete else _bitmap(self.tail)
+        pa.default_memory_pool().release_unused()
 
 
 def _bitmap(tail: DataFrame) -> np.ndarray:
@@ -151,7 +153,8 @@ def _bitmap(tail: DataFrame) -> np.ndarray:
     bit = F.expr(f"shiftleft(1L, cast((key & {FILTER_BITS - 1}) & 63 as int))")
     found = gathered(tail.groupBy(F.shiftright(at, 6).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")))
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    for b in found.to_batches():
+        out[b["at"].to_numpy()] = b["bits"].to_numpy()
     return out
 
 

@@ -61,6 +61,17 @@ def test_scores_against_dictionaries(spark, monkeypatch, head, bits, words):
         assert r.log_perplexity == pytest.approx(want[r.text], rel=1e-9)
 
 
+def test_many_words_are_not_broadcast(spark, monkeypatch):
+    """Two tables of 850,646 words took 240 MB of the driver's memory."""
+    sizes, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda table: sizes.append(table.count()) or broadcast(table))
+    texts = spark.range(700).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("w"), F.col("id") * 100 + i))))
+    model = m.Model(texts, kneser_ney._discounts)
+    assert model.terms.count() == 2 * 70_000 + 700 + 2 and all(n <= 1 << 16 for n in sizes)
+    few = m.Model(texts.limit(3), kneser_ney._discounts)
+    assert few.terms.count() == 2 * 300 + 3 + 2 and sizes
+
+
 def test_words_of_other_scripts_differ(spark):
     """Words whose characters fell into the same classes by code point mod 12 are told apart."""
     good, other = "日本", "".join(chr(ord(c) + 12) for c in "日本")
